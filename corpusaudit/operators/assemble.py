@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusaudit.functions import paths
 from corpusaudit.functions import text as tx
 from corpusaudit.operators.classify import project_of
+from corpusaudit.operators.joins import join_per_corpus
 
 # Fixed values.
 PAGE_BREAK = "\n\n---\n\n"
@@ -28,7 +29,7 @@ NAV_TITLES = {
     "llms": "llms.txt", "agents": "AGENTS.md",
 }
 SECTION_ORDER = ["index", "Architecture", "Manual", "User Guide", "Explanations", "decisions", "AI Docs"]
-TOC_TITLE = "# Table of Contents\n\n"
+TOC_TITLE = "# Table of Contents\n"
 
 
 def chapter_key(path: Column) -> Column:
@@ -49,34 +50,34 @@ def toc_title(content: Column, path: Column) -> Column:
 
 
 def merged_blocks(files: DataFrame, include_toc: bool = True) -> DataFrame:
-    """The merged manual as rows: corpus, part (0 contents, 1 chapters), key, block.
+    """The merged manual as rows: corpus, part (0 title, 1 contents, 2 their end, 3 chapters), key, block.
 
-    In the order ``corpus, part, key`` the blocks joined without anything between them are the document.
-    Features without the chapter that lists them are left out, as there is no place for them.
+    In the order ``corpus, part, key`` the blocks, one newline between them, are the document. Features
+    without the chapter that lists them are left out, as there is no place for them.
     """
     key = chapter_key(F.col("path"))
     body = F.regexp_replace("content", r"\s+\z", "")
     chapters = files.select("corpus", key.alias("key"), "path", "content", body.alias("body"))
     has_list = files.where(paths.basename(F.col("path")) == FEATURE_CHAPTER).select("corpus").distinct()
-    plain = chapters.where(~F.col("key.is_feature"))
-    features = chapters.where(F.col("key.is_feature")).join(has_list, "corpus", "left_semi")
-    both = plain.unionByName(features)
+    features = join_per_corpus(chapters.where(F.col("key.is_feature")), has_list, ["path"], "left_semi")
+    both = chapters.where(~F.col("key.is_feature")).unionByName(features)
     first = both.groupBy("corpus").agg(F.min("key").alias("first"))
-    lead = F.lit(PAGE_BREAK)
-    blocks = both.select("corpus", F.lit(1).alias("part"), "key", F.concat(lead, "body").alias("block"))
+    lead = PAGE_BREAK.removeprefix("\n")
     if not include_toc:
         # the first chapter has nothing before it
         opening = first.select("corpus", F.col("first").alias("key"), F.lit(True).alias("opens"))
-        blocks = blocks.join(opening, ["corpus", "key"], "left").select(
-            "corpus", "part", "key",
-            F.when(F.col("opens"), F.substring("block", len(PAGE_BREAK) + 1, 1 << 30)).otherwise(F.col("block")).alias("block"),
-        )
-        return blocks
-    entry = F.concat(F.lit("- "), toc_title(F.col("content"), F.col("path")), F.lit("\n"))
-    empty = F.struct(F.lit("").alias("chapter"), F.lit(False).alias("is_feature"), F.lit("").alias("name"))
-    toc = both.select("corpus", F.lit(0).alias("part"), "key", entry.alias("block"))
-    title = first.select("corpus", F.lit(0).alias("part"), empty.alias("key"), F.lit(TOC_TITLE).alias("block"))
-    return title.unionByName(toc).unionByName(blocks)
+        head = F.when(F.col("opens"), "").otherwise(lead)
+        return both.join(opening, ["corpus", "key"], "left").select(
+            "corpus", F.lit(3).alias("part"), "key", F.concat(head, "body").alias("block")
+        )
+    entry = F.concat(F.lit("- "), toc_title(F.col("content"), F.col("path")))
+    fixed = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(t).alias("block")) for p, t in ((0, TOC_TITLE), (2, ""))]))
+    frame = first.select("corpus", "first", fixed.alias("f")).select("corpus", "f.part", F.col("first").alias("key"), "f.block")
+    toc = both.select("corpus", F.lit(1).alias("part"), "key", entry.alias("block"))
+    return (
+        frame.unionByName(toc)
+        .unionByName(both.select("corpus", F.lit(3).alias("part"), "key", F.concat(F.lit(lead), "body").alias("block")))
+    )
 
 
 def in_order(blocks: DataFrame) -> DataFrame:

@@ -47,12 +47,13 @@ def jdbc_table(spark: SparkSession, table: str, dialect: str, options: Mapping[s
 
 def read_spark_catalog(spark: SparkSession, database: str) -> dict[str, DataFrame]:
     """tables and columns of a database of the session catalog; it knows no keys and no indexes."""
-    names = [t.name for t in spark.catalog.listTables(database)]
+    found = spark.catalog.listTables(database)
+    names = {t.name: t.name if t.isTemporary else f"{database}.{t.name}" for t in found}
     tables = [(database, n, "TABLE", None, None) for n in names]
     columns = [
         (database, n, i, c.name, c.dataType, "YES" if c.nullable else "NO", None, "")
         for n in names
-        for i, c in enumerate(spark.catalog.listColumns(n, database))
+        for i, c in enumerate(spark.catalog.listColumns(names[n]))
     ]
     from corpusaudit import schemas
 

@@ -23,7 +23,9 @@ def append_run_log(entries: DataFrame, path: str) -> None:
 def write_blocks(blocks: DataFrame, path: str, order: list[str], text: str = "block", mode: str = "overwrite") -> None:
     """Assembled documents: one folder per corpus, blocks in order over as many files as they need.
 
+    Each block is followed by one newline.
+
     The range partitioning includes the order, so a document with a third of all blocks is spread out.
     """
     ranged = blocks.repartitionByRange("corpus", *order).sortWithinPartitions("corpus", *order)
-    ranged.select("corpus", F.col(text).alias("value")).write.mode(mode).partitionBy("corpus").option("lineSep", "").text(path)
+    ranged.select("corpus", F.col(text).alias("value")).write.mode(mode).partitionBy("corpus").text(path)
