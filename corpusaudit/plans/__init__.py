@@ -1,0 +1,6 @@
+"""Whole pipelines and the registered queries."""
+
+from corpusaudit.plans import queries_text  # noqa: F401
+from corpusaudit.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
