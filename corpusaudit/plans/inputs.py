@@ -89,7 +89,7 @@ TABLE_SOURCES = files_of(
     "p_brand",
     cat("'database/migrations/'", s("p_partkey"), "'.php'"),
     cat("'Schema::create('''", "'m_'", SNAKE, "''');'", "CASE WHEN p_size > 25 THEN concat('Schema::table(''', p_type, ''');') ELSE '' END"),
-    where="p_retailprice > 1000",
+    where="p_size > 20 AND p_brand <> 'Brand#7'",
 )
 
 # endpoints: one page per event
@@ -113,3 +113,171 @@ EXPRESS_SOURCES = files_of(
 
 # diagrams: one per document, kind by language, edges by line
 WORDS = "(?m)^[^A-Za-z\\n]*([A-Za-z]+)[^A-Za-z\\n]+([A-Za-z]+)[^\\n]*$"
+
+
+# source trees: one file per part, in a corpus per brand; folder by size, kind of file by type
+FOLDERS = [
+    "routes/", "app/Models/", "app/Http/Controllers/", "app/Http/Controllers/API/", "app/Services/", "app/Repositories/",
+    "app/Http/Middleware/", "database/migrations/", "pages/", "pages/admin/", "store/", "stores/", "composables/", "lib/", "src/lib/",
+    "middleware/", "components/", "utils/", "tests/", "latest/", "views/", "config/", "public/css/", "public/js/", "node_modules/x/",
+    "dist/", "build/", "src/models/", "schemas/", "hooks/", "src/redux/", "seeds/", "spec/", "layouts/", "templates/", "docs/", "app/",
+    "app/api/users/", "", "vendor/a/", "distance/", "src/components/", "src/views/", "app/components/", "src/store/", "lang/ja/",
+    "db/migrate/", "migrations/", "prisma/", "helpers/",
+]
+ENDINGS = {
+    "ECONOMY": ".php", "MEDIUM": ".vue", "PROMO": ".json", "LARGE": ".js", "SMALL": "Controller.php", "STANDARD": ".dat",
+}
+FOLDER_SQL = f"split_part({q('|'.join(FOLDERS))}, '|', p_size)"
+ENDING_SQL = "CASE p_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in ENDINGS.items()) + " END"
+CAMEL_SQL = "concat('Dash', upper(left(p_name, 1)), substring(p_name, 2, position(' ' IN p_name) - 2), 'API', " + s("p_partkey") + ")"
+TREE = files_of(
+    "part",
+    "p_brand",
+    cat(FOLDER_SQL, CAMEL_SQL, ENDING_SQL),
+    "p_name",
+    size="CAST(p_retailprice * 10 AS BIGINT)",
+)
+# marker files: project types by nation of the supplier
+MARKERS = files_of(
+    "supplier",
+    cat("'Brand#'", s("s_nationkey + 1")),
+    "CASE WHEN s_acctbal < 1000 THEN 'composer.json' WHEN s_acctbal < 3000 THEN 'nuxt.config.ts' WHEN s_acctbal < 5000 THEN 'package.json' "
+    "WHEN s_acctbal < 6000 THEN 'next.config.js' WHEN s_acctbal < 7000 THEN 'vue.config.js' ELSE 'README.md' END",
+    "CASE WHEN s_acctbal < 500 THEN '{\"require\": {\"laravel/framework\": \"^9\"}}' WHEN s_acctbal < 4000 THEN '{\"dependencies\": {\"express\": \"^4.1\"}}' ELSE '{bad' END",
+    size="s_suppkey",
+)
+# package files: one per supplier
+PACKAGES = files_of(
+    "supplier",
+    cat("'s'", s("s_suppkey")),
+    "'package.json'",
+    cat(
+        "'{\"dependencies\": {\"lodash\": \"1\"'",
+        "CASE WHEN s_nationkey < 5 THEN ', \"vue\": \"^2.6.1\", \"nuxt\": \"~2.15.8\", \"vuex\": \"3\"' WHEN s_nationkey < 10 THEN ', \"vue\": \">=3.2\", \"pinia\": \"1\"' "
+        "WHEN s_nationkey < 15 THEN ', \"next\": \"13.1\", \"react\": \"18\"' ELSE '' END",
+        "'}, \"devDependencies\": {\"tailwindcss\": \"3\"}, \"peerDependencies\": {'",
+        "CASE WHEN s_nationkey >= 15 AND s_nationkey < 20 THEN '\"react-dom\": \"~17.0.2\"' ELSE '' END", "'}}'",
+    ),
+)
+# front-end files: one per order, in the project of a supplier
+FRONTEND_FILES = files_of(
+    "orders",
+    cat("'s'", s("o_custkey")),
+    cat(
+        "CASE o_orderpriority WHEN '1-URGENT' THEN 'pages/' WHEN '2-HIGH' THEN 'src/components/ui/' WHEN '3-MEDIUM' THEN 'store/' WHEN '5-LOW' THEN 'app/views/' ELSE 'other/pages/' END",
+        "'f'", s("o_orderkey"), "CASE o_orderstatus WHEN 'F' THEN '.vue' WHEN 'O' THEN '.tsx' ELSE '.ts' END",
+    ),
+    "''",
+)
+
+# table catalogs: one table per part; columns, keys and indexes from its line items
+def _table_name(key: str) -> str:
+    return (
+        f"concat(CASE WHEN {key} % 10 = 0 THEN 'm_' WHEN {key} % 10 = 1 THEN 'job_' ELSE 't_' END, CAST({key} AS STRING), "
+        f"CASE WHEN {key} % 10 = 2 THEN '_settings' ELSE '' END)"
+    )
+
+
+def _database(key: str) -> str:
+    return f"concat('db', CAST({key} % 7 AS STRING))"
+
+
+CATALOG_TABLES = Derived(
+    "part",
+    {
+        "corpus": _database("p_partkey"), "table_name": _table_name("p_partkey"), "table_type": "'BASE TABLE'",
+        "table_rows": "CASE WHEN p_size > 10 THEN " + s("p_size") + " ELSE 'x' END", "table_comment": "p_type",
+    },
+)
+COLUMN_SQL = (
+    "CASE l_linenumber WHEN 1 THEN 'id' WHEN 2 THEN 'Name' WHEN 3 THEN 'is_active' WHEN 4 THEN 'created_at' "
+    "WHEN 5 THEN 'title' WHEN 6 THEN 'deleted_at' ELSE 'amount' END"
+)
+CATALOG_COLUMNS = Derived(
+    "lineitem",
+    {
+        "corpus": _database("l_partkey"), "table_name": _table_name("l_partkey"), "ordinal": "l_linenumber", "column_name": COLUMN_SQL,
+        "column_type": "'int'", "is_nullable": "CASE WHEN l_linenumber = 1 THEN 'NO' ELSE 'YES' END",
+        "column_default": "CASE WHEN l_linenumber = 3 THEN '1' WHEN l_linenumber = 5 THEN 'NULL' END",
+        "column_key": "CASE WHEN l_linenumber = 1 THEN 'PRI' ELSE '' END",
+    },
+    where="l_quantity < 20",
+)
+CATALOG_FKS = Derived(
+    "lineitem",
+    {
+        "corpus": _database("l_partkey"), "table_name": _table_name("l_partkey"), "column_name": "concat('ref_', lower(l_returnflag), '_id')",
+        "referenced_table_name": "concat('t_', lower(l_returnflag), l_linestatus)", "referenced_column_name": "'id'",
+    },
+    where="l_quantity < 4",
+)
+CATALOG_INDEXES = Derived(
+    "lineitem",
+    {
+        "corpus": _database("l_partkey"), "table_name": _table_name("l_partkey"), "index_name": "concat('ix_', lower(l_returnflag))",
+        "seq": "l_linenumber", "column_name": COLUMN_SQL, "non_unique": "CASE WHEN l_returnflag = 'A' THEN '0' ELSE '1' END",
+    },
+    where="l_quantity > 46",
+)
+
+# migrations: one file per event, a table per user
+MIGRATION_FILES = files_of(
+    "events",
+    "'app'",
+    cat("'database/migrations/'", "lpad(" + s("event_id") + ", 12, '0')", "'.php'"),
+    cat(
+        "CASE event_type WHEN 'signup' THEN 'Schema::create(''t_' WHEN 'purchase' THEN 'ALTER TABLE `t_' WHEN 'error' THEN 'DROP TABLE IF EXISTS `t_' WHEN 'view' THEN 'create_table :t_' ELSE 'no ' END",
+        s("user_id"), "' x;'",
+    ),
+)
+
+# configuration files: one per customer
+ENV_FILES = files_of(
+    "customer",
+    cat("'c'", s("c_custkey")),
+    "'.env'",
+    cat(
+        "'APP=1'", NL, "'DB_CONNECTION='", "CASE WHEN c_mktsegment = 'BUILDING' THEN 'MariaDB' WHEN c_mktsegment = 'MACHINERY' THEN 'pgsql' WHEN c_mktsegment = 'FURNITURE' THEN 'sqlsrv' ELSE '' END",
+        NL, "'DB_HOST=\"h'", s("c_nationkey"), "'\"'", NL, "'DB_PASSWORD='", "CASE WHEN c_acctbal > 0 THEN 'secret' ELSE '' END", NL, "'DB_USERNAME='", "c_name", NL,
+    ),
+)
+
+# SQL dumps: one statement per part
+DUMPS = files_of(
+    "part",
+    "p_brand",
+    cat("'dump/'", s("p_partkey"), "'.sql'"),
+    cat(
+        "'CREATE TABLE IF NOT EXISTS `t_'", s("p_partkey"), "'` ('", NL, "'  `id` bigint NOT NULL,'", NL, "'  `price` decimal('", s("p_size"), "',2) DEFAULT ''0.00'','", NL,
+        "CASE WHEN p_size > 25 THEN concat('  `is_active` tinyint(1) DEFAULT 1,', chr(10)) ELSE '' END", "'  PRIMARY KEY (`id`),'", NL,
+        "'  UNIQUE KEY `uq_x` (`id`,`price`),'", NL, "'  CONSTRAINT fk FOREIGN KEY (`price`) REFERENCES `'", "p_type", "'` (`id`)'", NL, "');'", NL,
+    ),
+)
+
+# documentation sets: fifteen pages per project, one per customer
+PAGES15 = [
+    "architecture/{n}.md", "manual/{n}/00-index.md", "manual/{n}/01-overview.md", "manual/{n}/02-screen-flow.md",
+    "manual/{n}/03-features.md", "manual/{n}/04-api-reference.md", "manual/{n}/05-data-model.md", "manual/{n}/06-screen-specs.md",
+    "manual/{n}/07-walkthrough.md", "manual/{n}/08-review.md", "explanations/{n}/pro.md", "explanations/{n}/beginner.md",
+    "explanations/{n}/sales.md", "decisions/{n}.md", "{n}-index.md",
+]
+PROJECT = "concat('p', CAST(CAST(floor(c_custkey / 15) AS BIGINT) AS STRING))"
+SLOT = "(c_custkey - 15 * CAST(floor(c_custkey / 15) AS BIGINT))"
+
+
+PAGE_SQL = (
+    f"CASE WHEN c_mktsegment = 'FURNITURE' THEN concat('manual/', {PROJECT}, '/extra-', CAST(c_custkey AS STRING), '.md') "
+    f"ELSE replace(split_part({q('|'.join(PAGES15))}, '|', CAST({SLOT} + 1 AS INT)), '{{n}}', {PROJECT}) END"
+)
+PROJECT_PAGES = files_of(
+    "customer",
+    "CASE WHEN c_nationkey < 0 THEN 'x' ELSE 'wiki' END",
+    PAGE_SQL,
+    cat(
+        "'# '", "c_name", NL, "CASE WHEN c_acctbal > 2000 THEN '(src/a.py:12)' ELSE 'none' END", NL, "'## One'", NL, "'[a](b.md) [c](https://d) [e](#f) 未確認'", NL,
+        "CASE WHEN c_acctbal > 5000 THEN '<!-- source: x.py:3 -->' ELSE '【推測】' END", NL, "'### Two'", NL,
+        "CASE WHEN c_nationkey > 12 THEN 'ステータス: ok Tier 1 Tier2 Tier  3' ELSE '無効化モジュール presence=1' END", NL,
+        "CASE WHEN c_nationkey > 5 THEN '## 改訂履歴 文書番号 バージョン 承認者' ELSE '#### deep' END", NL, FENCE, "'mermaid'", NL, "'graph LR'", NL, "'## not a heading'", NL, FENCE, NL,
+        "'| m | p |'", NL, "'|---|---|'", NL, "repeat(concat('| GET | /x |', chr(10)), CAST(c_nationkey AS INT))",
+    ),
+)

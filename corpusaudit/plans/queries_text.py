@@ -284,8 +284,8 @@ TABLES_SQL = """
        d AS (SELECT p_brand AS corpus, concat('m_', snake) AS t FROM p UNION SELECT p_brand, p_type FROM p
              UNION SELECT p_brand, concat('P_', p_type) FROM p UNION SELECT p_brand, 'Part' FROM p
              UNION SELECT p_brand, concat(snake, 's') FROM p),
-       k AS (SELECT p_brand AS corpus, concat('m_', snake) AS t FROM p WHERE p_retailprice > 1000
-             UNION SELECT p_brand, p_type FROM p WHERE p_retailprice > 1000 AND p_size > 25)
+       k AS (SELECT p_brand AS corpus, concat('m_', snake) AS t FROM p WHERE p_size > 20 AND p_brand <> 'Brand#7'
+             UNION SELECT p_brand, p_type FROM p WHERE p_size > 25 AND p_brand <> 'Brand#7')
   """
 
 
