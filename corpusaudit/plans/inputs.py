@@ -111,8 +111,105 @@ EXPRESS_SOURCES = files_of(
     where="value > 60",
 )
 
-# diagrams: one per document, kind by language, edges by line
-WORDS = "(?m)^[^A-Za-z\\n]*([A-Za-z]+)[^A-Za-z\\n]+([A-Za-z]+)[^\\n]*$"
+# bundles: one per turn of a conversation
+BUNDLES = files_of(
+    "conversations",
+    cat("'c'", s("conv_id")),
+    s("turn"),
+    cat(
+        "'intro '", "role", NL, "'--- FILE: docs/c'", s("conv_id"), "'/t'", s("turn"), "'.md ---'", NL, NL, "text", NL, NL, "'--- FILE: ../'", "role", "'.md ---'", NL,
+        "'未確認'", NL, "'---FILE: a/../'", "role", "'/x.md ---'", NL, "'tail'",
+    ),
+)
+# delimited client output, one per customer
+OUTPUTS = files_of(
+    "customer",
+    cat("'c'", s("c_custkey")),
+    "'out'",
+    cat("'Table_Name'", "chr(9)", "'Rows'", "chr(9)", "'Note'", NL, "c_name", "chr(9)", s("c_nationkey"), NL, "c_mktsegment", "chr(9)", "'x'", "chr(9)", "' n '", NL),
+)
+
+# diagrams: one per order, with chains of nodes that share the customer
+FLOWCHARTS = files_of(
+    "orders",
+    "o_orderpriority",
+    cat("'diagrams/f'", ORDER, "'.mmd'"),
+    cat(
+        "CASE WHEN o_orderstatus = 'F' THEN 'flowchart TB' ELSE 'graph LR' END", NL, "'  O'", ORDER, "'[order] --> C'", CUST, "'(cust)'", NL, "'  subgraph S1[x]'", NL,
+        "'    C'", CUST, "' --> D1'", NL, "'    D1 --> D2'", NL, "'  end'", NL, "'  subgraph S2'", NL, "'    E1 --> E2'", NL, "'  end'", NL,
+        "CASE WHEN o_totalprice > 250000 THEN concat('  D2 --> E1', chr(10)) ELSE '' END", "'  E2 --> O'", ORDER, "'x'", NL, "'  %% A --> B'", NL,
+    ),
+)
+STATES = files_of(
+    "orders",
+    "o_orderpriority",
+    cat("'diagrams/s'", ORDER, "'.mmd'"),
+    cat("'stateDiagram-v2'", NL, "'  [*] --> N'", CUST, NL, "'  N'", CUST, "' --> '", "o_orderstatus", NL, "'  '", "o_orderstatus", "' --> [*]'", NL),
+)
+# sequence diagrams: one per document, every line a message, a participant per document
+MESSAGES = files_of(
+    "documents",
+    "source",
+    cat("'seq/'", s("doc_id"), "'.mmd'"),
+    cat("'sequenceDiagram'", NL, "'  participant '", "lang", NL, "'  actor A'", s("doc_id"), NL, "'  A->>B: '", "replace(text, chr(10), concat(chr(10), '  A->>B: '))"),
+)
+# entity diagrams: one per document, a relation per line
+ENTITIES = files_of(
+    "documents",
+    "source",
+    cat("'er/'", s("doc_id"), "'.mmd'"),
+    cat("'erDiagram'", NL, "'  Doc'", s("doc_id"), "' {'", NL, "'    int id'", NL, "'  }'", NL, "'  X ||--o{ '", "lang", "' : '", "replace(text, chr(10), concat(chr(10), '  X ||--o{ Y : '))"),
+)
+# slide decks: one per document, a slide per line, a bullet per sentence
+DECKS = files_of(
+    "documents",
+    "source",
+    cat("'deck/'", s("doc_id"), "'.md'"),
+    cat("'---'", NL, "'marp: true'", NL, "'---'", NL, "replace(replace(text, chr(10), concat(chr(10), '---', chr(10))), '. ', concat('.', chr(10), '- '))"),
+)
+# pages with inline diagrams: one per customer
+INLINE_PAGES = files_of(
+    "customer",
+    "c_mktsegment",
+    cat("CASE WHEN c_nationkey < 12 THEN 'manual/p' ELSE 'other/p' END", s("c_custkey"), "'/02-screen-flow.md'"),
+    cat("'x'", NL, FENCE, "'mermaid'", NL, "'stateDiagram'", NL, "'a'", NL, FENCE, NL, FENCE, "'mermaid'", NL, "'bad'", NL, FENCE, NL, FENCE, "'mermaid'", NL, "'graph LR'", NL, FENCE, NL),
+)
+# pages that link to diagrams: one per customer
+DIAGRAM_LINKS = files_of(
+    "customer",
+    "'maps'",
+    cat("'p/'", s("c_custkey"), "'.md'"),
+    cat("'![a](../d/n'", s("c_nationkey"), "'.mmd) [b](x'", s("c_custkey"), "'.mmd) ![s](q.svg)'"),
+)
+
+# chapters of a manual: one per turn of a conversation
+CHAPTERS = files_of(
+    "conversations",
+    cat("'m'", s("conv_id")),
+    "CASE WHEN turn = 3 THEN '03-features.md' WHEN role = 'assistant' THEN concat('features/t', CAST(turn AS STRING), '.md') ELSE concat('0', CAST(turn AS STRING), '-', role, '.md') END",
+    "CASE WHEN role = 'user' THEN concat('# Turn ', CAST(turn AS STRING), chr(10), text) ELSE text END",
+)
+# feature tables: one page per part
+FEATURES = files_of(
+    "part",
+    cat("'s'", s("p_size")),
+    cat("'f'", s("p_partkey"), "'.md'"),
+    cat("'# Tier '", "CASE WHEN p_type = 'PROMO' THEN '2' ELSE '9' END", NL, "'| 機能名 | d |'", NL, "'|:--|--|'", NL, "'| '", "p_name", "' View | x |'", NL, "'# Other'", NL, "'| '", "p_type", "' | tier2 |'", NL),
+)
+DISABLED = Derived(
+    "part",
+    {"corpus": "concat('s', CAST(p_size AS STRING))", "name": "upper(substring(p_name, 1, position(' ' IN p_name) - 1))"},
+    where="p_retailprice < 903",
+)
+# translation files: one per part
+LANGUAGE_FILES = files_of(
+    "part",
+    "p_brand",
+    cat("CASE WHEN p_size > 40 THEN 'lang/en/' WHEN p_size > 25 THEN 'lang/ja/' ELSE 'languages/ja_jp/' END", "'f'", s("p_partkey"), "CASE WHEN p_size > 25 THEN '.json' WHEN p_size > 15 THEN '.js' ELSE '.php' END"),
+    "CASE WHEN p_size > 25 THEN concat('{\"a\": {\"', p_type, '\": \"V', CAST(p_partkey AS STRING), '\", \"n\": 1}, \"t\": \"', p_name, '\"}') "
+    "WHEN p_size > 15 THEN concat('x = { ', chr(39), p_type, chr(39), ': ', chr(39), p_name, chr(39), ' }') "
+    "ELSE concat('$languageStrings[', chr(39), 'SINGLE_', p_type, chr(39), '] = ', chr(39), 'S', CAST(p_partkey AS STRING), chr(39), '; ', chr(39), p_type, chr(39), ' => ', chr(39), p_name, chr(39), ',') END",
+)
 
 
 # source trees: one file per part, in a corpus per brand; folder by size, kind of file by type
