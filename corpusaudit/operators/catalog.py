@@ -250,57 +250,77 @@ def _name_list(text: Column) -> Column:
     return F.transform(F.split(text, ","), lambda c: F.regexp_replace(F.trim(c), """^[`"']+|[`"']+$""", ""))
 
 
-def dump_lines(dumps: DataFrame) -> DataFrame:
-    """Lines of the table bodies of SQL dumps: corpus, table_name, ordinal, line."""
-    found = (
-        dumps.where(F.col("content").rlike(r"(?i)CREATE\s+TABLE"))
-        .select("corpus", F.explode_outer(_table_bodies("content")).alias("t")).where(F.col("t").isNotNull())
-        .select("corpus", "t.table_name", F.posexplode_outer(F.split("t.body", "\n")).alias("ordinal", "raw")).where(F.col("ordinal").isNotNull())
-    )
-    line = F.regexp_replace(F.regexp_replace("raw", r"^\s+|\s+$", ""), ",+$", "")
-    return found.select(*TABLE, "ordinal", line.alias("line")).where(F.col("line") != "")
+def _extract(line: Column, regex: str, *groups: int) -> list[Column]:
+    return [F.regexp_extract(line, regex, g) for g in groups]
+
 
+def dump_catalog(dumps: DataFrame) -> DataFrame:
+    """Catalog in the form of ``assemble`` from the CREATE TABLE statements of SQL dumps.
 
-def dump_catalog(dumps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The four catalog tables of ``assemble`` from CREATE TABLE statements."""
-    lines = dump_lines(dumps)
-    constraint = F.col("line").rlike(CONSTRAINT)
-    tables = lines.select(*TABLE).distinct().select(
-        *TABLE, F.lit(None).cast("string").alias("table_rows"), F.lit(None).cast("string").alias("table_comment")
+    A statement is whole in its dump, so its columns, keys and indexes are taken from the lines of its
+    body in the row: one pass over the text, no join. Only finished entries are shuffled, to keep the last
+    statement of a table.
+    """
+    body = (
+        dumps.where(F.col("content").rlike(r"(?i)CREATE\s+TABLE"))
+        .select("corpus", "path", F.posexplode_outer(_table_bodies("content")).alias("n", "t"))
+        .where(F.col("n").isNotNull())
     )
-    keys = lines.where(constraint)
-    primary = (
-        keys.where(F.col("line").rlike(PRIMARY))
-        .select(*TABLE, F.explode_outer(_name_list(F.regexp_extract("line", PRIMARY, 1))).alias("column_name")).where(F.col("column_name").isNotNull())
-        .distinct()
-        .withColumn("column_key", F.lit("PRI"))
+    trim = lambda l: F.regexp_replace(F.regexp_replace(l, r"^\s+|\s+$", ""), ",+$", "")
+    df = body.select("corpus", "path", "n", "t.table_name", F.transform(F.split("t.body", "\n"), trim).alias("all"))
+    df = df.withColumn("keys", F.filter("all", lambda l: l.rlike(CONSTRAINT))).withColumn(
+        "defs", F.filter("all", lambda l: l.rlike(COLUMN) & ~l.rlike(CONSTRAINT))
     )
-    default = F.regexp_replace(F.trim(F.regexp_extract("line", DEFAULT, 1)), "^['\"]+|['\"]+$", "")
-    columns = (
-        lines.where(~constraint & F.col("line").rlike(COLUMN))
-        .select(
-            *TABLE,
-            "ordinal",
-            F.regexp_extract("line", COLUMN, 1).alias("column_name"),
-            F.regexp_extract("line", COLUMN, 2).alias("column_type"),
-            F.when(F.upper("line").contains("NOT NULL"), "NO").otherwise("YES").alias("is_nullable"),
-            F.when(F.col("line").rlike(DEFAULT), default).alias("column_default"),
+
+    def column(line: Column) -> Column:
+        name, kind = _extract(line, COLUMN, 1, 2)
+        default = F.regexp_replace(F.trim(F.regexp_extract(line, DEFAULT, 1)), "^['\"]+|['\"]+$", "")
+        return F.struct(
+            name.alias("name"),
+            kind.alias("type"),
+            (~F.contains(F.upper(line), F.lit("NOT NULL"))).alias("nullable"),
+            F.when(line.rlike(DEFAULT), default).alias("default"),
         )
-        .join(primary, [*TABLE, "column_name"], "left")
-    )
-    fks = keys.where(F.col("line").rlike(FOREIGN)).select(
-        *TABLE,
-        F.regexp_extract("line", FOREIGN, 1).alias("column_name"),
-        F.regexp_extract("line", FOREIGN, 2).alias("referenced_table_name"),
-        F.regexp_extract("line", FOREIGN, 3).alias("referenced_column_name"),
+
+    def foreign(line: Column) -> Column:
+        here, there, column_there = _extract(line, FOREIGN, 1, 2, 3)
+        return F.struct(here.alias("column"), there.alias("references_table"), column_there.alias("references_column"))
+
+    def index(line: Column) -> Column:
+        name, names = _extract(line, INDEX, 1, 2)
+        unique = F.contains(F.upper(line), F.lit("UNIQUE"))
+        return F.struct(name.alias("name"), _name_list(names).alias("columns"), unique.alias("unique"))
+
+    having = lambda regex: F.filter("keys", lambda l: l.rlike(regex))
+    primary = F.try_element_at(having(PRIMARY), F.lit(-1))
+    none = F.array().cast("array<string>")
+    df = df.select(
+        "corpus",
+        "path",
+        "n",
+        "table_name",
+        F.transform("defs", column).alias("columns"),
+        F.coalesce(F.filter(_name_list(F.regexp_extract(primary, PRIMARY, 1)), lambda c: c != ""), none).alias("primary_key"),
+        F.transform(having(FOREIGN), foreign).alias("foreign_keys"),
+        F.transform(having(INDEX), index).alias("indexes"),
     )
-    indexes = (
-        keys.where(F.col("line").rlike(INDEX))
-        .select(
-            *TABLE,
-            F.regexp_extract("line", INDEX, 1).alias("index_name"),
-            F.when(F.upper("line").contains("UNIQUE"), "0").otherwise("1").alias("non_unique"),
-            F.posexplode_outer(_name_list(F.regexp_extract("line", INDEX, 2))).alias("seq", "column_name"),
-        ).where(F.col("seq").isNotNull())
+    named = lambda ok: F.transform(F.filter("columns", lambda c: ok(c["name"])), lambda c: c["name"])
+    df = df.withColumn("active_flag_columns", named(is_active_flag)).withColumn("label_columns", named(is_label))
+    has_flag = F.size("active_flag_columns") > 0
+    has_name = F.exists("columns", lambda c: F.lower(c["name"]) == "name")
+    kind = table_kind(F.col("table_name"), F.size("columns"), F.size("foreign_keys"), has_flag, has_name)
+    entry = F.struct(
+        "columns",
+        "primary_key",
+        "foreign_keys",
+        "indexes",
+        kind.alias("kind"),
+        has_flag.alias("has_active_flag"),
+        "active_flag_columns",
+        "label_columns",
+        is_settings_table(F.col("table_name")).alias("is_settings_table"),
+        F.lit(None).cast("bigint").alias("row_count"),
+        F.lit(None).cast("string").alias("table_comment"),
     )
-    return tables, columns, fks, indexes
+    last = df.select(*TABLE, F.struct("path", "n").alias("at"), entry.alias("entry"))
+    return last.groupBy(*TABLE).agg(F.max_by("entry", "at").alias("e")).select(*TABLE, "e.*")

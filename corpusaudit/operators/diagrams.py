@@ -55,7 +55,7 @@ def is_slide_deck(content: Column) -> Column:
 def blocks(files: DataFrame, kind: str) -> DataFrame:
     """Blocks of one kind inside diagram files: corpus, path, first_line, lines (after the opening line)."""
     opens, other = OPENS[kind], OTHER_TYPE[kind]
-    df = tx.with_lines(files.select(*KEY, "content"))
+    df = tx.with_lines(files.select(*KEY, "content").where(F.col("content").rlike("(?m)" + opens)))
     df = tx.cut_runs(df, "lines", lambda l: l.rlike(opens) | l.rlike(other), "runs")
     head = F.try_element_at(F.col("r.lines"), F.lit(1))
     return (

@@ -94,23 +94,25 @@ def frontends(files: DataFrame) -> DataFrame:
         F.col("framework").isNotNull()
     )
     path = F.col("path")
+    family = _family(F.col("framework"))
 
-    def counted(dirs: list[str], ext: Column) -> Column:
-        below = F.concat(F.lit(f"^(src/|app/)?({'|'.join(dirs)})/([^./][^/]*/)*[^/]*\\.("), ext, F.lit(")$"))
-        return F.count_if(F.regexp_like(path, below))
+    def counted(dirs: list[str], endings: dict[str | None, str]) -> Column:
+        """Files below the folders with the endings of the family; literal patterns, compiled once."""
+        hit = F.lit(False)
+        for name, ending in endings.items():
+            mine = family.isNull() if name is None else family == name
+            below = rf"^(src/|app/)?({'|'.join(dirs)})/([^./][^/]*/)*[^/]*\.({ending})$"
+            hit = hit | (F.coalesce(mine, F.lit(False)) & path.rlike(below))
+        return F.count_if(hit)
 
-    family = _family(F.col("framework"))
-    ext = F.lit(EXTENSIONS[None])
-    for name, alternatives in EXTENSIONS.items():
-        if name:
-            ext = F.when(family == name, alternatives).otherwise(ext)
+    scripts = {k: "ts|js" for k in EXTENSIONS}
     code = files.select("corpus", "path").where(path.rlike(r"\.(vue|jsx|tsx|svelte|ts|js)$"))
     # framework first, so that counting needs one pass over the paths
     with_fw = join_per_corpus(code, found.select("corpus", "framework"), ["path"], "inner")
     counts = with_fw.groupBy("corpus").agg(
-        counted(PAGE_DIRS, ext).alias("page_count"),
-        counted(STORE_DIRS, F.lit("ts|js")).alias("store_count"),
-        counted(COMPONENT_DIRS, ext).alias("component_count"),
+        counted(PAGE_DIRS, EXTENSIONS).alias("page_count"),
+        counted(STORE_DIRS, scripts).alias("store_count"),
+        counted(COMPONENT_DIRS, EXTENSIONS).alias("component_count"),
         F.bool_or(path.isin(ROUTER_FILES)).alias("has_router_file"),
     )
     router = F.when(F.col("framework").rlike("nuxt|next"), "file-based").when(F.col("has_router_file"), "config-based")

@@ -8,6 +8,7 @@ from corpusaudit.functions import text as tx
 from corpusaudit.operators import assemble, diagrams, graph, labels, modules, quality, reconcile
 from corpusaudit.plans import inputs as i
 from corpusaudit.plans.registry import lines_sql, query, table
+from corpusaudit.session import spread
 from corpusaudit.sources import bundles
 
 # ------------------------------------------------------------------------------------------- diagrams
@@ -210,7 +211,7 @@ def q_graph_degree(spark, sf):
 
 def _line_graph(spark, sf):
     """A graph per document: the first word of each line leads to the first word of the next."""
-    df = tx.with_lines(table(spark, sf, "documents").select("doc_id", F.col("text").alias("content")))
+    df = tx.with_lines(spread(table(spark, sf, "documents")).select("doc_id", F.col("text").alias("content")))
     words = F.transform("lines", lambda l: F.regexp_extract(l, r"^([^ ]*)", 1))
     df = df.select("doc_id", words.alias("w"))
     pairs = F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))

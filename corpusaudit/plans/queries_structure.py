@@ -278,7 +278,7 @@ def q_settings_values(spark, sf):
          CASE WHEN p_size > 25 THEN 'M' ELSE 'T' END AS kind FROM part""",
 )
 def q_dump_catalog(spark, sf):
-    c = catalog.assemble(*catalog.dump_catalog(i.DUMPS.df(spark, sf)))
+    c = catalog.dump_catalog(i.DUMPS.df(spark, sf))
     column = lambda x: F.concat_ws(":", x["name"], x["type"], x["nullable"].cast("string"), F.coalesce(x["default"], F.lit("")))
     return c.select(
         "corpus",

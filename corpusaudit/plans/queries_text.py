@@ -10,6 +10,7 @@ from corpusaudit.operators import citations, endpoints, leakage, lines, links, l
 from corpusaudit.operators.leakage import LeakRule, TermRule
 from corpusaudit.plans import inputs as i
 from corpusaudit.plans.registry import fences_sql, lines_sql, prose_sql, query, table
+from corpusaudit.session import spread
 
 DOCS = i.DOCUMENTS.sql()
 ORDERS = i.ORDER_PAGES.sql()
@@ -206,7 +207,7 @@ def q_leak_severity(spark, sf):
 @query("q_benchmark_leak", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def q_benchmark_leak(spark, sf):
     """Documents that hold a whole passage of the benchmark."""
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", F.col("text").alias("content"))
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("needle"))
     hits = literals.find_literals(docs, items.select("needle"), ["doc_id"])
     # equal passages are one literal; the identifiers come back at the end
@@ -221,7 +222,7 @@ def q_benchmark_leak(spark, sf):
 )
 def q_name_leaks(spark, sf):
     """Site names of the pages inside documents, without regard to case."""
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", F.col("text").alias("content"))
     names = table(spark, sf, "pages").select(F.regexp_extract("url", "://([^/.:]+)", 1).alias("name"))
     return literals.name_leaks(docs, names, ["doc_id"])
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusaudit.session import configure
+from corpusaudit.session import configure, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,11 +42,14 @@ class Derived:
     table: str
     columns: dict[str, str] = field(default_factory=dict)
     where: str | None = None
+    text: bool = False
 
     def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, self.table)
         if self.where:
             df = df.where(self.where)
+        if self.text:
+            df = spread(df)
         return df.selectExpr(*[f"{e} AS {c}" for c, e in self.columns.items()])
 
     def sql(self) -> str:
@@ -55,7 +58,7 @@ class Derived:
 
 
 def files_of(table: str, corpus: str, path: str, content: str, where: str | None = None, **more: str) -> Derived:
-    return Derived(table, {"corpus": corpus, "path": path, "content": content, **more}, where)
+    return Derived(table, {"corpus": corpus, "path": path, "content": content, **more}, where, text=True)
 
 
 def s(column: str) -> str:

@@ -30,6 +30,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores, when it has fewer splits than there are cores.
+
+    Work on text is heavy per row, and a small table may be one row group. A table with at least as many
+    splits as cores is returned as it is, so a large one is never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names; a temporary one only for local runs without it."""
     sc = spark.sparkContext

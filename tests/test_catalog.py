@@ -145,10 +145,11 @@ create table "logs" (id int, note text);"""
 
 
 def test_dump(files):
-    t, c, f, i = catalog.dump_catalog(files(("c", "dump.sql", DDL)))
-    got = catalog.assemble(t, c, f, i).orderBy("table_name").collect()
+    older = 'create table logs (gone int);'
+    got = catalog.dump_catalog(files(("c", "dump.sql", DDL), ("c", "a.sql", older))).orderBy("table_name").collect()
     assert [r.table_name for r in got] == ["logs", "users"]
     u = got[1]
+    assert [x.name for x in got[0]["columns"]] == ["id"]  # one definition per line
     assert [(x.name, x.type, x.nullable, x.default) for x in u["columns"]] == [
         ("id", "bigint", False, None), ("price", "decimal(10,2)", True, "0.00"), ("is_active", "tinyint(1)", True, "1"),
     ]
