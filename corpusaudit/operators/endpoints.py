@@ -15,6 +15,8 @@ from corpusaudit.operators.joins import join_per_corpus
 from corpusaudit.operators.lines import cell_under, table_rows
 
 # Fixed values.
+ALLOWED_SCHEMES = ["http", "https"]
+BLOCKED_HOSTS = ["169.254.169.254", "metadata.google.internal"]
 VERBS = ["GET", "POST", "PUT", "PATCH", "DELETE"]
 METHOD_HEADER, PATH_HEADER = "メソッド", "パス"
 PROSE = r"(GET|POST|PUT|PATCH|DELETE)\s+(/[^\s|)`]+)"
@@ -188,6 +190,18 @@ def screen_paths(files: DataFrame) -> DataFrame:
     )
 
 
+def capture_path(folder: Column, name: Column) -> Column:
+    """File of a capture below ``folder``; NULL for a name that is empty or hidden after its folders are cut."""
+    safe = paths.basename(name)
+    return F.when((safe != "") & ~F.startswith(safe, F.lit(".")), F.concat(folder, F.lit("/"), safe, F.lit(".png")))
+
+
+def is_allowed_url(url: Column) -> Column:
+    """http or https, and no metadata host."""
+    scheme, host = F.try_parse_url(url, F.lit("PROTOCOL")), F.try_parse_url(url, F.lit("HOST"))
+    return F.coalesce(scheme.isin(ALLOWED_SCHEMES) & ~host.isin(BLOCKED_HOSTS), F.lit(False))
+
+
 def capture_report(results: DataFrame) -> DataFrame:
     """captured, failed and the bytes of the successes, per corpus."""
     ok = F.col("success")

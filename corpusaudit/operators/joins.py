@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
-# what may be broadcast: rows of a few dozen bytes each, so this stays far below the executor memory
+# what may be broadcast, counted before it is: far below the memory of an executor
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def join_per_corpus(rows: DataFrame, facts: DataFrame, spread: list[str], how: str = "left") -> DataFrame:
@@ -21,14 +22,12 @@ def join_per_corpus(rows: DataFrame, facts: DataFrame, spread: list[str], how: s
     return salted.join(repeated, ["corpus", "_salt"], how).drop("_salt")
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether a table has no more than ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def join_small(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join that broadcasts ``small`` only after counting it; beyond the bound both sides shuffle."""
-    return rows.join(F.broadcast(small) if at_most(small, BROADCAST_ROWS) else small, on, how)
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most ``rows`` rows and ``size`` bytes of text, by counting both."""
+    texts = [F.octet_length(c) for c, kind in df.dtypes if kind == "string"]
+    total = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(0).cast("bigint"))
+    got = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(total), F.lit(0)).alias("b")).first()
+    return got["n"] <= rows and got["b"] <= size
 
 
 def first_by(df: DataFrame, keys: list[str], order: Column, take: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusaudit.operators.joins import BROADCAST_ROWS, at_most
+from corpusaudit.operators.joins import BROADCAST_ROWS, fits_broadcast
 
 WORD = r"\p{L}\p{N}"
 ANCHORED = 12
@@ -59,11 +59,11 @@ def find_literals(
     """Pairs ``keys + needle`` where the text contains the literal; ``within`` columns must be equal too.
 
     ``keys`` identify a text (they include ``within``). Few literals are broadcast and checked in the pass
-    that reads the text. More than ``broadcast_rows`` literals are joined by shuffling pieces and keys
-    only; the text is joined back for the candidates.
+    that reads the text. More than ``broadcast_rows`` literals, or too many bytes of them, are joined by
+    shuffling pieces and keys only; the text is joined back for the candidates.
     """
     chosen = seeds(needles, within)
-    small = at_most(chosen, broadcast_rows)
+    small = fits_broadcast(chosen, broadcast_rows)
     kinds = {r["kind"] for r in chosen.select("kind").distinct().collect()}
     texts = texts.select(*keys, content)
     out = None

@@ -554,7 +554,7 @@ METRIC_SQL = f"""
       CASE WHEN regexp_matches(path, '^(manual|architecture)/.*[.]md$') THEN coalesce(cited, 0) ELSE 0 END AS cited,
       CASE WHEN starts_with(path, 'manual/') THEN 1 ELSE 0 END AS inline, 1 AS links,
       CASE WHEN ends_with(path, '04-api-reference.md') THEN api END AS api, CASE WHEN ends_with(path, '05-data-model.md') THEN h24 END AS h24, CASE WHEN ends_with(path, '06-screen-specs.md') THEN h23 END AS h23,
-      ends_with(path, '00-index.md') AND contains(head, '文書番号') AND contains(head, 'バージョン') AND contains(head, '承認者') AS cover
+      ends_with(path, '/00-index.md') AND contains(head, '文書番号') AND contains(head, 'バージョン') AND contains(head, '承認者') AS cover
     FROM pg LEFT JOIN sn USING (corpus, path) LEFT JOIN hc USING (corpus, path) LEFT JOIN rc USING (corpus, path)),
   pm AS (SELECT corpus, project, CAST(sum(sections) AS BIGINT) AS sections, CAST(sum(cited) AS BIGINT) AS cited, CAST(sum(inline) AS BIGINT) AS inline, count(*) AS links,
       CAST(sum(api) AS BIGINT) AS api_rows, CAST(sum(h24) AS BIGINT) AS model_headings, CAST(sum(h23) AS BIGINT) AS screen_headings, count(*) FILTER (contains(content, '【推測】')) AS speculation,
@@ -650,7 +650,7 @@ def q_indexed_projects(spark, sf):
         SELECT corpus, CAST(sum(model_headings) AS BIGINT) AS documented, any_value(known) AS known, sum(model_headings) < any_value(known) AS short FROM pm JOIN k USING (corpus) GROUP BY corpus""",
 )
 def q_table_coverage(spark, sf):
-    known = table(spark, sf, "part").select(F.lit("wiki").alias("corpus"))
+    known = table(spark, sf, "part").select(F.expr("CASE WHEN p_size < 0 THEN p_brand ELSE 'wiki' END").alias("corpus"))
     return quality.table_coverage(quality.project_metrics(_pages(spark, sf)), known)
 
 

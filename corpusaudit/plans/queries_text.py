@@ -204,6 +204,22 @@ def q_leak_severity(spark, sf):
     return leakage.severity_counts(leakage.scan(i.DOCUMENTS.df(spark, sf), RULES))
 
 
+@query("q_stream_leaks", LEAKS)
+def q_stream_leaks(spark, sf):
+    """The same scan as a stream over the documents, read back from its sink in the shared folder."""
+    from uuid import uuid4
+
+    from corpusaudit.session import checkpoint_dir
+    from corpusaudit.streaming.incremental import start_leak_scan
+
+    base = f"{checkpoint_dir(spark)}/stream-{uuid4().hex}"
+    schema = table(spark, sf, "documents").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    files = rows.selectExpr(*[f"{e} AS {c}" for c, e in i.DOCUMENTS.columns.items()])
+    start_leak_scan(files, RULES, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 @query("q_benchmark_leak", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def q_benchmark_leak(spark, sf):
     """Documents that hold a whole passage of the benchmark."""
@@ -404,7 +420,8 @@ def q_routes_open(spark, sf):
 
 @query(
     "q_paths",
-    """SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) IN ('http', 'https') AND NOT contains(url, '.example.org') AS allowed,
+    """SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) IN ('http', 'https') AS allowed,
+         concat('shots/', regexp_extract(url, '[^/]*$'), '.png') AS capture,
          regexp_matches(url, '^(https?://|mailto:|ftp://)') AS external, trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/') AS folded,
          regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host,
          NOT (contains(url, '..') OR contains(url, '/')) AS safe_name, regexp_matches(url, '#top$') AS ignored
@@ -413,10 +430,11 @@ def q_routes_open(spark, sf):
 def q_paths(spark, sf):
     """URL policy, path folding and name safety on page addresses."""
     url = F.col("url")
-    scheme, host = F.try_parse_url(url, F.lit("PROTOCOL")), F.try_parse_url(url, F.lit("HOST"))
+    host = F.try_parse_url(url, F.lit("HOST"))
     return table(spark, sf, "pages").select(
         "page_id",
-        (scheme.isin("http", "https") & ~F.contains(host, F.lit(".example.org"))).alias("allowed"),
+        endpoints.is_allowed_url(url).alias("allowed"),
+        F.coalesce(endpoints.capture_path(F.lit("shots"), url), F.lit("shots/.png")).alias("capture"),
         links.is_external(url).alias("external"),
         paths.normalise(F.concat(F.lit("./x/.."), F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1))).alias("folded"),
         host.alias("host"),

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from corpusaudit.operators import citations, endpoints, modules, tables
 from tests.conftest import rows
 
@@ -121,3 +123,11 @@ def test_modules(files, spark):
     assert rows(modules.modules_in_pages(docs, off)) == [("c", "f.md", "hidden"), ("c", "f.md", "mod comments")]
     r = spark.createDataFrame([("c", "/x/Hidden/y", "n"), ("c", "/hiddens", "n"), ("c", "/q", "HIDDEN")], "corpus STRING, path STRING, name STRING")
     assert rows(modules.drop_disabled_routes(r, off), "path") == [("/hiddens",)]
+
+
+def test_url_policy(spark):
+    df = spark.createDataFrame([("http://a/b",), ("ftp://a",), ("https://169.254.169.254/x",), ("nope",)], "u STRING")
+    got = df.select("u", endpoints.is_allowed_url(F.col("u")).alias("ok"), endpoints.capture_path(F.lit("d"), F.col("u")).alias("p"))
+    assert rows(got, "ok", "p") == [(False, "d/a.png"), (False, "d/nope.png"), (False, "d/x.png"), (True, "d/b.png")]
+    names = spark.createDataFrame([("../../x",), (".h",), ("a/",)], "n STRING").select(endpoints.capture_path(F.lit("d"), F.col("n")).alias("p"))
+    assert rows(names) == [("d/x.png",), (None,), (None,)]
