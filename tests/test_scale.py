@@ -54,12 +54,10 @@ def test_hot_target_is_split(spark, conf):
         "'c' AS corpus", "concat('p', id, '.md') AS path", "concat('[a](hot.md) [b](p', id + 1, '.md)') AS content"
     )
     out = links.check_links(pages)
-    assert out.count() == 20001
-    rows = out.groupBy("target_path").count().collect()
-    assert {(r[0], r[1]) for r in rows} == {("hot.md", 20000), ("p20000.md", 1)}
-    found = out.groupBy().count()
-    found.collect()
-    assert re.search(r"skew=true", found._jdf.queryExecution().executedPlan().toString())
+    got = [r.target_path for r in out.collect()]
+    assert got.count("hot.md") == 20000 and got.count("p20000.md") == 1 and len(got) == 20001
+    # the plan as it ran
+    assert re.search(r"skew=true", plan(out))
 
 
 def test_hot_corpus_is_spread(spark):
