@@ -234,3 +234,24 @@ def indexed_projects(files: DataFrame) -> DataFrame:
     """Projects that have an index page at the top: corpus, name."""
     name = F.regexp_extract("path", r"^([^/]+)-index\.md$", 1)
     return files.select("corpus", name.alias("name")).where(F.col("name") != "").distinct()
+
+
+# kinds of stored files; a check reads the partitions of its kinds
+KINDS = [".md", ".mmd", ".svg", ".yaml", ".yml", ".json"]
+
+
+def kind_of(path: Column) -> Column:
+    """Partition of a stored file: the checks read different ones."""
+    ext = paths.extension(path)
+    chain = F.when(ext.isin(*KINDS), F.substring(ext, 2, 8))
+    return chain.otherwise("other")
+
+
+def with_suffix(files: DataFrame, suffixes: Sequence[str]) -> DataFrame:
+    """Files with one of the suffixes. A stored table is pruned to the partitions that can hold them."""
+    keep = F.lit(False)
+    for s in suffixes:
+        keep = keep | F.col("path").endswith(s)
+    if "kind" in files.columns:
+        files = files.where(F.col("kind").isin(*{s[1:] if s in KINDS else "other" for s in suffixes}))
+    return files.where(keep)

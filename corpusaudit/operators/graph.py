@@ -91,13 +91,10 @@ def clusters(graphs: DataFrame, edges_col: str, cap: int, keys: list[str]) -> Da
     @F.pandas_udf(kind)
     def assign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for edges in batches:
-            yield edges.map(lambda p: [{"node": n, "cluster_no": c} for n, c in cluster_nodes(p, cap)])
+            yield edges.map(lambda p: [{"node": n, "cluster_no": c} for n, c in cluster_nodes(p if p is not None else (), cap)])
 
-    return (
-        graphs.where(F.size(edges_col) > 0)
-        .select(*keys, F.explode_outer(assign(F.col(edges_col))).alias("a")).where(F.col("a").isNotNull())
-        .select(*keys, "a.node", "a.cluster_no")
-    )
+    one = graphs.select(*keys, F.explode_outer(assign(F.col(edges_col))).alias("a"))
+    return one.where(F.col("a").isNotNull()).select(*keys, "a.node", "a.cluster_no")
 
 
 def cut_edges(edges: DataFrame, assigned: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from corpusaudit.functions import globs, paths
 from corpusaudit.functions import text as tx
+from corpusaudit.operators.classify import with_suffix
 from corpusaudit.operators.lines import KEY
 
+PAGE = [".md"]
 LINK = r"!?\[([^\]]*)\]\(([^)]+)\)"
 EXTERNAL = "^(https?://|mailto:|ftp://)"
 
@@ -80,34 +82,40 @@ def resolve_links(links: DataFrame) -> DataFrame:
 
 
 def targets(files: DataFrame) -> DataFrame:
-    """What a link may point to: one row per file with the slugs of its headings, one per folder."""
-    titles = tx.with_prose(tx.with_lines(files.select(*KEY, "content")))
+    """What a link may point to: one row per file with the slugs of its headings, one per folder.
+
+    Only pages are read for headings; of other files and of folders the path is enough.
+    """
+    pages = with_suffix(files, PAGE)
+    titles = tx.with_prose(tx.with_lines(pages.select(*KEY, "content")))
     slugs = F.array_distinct(
         F.transform(
             F.filter("prose", lambda l: F.coalesce(l.rlike(tx.HEADING), F.lit(False))),
             lambda l: tx.slug(F.regexp_extract(l, tx.HEADING, 1)),
         )
     )
-    file_rows = titles.select("corpus", F.col("path").alias("target_path"), F.lit(True).alias("is_file"), slugs.alias("slugs"))
+    none = F.array().cast("array<string>")
+    row = lambda df, path, is_file, found: df.select(
+        "corpus", F.col(path).alias("target_path"), F.lit(is_file).alias("is_file"), found.alias("slugs")
+    )
+    others = files.where(~F.col("path").endswith(PAGE[0]))
     folders = (
         files.select("corpus", paths.dirname(F.col("path")).alias("folder"))
         .distinct()
-        .select("corpus", F.explode_outer(F.concat(paths.parents(F.col("folder")), F.array("folder"))).alias("target_path")).where(F.col("target_path").isNotNull())
+        .select("corpus", F.explode_outer(F.concat(paths.parents(F.col("folder")), F.array("folder"))).alias("folder"))
         .distinct()
     )
-    return file_rows.unionByName(
-        folders.select("corpus", "target_path", F.lit(False).alias("is_file"), F.lit(None).cast("array<string>").alias("slugs"))
-    )
+    return row(titles, "path", True, slugs).unionByName(row(others, "path", True, none)).unionByName(row(folders, "folder", False, none))
 
 
 def check_links(files: DataFrame, ignore: Iterable[str] = (), skip_fences: bool = False) -> DataFrame:
-    """Broken links: corpus, path, line_no, url, reason, target_path, anchor.
+    """Broken links of the pages among ``files``: corpus, path, line_no, url, reason, target_path, anchor.
 
     One join: the headings of a target travel with the target as an array, so an anchor needs no second
     look-up. The target side is unique per key; a target that a third of all links point to is split by
     the skew join of AQE.
     """
-    links = markdown_links(files, skip_fences)
+    links = markdown_links(with_suffix(files, PAGE), skip_fences)
     local = links.where(~is_external(F.col("url")) & ~matches_any(F.col("url"), ignore))
     found = resolve_links(local).join(targets(files), ["corpus", "target_path"], "left")
     reason = (

@@ -1,4 +1,4 @@
-"""The whole audit as one application: files are read once, all checks write one findings table."""
+"""The whole audit as one application: all checks write one findings table."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusaudit.operators import citations, classify, diagrams, endpoints, leakage, links, quality, tables
 from corpusaudit.operators.leakage import LeakRule, TermRule
-from corpusaudit.sources.files import with_suffix
+from corpusaudit.operators.classify import with_suffix
 
 COLUMNS = ["check", "corpus", "path", "line_no", "rule", "severity", "message"]
 
@@ -33,15 +33,18 @@ def _finding(df: DataFrame, **cols) -> DataFrame:
 
 
 def findings(files: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
-    """Leaks, wrong terms, broken links, unshown images, overflowing figures and slides, in one schema."""
-    docs = with_suffix(files, [".md"])
+    """Leaks, wrong terms, broken links, unshown images, overflowing figures and slides, in one schema.
+
+    With ``files`` stored by ``sinks.write_files`` each check reads only the partitions of its kinds.
+    """
+    docs, figures = with_suffix(files, [".md"]), with_suffix(files, [".mmd"])
     parts = [
         _finding(leakage.scan(files, config.leak_rules)),
         _finding(leakage.wrong_terms(docs, config.term_rules), rule=F.col("matched"), message=F.col("expected")),
-        _finding(links.check_links(with_suffix(files, [".md"]), config.ignore_links), check="link", rule=F.col("reason"), severity="error", message=F.col("url")),
-        _finding(links.unreferenced_images(files), check="image", path=F.col("image"), rule="not shown", severity="warning", message=F.col("expected")),
-        _finding(diagrams.diagram_overflow(files), severity="warning", message=F.concat_ws("/", "count", "max_allowed")),
-        _finding(diagrams.slide_overflow(files), severity="warning", message=F.concat_ws("/", "count", "max_allowed")),
+        _finding(links.check_links(files, config.ignore_links), check="link", rule=F.col("reason"), severity="error", message=F.col("url")),
+        _finding(links.unreferenced_images(with_suffix(files, [".md", ".svg"])), check="image", path=F.col("image"), rule="not shown", severity="warning", message=F.col("expected")),
+        _finding(diagrams.diagram_overflow(figures), severity="warning", message=F.concat_ws("/", "count", "max_allowed")),
+        _finding(diagrams.slide_overflow(docs), severity="warning", message=F.concat_ws("/", "count", "max_allowed")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

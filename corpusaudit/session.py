@@ -43,7 +43,7 @@ def spread(df: DataFrame) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names; a temporary one only for local runs without it."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)

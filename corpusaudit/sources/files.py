@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusaudit import schemas
-from corpusaudit.operators.classify import is_excluded
+from corpusaudit.operators.classify import is_excluded, kind_of, with_suffix  # noqa: F401
 from corpusaudit.operators.impact import IMPACT_RULES
 from corpusaudit.operators.leakage import TERM_RULES, LeakRule, TermRule
 
@@ -67,13 +67,6 @@ def from_table(df: DataFrame, corpus: Column, path: Column, text: Column, modifi
     )
 
 
-def with_suffix(files: DataFrame, suffixes: Sequence[str]) -> DataFrame:
-    keep = F.lit(False)
-    for s in suffixes:
-        keep = keep | F.col("path").endswith(s)
-    return files.where(keep)
-
-
 def read_leak_rules(spark: SparkSession, path: str) -> list[LeakRule]:
     """Rules of a JSON file. They are configuration and are unrolled into the plan."""
     schema = "name STRING, regex STRING, severity STRING, description STRING, allow_in ARRAY<STRING>, only_in ARRAY<STRING>"

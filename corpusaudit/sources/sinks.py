@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusaudit.operators.classify import kind_of
+
+
+def write_files(files: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Files stored once after ingest, a partition per kind, so that a check reads only the kinds it is for."""
+    files.withColumn("kind", kind_of(F.col("path"))).write.mode(mode).partitionBy("kind").parquet(path)
+
 
 def write_findings(findings: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
     """One folder per check, so that a gate reads only its own."""

@@ -23,6 +23,11 @@ def test_check(files):
     assert links.check_links(df, ignore=["none*", "d/*", "../d*"]).count() == 0
 
 
+def test_any_file_is_a_target(files):
+    df = files(("c", "a.md", "[i](img/x.png) [j](img/y.png) [k](b.txt#h) [d](img)"), ("c", "img/x.png", "[not](a link)"), ("c", "b.txt", "# H"))
+    assert rows(links.check_links(df), "url", "reason") == [("b.txt#h", "anchor not found"), ("img/y.png", "file not found")]
+
+
 def test_fenced_links_are_optional(files):
     df = files(("c", "a.md", "```\n[x](gone.md)\n```"))
     assert links.check_links(df).count() == 1

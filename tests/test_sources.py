@@ -86,6 +86,14 @@ def test_sinks(spark, files, tmp_path):
     assert text == "".join(f"b{i}\n" for i in range(50))
 
 
+def test_stored_files_are_pruned(spark, files, tmp_path):
+    sinks.write_files(files(("c", "a.md", "x"), ("c", "b.mmd", "y"), ("c", "c.py", "z"), ("c", "d.txt", "t")), str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    md = src.with_suffix(stored, [".md"])
+    assert rows(md, "path") == [("a.md",)] and rows(src.with_suffix(stored, [".py", ".md"]), "path") == [("a.md",), ("c.py",)]
+    assert "PartitionFilters: [isnotnull(kind" in md._jdf.queryExecution().executedPlan().toString()
+
+
 def write_files(spark, where, *items):
     from corpusaudit.schemas import FILES
 
