@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -81,27 +80,15 @@ def _bare(regex: str) -> str:
     return f"(?:{regex})"
 
 
-# constructs that can see beyond the line or give nothing back; with them a text cannot be judged as a whole
-_LINE_BOUND = re.compile(r"\(\?(?!:|i\))|\\[AzZG]|[*+?}]\+")
-
-
-def _maybe_in(content: Column, rules: Sequence[LeakRule]) -> Column:
-    """False only for texts in which no line can match: lets most of them pass without being split."""
-    if any(_LINE_BOUND.search(r.regex) for r in rules):
-        return F.lit(True)
-    return content.rlike("(?m)" + "|".join(_bare(r.regex) for r in rules))
-
-
 def scan(files: DataFrame, rules: Sequence[LeakRule]) -> DataFrame:
     """Findings: check, corpus, path, line_no, rule, severity, matched (50 characters), message.
 
     Rules are unrolled into the projection: no join, no shuffle, patterns compiled once. One alternation
-    drops first the texts and then the lines that no rule can match. Works on a stream as on a table.
+    first drops the lines that no rule can match. Works on a stream as it does on a table.
     """
-    kept = files.where(~skipped(F.col("path")))
+    lines = explode_lines(files.where(~skipped(F.col("path"))))
     out = None
     for batch in _batches(list(rules)):
-        lines = explode_lines(kept.where(_maybe_in(F.col("content"), batch)))
         hits = [
             F.struct(
                 F.lit(r.name).alias("rule"),
@@ -137,12 +124,23 @@ def gate(findings: DataFrame) -> DataFrame:
     )
 
 
+def _holds_any(text: Column, words: Sequence[str]) -> Column:
+    """Some word is in the text: plain searches for a few words, one alternation for many."""
+    if len(words) > 16:
+        return text.rlike("|".join(globs.literal(w) for w in words))
+    hit = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        hit = hit | F.contains(text, F.lit(w))
+    return hit
+
+
 def wrong_terms(files: DataFrame, rules: Sequence[TermRule] = tuple(TERM_RULES)) -> DataFrame:
     """Wrong terms outside fenced code, one finding per line and rule, case-sensitive."""
     out = None
     for batch in _batches(list(rules)):
-        maybe = "|".join(globs.literal(r.wrong) for r in batch)
-        lines = prose_lines(files.where(F.col("content").rlike(maybe)))
+        words = [r.wrong for r in batch]
+        # a text without any of the words need not be split
+        lines = prose_lines(files.where(_holds_any(F.col("content"), words)))
         hits = [
             F.when(
                 F.contains("line", F.lit(r.wrong)),
@@ -156,7 +154,7 @@ def wrong_terms(files: DataFrame, rules: Sequence[TermRule] = tuple(TERM_RULES))
             for r in batch
         ]
         part = (
-            lines.where(F.col("line").rlike(maybe))
+            lines.where(_holds_any(F.col("line"), words))
             .select(*KEY, "line_no", F.explode_outer(F.array_compact(F.array(*hits))).alias("h")).where(F.col("h").isNotNull())
             .select(F.lit("term").alias("check"), *KEY, "line_no", "h.severity", "h.matched", "h.expected", "h.message")
         )
