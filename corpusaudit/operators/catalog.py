@@ -211,6 +211,7 @@ def pick_source(*catalogs: DataFrame) -> DataFrame:
 
 # --- schemas from SQL dumps -------------------------------------------------------------------------
 
+# Patterns of statements and of the lines of their bodies.
 CREATE = r"""(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`"']?(\w+)[`"']?\s*\("""
 Q, W = r"""[`"']?""", r"(\w+)"
 CONSTRAINT = r"(?i)^\s*(PRIMARY\s+KEY|UNIQUE|INDEX|KEY|CONSTRAINT|FOREIGN\s+KEY|CHECK)"

@@ -113,6 +113,7 @@ def slides(files: DataFrame) -> DataFrame:
     ).where(F.size("lines") > 0)
 
 
+# Fixed value: the row below a table header.
 SEPARATOR_ROW = r"^\|[\s:|-]+\|$"
 
 

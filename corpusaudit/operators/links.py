@@ -12,6 +12,7 @@ from corpusaudit.functions import text as tx
 from corpusaudit.operators.classify import with_suffix
 from corpusaudit.operators.lines import KEY
 
+# Suffix of pages, form of a link, prefixes of external addresses.
 PAGE = [".md"]
 LINK = r"!?\[([^\]]*)\]\(([^)]+)\)"
 EXTERNAL = "^(https?://|mailto:|ftp://)"

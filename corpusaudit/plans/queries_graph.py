@@ -180,7 +180,7 @@ def _star(spark, sf):
     """Orders to customers to nations to regions, one graph per region."""
     t = lambda n: table(spark, sf, n)
     places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    buyers = t("customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    buyers = t("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     bought = t("orders").select("o_orderkey", "o_custkey").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
     edge = lambda df, a, b: df.selectExpr("r_name AS graph_id", f"{a} AS src", f"{b} AS dst")
     return (

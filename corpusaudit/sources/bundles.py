@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusaudit.functions import paths
 from corpusaudit.functions import text as tx
 
+# Fixed value: the line that opens a file of a bundle.
 MARKER = r"---\s*FILE:\s*(.+?)\s*---"
 
 
