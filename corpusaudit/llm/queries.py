@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusaudit.llm import decontaminate, exact_dedup, language, mixing, simhash, token_counts, token_files
+from corpusaudit.llm import decontaminate, exact_dedup, language, mixing, simhash, substring_dedup, token_counts, token_files
 from corpusaudit.llm.common import Query, configured, fold, shared_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,6 +34,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without strings of 400 bytes that repeat."""
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents in packed files, as read back."""
