@@ -148,6 +148,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, all columns; of rows that repeat id and text one stays."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
-    return out.dropDuplicates([id_col, text_col])
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id"), "text_sha256").distinct()
+    kept = kept.withColumnRenamed("text_sha256", "__kept_sha")
+    same = F.col(id_col).eqNullSafe(F.col("__kept_id")) & (F.sha2(normalised(F.col(text_col)), 256) == F.col("__kept_sha"))
+    return docs.join(kept, same, "left_semi").dropDuplicates([id_col, text_col])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusaudit.llm import decontaminate, exact_dedup, katz, language, mixing, simhash, substring_dedup, token_counts, token_files
+from corpusaudit.llm import decontaminate, exact_dedup, html_text, katz, language, mixing, simhash, substring_dedup, token_counts, token_files
 from corpusaudit.llm.common import Query, configured, fold, shared_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -62,6 +62,12 @@ ORACLES["op5_exact_dedup"] = r"""
     WINDOW same AS (PARTITION BY t)"""
 
 
+@query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under a model learned from six sevenths of them."""

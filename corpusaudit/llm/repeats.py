@@ -83,8 +83,11 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[first], reach[np.append(first[1:] - 1, len(starts) - 1)] if len(starts) else reach
 
 
-def shard_repeats(owner: np.ndarray, start: np.ndarray, data: list[bytes], length: int, across: bool) -> list[tuple[int, int, int]]:
-    """(owner, start, end) of runs of repeated strings in a shard of fragments that overlap nowhere."""
+def shard_repeats(owner: np.ndarray, scope: np.ndarray, start: np.ndarray, data: list[bytes], length: int, across: bool) -> list[tuple[int, int, int]]:
+    """(fragment, start, end) of runs of repeated strings in a shard of fragments that overlap nowhere.
+
+    Strings repeat within a ``scope``, and with ``across`` under different ``owner``s.
+    """
     sizes = np.array([len(d) for d in data])
     # separators are 1, the end is 0, bytes follow
     t = np.zeros(sizes.sum() + len(data) + 1, np.uint16)
@@ -100,21 +103,23 @@ def shard_repeats(owner: np.ndarray, start: np.ndarray, data: list[bytes], lengt
     left = (begins + sizes)[fragment] - np.arange(len(t))
     shares &= left >= length
     group = np.cumsum(~shares[sa])
-    if across:
-        who = owner[fragment[sa]]
-        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        many = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
-    else:
-        many = np.bincount(group - group[0]) > 1
+    # suffixes that share the string and the scope, by owner
+    order = np.lexsort((owner[fragment[sa]], scope[fragment[sa]], group))
+    suffix = sa[order]
+    of = fragment[suffix]
+    new = np.append(True, (group[order][1:] != group[order][:-1]) | (scope[of][1:] != scope[of][:-1]))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(new)) - 1
+    many = owner[of[first]] != owner[of[last]] if across else last > first
     flags = np.zeros(len(t), bool)
-    flags[sa] = many[group - group[0]]
+    flags[suffix] = many[np.cumsum(new) - 1]
     flags &= left >= length
     out = []
     for a, b in zip(*covered(flags, length)):
         while a < b:  # runs of neighbouring fragments can touch
             f = fragment[a]
             end = min(b, begins[f] + sizes[f])
-            out.append((int(owner[f]), int(start[f] + a - begins[f]), int(start[f] + end - begins[f])))
+            out.append((int(f), int(start[f] + a - begins[f]), int(start[f] + end - begins[f])))
             a = end + 1
     return out
 
@@ -188,16 +193,12 @@ def repeated_runs(texts: DataFrame, length: int, gram: int = 32, across: bool =
         fetched = written(fetched, "fragments")
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        # a place of the corpus stands once in a shard, also when two anchors ask for it: fetched so, row by row
-        key = pd.MultiIndex.from_frame(rows[["id", "h"]].astype(object).where(rows["id"].notna(), None))
-        owner, _ = pd.factorize(key)
-        out = shard_repeats(np.asarray(owner), rows["start"].to_numpy(), list(rows["data"]), length, across)
-        first = pd.Series(np.arange(len(rows))).groupby(owner).first().to_numpy()
-        at = first[[o for o, _, _ in out]] if out else np.empty(0, np.int64)
-        return pd.DataFrame({"id": rows["id"].to_numpy()[at], "h": rows["h"].to_numpy()[at], "start": [a for _, a, _ in out], "end": [b for _, _, b in out]})
-
-    # rows of different scopes never share an anchor, but may share a shard: they are searched apart
-    gathered = fetched.where("shard >= 0").groupBy("shard", "scope") if across else fetched.where("shard >= 0").groupBy("shard")
+        owner, _ = pd.factorize(pd.MultiIndex.from_arrays([rows["id"].astype(str), rows["h"]]))
+        out = shard_repeats(owner, rows["scope"].to_numpy(), rows["start"].to_numpy(), list(rows["data"]), length, across)
+        at = [f for f, _, _ in out]
+        return pd.DataFrame({"id": rows["id"].iloc[at], "h": rows["h"].iloc[at], "start": [a for _, a, _ in out], "end": [b for _, _, b in out]})
+
+    gathered = fetched.where("shard >= 0").groupBy("shard")
     runs = runs.unionByName(gathered.applyInPandas(lambda rows: search(rows), f"id {kind}, h long, start int, end int"))
     return runs.unionByName(_counted(fetched.where("shard < 0"), kind, length, across)) if hot else runs
 
