@@ -28,7 +28,6 @@ SYSTEM_WORDS = [
 ]
 TIME_FLAGS = ["deleted_at", "deactivated_at"]
 NEGATIVE_FLAGS = ["is_deleted", "disabled", "is_archived", "hidden", "is_hidden", "deleted", "archived"]
-SAMPLE_LABEL_LIMIT, SETTINGS_VALUE_LIMIT = 20, 100
 KIND_ORDER = ["M", "T", "R", "S"]
 
 TABLE = ["corpus", "table_name"]
@@ -193,13 +192,14 @@ def active_counts(df: DataFrame, table: str, flags: list[str]) -> DataFrame:
     return one.select(F.lit(table).alias("table_name"), F.explode_outer(F.array(*rows)).alias("r")).where(F.col("r").isNotNull()).select("table_name", "r.*")
 
 
-def sample_labels(df: DataFrame, labels: list[str], key: list[str], n: int = SAMPLE_LABEL_LIMIT) -> DataFrame:
-    """First ``n`` rows by key of up to three label columns."""
-    return df.orderBy(*key).select(*labels[:3]).limit(n)
+def label_values(df: DataFrame, labels: list[str], key: list[str]) -> DataFrame:
+    """All rows of a table by key, with its label columns."""
+    return df.select(*key, *labels).orderBy(*key)
 
 
-def settings_values(df: DataFrame, key: list[str], n: int = SETTINGS_VALUE_LIMIT) -> DataFrame:
-    return df.orderBy(*key).limit(n)
+def settings_values(df: DataFrame, key: list) -> DataFrame:
+    """All rows of a settings table by key."""
+    return df.orderBy(*key)
 
 
 def pick_source(*catalogs: DataFrame) -> DataFrame:

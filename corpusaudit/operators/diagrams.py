@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusaudit.functions import paths
 from corpusaudit.functions import text as tx
@@ -49,7 +54,9 @@ def is_split_part(path: Column) -> Column:
 
 
 def is_slide_deck(content: Column) -> Column:
-    return F.contains(F.substring(content, 1, 500), F.lit("marp: true"))
+    """The front matter (between the first line and the next line of three dashes, however long) says so."""
+    front = F.regexp_extract(content, r"(?s)\A\s*---[ \t]*\r?\n(.*?\n)---[ \t]*(?:\r?\n|\z)", 1)
+    return F.contains(front, F.lit("marp: true"))
 
 
 def blocks(files: DataFrame, kind: str) -> DataFrame:
@@ -124,22 +131,51 @@ def edges(files: DataFrame) -> DataFrame:
     )
 
 
+_GROUPED = T.ArrayType(T.StructType().add("grp", T.StringType()).add("line", T.StringType()))
+
+
+@F.pandas_udf(_GROUPED)
+def _state_group_lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Lines inside the outermost groups of a state diagram: a group ends with the brace that matches its first."""
+    opens = re.compile(r"\s*state\s+(\S+)\s*\{")
+
+    def grouped(lines) -> list[dict]:
+        out, group, depth = [], None, 0
+        for line in lines if lines is not None else ():
+            if group is None:
+                found = opens.match(line)
+                if found:
+                    group, depth = found[1], 1
+                continue
+            depth += line.count("{") - line.count("}")
+            if depth <= 0:
+                group = None
+            else:
+                out.append({"grp": group, "line": line})
+        return out
+
+    for batch in batches:
+        yield batch.map(grouped)
+
+
 def members(files: DataFrame) -> DataFrame:
     """Subgraph or state group of each node: corpus, path, grp, node (exact names).
 
-    Diagrams do not nest groups deeply; a line belongs to the group opened last and not yet closed.
+    In a flowchart a line belongs to the subgraph opened last and not yet closed; in a state diagram to the
+    outermost group, whatever groups that holds.
     """
-    opens = r"^\s*(?:subgraph\s+(\w+)|state\s+(\S+)\s*\{)"
-    df = tx.cut_runs(
-        tx.with_lines(files.select(*KEY, "content")), "lines", lambda l: l.rlike(opens) | l.rlike(r"^\s*(end|\})\s*$"), "runs"
-    )
+    lines = tx.with_lines(files.select(*KEY, "content"))
+    is_state = F.coalesce(kind_of(F.col("content")) == "stateDiagram", F.lit(False))
+    opens = r"^\s*subgraph\s+(\w+)"
+    df = tx.cut_runs(lines.where(~is_state), "lines", lambda l: l.rlike(opens) | l.rlike(r"^\s*end\s*$"), "runs")
     head = F.try_element_at(F.col("r.lines"), F.lit(1))
     run = df.select(*KEY, F.explode_outer("runs").alias("r")).where(F.col("r").isNotNull()).where((F.col("r.run_no") > 0) & head.rlike(opens))
-    grp = F.concat(F.regexp_extract(head, opens, 1), F.regexp_extract(head, opens, 2))
-    line = run.select(*KEY, grp.alias("grp"), F.explode_outer(F.slice("r.lines", F.lit(2), F.greatest(F.size("r.lines") - 1, F.lit(0)))).alias("line")).where(F.col("line").isNotNull())
+    flow = run.select(*KEY, F.regexp_extract(head, opens, 1).alias("grp"), F.explode_outer(F.slice("r.lines", F.lit(2), F.greatest(F.size("r.lines") - 1, F.lit(0)))).alias("line"))
+    state = lines.where(is_state).select(*KEY, F.explode_outer(_state_group_lines("lines")).alias("g")).select(*KEY, "g.grp", "g.line")
+    line = flow.unionByName(state).where(F.col("line").isNotNull())
     ends = F.array(F.regexp_extract("line", r"^\s*(\w+)", 1), F.regexp_extract("line", rf"^\s*\w+{NODE}\s*-->\s*(\w+)", 1))
     return (
-        line.where(~F.col("line").rlike(r"^\s*(%%|direction\b|\[\*\])"))
+        line.where(~F.col("line").rlike(r"^\s*(%%|direction\b|\[\*\]|state\s)"))
         .select(*KEY, "grp", F.explode_outer(ends).alias("node")).where(F.col("node").isNotNull())
         .where(F.col("node") != "")
         .distinct()
@@ -157,6 +193,12 @@ def group_edges(edge_rows: DataFrame, member_rows: DataFrame) -> DataFrame:
     )
 
 
+def group_touches(grouped: DataFrame) -> DataFrame:
+    """A row per group and edge that starts or ends in it, or both: corpus, path, grp, edge_no, src, dst, inside."""
+    inside = F.coalesce(F.col("src_group") == F.col("dst_group"), F.lit(False)).alias("inside")
+    return grouped.select(*KEY, F.explode("touches").alias("grp"), "edge_no", "src", "dst", inside)
+
+
 def overview_edges(grouped: DataFrame) -> DataFrame:
     """Distinct edges between groups; an end outside all groups stands for itself."""
     a, b = F.coalesce("src_group", "src"), F.coalesce("dst_group", "dst")

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD_DAYS = 7
-HEAD_CHARS = 2000
 
-# Date forms in the head of a document or fact file, and the texts of the badge.
+# Date forms in a document or fact file, and the texts of the badge.
 DOC_DATES = [r"last_updated:\s*[\"']?(\d{4}-\d{2}-\d{2})[\"']?", r"生成日:\s*(\d{4}-\d{2}-\d{2})", r"Generated:\s*(\d{4}-\d{2}-\d{2})"]
 FACT_DATES = [r"generated_at:\s*[\"']?(\d{4}-\d{2}-\d{2})", r"date:\s*[\"']?(\d{4}-\d{2}-\d{2})[\"']?"]
 BADGE = "> 📊 鮮度:"
@@ -19,9 +18,8 @@ BADGE_NO_SOURCE = "不明"
 
 
 def document_date(content: Column, modified_at: Column, forms: list[str] = DOC_DATES) -> Column:
-    """First readable date in the head of the text, else the day the file was changed."""
-    head = F.substring(content, 1, HEAD_CHARS)
-    found = [F.try_to_date(F.nullif(F.regexp_extract(head, f, 1), F.lit(""))) for f in forms]
+    """First readable date in the text, else the day the file was changed."""
+    found = [F.try_to_date(F.nullif(F.regexp_extract(content, f, 1), F.lit(""))) for f in forms]
     return F.coalesce(*found, F.to_date(modified_at))
 
 

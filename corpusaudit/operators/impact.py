@@ -20,7 +20,6 @@ IMPACT_RULES = [
     ("config/*", ["01-overview.md"]),
     ("*.json", ["01-overview.md"]),
 ]
-RULES_PER_PASS = 200
 
 
 def feature_page(path: Column) -> Column:
@@ -38,20 +37,13 @@ def affected_documents(changed: DataFrame, rules: Sequence[tuple[str, list[str]]
     Rules are unrolled into the projection, so a changed path is tested where it is read; a path that no
     rule matches costs one alternation.
     """
-    out = None
-    for start in range(0, len(rules), RULES_PER_PASS):
-        batch = list(rules)[start : start + RULES_PER_PASS]
-        hits = [
-            F.when(
-                F.col("path").rlike(globs.path_suffix(glob)),
-                F.struct(F.lit(start + i).alias("rule_no"), F.array(*[F.lit(d) for d in docs]).alias("docs")),
-            )
-            for i, (glob, docs) in enumerate(batch)
-        ]
-        part = changed.select("corpus", "path", F.explode_outer(F.array_compact(F.array(*hits))).alias("h")).where(F.col("h").isNotNull()).select(
-            "corpus", "path", "h.rule_no", F.explode_outer("h.docs").alias("doc")
-        ).where(F.col("doc").isNotNull())
-        out = part if out is None else out.unionByName(part)
+    hits = [
+        F.when(F.col("path").rlike(globs.path_suffix(glob)), F.struct(F.lit(i).alias("rule_no"), F.array(*[F.lit(d) for d in docs]).alias("docs")))
+        for i, (glob, docs) in enumerate(rules)
+    ]
+    none = F.array().cast("array<struct<rule_no:int,docs:array<string>>>")
+    matched = changed.select("corpus", "path", F.explode_outer(F.array_compact(F.array(*hits)) if hits else none).alias("h")).where(F.col("h").isNotNull())
+    out = matched.select("corpus", "path", "h.rule_no", F.explode_outer("h.docs").alias("doc")).where(F.col("doc").isNotNull())
     page = F.when(F.col("doc").rlike(r"features/.*\*"), F.coalesce(feature_page(F.col("path")), F.col("doc")))
     named = out.withColumn("doc", F.coalesce(page, F.col("doc")))
     return named.groupBy("corpus", "path", "doc").agg(F.min("rule_no").alias("rule_no"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusaudit.functions import paths
 from corpusaudit.functions import text as tx
@@ -103,41 +106,52 @@ def language_entries(files: DataFrame) -> DataFrame:
     return flat.unionByName(json_entries(found.where(ext == ".json")))
 
 
-def json_entries(files: DataFrame, max_depth: int = 32) -> DataFrame:
-    """Leaves of JSON documents that are strings, level by level; the loop ends when no object is left."""
-    level = files.select("corpus", "path", F.lit("").alias("prefix"), F.try_parse_json("content").alias("node")).where(
-        F.startswith(F.schema_of_variant("node"), F.lit("OBJECT"))
-    )
-    out = None
-    for _ in range(max_depth):
-        kids = level.lateralJoin(
-            level.sparkSession.tvf.variant_explode(F.col("node").outer())
-        ).select(
-            "corpus",
-            "path",
-            F.concat("prefix", F.col("key")).alias("key"),
-            F.col("value").alias("node"),
-            F.schema_of_variant("value").alias("kind"),
-        )
-        strings = kids.where(F.col("kind") == "STRING").select(
-            "corpus", "path", F.lit(0).cast("long").alias("seq"), "key", F.variant_get("node", "$", "string").alias("value")
-        )
-        out = strings if out is None else out.unionByName(strings)
-        level = kids.where(F.startswith("kind", F.lit("OBJECT"))).select(
-            "corpus", "path", F.concat("key", F.lit(".")).alias("prefix"), "node"
-        )
-        if level.isEmpty():
-            return out
-    raise ValueError(f"JSON nested deeper than {max_depth} levels")
+_LEAVES = T.ArrayType(T.StructType().add("key", T.StringType()).add("value", T.StringType()))
+
+
+@F.pandas_udf(_LEAVES)
+def _string_leaves(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Strings of a JSON object at any depth, in order, keys joined by dots; NULL if the text is no JSON object."""
+
+    def leaves(text: str):
+        try:
+            top = json.loads(text)
+        except (ValueError, TypeError, RecursionError):
+            return None
+        if not isinstance(top, dict):
+            return None
+        out, todo = [], [("", top)]
+        while todo:
+            key, node = todo.pop()
+            if isinstance(node, dict):
+                todo += [(f"{key}.{k}" if key else k, v) for k, v in reversed(node.items())]
+            elif isinstance(node, str):
+                out.append({"key": key, "value": node})
+        return out
+
+    for batch in batches:
+        yield batch.map(leaves)
+
+
+def json_entries(files: DataFrame) -> DataFrame:
+    """Leaves of JSON documents that are strings, however deep, in their order in the file. No shuffle."""
+    leaves = files.select("corpus", "path", F.posexplode_outer(_string_leaves("content")).alias("seq", "e")).where(F.col("e").isNotNull())
+    return leaves.select("corpus", "path", F.col("seq").cast("long").alias("seq"), "e.key", "e.value")
+
+
+def unreadable_language_files(files: DataFrame) -> DataFrame:
+    """JSON language files that are no JSON object, which ``language_entries`` leaves out: corpus, path."""
+    found = files.where(is_language_file(F.col("path")) & (paths.extension(F.col("path")) == ".json"))
+    return found.where(_string_leaves("content").isNull()).select("corpus", "path")
 
 
 def label_map(entries: DataFrame) -> DataFrame:
-    """One value per (corpus, key): a ``SINGLE_`` entry wins (the last one), else the first plain entry."""
+    """One value per (corpus, key): a ``SINGLE_`` entry wins, and of each kind the last one by path and order."""
     single = F.startswith("key", F.lit("SINGLE_"))
-    plain = F.when(single, F.substring("key", 8, 1 << 20)).otherwise(F.col("key"))
+    plain = F.when(single, F.expr("substring(key, 8)")).otherwise(F.col("key"))
     at = F.struct("path", "seq", "value")
     best = entries.groupBy("corpus", plain.alias("label_key")).agg(
-        F.max_by("value", F.when(single, at)).alias("s"), F.min_by("value", F.when(~single, at)).alias("p")
+        F.max_by("value", F.when(single, at)).alias("s"), F.max_by("value", F.when(~single, at)).alias("p")
     )
     return best.select("corpus", F.col("label_key").alias("key"), F.coalesce("s", "p").alias("value"))
 

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusaudit.functions import globs
 from corpusaudit.operators.lines import KEY, explode_lines, prose_lines
-
-# rules unrolled into one projection; more rules are applied in further passes of this size
-RULES_PER_PASS = 200
+from corpusaudit.operators.literals import find_literals
 
 
 @dataclass(frozen=True)
@@ -33,14 +31,7 @@ class TermRule:
     in_code: bool = False
 
 
-# Fixed values of the static checks. Paths that may hold such text differ per corpus: give rules with allow_in.
-NAV_TITLES = "機能|Feature|Manual|Architecture|Explanations|User Guide|検収|AI Docs"
-STATIC_RULES = [
-    LeakRule("mkdocs-nav-leak", rf'^\s+-\s+"({NAV_TITLES}).*?:\s+\S+/', "CRITICAL", "project navigation in the site file", only_in=("mkdocs.yml",)),
-    LeakRule("db-schema-leak", r"\b(vtiger_\w+|wp_\w{3,}options|vtiger_tab)\b", "HIGH", "table name of an analysed project"),
-    LeakRule("specific-url-path", "/infor/", "HIGH", "real address of an analysed project"),
-    LeakRule("specific-field-name", r"\bstaff_cd\b", "MEDIUM", "real field name of an analysed project"),
-]
+# Fixed values of the static checks. Leak rules are configuration and come from rule files (``read_leak_rules``).
 TERM_RULES = [
     TermRule("Seting", "Setting", "typo"),
     TermRule("recieve", "receive", "typo"),
@@ -49,6 +40,7 @@ TERM_RULES = [
 ]
 SKIP_PREFIXES = ["docs/", "site/", ".cache/", ".git/"]
 SKIP_SUFFIXES = [".png", ".jpg", ".gif", ".svg", ".ico", ".woff", ".woff2", ".ttf"]
+NAMES_ALLOWED_IN = ["docs/", "site/", ".cache/", ".gitignore"]
 GENERIC_NAMES = ["my-app", "sample-app", "example", "test", "demo"]
 
 
@@ -65,41 +57,42 @@ def _applies(rule: LeakRule, path: Column) -> Column:
     return ok
 
 
-def _batches(rules: Sequence, size: int = RULES_PER_PASS) -> list[Sequence]:
-    return [rules[i : i + size] for i in range(0, len(rules), size)]
-
-
-def _bare(regex: str) -> str:
-    """Without capture groups of its own, so that rules can share one alternation."""
-    return f"(?:{regex})"
-
-
 def scan(files: DataFrame, rules: Sequence[LeakRule]) -> DataFrame:
-    """Findings: check, corpus, path, line_no, rule, severity, matched (50 characters), message.
+    """Findings: check, corpus, path, line_no, rule, severity, matched, message.
 
-    Rules are unrolled into the projection: no join, no shuffle, patterns compiled once. One alternation
-    first drops the lines that no rule can match. Works on a stream as it does on a table.
+    All rules are unrolled into one projection: one pass, no join, no shuffle, patterns compiled once, each with its
+    own groups. Works on a stream as it does on a table.
     """
     lines = explode_lines(files.where(~skipped(F.col("path"))))
-    out = None
-    for batch in _batches(list(rules)):
-        hits = [
+    hits = [
+        F.when(
+            _applies(r, F.col("path")) & F.col("line").rlike(r.regex),
             F.struct(
                 F.lit(r.name).alias("rule"),
                 F.lit(r.severity).alias("severity"),
-                F.when(_applies(r, F.col("path")) & F.col("line").rlike(r.regex), F.regexp_extract("line", r.regex, 0)).alias("matched"),
+                F.regexp_extract("line", r.regex, 0).alias("matched"),
                 F.lit(r.description).alias("message"),
-            )
-            for r in batch
-        ]
-        maybe = F.col("line").rlike("|".join(_bare(r.regex) for r in batch))
-        part = (
-            lines.where(maybe)
-            .select(*KEY, "line_no", F.explode_outer(F.filter(F.array(*hits), lambda h: h["matched"].isNotNull())).alias("h")).where(F.col("h").isNotNull())
-            .select(F.lit("leak").alias("check"), *KEY, "line_no", "h.rule", "h.severity", F.substring("h.matched", 1, 50).alias("matched"), "h.message")
+            ),
         )
-        out = part if out is None else out.unionByName(part)
-    return out
+        for r in rules
+    ]
+    none = F.array().cast("array<struct<rule:string,severity:string,matched:string,message:string>>")
+    found = lines.select(*KEY, "line_no", F.explode_outer(F.array_compact(F.array(*hits)) if hits else none).alias("h")).where(F.col("h").isNotNull())
+    return found.select(F.lit("leak").alias("check"), *KEY, "line_no", "h.rule", "h.severity", "h.matched", "h.message")
+
+
+def name_findings(files: DataFrame, names: DataFrame, allow_in: Sequence[str] = NAMES_ALLOWED_IN) -> DataFrame:
+    """Project names (``name``) in the lines of files, without regard to case, as findings like those of ``scan``.
+
+    Files under ``allow_in`` may name projects. A line is a finding of a name once, whole name and all.
+    """
+    scanned = files.where(~skipped(F.col("path")) & ~F.col("path").rlike(globs.prefix_of(allow_in)))
+    lines = explode_lines(scanned).select(*KEY, "line_no", F.lower("line").alias("content"))
+    hits = find_literals(lines, names.select(F.lower("name").alias("needle")), [*KEY, "line_no"])
+    return hits.select(
+        F.lit("leak").alias("check"), *KEY, "line_no", F.concat(F.lit("project-name:"), F.col("needle")).alias("rule"), F.lit("CRITICAL").alias("severity"),
+        F.col("needle").alias("matched"), F.lit("name of an analysed project").alias("message"),
+    )
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
@@ -119,41 +112,30 @@ def gate(findings: DataFrame) -> DataFrame:
 
 
 def _holds_any(text: Column, words: Sequence[str]) -> Column:
-    """Some word is in the text: plain searches for a few words, one alternation for many."""
-    if len(words) > 16:
-        return text.rlike("|".join(globs.literal(w) for w in words))
-    hit = F.contains(text, F.lit(words[0]))
-    for w in words[1:]:
-        hit = hit | F.contains(text, F.lit(w))
-    return hit
+    """Some word is in the text."""
+    return text.rlike("|".join(globs.literal(w) for w in words)) if words else F.lit(False)
 
 
 def wrong_terms(files: DataFrame, rules: Sequence[TermRule] = tuple(TERM_RULES)) -> DataFrame:
-    """Wrong terms outside fenced code, one finding per line and rule, case-sensitive."""
-    out = None
-    for batch in _batches(list(rules)):
-        words = [r.wrong for r in batch]
-        # a text without any of the words need not be split
-        lines = prose_lines(files.where(_holds_any(F.col("content"), words)))
-        hits = [
-            F.when(
-                F.contains("line", F.lit(r.wrong)),
-                F.struct(
-                    F.lit(r.wrong).alias("matched"),
-                    F.lit(r.correct).alias("expected"),
-                    F.lit(r.context).alias("message"),
-                    F.lit("info" if r.in_code else "error").alias("severity"),
-                ),
-            )
-            for r in batch
-        ]
-        part = (
-            lines.where(_holds_any(F.col("line"), words))
-            .select(*KEY, "line_no", F.explode_outer(F.array_compact(F.array(*hits))).alias("h")).where(F.col("h").isNotNull())
-            .select(F.lit("term").alias("check"), *KEY, "line_no", "h.severity", "h.matched", "h.expected", "h.message")
+    """Wrong terms outside fenced code, one finding per line and rule, case-sensitive. One pass for all rules."""
+    words = [r.wrong for r in rules]
+    # a text without any of the words need not be split
+    lines = prose_lines(files.where(_holds_any(F.col("content"), words)))
+    hits = [
+        F.when(
+            F.contains("line", F.lit(r.wrong)),
+            F.struct(
+                F.lit(r.wrong).alias("matched"),
+                F.lit(r.correct).alias("expected"),
+                F.lit(r.context).alias("message"),
+                F.lit("info" if r.in_code else "error").alias("severity"),
+            ),
         )
-        out = part if out is None else out.unionByName(part)
-    return out
+        for r in rules
+    ]
+    none = F.array().cast("array<struct<matched:string,expected:string,message:string,severity:string>>")
+    found = lines.where(_holds_any(F.col("line"), words)).select(*KEY, "line_no", F.explode_outer(F.array_compact(F.array(*hits)) if hits else none).alias("h"))
+    return found.where(F.col("h").isNotNull()).select(F.lit("term").alias("check"), *KEY, "line_no", "h.severity", "h.matched", "h.expected", "h.message")
 
 
 def term_gate(findings: DataFrame) -> DataFrame:

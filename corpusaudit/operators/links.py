@@ -143,13 +143,19 @@ def check_index_links(files: DataFrame, index_path: str = "index.md") -> DataFra
 
 
 def broken_page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """Root-relative links of web pages with no page at that path: url path is matched without query."""
+    """Links of web pages with no page of the site at that path; paths are matched without query.
+
+    An address that starts with a slash is taken from the root of the site, any other from the folder of its page.
+    """
     site = F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1)
     at = F.regexp_extract(url, "^[a-z]+://[^/?#]*([^?#]*)", 1)
+    source = F.regexp_replace(at, "^/", "")
+    file = F.regexp_extract("url", "^([^?#]*)", 1)
     aimed = (
-        html_links(pages.select("page_id", site.alias("corpus"), F.col(html)), html)
+        html_links(pages.select("page_id", site.alias("corpus"), source.alias("source"), F.col(html)), html)
         .where(~is_external(F.col("url")))
-        .withColumn("target_path", paths.normalise(F.regexp_extract("url", "^([^?#]*)", 1)))
+        .withColumn("target_path", paths.resolve(F.col("source"), file))
+        .drop("source")
     )
     known = pages.select(site.alias("corpus"), paths.normalise(at).alias("target_path")).distinct()
     return aimed.join(known, ["corpus", "target_path"], "left_anti")

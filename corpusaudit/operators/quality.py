@@ -41,7 +41,6 @@ DIAGRAM_TYPES = [
     "C4Deployment", "classDiagram", "gantt", "pie", "gitgraph",
 ]
 OPENAPI_FIELDS = ["openapi", "info", "paths"]
-SUGGESTIONS_SHOWN = 5
 
 
 def file_metrics(docs: DataFrame) -> DataFrame:
@@ -56,10 +55,9 @@ def file_metrics(docs: DataFrame) -> DataFrame:
     path, text = F.col("path"), F.col("content")
     hits = lambda c, ok: F.size(F.filter(c, lambda l: F.coalesce(ok(l), F.lit(False))))
     separator = lambda l: l.rlike(SEPARATOR_LINE)
-    head = F.array_join(F.slice("lines", F.lit(1), F.lit(50)), "\n")
     cover = F.lit(True)
     for m in COVER_MARKERS:
-        cover = cover & F.contains(head, F.lit(m))
+        cover = cover & F.contains(text, F.lit(m))
     rows = hits("lines", lambda l: l.rlike(r"^\s*\|") & ~separator(l) & ~F.contains(l, F.lit("---")))
     is_manual, is_named = path.rlike("^manual/"), path.rlike("^(manual|architecture)/")
     scored = is_named & path.endswith(".md")
@@ -129,14 +127,14 @@ def missing_files(docs: DataFrame) -> DataFrame:
     )
 
 
-def capped_suggestions(missing: DataFrame, shown: int = SUGGESTIONS_SHOWN) -> DataFrame:
-    """First names of each project and how many more there are: corpus, project, shown, more."""
+def suggestions(missing: DataFrame) -> DataFrame:
+    """Every missing file with its rank in the project and the number of them: corpus, project, rank, expected, missing.
+
+    A project misses at most the fixed list of expected files, so its list is one short array.
+    """
     names = F.array_sort(F.collect_list("expected"))
-    return missing.groupBy(*PROJECT).agg(names.alias("n")).select(
-        *PROJECT,
-        F.array_join(F.slice("n", F.lit(1), F.lit(shown)), ",").alias("shown"),
-        F.greatest(F.size("n") - shown, F.lit(0)).alias("more"),
-    )
+    each = missing.groupBy(*PROJECT).agg(names.alias("n")).select(*PROJECT, F.size("n").alias("missing"), F.posexplode("n").alias("at", "expected"))
+    return each.select(*PROJECT, (F.col("at") + 1).alias("rank"), "expected", "missing")
 
 
 def project_metrics(docs: DataFrame) -> DataFrame:

@@ -13,12 +13,12 @@ from corpusaudit.operators import citations, classify, diagrams, endpoints, leak
 from corpusaudit.operators.leakage import LeakRule, TermRule
 from corpusaudit.operators.classify import with_suffix
 
-COLUMNS = ["check", "corpus", "path", "line_no", "rule", "severity", "message"]
+COLUMNS = ["check", "corpus", "path", "line_no", "rule", "severity", "matched", "expected", "message"]
 
 
 @dataclass(frozen=True)
 class AuditConfig:
-    leak_rules: Sequence[LeakRule] = field(default_factory=lambda: tuple(leakage.STATIC_RULES))
+    leak_rules: Sequence[LeakRule] = ()
     term_rules: Sequence[TermRule] = field(default_factory=lambda: tuple(leakage.TERM_RULES))
     ignore_links: Sequence[str] = ()
     threshold: str | None = None
@@ -40,9 +40,10 @@ def findings(files: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame
     docs, figures = with_suffix(files, [".md"]), with_suffix(files, [".mmd"])
     parts = [
         _finding(leakage.scan(files, config.leak_rules)),
-        _finding(leakage.wrong_terms(docs, config.term_rules), rule=F.col("matched"), message=F.col("expected")),
+        _finding(leakage.name_findings(files, leakage.project_names(files))),
+        _finding(leakage.wrong_terms(docs, config.term_rules), rule=F.col("matched")),
         _finding(links.check_links(files, config.ignore_links), check="link", rule=F.col("reason"), severity="error", message=F.col("url")),
-        _finding(links.unreferenced_images(with_suffix(files, [".md", ".svg"])), check="image", path=F.col("image"), rule="not shown", severity="warning", message=F.col("expected")),
+        _finding(links.unreferenced_images(with_suffix(files, [".md", ".svg"])), check="image", path=F.col("image"), rule="not shown", severity="warning", expected=F.col("expected")),
         _finding(diagrams.diagram_overflow(figures), severity="warning", message=F.concat_ws("/", "count", "max_allowed")),
         _finding(diagrams.slide_overflow(docs), severity="warning", message=F.concat_ws("/", "count", "max_allowed")),
     ]

@@ -87,9 +87,8 @@ TABLE_PAGES = files_of(
 TABLE_SOURCES = files_of(
     "part",
     "p_brand",
-    cat("'database/migrations/'", s("p_partkey"), "'.php'"),
+    cat("CASE WHEN p_size > 20 AND p_brand <> 'Brand#7' THEN 'database/migrations/' ELSE 'notes/' END", s("p_partkey"), "'.php'"),
     cat("'Schema::create('''", "'m_'", SNAKE, "''');'", "CASE WHEN p_size > 25 THEN concat('Schema::table(''', p_type, ''');') ELSE '' END"),
-    where="p_size > 20 AND p_brand <> 'Brand#7'",
 )
 
 # endpoints: one page per event
@@ -106,9 +105,8 @@ ENDPOINT_PAGES = files_of(
 EXPRESS_SOURCES = files_of(
     "events",
     cat("'u'", s("user_id")),
-    cat("'routes/'", s("event_id"), "'.js'"),
+    cat("'routes/'", s("event_id"), "CASE WHEN value > 60 THEN '.js' ELSE '.txt' END"),
     cat("'router.get(\"/'", "event_type", "'/:id\", f); app.PUT(\"/'", "event_type", "'/:k\")'"),
-    where="value > 60",
 )
 
 # bundles: one per turn of a conversation
@@ -198,8 +196,7 @@ FEATURES = files_of(
 )
 DISABLED = Derived(
     "part",
-    {"corpus": "concat('s', CAST(p_size AS STRING))", "name": "upper(substring(p_name, 1, position(' ' IN p_name) - 1))"},
-    where="p_retailprice < 903",
+    {"corpus": "concat('s', CAST(p_size AS STRING))", "name": "concat(CASE WHEN p_retailprice < 903 THEN '' ELSE 'OLD_' END, upper(substring(p_name, 1, position(' ' IN p_name) - 1)))"},
 )
 # translation files: one per part
 LANGUAGE_FILES = files_of(
@@ -298,7 +295,6 @@ CATALOG_COLUMNS = Derived(
         "column_default": "CASE WHEN l_linenumber = 3 THEN '1' WHEN l_linenumber = 5 THEN 'NULL' END",
         "column_key": "CASE WHEN l_linenumber = 1 THEN 'PRI' ELSE '' END",
     },
-    where="l_quantity < 20",
 )
 CATALOG_FKS = Derived(
     "lineitem",
@@ -306,7 +302,6 @@ CATALOG_FKS = Derived(
         "corpus": _database("l_partkey"), "table_name": _table_name("l_partkey"), "column_name": "concat('ref_', lower(l_returnflag), '_id')",
         "referenced_table_name": "concat('t_', lower(l_returnflag), l_linestatus)", "referenced_column_name": "'id'",
     },
-    where="l_quantity < 4",
 )
 CATALOG_INDEXES = Derived(
     "lineitem",
@@ -314,7 +309,6 @@ CATALOG_INDEXES = Derived(
         "corpus": _database("l_partkey"), "table_name": _table_name("l_partkey"), "index_name": "concat('ix_', lower(l_returnflag))",
         "seq": "l_linenumber", "column_name": COLUMN_SQL, "non_unique": "CASE WHEN l_returnflag = 'A' THEN '0' ELSE '1' END",
     },
-    where="l_quantity > 46",
 )
 
 # migrations: one file per event, a table per user

@@ -53,6 +53,16 @@ def q_group_edges(spark, sf):
     return _grouped(spark, sf).drop("touches")
 
 
+@query(
+    "q_group_touches",
+    f"""WITH {GROUP_SQL} SELECT corpus, path, src_group AS grp, edge_no, src, dst, src_group = dst_group IS TRUE AS inside FROM g WHERE src_group IS NOT NULL
+        UNION SELECT corpus, path, dst_group, edge_no, src, dst, src_group = dst_group IS TRUE FROM g WHERE dst_group IS NOT NULL""",
+)
+def q_group_touches(spark, sf):
+    """Edges of each group, a row for each end group."""
+    return diagrams.group_touches(_grouped(spark, sf))
+
+
 @query(
     "q_overview_edges",
     f"WITH {GROUP_SQL} SELECT DISTINCT corpus, path, coalesce(src_group, src) AS src, coalesce(dst_group, dst) AS dst FROM g WHERE coalesce(src_group, src) <> coalesce(dst_group, dst)",
@@ -142,7 +152,7 @@ def q_diagram_syntax(spark, sf):
        FROM customer, (SELECT unnest([0, 2]) AS b) WHERE c_nationkey < 12 AND NOT (b = 0 AND c_acctbal < 0)""",
 )
 def q_inline_diagrams(spark, sf):
-    done = table(spark, sf, "customer").where("c_acctbal < 0").selectExpr("c_mktsegment AS corpus", "concat('diagrams/p', c_custkey, '-screen-flow.mmd') AS path")
+    done = table(spark, sf, "customer").selectExpr("c_mktsegment AS corpus", "concat('diagrams/', CASE WHEN c_acctbal < 0 THEN 'p' ELSE 'old' END, c_custkey, '-screen-flow.mmd') AS path")
     return diagrams.inline_diagrams(i.INLINE_PAGES.df(spark, sf), done).drop("content")
 
 
@@ -153,7 +163,7 @@ def q_inline_diagrams(spark, sf):
        FROM customer JOIN nation ON n_nationkey = c_nationkey""",
 )
 def q_diagram_links(spark, sf):
-    done = table(spark, sf, "nation").where("n_regionkey < 3").selectExpr("'maps' AS corpus", "concat('z/n', n_nationkey, '.mmd') AS path")
+    done = table(spark, sf, "nation").selectExpr("'maps' AS corpus", "concat(CASE WHEN n_regionkey < 3 THEN 'z/n' ELSE 'z/old' END, n_nationkey, '.mmd') AS path")
     return diagrams.rewrite_diagram_links(i.DIAGRAM_LINKS.df(spark, sf), done)
 
 
@@ -272,11 +282,11 @@ def q_i18n_pages(spark, sf):
 
 LANG_SQL = """
   en AS (SELECT p_brand AS corpus, concat('lang/ja/f', p_partkey, '.json') AS path, 0 AS seq, concat('a.', p_type) AS key, concat('V', p_partkey) AS value FROM part WHERE p_size > 25 AND p_size <= 40
-         UNION ALL SELECT p_brand, concat('lang/ja/f', p_partkey, '.json'), 0, 't', p_name FROM part WHERE p_size > 25 AND p_size <= 40
+         UNION ALL SELECT p_brand, concat('lang/ja/f', p_partkey, '.json'), 1, 't', p_name FROM part WHERE p_size > 25 AND p_size <= 40
          UNION ALL SELECT p_brand, concat('languages/ja_jp/f', p_partkey, '.js'), 0, p_type, p_name FROM part WHERE p_size > 15 AND p_size <= 25
          UNION ALL SELECT p_brand, concat('languages/ja_jp/f', p_partkey, '.php'), 0, concat('SINGLE_', p_type), concat('S', p_partkey) FROM part WHERE p_size <= 15
          UNION ALL SELECT p_brand, concat('languages/ja_jp/f', p_partkey, '.php'), 1, p_type, p_name FROM part WHERE p_size <= 15),
-  lm AS (SELECT corpus, regexp_replace(key, '^SINGLE_', '') AS key, coalesce(max({'p': path, 's': seq, 'v': value}) FILTER (starts_with(key, 'SINGLE_')).v, min({'p': path, 's': seq, 'v': value}) FILTER (NOT starts_with(key, 'SINGLE_')).v) AS value FROM en GROUP BY ALL)"""
+  lm AS (SELECT corpus, regexp_replace(key, '^SINGLE_', '') AS key, coalesce(max({'p': path, 's': seq, 'v': value}) FILTER (starts_with(key, 'SINGLE_')).v, max({'p': path, 's': seq, 'v': value}) FILTER (NOT starts_with(key, 'SINGLE_')).v) AS value FROM en GROUP BY ALL)"""
 
 
 @query("q_language_entries", f"WITH {LANG_SQL} SELECT corpus, path, CAST(seq AS BIGINT) AS seq, key, value FROM en")
@@ -481,19 +491,19 @@ def q_unknown_names(spark, sf):
     return reconcile.unknown_names(docs, facts)
 
 
-TIER_SQL = "SELECT p_brand AS corpus, CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_size < 14 THEN 'tier1' WHEN p_size < 37 THEN 'tier2' ELSE 'tier3' END AS tier FROM part WHERE p_type <> 'SMALL'"
+TIER_SQL = "SELECT p_brand AS corpus, concat(CASE WHEN p_type = 'SMALL' THEN 'x' ELSE '' END, p_partkey) AS name, CASE WHEN p_size < 14 THEN 'tier1' WHEN p_size < 37 THEN 'tier2' ELSE 'tier3' END AS tier FROM part"
 
 
 def _tiers(spark, sf):
     tier = "CASE WHEN p_size < 14 THEN 'tier1' WHEN p_size < 37 THEN 'tier2' ELSE 'tier3' END AS tier"
-    return table(spark, sf, "part").where("p_type <> 'SMALL'").selectExpr("p_brand AS corpus", "CAST(p_partkey AS STRING) AS name", tier)
+    return table(spark, sf, "part").selectExpr("p_brand AS corpus", "concat(CASE WHEN p_type = 'SMALL' THEN 'x' ELSE '' END, p_partkey) AS name", tier)
 
 
 @query(
     "q_tier_coverage",
     f"""WITH t AS ({TIER_SQL}), m AS (SELECT p_brand AS corpus, CAST(p_partkey AS VARCHAR) AS name, p_size <> 7 AS active FROM part)
-        SELECT corpus, name, CASE WHEN active THEN 'active but in no tier' ELSE 'disabled but in a tier' END AS problem FROM m LEFT JOIN t USING (corpus, name)
-        WHERE (active AND tier IS NULL) OR (NOT active AND tier IS NOT NULL)""",
+        SELECT corpus, name, CASE WHEN active IS NULL THEN 'not in facts' WHEN active THEN 'active but in no tier' ELSE 'disabled but in a tier' END AS problem FROM m FULL JOIN t USING (corpus, name)
+        WHERE active IS NULL OR (active AND tier IS NULL) OR (NOT active AND tier IS NOT NULL)""",
 )
 def q_tier_coverage(spark, sf):
     mods = table(spark, sf, "part").selectExpr("p_brand AS corpus", "CAST(p_partkey AS STRING) AS name", "p_size <> 7 AS active")

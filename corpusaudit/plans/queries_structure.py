@@ -161,12 +161,13 @@ def q_frontends(spark, sf):
 @query(
     "q_first_method",
     """SELECT corpus, path, method FROM (SELECT *, row_number() OVER (PARTITION BY corpus, path ORDER BY rank) AS rn FROM (
-         SELECT DISTINCT concat('c', o_custkey) AS corpus, lower(o_orderstatus) AS path, 'source' AS method, 0 AS rank FROM orders WHERE o_totalprice > 300000
+         SELECT DISTINCT concat('c', o_custkey) AS corpus, CASE WHEN o_totalprice > 300000 THEN lower(o_orderstatus) ELSE concat('more/', o_orderstatus) END AS path, 'source' AS method, 0 AS rank FROM orders
          UNION SELECT DISTINCT concat('c', o_custkey), lower(o_orderstatus), 'sibling', 1 FROM orders)) WHERE rn = 1""",
 )
 def q_first_method(spark, sf):
     base = table(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("corpus"), F.lower("o_orderstatus").alias("path"), "o_totalprice")
-    src = base.where("o_totalprice > 300000").select("corpus", "path", F.lit("source").alias("method"))
+    path = F.when(F.col("o_totalprice") > 300000, F.col("path")).otherwise(F.concat(F.lit("more/"), F.upper("path")))
+    src = base.select("corpus", path.alias("path"), F.lit("source").alias("method"))
     return frameworks.first_method(src, base.select("corpus", "path", F.lit("sibling").alias("method")))
 
 
@@ -259,13 +260,13 @@ def q_active_counts(spark, sf):
     )
 
 
-@query("q_sample_labels", "SELECT p_name AS name, p_type AS label, p_brand AS title FROM part ORDER BY p_partkey LIMIT 20")
+@query("q_sample_labels", "SELECT p_partkey, p_name AS name, p_type AS label, p_brand AS title, p_size AS value FROM part")
 def q_sample_labels(spark, sf):
     part = table(spark, sf, "part").selectExpr("p_partkey", "p_name AS name", "p_type AS label", "p_brand AS title", "p_size AS value")
-    return catalog.sample_labels(part, ["name", "label", "title", "value"], ["p_partkey"])
+    return catalog.label_values(part, ["name", "label", "title", "value"], ["p_partkey"])
 
 
-@query("q_settings_values", "SELECT * FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 100")
+@query("q_settings_values", "SELECT * FROM supplier")
 def q_settings_values(spark, sf):
     return catalog.settings_values(table(spark, sf, "supplier"), [F.desc("s_acctbal"), "s_suppkey"])
 
@@ -293,12 +294,12 @@ def q_dump_catalog(spark, sf):
 
 @query(
     "q_source_precedence",
-    """WITH a AS (SELECT DISTINCT p_brand AS corpus, p_type AS table_name FROM part WHERE p_size > 49), b AS (SELECT DISTINCT p_brand AS corpus, p_name AS table_name FROM part)
+    """WITH a AS (SELECT DISTINCT CASE WHEN p_size > 49 THEN p_brand ELSE concat('old ', p_brand) END AS corpus, p_type AS table_name FROM part), b AS (SELECT DISTINCT p_brand AS corpus, p_name AS table_name FROM part)
        SELECT corpus, table_name, 0 AS source_rank FROM a UNION ALL SELECT corpus, table_name, 1 FROM b WHERE corpus NOT IN (SELECT corpus FROM a)""",
 )
 def q_source_precedence(spark, sf):
     part = table(spark, sf, "part")
-    live = part.where("p_size > 49").selectExpr("p_brand AS corpus", "p_type AS table_name").distinct()
+    live = part.selectExpr("CASE WHEN p_size > 49 THEN p_brand ELSE concat('old ', p_brand) END AS corpus", "p_type AS table_name").distinct()
     return catalog.pick_source(live, part.selectExpr("p_brand AS corpus", "p_name AS table_name").distinct()).select("corpus", "table_name", "source_rank")
 
 
@@ -630,10 +631,10 @@ def q_completeness(spark, sf):
 @query(
     "q_suggestions",
     f"""WITH {MISSING_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY corpus, project ORDER BY expected) AS rn FROM ms)
-        SELECT corpus, project, string_agg(expected, ',' ORDER BY rn) FILTER (rn <= 5) AS shown, CAST(greatest(count(*) - 5, 0) AS INTEGER) AS more FROM r GROUP BY ALL""",
+        SELECT corpus, project, CAST(rn AS INTEGER) AS rank, expected, CAST(count(*) OVER (PARTITION BY corpus, project) AS INTEGER) AS missing FROM r""",
 )
 def q_suggestions(spark, sf):
-    return quality.capped_suggestions(quality.missing_files(_pages(spark, sf)))
+    return quality.suggestions(quality.missing_files(_pages(spark, sf)))
 
 
 @query(

@@ -120,10 +120,20 @@ def q_html_links(spark, sf):
        SELECT page_id, corpus, CAST(k AS INTEGER) AS link_no, url, target_path FROM (
          SELECT *, trim(regexp_extract(url, '^([^?#]*)', 1), '/') AS target_path FROM l
          WHERE NOT regexp_matches(url, '^(https?://|mailto:|ftp://)')) t
-       WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.corpus = t.corpus AND p.at = t.target_path)""",
+       WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.corpus = t.corpus AND p.at = t.target_path)
+       UNION ALL SELECT -1 - page_id, 'own.example', 1, concat('p', page_id + 7, '.html#x'), concat('d', page_id % 7, '/p', page_id + 7, '.html') FROM pages
+       WHERE page_id + 7 NOT IN (SELECT page_id FROM pages)
+       UNION ALL SELECT -1 - page_id, 'own.example', 3, '../gone', 'gone' FROM pages""",
 )
 def q_broken_page_links(spark, sf):
-    out = links.broken_page_links(table(spark, sf, "pages"))
+    """The given pages, and as many of one site that link to each other, to themselves and to nothing."""
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    own = pages.selectExpr(
+        "-1 - page_id AS page_id",
+        "concat('https://own.example/d', page_id % 7, '/p', page_id, '.html') AS url",
+        """concat('<a href="p', page_id + 7, '.html#x">n</a> <a href="/d', page_id % 7, '/p', page_id, '.html?q">s</a> <a href="../gone">g</a> <a href="#y">y</a>') AS html""",
+    )
+    out = links.broken_page_links(pages.unionByName(own))
     return out.select("page_id", "corpus", "link_no", "url", "target_path")
 
 
@@ -176,7 +186,7 @@ RULES = [
 ALLOW = {"ipv4": "AND NOT regexp_matches(path, '^(fr|es)/')"}
 LEAK_SQL = " UNION ALL ".join(
     f"""SELECT 'leak' AS "check", corpus, path, line_no, '{r.name}' AS rule, '{r.severity}' AS severity,
-          left(regexp_extract(line, '{r.regex}'), 50) AS matched, '{r.description}' AS message
+          regexp_extract(line, '{r.regex}') AS matched, '{r.description}' AS message
         FROM l WHERE regexp_matches(line, '{r.regex}') {ALLOW.get(r.name, '')}"""
     for r in RULES
 )
@@ -214,10 +224,12 @@ def q_stream_leaks(spark, sf):
 
     base = f"{checkpoint_dir(spark)}/stream-{uuid4().hex}"
     schema = table(spark, sf, "documents").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    # a glob matches the table both as one file and as a folder of files
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]")
     files = rows.selectExpr(*[f"{e} AS {c}" for c, e in i.DOCUMENTS.columns.items()])
+    found = leakage.scan(i.DOCUMENTS.df(spark, sf), RULES).schema
     start_leak_scan(files, RULES, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.schema(found).parquet(f"{base}/out")
 
 
 @query("q_benchmark_leak", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")

@@ -49,7 +49,10 @@ def rejects(files: DataFrame) -> DataFrame:
 
 
 def split_delimited(outputs: DataFrame, keys: list[str], content: str = "content", sep: str = "\t") -> DataFrame:
-    """Rows of delimited outputs, first line = header: keys, row_no, record MAP. Short rows are padded with ''."""
+    """Rows of delimited outputs, first line = header: keys, row_no, record MAP. Short rows are padded with ''.
+
+    Of columns whose header names are equal the last one counts.
+    """
     df = tx.with_lines(outputs.select(*keys, F.trim(content).alias("content")))
     header = F.transform(F.split(F.try_element_at(F.col("lines"), F.lit(1)), sep, -1), lambda c: F.lower(F.trim(c)))
     row = (
@@ -59,4 +62,7 @@ def split_delimited(outputs: DataFrame, keys: list[str], content: str = "content
     )
     cells = F.transform(F.split("line", sep, -1), lambda c: F.trim(c))
     padded = F.transform("header", lambda _, i: F.coalesce(F.get(cells, i), F.lit("")))
-    return row.select(*keys, "row_no", F.map_from_arrays("header", padded).alias("record"))
+    # a name is kept where it stands last
+    last = F.filter(F.transform("header", lambda name, i: F.struct(name.alias("name"), F.get(padded, i).alias("value"), F.array_contains(F.slice("header", i + 2, F.size("header")), name).alias("again"))), lambda c: ~c["again"])
+    record = F.map_from_entries(F.transform(last, lambda c: F.struct(c["name"], c["value"])))
+    return row.select(*keys, "row_no", record.alias("record"))

@@ -130,7 +130,7 @@ def test_active_counts(spark):
     df = spark.createDataFrame([(1, 0, None, "a"), (0, 1, "2024", "b"), (None, 0, None, "c")], "is_active INT, is_deleted INT, deleted_at STRING, name STRING")
     got = rows(catalog.active_counts(df, "t", ["is_active", "is_deleted", "deleted_at"]))
     assert got == [("t", "deleted_at", 3, 2, 1, False), ("t", "is_active", 3, 1, 1, True), ("t", "is_deleted", 3, 2, 1, False)]
-    assert [r.name for r in catalog.sample_labels(df, ["name"], ["name"], 2).collect()] == ["a", "b"]
+    assert [r.name for r in catalog.label_values(df, ["is_active"], ["name"]).collect()] == ["a", "b", "c"]
 
 
 DDL = """CREATE TABLE IF NOT EXISTS `users` (

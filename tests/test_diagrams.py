@@ -177,3 +177,31 @@ def test_reconcile(spark):
     s = mk("corpus STRING, deliverable STRING, axis STRING, score INT", *[("c", "rag", a, 100) for a in reconcile.WEIGHT_AXES], ("c", "slide", "accuracy", 50))
     assert rows(reconcile.weighted_scores(s)) == [("c", "rag", 100.0), ("c", "slide", 10.0)]
     assert rows(reconcile.unknown_names(tiers, mods)) == [("c", "zz")]
+
+
+def test_last_label_wins(files):
+    df = files(("c", "lang/ja/a.php", "'K' => 'one', 'K' => 'two', 'S' => 'plain'"), ("c", "lang/ja/b.php", "'K' => 'three'\n$languageStrings['SINGLE_S'] = 'single';"))
+    assert rows(labels.label_map(labels.language_entries(df)), "key", "value") == [("K", "three"), ("S", "single")]
+
+
+def test_json_of_any_depth_and_order(files):
+    deep = '{"a":' * 40 + '"x"' + "}" * 40
+    df = files(("c", "lang/ja/deep.json", deep), ("c", "lang/ja/b.json", '{"k": "1", "k": "2", "m": {"n": "3"}, "l": ["4"]}'), ("c", "lang/ja/bad.json", '{"a"'), ("c", "lang/ja/list.json", "[]"))
+    got = rows(labels.language_entries(df), "path", "seq", "key", "value")
+    assert got == [("lang/ja/b.json", 0, "k", "2"), ("lang/ja/b.json", 1, "m.n", "3"), ("lang/ja/deep.json", 0, ".".join("a" * 40), "x")]
+    assert rows(labels.unreadable_language_files(df), "path") == [("lang/ja/bad.json",), ("lang/ja/list.json",)]
+
+
+def test_nested_state_groups(files):
+    text = "stateDiagram-v2\nstate G {\ns1 --> s2\nstate H {\ns3 --> s4\n}\ns5 --> s6\n}\nout --> s1"
+    df = files(("c", "d.mmd", text))
+    assert rows(diagrams.members(df), "grp", "node") == [("G", f"s{i}") for i in range(1, 7)]
+    touches = diagrams.group_touches(diagrams.group_edges(diagrams.edges(df), diagrams.members(df)))
+    assert rows(touches, "grp", "src", "inside") == [("G", "out", False), ("G", "s1", True), ("G", "s3", True), ("G", "s5", True)]
+
+
+def test_front_matter_of_any_length(spark):
+    head = "title: " + "t" * 2100
+    texts = [f"---\n{head}\nmarp: true\n---\n# s", f"---\n{head}\n---\nmarp: true", "marp: true"]
+    df = spark.createDataFrame([(t,) for t in texts], "content STRING").select(diagrams.is_slide_deck(F.col("content")).alias("d"))
+    assert [r.d for r in df.collect()] == [True, False, False]

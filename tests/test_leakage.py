@@ -24,7 +24,7 @@ def test_scan(files):
     assert got == [
         ("a.md", 1, "num", "1234"),
         ("a.md", 1, "word", "secretive"),
-        ("a.md", 3, "word", "secret" + "y" * 44),
+        ("a.md", 3, "word", "secret" + "y" * 80),
         ("one.md", 1, "only", "x"),
     ]
     found = leakage.scan(df, RULES)
@@ -32,11 +32,25 @@ def test_scan(files):
     assert sum(r.findings for r in leakage.severity_counts(found).collect()) == found.count()
 
 
-def test_many_rules_run_in_passes(files, monkeypatch):
-    monkeypatch.setattr(leakage, "RULES_PER_PASS", 2)
-    df = files(("c", "a", "k1 k3 k5"))
-    rules = [LeakRule(f"r{i}", f"k{i}", "LOW") for i in range(6)]
-    assert rows(leakage.scan(df, rules), "rule") == [("r1",), ("r3",), ("r5",)]
+def test_many_rules_in_one_pass(files):
+    df = files(("c", "a", "k1 k3 k500"))
+    rules = [LeakRule(f"r{i}", rf"k{i}\b", "LOW") for i in range(600)]
+    assert rows(leakage.scan(df, rules), "rule") == [("r1",), ("r3",), ("r500",)]
+    assert leakage.scan(df, []).collect() == [] and leakage.wrong_terms(df, []).collect() == []
+
+
+def test_groups_of_rules_do_not_mix(files):
+    rules = [LeakRule("a", "(x)(?<q>y)", "LOW"), LeakRule("b", r"(ab)\1", "LOW"), LeakRule("c", r"(?<q>c)\k<q>", "LOW")]
+    got = rows(leakage.scan(files(("c", "p", "abab\ncc\nxy")), rules), "line_no", "rule", "matched")
+    assert got == [(1, "b", "abab"), (2, "c", "cc"), (3, "a", "xy")]
+
+
+def test_name_findings(spark, files):
+    df = files(("r", "src/a.py", "first\nThe Billing-App of CRM"), ("r", "docs/x.md", "crm"), ("r", ".gitignore", "crm"))
+    names = spark.createDataFrame([("billing-app",), ("CRM",)], "name STRING")
+    assert rows(leakage.name_findings(df, names), "path", "line_no", "rule", "matched", "severity") == [
+        ("src/a.py", 2, "project-name:billing-app", "billing-app", "CRITICAL"), ("src/a.py", 2, "project-name:crm", "crm", "CRITICAL"),
+    ]
 
 
 def test_terms(files):

@@ -56,3 +56,11 @@ def test_reverse_links(files):
         ("c", "app-architecture.svg", "manual/app/01-overview.md"),
         ("c", "app-feat-pay.svg", "manual/app/03-features.md,manual/app/features/*.md"),
     ]
+
+
+def test_page_links_from_the_folder_of_the_page(spark):
+    pages = spark.createDataFrame(
+        [(1, "https://s/a/b.html", '<a href="c.html"></a><a href="/c.html"></a><a href="../a/c.html#x"></a><a href="?q=1"></a><a href="d/"></a>'), (2, "https://s/a/c.html", ""), (3, "https://s/a/d/", "")],
+        "page_id INT, url STRING, html STRING",
+    )
+    assert rows(links.broken_page_links(pages), "page_id", "link_no", "target_path") == [(1, 2, "c.html")]

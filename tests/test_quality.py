@@ -1,4 +1,4 @@
-from corpusaudit.operators import classify, diagrams, quality
+from corpusaudit.operators import classify, diagrams, leakage, quality
 from corpusaudit.plans import audit
 from pyspark.sql import functions as F
 from tests.conftest import rows
@@ -32,8 +32,8 @@ def test_scorecard(files):
     assert cards["poor"].numeric_score == 33 and cards["poor"].grade == "C" and not cards["poor"].passed
     miss = quality.missing_files(owned)
     assert miss.where("project = 'app'").count() == 0 and miss.where("project = 'poor'").count() == 14
-    caps = quality.capped_suggestions(miss).collect()[0]
-    assert caps.more == 9 and len(caps["shown"].split(",")) == 5
+    told = quality.suggestions(miss).orderBy("rank").collect()
+    assert [t.rank for t in told] == list(range(1, 15)) and {t.missing for t in told} == {14}
 
 
 def test_ratio_limits(spark):
@@ -122,7 +122,7 @@ def test_whole_audit(files):
         ("c", "a.md", "recieve [x](no.md) /infor/ `t_x` (gone.py:2)"), ("c", "diagrams/app-context.svg", ""), ("c", "architecture/app.md", "# t"),
         ("c", "database/migrations/1.php", "Schema::create('orders'"),
     )
-    found = audit.findings(df)
+    found = audit.findings(df, audit.AuditConfig(leak_rules=[leakage.LeakRule("specific-url-path", "/infor/", "HIGH")]))
     assert rows(found, "check", "rule") == [("image", "not shown"), ("leak", "specific-url-path"), ("link", "file not found"), ("term", "recieve")]
     assert sum(r.findings for r in audit.summary(found).collect()) == 4
     assert rows(audit.verdicts(df.where("path like '%.md'"), df), "check", "status") == [("citation", "FAIL"), ("table", "FAIL")]
@@ -132,3 +132,13 @@ def test_whole_audit(files):
 def test_partitioning_does_not_matter(files):
     df = files(*perfect("app"), ("c", "a.md", "recieve [x](no.md) /infor/"))
     assert rows(audit.findings(df.repartition(1))) == rows(audit.findings(df.repartition(64)))
+
+
+def test_cover_and_dates_anywhere(files, spark):
+    from corpusaudit.operators import freshness
+
+    cover = "\n" * 51 + " ".join(quality.COVER_MARKERS)
+    m = quality.file_metrics(files(("c", "manual/p/00-index.md", cover)).withColumn("project", F.lit("p")))
+    assert m.select("has_cover").first()[0]
+    df = spark.createDataFrame([("x" * 2100 + "\nGenerated: 2024-05-06", None)], "content STRING, at TIMESTAMP")
+    assert str(df.select(freshness.document_date(F.col("content"), F.col("at"))).first()[0]) == "2024-05-06"

@@ -121,3 +121,11 @@ def test_recheck(spark, tmp_path):
     got = rows(spark.read.parquet(args[0]), "batch", "path")
     assert got == [(0, "a.md"), (1, "b.md")]
     assert incremental.known_hashes(spark, args[1]).count() == 2
+
+
+def test_repeated_header_names(spark):
+    from corpusaudit.sources import bundles
+
+    df = spark.createDataFrame([("k", "A\tB\ta\n1\t2\t3\n4")], "id STRING, content STRING")
+    got = [(r.row_no, r.record) for r in bundles.split_delimited(df, ["id"]).collect()]
+    assert got == [(1, {"b": "2", "a": "3"}), (2, {"b": "", "a": ""})]
