@@ -17,41 +17,56 @@ from pyspark.sql import types as T
 from corpusaudit.session import cut_lineage
 
 
+def longest_chain(below: dict[str, set[str]]) -> int:
+    """Nodes on the longest chain, where nodes that reach each other count together, each once.
+
+    Parts of nodes that reach each other are closed bottom up (Tarjan's walk without recursion), so the chains below
+    a part are known when it is closed.
+    """
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    chain: dict[str, int] = {}  # of closed nodes: the chain from their part down
+    waiting: list[str] = []
+    for head in below:
+        if head in number:
+            continue
+        stack = [(head, iter(below[head]))]
+        number[head] = low[head] = len(number)
+        waiting.append(head)
+        while stack:
+            node, rest = stack[-1]
+            child = next(rest, None)
+            if child is None:
+                stack.pop()
+                if stack:
+                    low[stack[-1][0]] = min(low[stack[-1][0]], low[node])
+                if low[node] == number[node]:
+                    part = [waiting.pop()]
+                    while part[-1] != node:
+                        part.append(waiting.pop())
+                    deepest = max((chain[c] for n in part for c in below.get(n, ()) if c in chain), default=0)
+                    chain.update(dict.fromkeys(part, deepest + len(part)))
+            elif child not in number:
+                number[child] = low[child] = len(number)
+                waiting.append(child)
+                stack.append((child, iter(below.get(child, ()))))
+            elif child not in chain:
+                low[node] = min(low[node], number[child])
+    return max(chain.values(), default=0)
+
+
 @F.pandas_udf(T.IntegerType())
 def chain_depth(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Nodes on the longest chain of an array of edges; an edge back into the chain ends it."""
+    """Nodes on the longest chain of an array of edges; see ``longest_chain``."""
 
     def depth(pairs) -> int:
         below: dict[str, set[str]] = {}
-        for e in pairs:
+        for e in pairs if pairs is not None else ():
             below.setdefault(e["src"], set()).add(e["dst"])
-        if not below:
-            return 0
-        heads = set(below) - {d for dst in below.values() for d in dst} or set(below)
-        done: dict[str, int] = {}
-        for head in sorted(heads):
-            stack, open_ = [(head, iter(sorted(below.get(head, ()))))], {head}
-            best = {head: 0}
-            while stack:
-                node, rest = stack[-1]
-                child = next(rest, None)
-                if child is None:
-                    stack.pop()
-                    open_.discard(node)
-                    done[node] = best[node] + 1
-                    if stack:
-                        up = stack[-1][0]
-                        best[up] = max(best[up], done[node])
-                elif child in done:
-                    best[node] = max(best[node], done[child])
-                elif child not in open_:
-                    open_.add(child)
-                    best[child] = 0
-                    stack.append((child, iter(sorted(below.get(child, ())))))
-        return max(done[h] for h in heads)
+        return longest_chain(below)
 
     for edges in batches:
-        yield edges.map(lambda pairs: depth(pairs) if pairs is not None else 0)
+        yield edges.map(depth)
 
 
 def cluster_nodes(pairs, cap: int) -> list[tuple[str, int]]:
@@ -121,33 +136,108 @@ def hubs_first(degree: DataFrame) -> DataFrame:
 
 
 def depth(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
-    """graph, depth, has_cycle for graphs of any size.
+    """graph, depth, has_cycle for graphs of any size; depth as in ``longest_chain``.
 
-    Each round drops the edges whose source has nothing above it any more. An acyclic graph loses one
-    level per round, so the rounds it survives plus one are the nodes on its longest chain. A graph that
-    loses nothing is left with cycles and is set aside. Rounds shrink and are checkpointed; only one row
-    per graph is carried from round to round.
+    Each round drops the edges whose source has nothing above it any more. An acyclic graph loses one level per
+    round, so the rounds it survives plus one are the nodes on its longest chain. A graph that loses nothing has
+    a cycle: its parts are folded first and chains counted between them. A round is one cut of the shrinking edges and
+    one of the table with a row per graph, which also says whether another round is needed.
     """
-    left = cut_lineage(edges.select(graph, "src", "dst").distinct())
-    sizes = left.groupBy(graph).agg(F.count("*").alias("edges"))
-    done = None
-    level = 1
-    while True:
-        sizes = cut_lineage(sizes)
-        if sizes.isEmpty():
-            break
+    pairs = edges.select(graph, "src", "dst").distinct()
+    graphs = pairs.groupBy(graph).agg(F.bool_or(F.col("src") == F.col("dst")).alias("loops"))
+    whole = cut_lineage(pairs.where("src <> dst"))
+    sizes = whole.groupBy(graph).agg(F.count("*").alias("edges"))
+    none = F.lit(None).cast("int")
+    state = cut_lineage(graphs.join(sizes, graph, "left").select(graph, "loops", "edges", F.when(F.col("edges").isNull(), 1).otherwise(none).alias("depth"), F.lit(False).alias("stuck")))
+    left, level = whole, 1
+    while not state.where("depth IS NULL AND NOT stuck").isEmpty():
         above = left.select(graph, F.col("dst").alias("src")).distinct()
-        kept = cut_lineage(left.join(above, [graph, "src"], "left_semi"))
-        rest = kept.groupBy(graph).agg(F.count("*").alias("now"))
-        state = sizes.join(rest, graph, "left")
-        ended = state.where(F.col("now").isNull() | (F.col("now") == F.col("edges"))).select(
-            graph, F.lit(level + 1).alias("depth"), F.col("now").isNotNull().alias("has_cycle")
+        kept = left.join(above, [graph, "src"], "left_semi").join(state.where("depth IS NULL AND NOT stuck").select(graph), graph, "left_semi")
+        left = cut_lineage(kept)
+        now = left.groupBy(graph).agg(F.count("*").alias("now"))
+        open_ = F.col("depth").isNull() & ~F.col("stuck")
+        state = cut_lineage(
+            state.join(now, graph, "left").select(
+                graph,
+                "loops",
+                F.coalesce("now", "edges").alias("edges"),
+                F.when(open_ & F.col("now").isNull(), level + 1).otherwise(F.col("depth")).alias("depth"),
+                (F.col("stuck") | (open_ & F.coalesce(F.col("now") == F.col("edges"), F.lit(False)))).alias("stuck"),
+            )
         )
-        ended = cut_lineage(ended)
-        done = ended if done is None else done.unionByName(ended)
-        sizes = state.where(F.col("now") < F.col("edges")).select(graph, F.col("now").alias("edges"))
-        left = kept.join(ended.where("has_cycle"), graph, "left_anti") if not ended.where("has_cycle").isEmpty() else kept
         level += 1
-    if done is None:
-        return sizes.select(graph, F.lit(0).alias("depth"), F.lit(False).alias("has_cycle"))
-    return done
+    plain = state.where(~F.col("stuck")).select(graph, F.col("depth").cast("int").alias("depth"), F.col("loops").alias("has_cycle"))
+    stuck = state.where("stuck").select(graph)
+    if stuck.isEmpty():
+        return plain
+    return plain.unionByName(_folded_depth(whole.join(stuck, graph, "left_semi"), graph))
+
+
+def _folded_depth(edges: DataFrame, graph: str) -> DataFrame:
+    """Depth of graphs with cycles: longest weighted chain between the parts, by rounds of relaxation."""
+    parts = strongly_connected(edges, graph)
+    nodes = edges.select(graph, F.col("src").alias("node")).union(edges.select(graph, F.col("dst").alias("node"))).distinct()
+    of = nodes.join(parts, [graph, "node"], "left").select(graph, "node", F.coalesce("part", "node").alias("part"))
+    of = cut_lineage(of)
+    weight = of.groupBy(graph, "part").agg(F.count("*").cast("int").alias("w"))
+    side = lambda c: of.select(graph, F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
+    between = edges.join(side("src"), [graph, "src"]).join(side("dst"), [graph, "dst"]).where("src_part <> dst_part")
+    between = cut_lineage(between.select(graph, F.col("src_part").alias("part"), F.col("dst_part").alias("below")).distinct())
+    best = cut_lineage(weight.withColumn("chain", F.col("w")).withColumn("grew", F.lit(True)))
+    while not best.where("grew").isEmpty():
+        offered = between.join(best.where("grew").select(graph, "part", "chain"), [graph, "part"])
+        offered = offered.groupBy(graph, F.col("below").alias("part")).agg(F.max("chain").alias("up"))
+        longer = F.coalesce(F.col("up") + F.col("w") > F.col("chain"), F.lit(False))
+        best = cut_lineage(
+            best.join(offered, [graph, "part"], "left").select(graph, "part", "w", F.when(longer, F.col("up") + F.col("w")).otherwise(F.col("chain")).alias("chain"), longer.alias("grew"))
+        )
+    return best.groupBy(graph).agg(F.max("chain").alias("depth")).withColumn("has_cycle", F.lit(True))
+
+
+def _trimmed(edges: DataFrame, graph: str) -> DataFrame:
+    """Edges between nodes that have an edge in and an edge out, round by round."""
+    before = edges.count()
+    while before:
+        starts = edges.select(graph, F.col("src").alias("dst")).distinct()
+        ends = edges.select(graph, F.col("dst").alias("src")).distinct()
+        edges = cut_lineage(edges.join(starts, [graph, "dst"], "left_semi").join(ends, [graph, "src"], "left_semi"))
+        now = edges.count()
+        if now == before:
+            break
+        before = now
+    return edges
+
+
+def strongly_connected(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
+    """graph, node, part for the nodes that lie on a cycle; nodes of a part reach each other.
+
+    The largest name that reaches a node is its colour. Inside a colour, what reaches the node of that name is its
+    part; parts are taken out, and the rest is coloured again.
+    """
+    core = _trimmed(edges.select(graph, "src", "dst").where("src <> dst").distinct(), graph)
+    out = None
+    while not core.isEmpty():
+        colour = cut_lineage(core.select(graph, F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")).withColumn("new", F.lit(True)))
+        while not colour.where("new").isEmpty():
+            offered = core.join(colour.where("new").select(graph, F.col("node").alias("src"), "colour"), [graph, "src"])
+            offered = offered.groupBy(graph, F.col("dst").alias("node")).agg(F.max("colour").alias("up"))
+            larger = F.coalesce(F.col("up") > F.col("colour"), F.lit(False))
+            colour = cut_lineage(colour.join(offered, [graph, "node"], "left").select(graph, "node", F.when(larger, F.col("up")).otherwise(F.col("colour")).alias("colour"), larger.alias("new")))
+        one = colour.select(graph, F.col("node").alias("src"), F.col("colour").alias("src_colour"))
+        two = colour.select(graph, F.col("node").alias("dst"), F.col("colour").alias("dst_colour"))
+        inside = cut_lineage(core.join(one, [graph, "src"]).join(two, [graph, "dst"]).where("src_colour = dst_colour").select(graph, "src", "dst"))
+        part = cut_lineage(colour.select(graph, "node", "colour", (F.col("node") == F.col("colour")).alias("hit"), (F.col("node") == F.col("colour")).alias("new")))
+        while not part.where("new").isEmpty():
+            back = inside.join(part.where("new").select(graph, F.col("node").alias("dst")), [graph, "dst"]).select(graph, F.col("src").alias("node")).distinct()
+            back = back.withColumn("back", F.lit(True))
+            found = ~F.col("hit") & F.col("back").isNotNull()
+            part = cut_lineage(part.join(back, [graph, "node"], "left").select(graph, "node", "colour", (F.col("hit") | found).alias("hit"), found.alias("new")))
+        done = part.where("hit").select(graph, "node", F.col("colour").alias("part"))
+        out = done if out is None else out.unionByName(done)
+        gone = done.select(graph, "node")
+        core = core.join(gone.withColumnRenamed("node", "src"), [graph, "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), [graph, "dst"], "left_anti")
+        core = _trimmed(cut_lineage(core), graph)
+    if out is None:
+        return edges.select(graph, F.col("src").alias("node"), F.col("src").alias("part")).limit(0)
+    sizes = out.groupBy(graph, "part").agg(F.count("*").alias("n")).where("n > 1").select(graph, "part")
+    return out.join(sizes, [graph, "part"], "left_semi").select(graph, "node", "part")

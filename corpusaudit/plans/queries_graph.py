@@ -210,6 +210,19 @@ def q_graph_depth(spark, sf):
     return graph.depth(_star(spark, sf))
 
 
+@query(
+    "q_cycle_depth",
+    """SELECT concat('r', r) AS graph_id, CAST(5 + CASE WHEN r IN (SELECT c_nationkey % 5 FROM customer) THEN 1 ELSE 0 END + CASE WHEN r IN (SELECT s_nationkey % 5 FROM supplier) THEN 1 ELSE 0 END AS INTEGER) AS depth, true AS has_cycle
+       FROM (SELECT DISTINCT n_nationkey % 5 AS r FROM nation)""",
+)
+def q_cycle_depth(spark, sf):
+    """Rings of five nations, with customers above them and suppliers below."""
+    ring = table(spark, sf, "nation").selectExpr("concat('r', n_nationkey % 5) AS graph_id", "concat('n', n_nationkey) AS src", "concat('n', (n_nationkey + 5) % 25) AS dst")
+    above = table(spark, sf, "customer").selectExpr("concat('r', c_nationkey % 5) AS graph_id", "concat('c', c_custkey) AS src", "concat('n', c_nationkey) AS dst")
+    below = table(spark, sf, "supplier").selectExpr("concat('r', s_nationkey % 5) AS graph_id", "concat('n', s_nationkey) AS src", "concat('s', s_suppkey) AS dst")
+    return graph.depth(ring.unionByName(above).unionByName(below))
+
+
 @query(
     "q_graph_degree",
     f"""WITH e AS ({STAR_SQL}), b AS (SELECT graph_id, src AS node, dst AS near FROM e UNION SELECT graph_id, dst, src FROM e)

@@ -30,6 +30,45 @@ def test_depth_tables(spark):
     assert graph.depth(spark.createDataFrame([], EDGES)).count() == 0
 
 
+def folded_depth(edges):
+    """Longest chain, nodes that reach each other counted together, by closure and all orders."""
+    nodes = {n for e in edges for n in e}
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            for n in nodes:
+                if a in reach[n]:
+                    reach[n].add(b)
+    part = {n: frozenset(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes}
+    best = lambda p: len(p) + max((best(part[b]) for a, b in edges if a in p and b not in p), default=0)
+    return max(map(best, part.values()))
+
+
+def test_depth_with_cycles(spark):
+    rng = random.Random(8)
+    graphs = {f"g{g}": {(f"n{a}", f"n{b}") for a, b in (rng.choices(range(9), k=2) for _ in range(rng.randint(1, 13)))} for g in range(40)}
+    graphs |= {"abc": {("A", "B"), ("B", "C"), ("C", "A")}, "two": {("A", "B"), ("B", "C"), ("C", "B"), ("P", "Q"), ("Q", "C")}, "self": {("A", "A")}}
+    df = spark.createDataFrame([(g, s, d) for g, es in graphs.items() for s, d in es], EDGES)
+    inrow = df.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst")).alias("e")).select("graph_id", graph.chain_depth("e").alias("d"))
+    want = {g: folded_depth(es) for g, es in graphs.items()}
+    assert want["abc"] == 3 and want["two"] == 4 and want["self"] == 1
+    assert {r.graph_id: r.d for r in inrow.collect()} == want
+    got = {r.graph_id: (r.depth, r.has_cycle) for r in graph.depth(df).collect()}
+    assert {g: d for g, (d, _) in got.items()} == want
+    cyclic = lambda es: any(a == b for a, b in es) or folded_depth(es) > len({n for e in es for n in e}) or _has_cycle(es)
+    assert {g: c for g, (_, c) in got.items()} == {g: cyclic(es) for g, es in graphs.items()}
+
+
+def _has_cycle(edges):
+    left = set(edges)
+    while left:
+        kept = {(a, b) for a, b in left if any(y == a for _, y in left)}
+        if kept == left:
+            return True
+        left = kept
+    return False
+
+
 def test_depth_in_row_matches_brute_force_and_tables(spark):
     rng = random.Random(5)
     graphs = {f"g{g}": {(f"n{a}", f"n{b}") for a, b in (sorted(rng.sample(range(9), 2)) for _ in range(10))} for g in range(20)}
