@@ -342,14 +342,16 @@ def rewrite_diagram_links(docs: DataFrame, converted: DataFrame, add_window_link
     """Links to converted diagrams point to the image: exact base name. corpus, path, content, rewritten.
 
     Only the distinct (corpus, base name) pairs a page mentions are looked up; a page and its names meet
-    again on the key of the page, so the text moves once.
+    again on the key of the page, so the text moves once, and not at all if the page mentions no diagram.
     """
 
     found = F.array_distinct(F.regexp_extract_all("content", F.lit(r"\((?:[^)\s]*/)?([^)/\s]+\.mmd)\)"), F.lit(1)))
-    named = docs.where(F.contains("content", F.lit(".mmd)"))).select(*KEY, F.explode_outer(found).alias("name")).where(F.col("name").isNotNull())
+    mentions = F.coalesce(F.contains("content", F.lit(".mmd)")), F.lit(False))
+    named = docs.where(mentions).select(*KEY, F.explode_outer(found).alias("name")).where(F.col("name").isNotNull())
     done = converted.select("corpus", paths.basename(F.col("path")).alias("name")).distinct()
     hits = named.join(done, ["corpus", "name"], "left_semi").groupBy(*KEY).agg(F.array_sort(F.collect_set("name")).alias("names"))
-    df = docs.join(hits, KEY, "left")
+    none = F.lit(None).cast("array<string>").alias("names")
+    df = docs.where(mentions).select(*KEY, "content").join(hits, KEY, "left").unionByName(docs.where(~mentions).select(*KEY, "content", none))
     one = lambda c, n: F.regexp_replace(
         c,
         F.concat(F.lit(r"\(((?:[^)\s]*/)?)\Q"), n, F.lit(r"\E\)")),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corpusaudit.functions import paths
 from corpusaudit.functions.text import normalise_route
+from corpusaudit.operators.classify import project_types
 from corpusaudit.operators.joins import join_per_corpus
 from corpusaudit.operators.lines import cell_under, table_rows
 
@@ -48,10 +49,6 @@ def endpoints(docs: DataFrame) -> DataFrame:
     return prose.unionByName(cell).distinct()
 
 
-def _is_type(name: str) -> Column:
-    return F.array_contains("project_types", name)
-
-
 def _route(method: Column, path: Column) -> Column:
     return F.struct(method.alias("method"), path.alias("path"))
 
@@ -66,28 +63,36 @@ def _nuxt_verbs(name: Column) -> Column:
 
 
 def source_routes(files: DataFrame) -> DataFrame:
-    """Distinct (corpus, method, path) declared in sources. Needs ``project_types ARRAY<STRING>``.
+    """Distinct (corpus, method, path) declared in sources: Express calls, Next.js exports, Nuxt file names, Laravel groups.
 
-    Express calls, Next.js route exports, Nuxt file names, Laravel groups.
+    Routes of all kinds are read from the files where they lie; only routes, without any text, meet the types of
+    their corpus (a column ``project_types`` where the files have it, else found from the marker files).
     """
+    if "project_types" in files.columns:
+        types = files.select("corpus", F.explode("project_types").alias("kind")).distinct()
+    else:
+        types = project_types(files).select("corpus", F.explode("project_types").alias("kind"))
+    return declared_routes(files).join(types, ["corpus", "kind"], "left_semi").select("corpus", "method", "path").distinct()
+
+
+def declared_routes(files: DataFrame) -> DataFrame:
+    """kind, corpus, method, path of what looks like a route of some kind of project, distinct."""
     p, c = F.col("path"), F.col("content")
+    of = lambda kind, df: df.select(F.lit(kind).alias("kind"), "corpus", "method", "path").where(F.col("method").isNotNull())
     express = (
-        files.where(_is_type("express") & p.rlike(r"\.(js|ts)$") & ~p.rlike("(^|/)(node_modules|\\.git|dist|build)/"))
+        files.where(p.rlike(r"\.(js|ts)$") & ~p.rlike("(^|/)(node_modules|\\.git|dist|build)/"))
         .select("corpus", F.explode_outer(F.regexp_extract_all(c, F.lit(EXPRESS), F.lit(0))).alias("raw")).where(F.col("raw").isNotNull())
         .select("corpus", F.upper(F.regexp_extract("raw", EXPRESS, 1)).alias("method"), F.regexp_extract("raw", EXPRESS, 2).alias("path"))
     )
     folder = F.regexp_extract(p, r"^app/(?:(.*)/)?route\.[^/]*$", 1)
     next_path = F.concat(F.lit("/"), F.translate(F.when(folder == "", F.lit(".")).otherwise(folder), "[]", "{}"))
-    nextjs = files.where(_is_type("nextjs") & p.rlike(r"^app/(.*/)?route\.[^/]*$")).select(
-        "corpus", F.explode_outer(F.regexp_extract_all(c, F.lit(NEXT_EXPORT), F.lit(1))).alias("method"), next_path.alias("path")
-    ).where(F.col("method").isNotNull())
+    nextjs = files.where(p.rlike(r"^app/(.*/)?route\.[^/]*$")).select("corpus", F.explode_outer(F.regexp_extract_all(c, F.lit(NEXT_EXPORT), F.lit(1))).alias("method"), next_path.alias("path"))
     bare = F.regexp_replace(F.regexp_extract(p, "^server/api/(.*)$", 1), r"\.[^./]*$", "")
-    nuxt = files.where(_is_type("nuxt") & p.rlike(r"^server/api/.*\.(js|ts)$")).select(
-        "corpus",
-        F.explode_outer(_nuxt_verbs(F.lower(paths.basename(p)))).alias("method"),
-        F.concat(F.lit("/api/"), F.translate(bare, "[]", "{}")).alias("path"),
-    ).where(F.col("method").isNotNull())
-    return express.unionByName(nextjs).unionByName(nuxt).unionByName(laravel_routes(files)).distinct()
+    nuxt = files.where(p.rlike(r"^server/api/.*\.(js|ts)$")).select(
+        "corpus", F.explode_outer(_nuxt_verbs(F.lower(paths.basename(p)))).alias("method"), F.concat(F.lit("/api/"), F.translate(bare, "[]", "{}")).alias("path")
+    )
+    each = of("express", express).unionByName(of("nextjs", nextjs)).unionByName(of("nuxt", nuxt)).unionByName(of("laravel", laravel_routes(files)))
+    return each.distinct()
 
 
 _GROUP = T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType()).add("prefix", T.StringType())
@@ -132,7 +137,7 @@ def laravel_routes(files: DataFrame) -> DataFrame:
     Groups and calls of a file stay in its row; the look-up by position is a filter over the few groups.
     """
     slashes = lambda c: F.regexp_replace(c, "^/+|/+$", "")
-    at = files.where(_is_type("laravel") & F.col("path").isin("routes/api.php", "routes/web.php")).select(
+    at = files.where(F.col("path").isin("routes/api.php", "routes/web.php")).select(
         "corpus", "path", _laravel_positions("content").alias("found")
     )
     call = at.select(

@@ -232,11 +232,12 @@ def translate_diagrams(diagrams: DataFrame, labels: DataFrame) -> DataFrame:
     shown = diagrams.select("corpus", "path", F.explode_outer(F.array_distinct(quoted)).alias("key")).where(F.col("key").isNotNull()).join(
         labels.select("corpus", "key", "value"), ["corpus", "key"]
     )
-    shown = shown.groupBy("corpus", "path").agg(_longest_first("key", "value").alias("shown"))
     nodes = bare_nodes(diagrams)
-    bare = nodes.join(resolve_labels(nodes, labels), ["corpus", "node"])
-    bare = bare.groupBy("corpus", "path").agg(_longest_first("node", "label").alias("bare"))
-    df = diagrams.join(shown, ["corpus", "path"], "left").join(bare, ["corpus", "path"], "left")
+    bare = nodes.join(resolve_labels(nodes, labels), ["corpus", "node"]).select("corpus", "path", F.col("node").alias("key"), F.col("label").alias("value"))
+    # one small table with a row per file that has a hit, so the text moves once
+    both = shown.select("corpus", "path", "key", "value", F.lit(True).alias("is_shown")).unionByName(bare.withColumn("is_shown", F.lit(False)))
+    hits = both.groupBy("corpus", "path").agg(_longest_first("key", "value", F.col("is_shown")).alias("shown"), _longest_first("key", "value", ~F.col("is_shown")).alias("bare"))
+    df = diagrams.join(hits, ["corpus", "path"], "left")
     none = F.array().cast("array<struct<n:int,key:string,value:string>>")
     # what is in brackets first
     def relabel(c: Column, e: Column) -> Column:
@@ -262,13 +263,13 @@ def translate_diagrams(diagrams: DataFrame, labels: DataFrame) -> DataFrame:
         F.split("text", "\n", -1),
         lambda l: F.when(keep(l), l).otherwise(F.aggregate(F.coalesce("bare", none), l, add_label)),
     )
-    out = F.when(F.col("bare").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    out = F.when(F.coalesce(F.size("bare"), F.lit(0)) <= 0, F.col("text")).otherwise(F.array_join(lines, "\n"))
     return df.select("corpus", "path", out.alias("new"), "content").select(
         "corpus", "path", F.col("new").alias("content"), (F.col("new") != F.col("content")).alias("modified")
     )
 
 
-def _longest_first(key: str, value: str) -> Column:
+def _longest_first(key: str, value: str, where: Column) -> Column:
     """Pairs of one file, longest key first, so that a name inside another is replaced after it."""
-    pairs = F.collect_list(F.struct((-F.length(key)).alias("n"), F.col(key).alias("key"), F.col(value).alias("value")))
-    return F.array_sort(pairs)
+    pair = F.struct((-F.length(key)).alias("n"), F.col(key).alias("key"), F.col(value).alias("value"))
+    return F.array_sort(F.collect_list(F.when(where, pair)))

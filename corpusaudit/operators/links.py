@@ -87,8 +87,9 @@ def targets(files: DataFrame) -> DataFrame:
 
     Only pages are read for headings; of other files and of folders the path is enough.
     """
-    pages = with_suffix(files, PAGE)
-    titles = tx.with_prose(tx.with_lines(pages.select(*KEY, "content")))
+    is_page = F.col("path").endswith(PAGE[0])
+    # one pass: the text of what is no page is not looked at
+    lined = tx.with_prose(tx.with_lines(files.select(*KEY, F.when(is_page, F.col("content")).alias("content"))))
     slugs = F.array_distinct(
         F.transform(
             F.filter("prose", lambda l: F.coalesce(l.rlike(tx.HEADING), F.lit(False))),
@@ -99,26 +100,25 @@ def targets(files: DataFrame) -> DataFrame:
     row = lambda df, path, is_file, found: df.select(
         "corpus", F.col(path).alias("target_path"), F.lit(is_file).alias("is_file"), found.alias("slugs")
     )
-    others = files.where(~F.col("path").endswith(PAGE[0]))
     folders = (
         files.select("corpus", paths.dirname(F.col("path")).alias("folder"))
         .distinct()
         .select("corpus", F.explode_outer(F.concat(paths.parents(F.col("folder")), F.array("folder"))).alias("folder"))
         .distinct()
     )
-    return row(titles, "path", True, slugs).unionByName(row(others, "path", True, none)).unionByName(row(folders, "folder", False, none))
+    return row(lined, "path", True, F.coalesce(slugs, none)).unionByName(row(folders, "folder", False, none))
 
 
-def check_links(files: DataFrame, ignore: Iterable[str] = (), skip_fences: bool = False) -> DataFrame:
+def check_links(files: DataFrame, ignore: Iterable[str] = (), skip_fences: bool = False, among: DataFrame | None = None) -> DataFrame:
     """Broken links of the pages among ``files``: corpus, path, line_no, url, reason, target_path, anchor.
 
-    One join: the headings of a target travel with the target as an array, so an anchor needs no second
+    Targets are looked for in ``among``, where it is given, else in ``files`` themselves. One join: the headings of a target travel with the target as an array, so an anchor needs no second
     look-up. The target side is unique per key; a target that a third of all links point to is split by
     the skew join of AQE.
     """
     links = markdown_links(with_suffix(files, PAGE), skip_fences)
     local = links.where(~is_external(F.col("url")) & ~matches_any(F.col("url"), ignore))
-    found = resolve_links(local).join(targets(files), ["corpus", "target_path"], "left")
+    found = resolve_links(local).join(targets(files if among is None else among), ["corpus", "target_path"], "left")
     reason = (
         F.when(F.col("is_file").isNull(), "file not found")
         .when(F.col("anchor").isNotNull() & ~F.col("is_file"), "cannot read target")

@@ -52,11 +52,10 @@ def findings(files: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame
 
 def verdicts(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """Citations, table names and endpoints of documents against the sources of the same corpus."""
-    typed = classify.with_project_types(sources)
     parts = [
         citations.verify_citations(citations.citations(docs), citations.file_lengths(sources)),
         tables.verify_tables(tables.documented_tables(docs), tables.declared_tables(sources)),
-        endpoints.verify_endpoints(endpoints.endpoints(docs), endpoints.source_routes(typed)).drop("counts_as_failure"),
+        endpoints.verify_endpoints(endpoints.endpoints(docs), endpoints.source_routes(sources)).drop("counts_as_failure"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

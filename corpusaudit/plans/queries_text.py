@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusaudit import schemas
 from corpusaudit.functions import paths
 from corpusaudit.functions import text as tx
 from corpusaudit.operators import citations, endpoints, leakage, lines, links, literals, tables
 from corpusaudit.operators.leakage import LeakRule, TermRule
 from corpusaudit.plans import inputs as i
-from corpusaudit.plans.registry import fences_sql, lines_sql, prose_sql, query, table
+from corpusaudit.plans.registry import ORACLES, fences_sql, lines_sql, prose_sql, query, table
 from corpusaudit.session import spread
 
 DOCS = i.DOCUMENTS.sql()
@@ -101,6 +102,24 @@ def q_broken_links(spark, sf):
     return links.check_links(files, skip_fences=True).drop("anchor")
 
 
+@query("q_recheck", ORACLES["q_broken_links"])
+def q_recheck(spark, sf):
+    """The same pages as a stream: the order pages arrive later, and their links lead to pages checked before."""
+    from uuid import uuid4
+
+    from corpusaudit.session import checkpoint_dir
+    from corpusaudit.streaming import incremental
+
+    base = f"{checkpoint_dir(spark)}/recheck-{uuid4().hex}"
+    stored = lambda s: s.read.schema(schemas.FILES).parquet(f"{base}/files")
+    check = lambda todo, everything: links.check_links(todo, skip_fences=True, among=everything).drop("anchor")
+    for pages in (i.CUSTOMER_PAGES.df(spark, sf), i.ORDER_PAGES.df(spark, sf)):
+        rows = pages.select("corpus", "path", "content", F.octet_length("content").cast("long").alias("size"), F.lit(None).cast("timestamp").alias("modified_at"))
+        rows.write.mode("append").parquet(f"{base}/files")
+        incremental.start_recheck(incremental.stream_files(spark, f"{base}/files"), check, f"{base}/out", f"{base}/ledger", f"{base}/checkpoint", stored).awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
 @query(
     "q_html_links",
     """SELECT page_id, CAST(k AS INTEGER) AS link_no, urls[k] AS url FROM (

@@ -4,7 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from corpusaudit.operators import leakage, links
+from corpusaudit import schemas
+from corpusaudit.operators import diagrams, endpoints, leakage, links
 from corpusaudit.operators.leakage import LeakRule
 from corpusaudit.sources import bundles, catalogs, sinks
 from corpusaudit.sources import files as src
@@ -129,3 +130,24 @@ def test_repeated_header_names(spark):
     df = spark.createDataFrame([("k", "A\tB\ta\n1\t2\t3\n4")], "id STRING, content STRING")
     got = [(r.row_no, r.record) for r in bundles.split_delimited(df, ["id"]).collect()]
     assert got == [(1, {"b": "2", "a": "3"}), (2, {"b": "", "a": ""})]
+
+
+def test_recheck_sees_the_whole_corpus(spark, tmp_path):
+    args = (str(tmp_path / "o"), str(tmp_path / "led"), str(tmp_path / "cp"))
+    stored = lambda s: s.read.schema(schemas.FILES).parquet(str(tmp_path / "in"))
+    check = lambda todo, everything: links.check_links(todo, among=everything)
+    for batch in ([("c", "a.md", "# A")], [("c", "b.md", "[x](a.md) [y](gone.md)")]):
+        write_files(spark, tmp_path / "in", *batch)
+        incremental.start_recheck(incremental.stream_files(spark, str(tmp_path / "in")), check, *args, stored).awaitTermination()
+    assert rows(spark.read.parquet(args[0]), "path", "url") == [("b.md", "gone.md")]
+
+
+def test_texts_stay_where_they_lie(spark, files):
+    df = files(("c", "routes/a.js", "app.get('/x', f)"), ("c", "b.md", "no link"), ("c", "package.json", '{"dependencies": {"express": "1"}}'))
+    routes = endpoints.source_routes(df)
+    assert rows(routes) == [("c", "GET", "/x")]
+    # below each exchange the text has been replaced by what was found in it, or belongs to marker files
+    for line in routes._jdf.queryExecution().executedPlan().toString().split("\n"):
+        assert "Exchange" not in line or "content" not in line
+    moved = diagrams.rewrite_diagram_links(df, df.limit(0))
+    assert moved.where("rewritten").count() == 0 and moved.count() == 3
