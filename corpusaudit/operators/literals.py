@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit.operators.joins import BROADCAST_ROWS, fits_broadcast
+from corpusaudit.session import cut_lineage
 
 WORD = r"\p{L}\p{N}"
 ANCHORED = 12
@@ -58,11 +59,12 @@ def find_literals(
 ) -> DataFrame:
     """Pairs ``keys + needle`` where the text contains the literal; ``within`` columns must be equal too.
 
-    ``keys`` identify a text (they include ``within``). Few literals are broadcast and checked in the pass
+    ``keys`` identify a text (they include ``within``). Seeds are worked out once and kept in the shared folder;
+    their size decides, as nothing may be broadcast that has not been measured. Few literals are broadcast and checked in the pass
     that reads the text. More than ``broadcast_rows`` literals, or too many bytes of them, are joined by
     shuffling pieces and keys only; the text is joined back for the candidates.
     """
-    chosen = seeds(needles, within)
+    chosen = cut_lineage(seeds(needles, within))
     small = fits_broadcast(chosen, broadcast_rows)
     kinds = {r["kind"] for r in chosen.select("kind").distinct().collect()}
     texts = texts.select(*keys, content)

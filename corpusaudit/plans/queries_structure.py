@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusaudit.operators import catalog, classify, dbconfig, frameworks, freshness, impact, migrations, quality, versions
+from corpusaudit.operators import catalog, classify, dbconfig, frameworks, freshness, impact, leakage, migrations, quality, versions
 from corpusaudit.plans import inputs as i
 from corpusaudit.plans.registry import Derived, lines_sql, prose_sql, query, table
+from corpusaudit.session import checkpoint_dir
+from corpusaudit.sources import sinks
 from corpusaudit.sources.files import decode
 
 TREE = i.TREE.sql()
@@ -459,6 +461,51 @@ def q_ledger_expire(spark, sf):
     return versions.expire(LEDGER.df(spark, sf), F.lit(NOW).cast("timestamp"), AGE)[1]
 
 
+@query(
+    "q_ledger_entry",
+    f"""SELECT * FROM ({LEDGER.sql()}) WHERE (generated_at, cache_key) = (SELECT max((generated_at, cache_key)) FROM ({LEDGER.sql()}))""",
+)
+def q_ledger_entry(spark, sf):
+    """The entry of the key that was written last."""
+    ledger = LEDGER.df(spark, sf)
+    key = ledger.agg(F.max_by("cache_key", F.struct("generated_at", "cache_key"))).first()[0]
+    return versions.ledger_entry(ledger, key)
+
+
+COUNTED = "NOT regexp_matches(path, '(^|/)(" + "|".join(d.replace(".", "[.]") for d in classify.COUNT_SKIP_DIRS) + ")(/|$)')"
+
+
+@query("q_source_counts", f"SELECT corpus, count(*) AS file_count FROM ({i.TREE.sql()}) WHERE {COUNTED} GROUP BY corpus")
+def q_source_counts(spark, sf):
+    return classify.count_source_files(i.TREE.df(spark, sf))
+
+
+@query(
+    "q_stored_files",
+    f"""SELECT corpus, path, content, CASE WHEN regexp_matches(path, '[.](md|mmd|svg|yaml|yml|json)$') THEN regexp_extract(path, '[.]([a-z]+)$', 1) ELSE 'other' END AS kind FROM ({i.TREE.sql()})""",
+)
+def q_stored_files(spark, sf):
+    """Files stored by kind in the shared folder, as read back."""
+    from uuid import uuid4
+
+    path = f"{checkpoint_dir(spark)}/files-{uuid4().hex}"
+    sinks.write_files(i.TREE.df(spark, sf).select("corpus", "path", "content"), path)
+    return spark.read.parquet(path).select("corpus", "path", "content", "kind")
+
+
+@query(
+    "q_project_names",
+    """SELECT DISTINCT name FROM (
+         SELECT concat('app', p_partkey) AS name FROM part
+         UNION ALL SELECT concat('s', p_size, 'x') FROM part UNION ALL SELECT lower(p_type) FROM part)""",
+)
+def q_project_names(spark, sf):
+    files = table(spark, sf, "part").selectExpr(
+        "explode(array(concat('.cache/facts-app', p_partkey, '.yaml'), concat('docs/manual/s', p_size, 'x/a.md'), concat('docs/architecture/', lower(p_type), '.md'), 'docs/architecture/index.md', 'docs/manual/test/x.md', concat('src/', p_name))) AS path"
+    )
+    return leakage.project_names(files)
+
+
 @query("q_cache_keys", "SELECT doc_id, sha256(concat(source, '/', doc_id, ':', lang)) AS cache_key FROM documents")
 def q_cache_keys(spark, sf):
     path = F.concat_ws("/", "source", "doc_id")

@@ -251,6 +251,32 @@ def q_stream_leaks(spark, sf):
     return spark.read.schema(found).parquet(f"{base}/out")
 
 
+@query("q_stored_findings", LEAKS)
+def q_stored_findings(spark, sf):
+    """Findings written to a folder per check in the shared folder, as read back."""
+    from uuid import uuid4
+
+    from corpusaudit.session import checkpoint_dir
+    from corpusaudit.sources import sinks
+
+    found = leakage.scan(i.DOCUMENTS.df(spark, sf), RULES)
+    path = f"{checkpoint_dir(spark)}/findings-{uuid4().hex}"
+    sinks.write_findings(found, path)
+    return spark.read.schema(found.schema).parquet(path).select(found.columns)
+
+
+@query(
+    "q_name_findings",
+    f"""SELECT 'leak' AS "check", corpus, path, line_no, concat('project-name:', n) AS rule, 'CRITICAL' AS severity, n AS matched, 'name of an analysed project' AS message
+        FROM ({lines_sql(DOCS)}) JOIN (SELECT DISTINCT lower(regexp_extract(url, '://([^/.:]+)', 1)) AS n FROM pages) ON contains(lower(line), n)
+        WHERE n <> '' AND NOT regexp_matches(path, '^de/')""",
+)
+def q_name_findings(spark, sf):
+    """Site names of the pages in the lines of documents; the German folder may name them."""
+    names = table(spark, sf, "pages").select(F.regexp_extract("url", "://([^/.:]+)", 1).alias("name"))
+    return leakage.name_findings(i.DOCUMENTS.df(spark, sf), names, ["de/"])
+
+
 @query("q_benchmark_leak", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def q_benchmark_leak(spark, sf):
     """Documents that hold a whole passage of the benchmark."""
