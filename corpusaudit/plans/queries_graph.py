@@ -232,38 +232,66 @@ def q_graph_degree(spark, sf):
     return graph.hubs_first(graph.degrees(_star(spark, sf), ["graph_id"]))
 
 
-def _line_graph(spark, sf):
-    """A graph per document: the first word of each line leads to the first word of the next."""
-    df = tx.with_lines(spread(table(spark, sf, "documents")).select("doc_id", F.col("text").alias("content")))
-    words = F.transform("lines", lambda l: F.regexp_extract(l, r"^([^ ]*)", 1))
-    df = df.select("doc_id", words.alias("w"))
+WORD_EDGES = """
+  w AS (SELECT doc_id, string_split_regex(text, '[ \n]+') AS w FROM documents),
+  n AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 1)) AS k FROM w),
+  e AS (SELECT DISTINCT doc_id, w[k] AS src, w[k + 1] AS dst FROM n WHERE w[k] <> w[k + 1])"""
+
+
+def _word_graph(spark, sf):
+    """A graph per document: each word of its text leads to the next word."""
+    df = spread(table(spark, sf, "documents")).select("doc_id", F.split("text", "[ \n]+", -1).alias("w"))
     pairs = F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
     return df.select("doc_id", F.array_distinct(F.filter(pairs, lambda e: e["src"] != e["dst"])).alias("edges"))
 
 
+def _word_edges(g):
+    return g.select("doc_id", F.explode_outer("edges").alias("e")).where(F.col("e").isNotNull()).select("doc_id", "e.src", "e.dst")
+
+
 @query("q_graph_clusters")
 def q_graph_clusters(spark, sf):
-    """Clusters of at most eight nodes; the order of the walk has no SQL form, see the tests."""
-    return graph.clusters(_line_graph(spark, sf), "edges", 8, ["doc_id"])
+    """Clusters of at most eight nodes; the order of the walk has no SQL form, see q_cluster_totals and the tests."""
+    return graph.clusters(_word_graph(spark, sf), "edges", 8, ["doc_id"])
+
+
+@query(
+    "q_cluster_totals",
+    f"""WITH {WORD_EDGES}, m AS (SELECT doc_id, src AS node FROM e UNION SELECT doc_id, dst FROM e)
+        SELECT doc_id, count(*) AS nodes, true AS each_once, true AS within_cap, true AS numbered FROM m GROUP BY doc_id""",
+)
+def q_cluster_totals(spark, sf):
+    """What must hold of the clusters of a document: every node in one, none too large, numbers without gaps."""
+    c = graph.clusters(_word_graph(spark, sf), "edges", 8, ["doc_id"])
+    sizes = c.groupBy("doc_id", "cluster_no").agg(F.count("*").alias("n"), F.count_distinct("node").alias("d"))
+    of = sizes.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.count("*").alias("clusters"), F.max("cluster_no").alias("last"))
+    nodes = c.select("doc_id", "node").distinct().groupBy("doc_id").agg(F.count("*").alias("nodes"))
+    return nodes.join(of, "doc_id").select(
+        "doc_id", "nodes", (F.col("nodes") == F.col("n")).alias("each_once"), ((F.col("largest") <= 8) & (F.col("clusters") * 8 >= F.col("nodes"))).alias("within_cap"),
+        (F.col("last") == F.col("clusters")).alias("numbered"),
+    )
 
 
 @query("q_cut_edges")
 def q_cut_edges(spark, sf):
-    g = _line_graph(spark, sf)
-    flat = g.select("doc_id", F.explode_outer("edges").alias("e")).where(F.col("e").isNotNull()).select("doc_id", "e.src", "e.dst")
-    return graph.cut_edges(flat, graph.clusters(g, "edges", 8, ["doc_id"]), ["doc_id"])
+    g = _word_graph(spark, sf)
+    return graph.cut_edges(_word_edges(g), graph.clusters(g, "edges", 8, ["doc_id"]), ["doc_id"])
+
+
+@query("q_cut_totals", f"WITH {WORD_EDGES} SELECT doc_id, count(*) AS edges, true AS agrees FROM e GROUP BY doc_id")
+def q_cut_totals(spark, sf):
+    """Edges of each document, all of them either cut or kept, and cut just when their ends are in two clusters."""
+    agrees = F.col("is_cut") == (F.col("src_cluster") != F.col("dst_cluster"))
+    return q_cut_edges(spark, sf).groupBy("doc_id").agg(F.count("*").alias("edges"), F.bool_and(agrees).alias("agrees"))
 
 
 @query(
     "q_line_degrees",
-    f"""WITH l AS (SELECT doc_id, line_no, regexp_extract(line, '^([^ ]*)', 1) AS w FROM ({lines_sql('SELECT doc_id, text AS content FROM documents', 'doc_id')})),
-          e AS (SELECT DISTINCT a.doc_id, a.w AS src, b.w AS dst FROM l a JOIN l b ON b.doc_id = a.doc_id AND b.line_no = a.line_no + 1 WHERE a.w <> b.w),
-          b AS (SELECT doc_id, src AS node, dst AS near FROM e UNION SELECT doc_id, dst, src FROM e)
+    f"""WITH {WORD_EDGES}, b AS (SELECT doc_id, src AS node, dst AS near FROM e UNION SELECT doc_id, dst, src FROM e)
         SELECT doc_id, node, count(*) AS degree FROM b GROUP BY ALL""",
 )
 def q_line_degrees(spark, sf):
-    flat = _line_graph(spark, sf).select("doc_id", F.explode_outer("edges").alias("e")).where(F.col("e").isNotNull())
-    return graph.degrees(flat.select("doc_id", "e.src", "e.dst"), ["doc_id"])
+    return graph.degrees(_word_edges(_word_graph(spark, sf)), ["doc_id"])
 
 
 # --------------------------------------------------------------------------------------------- labels
@@ -284,13 +312,18 @@ def q_i18n_totals(spark, sf):
     return labels.translation_totals(labels.translate(i.DOCUMENTS.df(spark, sf), I18N))
 
 
-@query(
-    "q_i18n_pages",
-    f"""SELECT corpus, path, replace(replace(content, '【推測】', '【推測】'), '改訂履歴', '改訂履歴') AS content FROM ({i.PROJECT_PAGES.sql()})""",
-)
+#: Pages with all labels of the fixed lists behind their own text.
+LABEL_PAIRS = [*labels.BASE_LABELS["en"], *labels.DOCUMENT_LABELS["en"]]
+LABELLED = "concat(content, chr(10), " + i.q(" / ".join(a for a, _ in LABEL_PAIRS)) + ")"
+LABELLED_SQL = LABELLED
+for _a, _b in LABEL_PAIRS:
+    LABELLED_SQL = f"replace({LABELLED_SQL}, {i.q(_a)}, {i.q(_b)})"
+
+
+@query("q_i18n_pages", f"SELECT corpus, path, {LABELLED_SQL} AS content FROM ({i.PROJECT_PAGES.sql()})")
 def q_i18n_pages(spark, sf):
-    """Pages that hold none of the fixed labels stay as they are."""
-    return i.PROJECT_PAGES.df(spark, sf).select("corpus", "path", labels.translate_document(F.col("content"), "en").alias("content"))
+    pages = i.PROJECT_PAGES.df(spark, sf).selectExpr("corpus", "path", f"{LABELLED} AS content")
+    return pages.select("corpus", "path", labels.translate_document(F.col("content"), "en").alias("content"))
 
 
 LANG_SQL = """
