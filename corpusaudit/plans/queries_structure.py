@@ -345,10 +345,19 @@ def q_migration_changes(spark, sf):
     """SELECT concat('c', c_custkey) AS corpus, '.env' AS source_file,
          CASE c_mktsegment WHEN 'BUILDING' THEN 'mysql' WHEN 'MACHINERY' THEN 'postgresql' WHEN 'FURNITURE' THEN 'sqlsrv' ELSE 'unknown' END AS type,
          concat('h', c_nationkey) AS host, CAST(NULL AS VARCHAR) AS port, CAST(NULL AS VARCHAR) AS database, c_name AS username,
-         CASE WHEN c_acctbal > 0 THEN true END AS has_password, CAST(NULL AS VARCHAR) AS detail FROM customer""",
+         CASE WHEN c_acctbal > 0 THEN true END AS has_password, CAST(NULL AS VARCHAR) AS detail FROM customer
+       UNION ALL SELECT concat('s', s_suppkey), 'prisma/schema.prisma', 'postgresql', NULL, NULL, NULL, NULL, NULL, concat('URL_', s_suppkey) FROM supplier WHERE s_suppkey % 3 = 0
+       UNION ALL SELECT concat('s', s_suppkey), 'a/app.properties', 'mysql', NULL, NULL, NULL, s_name, s_acctbal > 0, concat('jdbc:mysql://<redacted>@h', s_suppkey, '/d') FROM supplier WHERE s_suppkey % 3 = 1
+       UNION ALL SELECT concat('s', s_suppkey), 'x/settings.py', 'sqlite', NULL, NULL, NULL, NULL, NULL, 'default' FROM supplier WHERE s_suppkey % 3 = 2""",
 )
 def q_db_configs(spark, sf):
-    return dbconfig.db_configs(i.ENV_FILES.df(spark, sf))
+    """Environment files of customers; Prisma, Spring and Django files of suppliers."""
+    path = "CASE s_suppkey % 3 WHEN 0 THEN 'prisma/schema.prisma' WHEN 1 THEN 'a/app.properties' ELSE 'x/settings.py' END"
+    text = """CASE s_suppkey % 3 WHEN 0 THEN concat('datasource db {', chr(10), ' provider = "postgresql"', chr(10), ' url = env("URL_', s_suppkey, '")', chr(10), '}')
+              WHEN 1 THEN concat('spring.datasource.url = jdbc:mysql://u:p@h', s_suppkey, '/d', chr(10), 'spring.datasource.username=', s_name, chr(10), CASE WHEN s_acctbal > 0 THEN 'spring.datasource.password=x' ELSE '' END)
+              ELSE concat('DATABASES = {', chr(10), '  "default": {', chr(10), '    "ENGINE": "django.db.backends.sqlite3",', chr(10), '  }', chr(10), '}') END"""
+    more = table(spark, sf, "supplier").selectExpr("concat('s', s_suppkey) AS corpus", f"{path} AS path", f"{text} AS content")
+    return dbconfig.db_configs(i.ENV_FILES.df(spark, sf).select("corpus", "path", "content").unionByName(more))
 
 
 @query(
@@ -520,7 +529,9 @@ FRESH_SQL = """
 
 
 def _dated(spark, sf):
-    head = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("---\nlast_updated: '"), F.expr("date_add(CAST(o_orderdate AS DATE), 3)"), F.lit("'\n")))
+    # three forms of the date, one of them far behind the start of the text
+    form = F.when(F.col("o_orderkey") % 3 == 0, "---\nlast_updated: '").when(F.col("o_orderkey") % 3 == 1, "生成日: ").otherwise("x" * 2100 + "\nGenerated: ")
+    head = F.when(F.col("o_orderstatus") == "P", F.concat(form, F.expr("date_add(CAST(o_orderdate AS DATE), 3)"), F.lit("'\n")))
     docs = table(spark, sf, "orders").select(
         F.col("o_orderpriority").alias("corpus"),
         F.concat("o_orderkey", F.lit(".md")).alias("path"),
@@ -546,13 +557,28 @@ def q_stale_first(spark, sf):
 
 @query(
     "q_badge",
-    f"""WITH {FRESH_SQL} SELECT corpus, path, concat('# T', chr(10), chr(10), '> 📊 鮮度: ', CASE
+    f"""WITH {FRESH_SQL} SELECT corpus, path, concat(CASE WHEN k % 3 = 0 THEN concat('# T', chr(10), chr(10)) WHEN k % 3 = 1 THEN concat('intro', chr(10)) ELSE '' END, '> 📊 鮮度: ', CASE
           WHEN age_days > 7 THEN concat('⚠️ 要更新（生成日: ', doc_date, ', ソース最終更新: ', source_date, ' — ', age_days, '日経過）')
-          ELSE concat('✅ 最新（生成日: ', doc_date, ', ソース最終更新: ', coalesce(CAST(source_date AS VARCHAR), '不明'), '）') END, chr(10), 'x') AS page FROM j""",
+          ELSE concat('✅ 最新（生成日: ', doc_date, ', ソース最終更新: ', coalesce(CAST(source_date AS VARCHAR), '不明'), '）') END, CASE WHEN k % 3 = 2 THEN chr(10) ELSE '' END, chr(10), 'x') AS page
+        FROM (SELECT *, CAST(replace(path, '.md', '') AS BIGINT) AS k FROM j)""",
 )
 def q_badge(spark, sf):
+    """Pages with a title, with an old badge, and with neither."""
     line = freshness.badge(F.col("doc_date"), F.col("source_date"))
-    return _dated(spark, sf).select("corpus", "path", freshness.with_badge(F.lit("# T\nx"), line).alias("page"))
+    k = F.replace("path", F.lit(".md"), F.lit("")).cast("long") % 3
+    page = F.when(k == 0, "# T\nx").when(k == 1, "intro\n> 📊 鮮度: old\nx").otherwise("x")
+    return _dated(spark, sf).select("corpus", "path", freshness.with_badge(page, line).alias("page"))
+
+
+@query(
+    "q_fact_dates",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) + 1 ELSE CAST(o_orderdate AS DATE) END AS day FROM orders",
+)
+def q_fact_dates(spark, sf):
+    """Dates of fact files in their two forms, and without one."""
+    day = "date_add(CAST(o_orderdate AS DATE), 1)"
+    text = F.expr(f"""CASE WHEN o_orderkey % 3 = 0 THEN concat('generated_at: "', {day}, '"') WHEN o_orderkey % 3 = 1 THEN concat('date: ', {day}) ELSE 'none' END""")
+    return table(spark, sf, "orders").select("o_orderkey", freshness.document_date(text, F.col("o_orderdate"), freshness.FACT_DATES).alias("day"))
 
 
 # --------------------------------------------------------------------------------------------- impact
