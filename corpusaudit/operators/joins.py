@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
 # what may be broadcast, counted before it is: far below the memory of an executor
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
@@ -14,11 +13,13 @@ BROADCAST_BYTES = 64 << 20
 def join_per_corpus(rows: DataFrame, facts: DataFrame, spread: list[str], how: str = "left") -> DataFrame:
     """Join rows to a table with one row per corpus.
 
-    The rows of a corpus are spread over ``SALTS`` buckets by the columns in ``spread`` and the one fact
-    row is repeated for each bucket, so a corpus with a third of all rows is never one task.
+    The rows of a corpus are spread over as many buckets as the session has shuffle partitions, by the columns in
+    ``spread``, and the one fact row is repeated for each bucket, so a corpus with a third of all rows is never one
+    task, and on a larger cluster it is more tasks.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, ["corpus", "_salt"], how).drop("_salt")
 
 
