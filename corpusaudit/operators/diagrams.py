@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -278,6 +279,21 @@ def diagram_overflow(files: DataFrame) -> DataFrame:
     )
 
 
+def oversized_diagrams(files: DataFrame) -> DataFrame:
+    """Whole diagrams that should be split, leaving out those that are parts already: corpus, path, kind, count, max_allowed.
+
+    Counted are entities, messages, nodes of the longest chain, and states.
+    """
+    from corpusaudit.operators.graph import chain_depth
+
+    whole = files.where(F.col("path").endswith(".mmd") & ~is_split_part(F.col("path")))
+    df = tx.with_lines(whole.select(*KEY, "content")).withColumn("kind", kind_of(F.col("content")))
+    limit = {"erDiagram": "er_entities", "sequenceDiagram": "sequence_messages", "flowchart": "flowchart_vertical_nodes", "stateDiagram": "flowchart_vertical_nodes"}
+    count = {"erDiagram": F.size(er_entities()), "sequenceDiagram": F.size(messages()), "flowchart": chain_depth(flow_edges()), "stateDiagram": F.size(states())}
+    parts = [df.where(F.col("kind") == k).select(*KEY, "kind", count[k].cast("long").alias("count"), F.lit(LIMITS[limit[k]]).cast("long").alias("max_allowed")) for k in limit]
+    return reduce(DataFrame.unionByName, parts).where(F.col("count") > F.col("max_allowed"))
+
+
 def _div_balance(line: Column) -> Column:
     return F.regexp_count(line, F.lit("<div")) - F.regexp_count(line, F.lit("</div>"))
 

@@ -71,6 +71,23 @@ def q_overview_edges(spark, sf):
     return diagrams.overview_edges(_grouped(spark, sf))
 
 
+CHAIN = "concat(" + ", chr(10), ".join(f"'a{k} --> a{k + 1}'" for k in range(7)) + ")"
+
+
+@query(
+    "q_oversized",
+    f"""SELECT o_orderpriority AS corpus, concat('diagrams/c', o_orderkey, '.mmd') AS path, 'stateDiagram' AS kind, o_orderkey % 7 + 1 AS count, CAST(4 AS BIGINT) AS max_allowed
+        FROM orders WHERE o_orderkey % 7 >= 4 AND o_orderkey % 5 > 0
+        UNION ALL SELECT o_orderpriority, concat('diagrams/f', o_orderkey, '.mmd'), 'flowchart', 7, 4 FROM orders WHERE o_totalprice > 250000""",
+)
+def q_oversized(spark, sf):
+    """Flowcharts, and chains of up to seven states of which every fifth is a part of a split diagram."""
+    text = f"concat('stateDiagram-v2', chr(10), substring({CHAIN}, 1, CAST(10 * (o_orderkey % 7) AS INT)))"
+    path = "concat('diagrams/c', o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '-part1.mmd' ELSE '.mmd' END)"
+    chains = table(spark, sf, "orders").selectExpr("o_orderpriority AS corpus", f"{path} AS path", f"{text} AS content")
+    return diagrams.oversized_diagrams(i.FLOWCHARTS.df(spark, sf).select("corpus", "path", "content").unionByName(chains))
+
+
 SEQ_LINES = lines_sql(i.MESSAGES.sql())
 ER_LINES = lines_sql(i.ENTITIES.sql())
 KEYWORDS = "^\\s*(participant|actor|Note|end|loop|alt|else|opt|par|rect|critical|break)"
