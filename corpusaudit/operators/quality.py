@@ -137,6 +137,12 @@ def suggestions(missing: DataFrame) -> DataFrame:
     return each.select(*PROJECT, (F.col("at") + 1).alias("rank"), "expected", "missing")
 
 
+def low_citation_files(docs: DataFrame) -> DataFrame:
+    """Files of which less than half of the sections cite a source: corpus, project, path, sections, cited."""
+    m = file_metrics(docs.where(F.col("project").isNotNull()))
+    return m.where((F.col("sections") > 0) & (F.col("cited") * 2 < F.col("sections"))).select("corpus", "project", "path", "sections", "cited")
+
+
 def project_metrics(docs: DataFrame) -> DataFrame:
     """Sums and flags per (corpus, project), with the number of expected files found."""
     m = file_metrics(docs.where(F.col("project").isNotNull())).withColumn(

@@ -86,6 +86,11 @@ def to_do(work: DataFrame, ledger: DataFrame, now: Column, max_age: int = DEFAUL
     return work.join(done, "cache_key", "left_anti")
 
 
+def changed_files(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """corpus, path, change of the files of the corpora that ``facts_state`` calls changed."""
+    return changes.join(state.where(F.col("state") == "changed").select("corpus"), "corpus", "left_semi")
+
+
 def facts_state(current: DataFrame, ledger: DataFrame) -> DataFrame:
     """Per corpus: no cache / no commit / unchanged / changed, by the latest entry."""
     last = latest_entries(ledger).select("corpus", F.col("commit").alias("cached"), F.lit(True).alias("has_entry"))

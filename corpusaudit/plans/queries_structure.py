@@ -462,6 +462,20 @@ def q_facts_state(spark, sf):
     return versions.facts_state(CURRENT.df(spark, sf), LEDGER.df(spark, sf))
 
 
+@query(
+    "q_changed_files",
+    f"""WITH s AS (SELECT corpus FROM ({CURRENT.sql()}) JOIN ({LAST_SQL}) USING (corpus) WHERE e.c <> '' AND commit <> '' AND e.c <> commit)
+        SELECT concat('u', o_custkey) AS corpus, CAST(o_orderkey AS VARCHAR) AS path, CASE o_orderkey % 3 WHEN 0 THEN 'changed' ELSE 'added' END AS change
+        FROM orders WHERE o_orderkey % 3 < 2 AND concat('u', o_custkey) IN (SELECT corpus FROM s)""",
+)
+def q_changed_files(spark, sf):
+    """Files of the corpora whose commit has changed since the last entry, by their hashes."""
+    orders = table(spark, sf, "orders").selectExpr("concat('u', o_custkey) AS corpus", "CAST(o_orderkey AS STRING) AS path", "o_orderkey", "CAST(o_totalprice AS STRING) AS content")
+    new = versions.snapshot(orders)
+    old = versions.snapshot(orders.where("o_orderkey % 3 <> 1").withColumn("content", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 'old' ELSE content END")))
+    return versions.changed_files(versions.facts_state(CURRENT.df(spark, sf), LEDGER.df(spark, sf)), versions.compare(old, new))
+
+
 @query(
     "q_ledger_expire",
     f"SELECT count(*) FILTER (epoch(ts) < epoch(TIMESTAMP '{NOW}') - {AGE}) AS removed FROM events",
@@ -628,7 +642,7 @@ METRIC_SQL = f"""
       CASE WHEN regexp_matches(path, '^(manual|architecture)/.*[.]md$') THEN coalesce(cited, 0) ELSE 0 END AS cited,
       CASE WHEN starts_with(path, 'manual/') THEN 1 ELSE 0 END AS inline, 1 AS links,
       CASE WHEN ends_with(path, '04-api-reference.md') THEN api END AS api, CASE WHEN ends_with(path, '05-data-model.md') THEN h24 END AS h24, CASE WHEN ends_with(path, '06-screen-specs.md') THEN h23 END AS h23,
-      ends_with(path, '/00-index.md') AND contains(head, '文書番号') AND contains(head, 'バージョン') AND contains(head, '承認者') AS cover
+      ends_with(path, '/00-index.md') AND contains(content, '文書番号') AND contains(content, 'バージョン') AND contains(content, '承認者') AS cover
     FROM pg LEFT JOIN sn USING (corpus, path) LEFT JOIN hc USING (corpus, path) LEFT JOIN rc USING (corpus, path)),
   pm AS (SELECT corpus, project, CAST(sum(sections) AS BIGINT) AS sections, CAST(sum(cited) AS BIGINT) AS cited, CAST(sum(inline) AS BIGINT) AS inline, count(*) AS links,
       CAST(sum(api) AS BIGINT) AS api_rows, CAST(sum(h24) AS BIGINT) AS model_headings, CAST(sum(h23) AS BIGINT) AS screen_headings, count(*) FILTER (contains(content, '【推測】')) AS speculation,
@@ -670,6 +684,11 @@ def q_project_metrics(spark, sf):
     return m.drop("mmd", "svg", "has_openapi", "has_tier2", "has_tier3", "in_manual")
 
 
+@query("q_low_citations", f"WITH {METRIC_SQL} SELECT corpus, project, path, CAST(sections AS INTEGER) AS sections, CAST(cited AS INTEGER) AS cited FROM fm WHERE sections > 0 AND cited * 2 < sections")
+def q_low_citations(spark, sf):
+    return quality.low_citation_files(_pages(spark, sf))
+
+
 @query(
     "q_axis_scores",
     f"WITH {AXIS_SQL} SELECT corpus, project, axis, grade, CASE grade WHEN 'A' THEN 3 WHEN 'B' THEN 2 ELSE 1 END AS score, value, suggestion FROM ax",

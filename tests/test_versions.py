@@ -41,7 +41,7 @@ def test_freshness(spark):
         "content STRING, modified_at TIMESTAMP",
     )
     got = [r[0] for r in df.select(freshness.document_date(F.col("content"), F.col("modified_at")).cast("string")).collect()]
-    assert got == ["2024-01-02", "2024-01-03", "2024-01-04", "2024-05-05", "2024-05-05", None]
+    assert got == ["2024-01-02", "2024-01-03", "2024-01-04", "2024-05-05", "2024-01-04", None]
     d = dt.date
     docs = spark.createDataFrame(
         [("c", "a", d(2024, 1, 1), d(2024, 1, 8)), ("c", "b", d(2024, 1, 1), d(2024, 1, 9)), ("c", "x", None, d(2024, 1, 9)), ("c", "n", d(2024, 2, 1), None)],
