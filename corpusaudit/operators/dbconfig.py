@@ -37,29 +37,28 @@ def _env(key: str) -> Column:
     return F.regexp_replace(F.trim(value), "^[\"']+|[\"']+$", "")
 
 
-def _row(df: DataFrame, **cols: Column) -> DataFrame:
+def _entry(**cols: Column) -> Column:
     null = F.lit(None).cast("string")
     cols.setdefault("has_password", F.lit(None).cast("boolean"))
-    return df.select("corpus", F.col("path").alias("source_file"), *[cols.get(c, null).alias(c) for c in SCHEMA[2:]])
+    return F.struct(*[cols.get(c, null).alias(c) for c in SCHEMA[2:]])
 
 
 def db_configs(files: DataFrame) -> DataFrame:
-    """One row per connection: source file, type, host, port, database, user, has_password, detail."""
+    """One row per connection: source file, type, host, port, database, user, has_password, detail. One pass over the files."""
     path, text = F.col("path"), F.col("content")
-    env = files.where(path.rlike(r"^\.env(\.[a-z]+)?$") & text.rlike(r"(?m)^DB_(HOST|PORT|DATABASE|USERNAME|PASSWORD|CONNECTION)[ \t]*=[ \t]*\S"))
+    is_env = path.rlike(r"^\.env(\.[a-z]+)?$") & text.rlike(r"(?m)^DB_(HOST|PORT|DATABASE|USERNAME|PASSWORD|CONNECTION)[ \t]*=[ \t]*\S")
     values = {k: _env(v) for k, v in ENV_KEYS.items() if k != "driver"}
-    env_rows = _row(env, type=normalise_driver(_env(ENV_KEYS["driver"])), has_password=_env("DB_PASSWORD") != "", **values)
+    env = _entry(type=normalise_driver(_env(ENV_KEYS["driver"])), has_password=_env("DB_PASSWORD") != "", **values)
 
     provider = r'provider\s*=\s*"(\w+)"'
-    prisma = files.where((path == "prisma/schema.prisma") & text.rlike(provider))
+    is_prisma = (path == "prisma/schema.prisma") & text.rlike(provider)
     env_var = F.coalesce(_found(text, r'url\s*=\s*env\("(\w+)"\)'), F.lit("DATABASE_URL"))
-    prisma_rows = _row(prisma, type=normalise_driver(F.regexp_extract(text, provider, 1)), detail=env_var)
+    prisma = _entry(type=normalise_driver(F.regexp_extract(text, provider, 1)), detail=env_var)
 
     url = r"spring\.datasource\.url\s*=\s*(\S[^\n]*)"
-    spring = files.where(path.endswith(".properties") & text.rlike(url))
+    is_spring = path.endswith(".properties") & text.rlike(url)
     address = F.trim(F.regexp_extract(text, url, 1))
-    spring_rows = _row(
-        spring,
+    spring = _entry(
         type=normalise_driver(F.regexp_extract(address, r"jdbc:(\w+):", 1)),
         username=F.trim(_found(text, r"spring\.datasource\.username\s*=\s*(\S[^\n]*)")),
         has_password=text.rlike(r"spring\.datasource\.password\s*=\s*\S"),
@@ -68,12 +67,13 @@ def db_configs(files: DataFrame) -> DataFrame:
 
     block = r"(?s)DATABASES\s*=\s*\{(.+?)\n\}"
     engine = r"""(?s)['"](\w+)['"]\s*:\s*\{[^{}]*?['"]ENGINE['"]\s*:\s*['"]([^'"]+)['"]"""
-    django = files.where(path.endswith("settings.py") & text.rlike(block)).select(
-        "corpus", "path", F.explode_outer(F.regexp_extract_all(F.regexp_extract(text, block, 1), F.lit(engine), F.lit(0))).alias("content")
-    ).where(F.col("content").isNotNull())
-    driver = F.substring_index(F.regexp_extract("content", engine, 2), ".", -1)
-    django_rows = _row(django, type=normalise_driver(driver), detail=F.regexp_extract("content", engine, 1))
-    return env_rows.unionByName(prisma_rows).unionByName(spring_rows).unionByName(django_rows)
+    is_django = path.endswith("settings.py") & text.rlike(block)
+    found = F.regexp_extract_all(F.regexp_extract(text, block, 1), F.lit(engine), F.lit(0))
+    django = F.transform(found, lambda x: _entry(type=normalise_driver(F.substring_index(F.regexp_extract(x, engine, 2), ".", -1)), detail=F.regexp_extract(x, engine, 1)))
+
+    entries = F.when(is_env, F.array(env)).when(is_prisma, F.array(prisma)).when(is_spring, F.array(spring)).when(is_django, django)
+    each = files.select("corpus", path.alias("source_file"), F.explode_outer(entries).alias("r")).where(F.col("r").isNotNull())
+    return each.select("corpus", "source_file", "r.*")
 
 
 def parse_dsn(dsn: Column) -> Column:
