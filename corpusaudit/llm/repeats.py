@@ -7,27 +7,32 @@ such copies repeat as a whole. Regions that differ are fetched once each and gat
 some megabytes. A shard holds each place of the corpus once, as fragments between separators; its suffix array puts
 equal strings side by side, and the permuted common prefixes tell where neighbours share ``length`` bytes.
 
-An anchor with more different regions than a shard holds is not gathered at all: its strings are counted one by one by their
-hashes, which sums of partial counts do however many there are.
+An anchor with more different regions than a shard holds is not gathered at all: its strings are counted by their hashes,
+in chunks first and then by ranges of hashes, however many there are.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusaudit.llm.common import binaries, mix, written
+from corpusaudit.llm.common import binaries, mix, partitions, written
 from corpusaudit.llm.suffix_array import permuted_prefixes, suffix_array
 
 #: Bytes of regions in a shard, and the number of different regions of an anchor up to which it is gathered.
 SHARD_BYTES = 2 << 20
 GATHERED = 1000
+#: Bytes of fragments whose strings are counted together before they are sent.
+CHUNK_BYTES = 1 << 20
 _SYMBOLS = mix(np.arange(256, dtype=np.uint64), 1)
 
 
@@ -203,32 +208,95 @@ def repeated_runs(texts: DataFrame, length: int, gram: int = 32, across: bool =
     return runs.unionByName(_counted(fetched.where("shard < 0"), kind, length, across)) if hot else runs
 
 
+_PACKED = "chunk long, kind int, bucket int, data binary"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["chunk", "kind", "bucket", "data"])
+
+
+def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of pairs of hashes, where each distinct pair first stands in it, and the place of each pair among them."""
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.empty(0, bool)
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), place
+
+
+def _several(one: np.ndarray, two: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs with the smallest and largest owner and the number of strings of each, and each pair's place."""
+    order, first, place = _distinct(one, two)
+    if not len(first):
+        return one, two, low, high, n, place
+    at = order[first]
+    return one[at], two[at], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.add.reduceat(n[order], first), place
+
+
 def _counted(fragments: DataFrame, kind: str, length: int, across: bool) -> DataFrame:
-    """Runs of strings that occur more than once in fragments, counted by two 64-bit hashes of each string."""
+    """Runs of strings that occur more than once in fragments, counted by two 64-bit hashes of each string.
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Fragments are packed in chunks. A chunk asks once for each distinct string it has, with its number there, the
+    ranges of hashes add up what all chunks have, and answer in the order of the question.
+    """
+    buckets = partitions(fragments.sparkSession)
+    id_type = to_arrow_type(fragments.schema["id"].dataType)
+
+    def hashes(data: list[bytes], scope: list[int], owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        one, two, who = [], [], []
+        for d, x, o in zip(data, scope, owner):
+            t = np.frombuffer(d, np.uint8)
+            for out, seed in ((one, 3), (two, 5)):
+                out.append(string_hashes(t, length, mix(np.uint64(x & 0xFFFFFFFFFFFFFFFF), seed)))
+            who.append(np.full(len(one[-1]), o))
+        one, two, who = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (one, two, who))
+        return _several(one, two, who, who, np.ones(len(one), np.int64))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            rows, one, two, starts = [], [], [], []
-            for row, (data, start, scope) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("data", "start", "scope")))):
-                if len(data) < length:
-                    continue
-                t = np.frombuffer(data, np.uint8)
-                for out, seed in ((one, 3), (two, 5)):
-                    out.append(string_hashes(t, length, mix(np.uint64(scope & 0xFFFFFFFFFFFFFFFF), seed)))
-                rows.append(np.full(len(one[-1]), row))
-                starts.append(start + np.arange(len(one[-1])))
-            if rows:
-                cols = [batch.column(c).take(pa.array(np.concatenate(rows))) for c in ("id", "h")]
-                cols += [pa.array(np.concatenate(x).view(np.int64)) for x in (one, two)] + [pa.array(np.concatenate(starts), pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "one", "two", "start"])
-
-    each = fragments.mapInArrow(strings, f"id {kind}, h long, one long, two long, start int")
-    who = [F.min(F.struct("id", "h")).alias("low"), F.max(F.struct("id", "h")).alias("high"), F.count(F.lit(1)).alias("n")]
-    often = each.groupBy("one", "two").agg(*who).where("n > 1")
-    if across:
-        often = often.where((F.col("low.id") != F.col("high.id")) | (F.col("low.h") != F.col("high.h")))
-    found = each.join(often.select("one", "two"), ["one", "two"], "left_semi")
-    return found.select("id", "h", "start", (F.col("start") + length).alias("end"))
+            rows = [r for r in batch.to_pylist() if len(r["data"]) >= length]
+            sizes = np.cumsum([len(r["data"]) for r in rows])
+            while len(rows):
+                some = max(1, int(np.searchsorted(sizes, CHUNK_BYTES)))
+                part, rows = rows[:some], rows[some:]
+                sizes = sizes[some:] - sizes[some - 1]
+                owner = np.array([xxhash.xxh3_64_intdigest(f"{r['id']}|{r['h']}") for r in part], np.uint64)
+                data, scope = [r["data"] for r in part], [r["scope"] for r in part]
+                one, two, low, high, n, place = hashes(data, scope, owner)
+                where = [(r["id"], r["h"], r["start"], len(r["data"]) - length + 1) for r in part]
+                out = [(chunk, 0, -1, pickle.dumps((where, place.astype(np.int32)), protocol=5))]
+                edges = [0, *np.searchsorted(one, np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)).tolist(), len(one)]
+                out += [(chunk, 1, b, pickle.dumps((one[i:j], two[i:j], low[i:j], high[i:j], n[i:j]), protocol=5)) for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
+                yield _packed(out)
+                chunk += 1
+
+    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
+        asked = [pickle.loads(x) for x in rows["data"]]
+        *_, low, high, n, place = _several(*(np.concatenate([a[i] for a in asked]) for i in range(5)))
+        many = (low != high if across else n > 1)[place]
+        ends = np.cumsum([len(a[0]) for a in asked])[:-1]
+        return pd.DataFrame({"chunk": rows["chunk"], "kind": 2, "bucket": rows["bucket"], "data": [np.packbits(m).tobytes() for m in np.split(many, ends)]})
+
+    def mark(rows: pd.DataFrame) -> pd.DataFrame:
+        asked = rows[rows["kind"] == 1].sort_values("bucket")["data"]
+        answers = rows[rows["kind"] == 2].sort_values("bucket")["data"]
+        many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(pickle.loads(q)[0])) for q, m in zip(asked, answers)]
+        where, place = pickle.loads(rows[rows["kind"] == 0]["data"].iloc[0])
+        flags = np.concatenate(many).astype(bool)[place]
+        out, at = [], 0
+        for i, h, start, n in where:
+            a, b = covered(flags[at : at + n], length)
+            out += [(i, h, start + x, start + y) for x, y in zip(a.tolist(), b.tolist())]
+            at += n
+        ids = pd.Series(pa.array([o[0] for o in out], id_type).to_pandas(types_mapper=pd.ArrowDtype))
+        return pd.DataFrame({"id": ids, **{c: [o[k] for o in out] for k, c in enumerate(("h", "start", "end"), 1)}})
+
+    packed = written(fragments.select("id", "h", "scope", "start", "data").mapInArrow(pack, _PACKED), "strings")
+    answers = packed.where("kind = 1").groupBy("bucket").applyInPandas(lambda rows: add_up(rows), _PACKED)
+    return packed.unionByName(answers).groupBy("chunk").applyInPandas(lambda rows: mark(rows), f"id {kind}, h long, start int, end int")
 
 
 def string_hashes(text: np.ndarray, length: int, seed: np.ndarray) -> np.ndarray:

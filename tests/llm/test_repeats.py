@@ -95,10 +95,11 @@ def rows():
     return [*out, (80, None), (81, ""), (82, "short"), (83, out[1][1]), (84, out[1][1]), (None, out[2][1]), (5, out[5][1]), (6, "other " + passages[0]), (85, "z" * 500), (86, "ab" * 300 + passages[1])]
 
 
-@pytest.mark.parametrize("gathered", [1000, 1])
+@pytest.mark.parametrize("gathered", [1000, 1, 3])
 def test_removal(docs_of, monkeypatch, gathered):
     monkeypatch.setattr(repeats, "GATHERED", gathered)
     monkeypatch.setattr(repeats, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 1500)
     data = [(t or "").encode() for _, t in rows()]
     want = []
     for (i, _), x, m in zip(rows(), data, repeated(data, 80)):
