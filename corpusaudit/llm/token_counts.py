@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from corpusaudit.llm.common import strings
 
-#: Pieces remembered per Python worker (about 80 MB).
-REMEMBERED = 400_000
+#: Pieces remembered per Python worker (about 120 MB).
+REMEMBERED = 600_000
 #: White space on both sides of a blank, or a run at the end: the runs are no longer cut at each blank.
 _RUN = re.compile(r"\s (?:\s|\Z)")
 
@@ -43,8 +43,8 @@ def _byte_letters() -> dict[int, str]:
 _CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Below this, letters and digits are the same in every version of Unicode; other text is cut by the library.
 _STABLE = "\u0250"
-#: The commonest form: a blank, letters (Latin, stable as above), perhaps one mark.
-_SIMPLE = re.compile(r"( [A-Za-zªµºÀ-ÖØ-öø-ɏ]+)([.,]?)")
+#: The commonest form of a piece: letters (Latin, stable as above), perhaps a run of marks.
+_SIMPLE = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ɏ]+)([.,;:!?*&%#$]*)")
 
 
 class ByteLevel:
@@ -69,10 +69,7 @@ class ByteLevel:
     def _text(self, token: str) -> str:
         return bytes(map(self.bytes.__getitem__, token)).decode()
 
-    def pretokens(self, text: str) -> Sequence[str]:
-        simple = _SIMPLE.fullmatch(text)
-        if simple:
-            return simple.groups() if simple[2] else [simple[1]]
+    def pretokens(self, text: str) -> list[str]:
         if text.isascii() or max(text) < _STABLE:
             return _CUT.findall(text)
         return [self._text(p) for p, _ in self.pre.pre_tokenize_str(text)]
@@ -84,17 +81,37 @@ class ByteLevel:
         return self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letters))
 
 
-class Remembered(dict):
-    """Values of a function of a string, emptied when full."""
+class Pieces(dict):
+    """Values of ' ' + piece: the sum of those of its pre-tokens, from a table or by merging. Emptied when full."""
 
-    def __init__(self, fn, most: int = REMEMBERED):
+    def __init__(self, level: ByteLevel, whole: dict, merged: Callable, zero):
         super().__init__()
-        self.fn, self.most = fn, most
-
-    def __missing__(self, key: str):
-        if len(self) >= self.most:
+        self.level, self.whole, self.merged, self.zero = level, whole, merged, zero
+        self.marks: dict[str, object] = {}
+
+    def value(self, text: str):
+        """Value of any text without special strings."""
+        out = self.zero
+        for p in self.level.pretokens(text):
+            out += self.whole.get(p) or self.merged(p)
+        return out
+
+    def __missing__(self, piece: str):
+        simple = _SIMPLE.fullmatch(piece)
+        if simple is None:
+            value = self.value(" " + piece)
+        elif simple[2]:
+            word, marks = simple.groups()
+            if marks not in self.marks:
+                if len(self.marks) >= REMEMBERED:
+                    self.marks.clear()
+                self.marks[marks] = self.value(marks)
+            value = self[word] + self.marks[marks]
+        else:
+            value = self.whole.get(" " + piece) or self.merged(" " + piece)
+        if len(self) >= REMEMBERED:
             self.clear()
-        value = self[key] = self.fn(key)
+        self[piece] = value
         return value
 
 
@@ -103,20 +120,13 @@ class ByteLevelCounter:
 
     def __init__(self, tokenizer):
         self.level = ByteLevel(tokenizer)
-        self.rest = Remembered(lambda p: len(self.level.merged(p)))
-        self.pieces = Remembered(lambda p: self._count(" " + p))
-
-    def _count(self, text: str) -> int:
-        whole, rest = self.level.whole, self.rest
-        return sum(1 if p in whole else rest[p] for p in self.level.pretokens(text))
+        self.pieces = Pieces(self.level, dict.fromkeys(self.level.whole, 1), lambda p: len(self.level.merged(p)), 0)
 
     def _segment(self, text: str) -> int:
-        if not text:
-            return 0
-        if not cuts_at_blanks(text):
-            return self._count(text)
+        if not text or not cuts_at_blanks(text):
+            return self.pieces.value(text)
         first, *rest = text.split(" ")
-        return self._count(first) + sum(map(self.pieces.__getitem__, rest))
+        return self.pieces.value(first) + sum(map(self.pieces.__getitem__, rest))
 
     def __call__(self, text: str) -> int:
         special = self.level.special

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusaudit.llm.common import partitions, strings
-from corpusaudit.llm.token_counts import ByteLevel, Remembered, cuts_at_blanks, is_byte_level
+from corpusaudit.llm.token_counts import ByteLevel, Pieces, cuts_at_blanks, is_byte_level
 
 BLOCK = 128
 #: The share of a block's differences that its width has to hold.
 PERCENTILE = 0.9
 #: Ids gathered before a segment is packed; a longer document makes a longer segment.
-SEGMENT_IDS = 1 << 18
+SEGMENT_IDS = 1 << 20
 FIELDS = ["minima", "widths", "starts", "packed", "patch_starts", "patch_at", "patches"]
 SCHEMA = "part int, segment int, doc_ids array<{kind}>, n_ids array<long>, total long, " + ", ".join(f"{f} binary" for f in FIELDS)
 
@@ -115,20 +115,15 @@ class Encoder:
         self.tok.no_padding()
         self.level = ByteLevel(self.tok) if is_byte_level(self.tok) else None
         if self.level:
-            self.whole = {p: np.uint32(i).tobytes() for p, i in self.level.whole.items()}
-            self.rest = Remembered(lambda p: array("I", [t.id for t in self.level.merged(p)]).tobytes())
-            self.pieces = Remembered(lambda p: self._ids(" " + p))
-
-    def _ids(self, text: str) -> bytes:
-        whole, rest = self.whole, self.rest
-        return b"".join([whole.get(p) or rest[p] for p in self.level.pretokens(text)])
+            whole = {p: np.uint32(i).tobytes() for p, i in self.level.whole.items()}
+            self.pieces = Pieces(self.level, whole, lambda p: array("I", [t.id for t in self.level.merged(p)]).tobytes(), b"")
 
     def __call__(self, text: str) -> bytes:
         """Little-endian u32 ids."""
         if self.level is None or self.level.special and self.level.special.search(text) or not cuts_at_blanks(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         first, *rest = text.split(" ")
-        return self._ids(first) + b"".join(map(self.pieces.__getitem__, rest))
+        return self.pieces.value(first) + b"".join(map(self.pieces.__getitem__, rest))
 
 
 _ENCODERS: dict[str, Encoder] = {}
