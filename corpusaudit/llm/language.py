@@ -123,15 +123,16 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 240, ridge: float = 1e-3)
 def sample_labelled(docs: DataFrame, per_language: int, sample_chars: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """At most ``per_language`` labelled texts of each language, of at most ``sample_chars``, by a hash of the id.
 
-    A hash threshold for each language thins the rows before any are ordered, so no language gathers in one task.
+    A hash threshold for each language thins the rows where they lie, before any are moved or ordered, so no
+    language gathers in one task. The thresholds have a row for each language, as the model has.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.length(text_col) <= sample_chars))
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(1 << 40)).alias("h"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select(F.col("lang").alias("n_lang"), (F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("n"))).alias("below"))
-    thin = rows.join(counts, (F.col("lang") == F.col("n_lang")) & (F.col("h") <= F.col("below")))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    below = [F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int((1 << 40) * min(1.0, 3 * per_language / n)))]
+    thin = rows.where(F.col("h") <= F.element_at(F.create_map(*below), F.col("lang"))) if counts else rows.limit(0)
     order = Window.partitionBy("lang").orderBy("h", "text")
-    return thin.select("lang", "text", F.row_number().over(order).alias("k")).where(F.col("k") <= per_language).select("lang", "text", "k")
+    return thin.select("lang", "text", F.row_number().over(order).alias("k")).where(F.col("k") <= per_language)
 
 
 def fit_language_model(
