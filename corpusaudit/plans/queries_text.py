@@ -277,6 +277,46 @@ def q_name_findings(spark, sf):
     return leakage.name_findings(i.DOCUMENTS.df(spark, sf), names, ["de/"])
 
 
+def _json_file(df, folder):
+    """A configuration file: the rows as one JSON array."""
+    df.select(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).write.text(folder)
+    return folder
+
+
+@query(
+    "q_rule_files",
+    """SELECT 'term' AS "check", 'world' AS corpus, concat(f.n_name, '.md') AS path, 1 AS line_no, 'error' AS severity, r.n_name AS matched, lower(r.n_name) AS expected, 'case' AS message
+       FROM nation f JOIN nation r ON contains(concat('about ', f.n_name), r.n_name)""",
+)
+def q_rule_files(spark, sf):
+    """Terms of a rule file, written from the nations, in a page for each."""
+    from uuid import uuid4
+
+    from corpusaudit.session import checkpoint_dir
+    from corpusaudit.sources.files import read_term_rules
+
+    nations = table(spark, sf, "nation")
+    rules = nations.selectExpr("n_name AS wrong", "lower(n_name) AS correct", "'case' AS context", "false AS in_code")
+    path = _json_file(rules, f"{checkpoint_dir(spark)}/rules-{uuid4().hex}")
+    pages = nations.selectExpr("'world' AS corpus", "concat(n_name, '.md') AS path", "concat('about ', n_name) AS content")
+    return leakage.wrong_terms(pages, read_term_rules(spark, path))
+
+
+@query(
+    "q_routes_file",
+    "SELECT concat('/s/', s_suppkey) AS path, s_name AS name, s_acctbal < 0 AS auth_required FROM supplier WHERE s_acctbal >= 0",
+)
+def q_routes_file(spark, sf):
+    """Routes of a route list, written from the suppliers, that need no login."""
+    from uuid import uuid4
+
+    from corpusaudit.session import checkpoint_dir
+    from corpusaudit.sources.files import read_routes
+
+    routes = table(spark, sf, "supplier").selectExpr("concat('/s/', s_suppkey) AS path", "s_name AS name", "s_acctbal < 0 AS auth_required")
+    return endpoints.filter_routes(read_routes(spark, _json_file(routes, f"{checkpoint_dir(spark)}/routes-{uuid4().hex}")), False)
+
+
 @query("q_benchmark_leak", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def q_benchmark_leak(spark, sf):
     """Documents that hold a whole passage of the benchmark."""
