@@ -165,7 +165,8 @@ def repeated_runs(texts: DataFrame, length: int, gram: int = 32, across: bool =
     whole = regions.where("alike").select("anchor", "region")
     runs = found.join(whole, ["anchor", "region"], "left_semi").select("id", "h", "start", "end")
 
-    several = regions.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # written first, so that both sides of the join are plain exchanges and an anchor of many regions can be split
+    several = written(regions.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
     several = regions.select("anchor", "low.*").join(several, "anchor")
     several = written(several, "several")
     shards = -(-several.where(F.col("m") <= GATHERED).count() * (most + length) // SHARD_BYTES) or 1
