@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusaudit.functions import globs
-from corpusaudit.functions import text as tx
 
 # Fixed values.
 ACTIVE_FLAGS = [

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusaudit.functions import paths
 from corpusaudit.functions import text as tx
 from corpusaudit.operators.citations import LOOSE
 from corpusaudit.operators.lines import with_sections

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from corpusaudit.operators import leakage, literals
 from corpusaudit.operators.leakage import LeakRule, TermRule
