@@ -31,6 +31,8 @@ BLOCK = 4
 K1, B = 1.2, 0.75
 #: Bytes of item text in one index; a larger benchmark is indexed and asked in several such parts.
 INDEX_BYTES = 16 << 20
+#: Windows that ask the index together, which bounds the memory of a task whatever its texts are.
+WINDOWS = 256
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 
@@ -150,7 +152,7 @@ class Index:
         if not self.items or not texts:
             return
         owner, first = np.concatenate(owner), np.concatenate(first)
-        step = max(1, (1 << 22) // (len(self.items) // BLOCK + 1))
+        step = min(WINDOWS, max(16, (1 << 20) // (len(self.items) // BLOCK + 1)))
         for a in range(0, len(owner), step):
             windows = [ids[i][f : f + 2 * ENTRY_WORDS] for i, f in zip(owner[a : a + step], first[a : a + step])]
             window, term = np.repeat(np.arange(len(windows)), list(map(len, windows))), np.concatenate(windows)

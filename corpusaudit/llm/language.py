@@ -98,7 +98,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 240, ridge: float = 1e-3)
     turns = [by[lang][i] for i in range(max(map(len, by.values()))) for lang in languages if i < len(by[lang])][:landmarks]
     grams = [np.unique(model.columns(t)) for t in turns]
     known = np.unique(np.concatenate(grams))
-    column = np.full(len(model.column), len(known), np.int32)
+    column = np.full(len(model.column), len(known), np.int16 if len(known) < 1 << 15 else np.int32)
     column[known] = np.arange(len(known))
     model.column = column
     marks = np.zeros((len(known), len(turns)), np.float32)

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from corpusaudit.llm.common import strings
 
-#: Pieces remembered per Python worker (about 120 MB).
-REMEMBERED = 600_000
+#: Pieces remembered per Python worker (about 60 MB).
+REMEMBERED = 300_000
 #: White space on both sides of a blank, or a run at the end: the runs are no longer cut at each blank.
 _RUN = re.compile(r"\s (?:\s|\Z)")
 
