@@ -3,10 +3,10 @@
 A source gets a share of the budget by weight, at most a number of times its own size; what is above goes to the
 others by weight. A share is filled with whole epochs of the source first. The rest is sampled without
 replacement: a document gets an exponential key whose rate is its quality weight, the smallest keys come first,
-and sizes are summed in that order up to the rest.
+and in that order each document is taken that fits what is left of the rest.
 
 The order of a source is never made in one task. Keys fall into buckets of equal expected numbers; sums of
-buckets find the bucket in which the rest is used up, and only the rows of that bucket are put in order.
+buckets and running sums inside each give what the rows before a row take, in rounds that halve the rest.
 """
 
 from __future__ import annotations
@@ -39,6 +39,42 @@ def source_targets(sizes: DataFrame, share: float, most: float, weights: tuple[f
     return rows.select("source", "source_size", F.least("bound", F.col("weight") * F.col("level")).alias("target"))
 
 
+def sampled(rows: DataFrame) -> DataFrame:
+    """``row`` of what is taken when the rows of each source come in the order of their keys and each is taken if it fits.
+
+    ``rows`` has ``source, bucket, key, id, size, row`` and ``rest``, what may still be taken of the source. In a round,
+    rows of at most half the rest add up; the first of them that no longer fits, or the first larger one that fits what
+    the rows before it leave, ends the round. All before it are settled and less than half the rest is left, so there
+    are at most as many rounds as a rest has bits. What lies behind and still fits goes to the next round.
+    """
+    taken = rows.select("row").limit(0)
+    here = F.struct("bucket", "key", "id", "size", "row")
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("source", "bucket", "key", "id", "size", "row", "rest")
+    while not rows.isEmpty():
+        rows = rows.withColumn("small", 2 * F.col("size") <= F.col("rest")).withColumn("adds", F.when(F.col("small"), F.col("size")).otherwise(0))
+        buckets = rows.groupBy("source", "bucket").agg(F.sum("adds").alias("words"))
+        buckets = buckets.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
+        placed = rows.join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket"))).drop("b_source", "b_bucket")
+        placed = placed.withColumn("upto", F.col("before") + F.sum("adds").over(inside)).withColumn("here", here)
+        placed = written(placed.drop("before", "adds"), "mix")
+        ends = F.when(F.col("small"), F.col("upto") > F.col("rest")).otherwise(F.col("upto") + F.col("size") <= F.col("rest"))
+        used = F.when(F.col("small"), F.col("upto") - F.col("size")).otherwise(F.col("upto") + F.col("size"))
+        end = placed.where(ends).groupBy("source").agg(F.min(F.struct("here", "small", used.alias("used"))).alias("end"))
+        end = end.select(F.col("source").alias("e_source"), "end")
+        settled = placed.join(end, F.col("source").eqNullSafe(F.col("e_source")), "left")
+        before = F.col("end").isNull() | (F.col("here") < F.col("end.here"))
+        takes = F.when(F.col("small"), before).otherwise(F.coalesce(F.col("here") == F.col("end.here"), F.lit(False)))
+        settled = settled.withColumn("takes", takes).withColumn("behind", F.coalesce(F.col("here") > F.col("end.here"), F.lit(False)))
+        settled = settled.withColumn("rest", F.col("rest") - F.coalesce(F.col("end.used"), F.lit(0)))
+        settled = settled.where("takes OR (behind AND size <= rest)")
+        settled = written(settled.select("source", "bucket", "key", "id", "size", "row", "rest", "takes"), "mix")
+        taken = taken.union(settled.where("takes").select("row"))
+        rows = settled.where("NOT takes").drop("takes")
+    return taken
+
+
 def mix_sources(
     docs: DataFrame,
     quality: DataFrame | None = None,
@@ -54,9 +90,10 @@ def mix_sources(
 
     ``size`` is the number of words (null text: 0), ``taken`` = ``copies`` x ``size``. ``quality`` has an id and a
     number ``quality`` (several for an id: the largest counts); documents of quality above 0 are twice as likely,
-    those of 0 half as likely as documents without. The last gap of a source is closed by the largest document
-    that fits it. Keys depend on id and seed only, so reruns agree; ties are broken by id, and rows that
-    repeat an id are told apart by their place in the table written here. A null source is a source and
+    those of 0 half as likely as documents without. A document that does not fit what is left of
+    its source is passed over and the ones behind it go on, so at the end no document left out would fit.
+    Keys depend on id and seed only, so reruns agree; ties are broken by id, then size, and rows that
+    repeat both are told apart by their place in the table written here. A null source is a source and
     comes last; a null id is an id; a source without words gets 0; an empty table an empty result.
     """
     rows = docs.select(
@@ -77,25 +114,9 @@ def mix_sources(
     targets = source_targets(sizes, share, most, weights)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-    buckets = buckets.withColumnRenamed("source", "b_source").join(targets, F.col("b_source").eqNullSafe(F.col("source"))).drop("b_source")
-    # whole buckets: first those used up, then the one in which the rest ends, then those not reached
-    state = F.when(F.col("before") + F.col("words") <= F.col("rest"), 1).when(F.col("before") <= F.col("rest"), 0).otherwise(-1)
-    buckets = buckets.withColumn("state", state).withColumnRenamed("source", "b_source").withColumnRenamed("bucket", "b_bucket")
-    match = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket"))
-    placed = written(rows.join(buckets, match).drop("b_source", "b_bucket", "words"), "mix")
-
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.where("state = 0").withColumn("state", F.when(F.col("before") + F.sum("size").over(inside) <= F.col("rest"), 1).otherwise(-1))
-    chosen = written(placed.where("state <> 0").unionByName(edge), "mix")
-    # the gap that is left, closed by the largest document not yet taken that fits
-    gaps = chosen.groupBy("source").agg(F.sum(F.when(F.col("state") == 1, F.col("size")).otherwise(0)).alias("used"))
-    gaps = gaps.select(F.col("source").alias("g_source"), "used")
-    left = chosen.where("state < 0").join(gaps, F.col("source").eqNullSafe(F.col("g_source")))
-    fits = left.where(F.col("size") <= F.col("rest") - F.col("used"))
-    last = fits.groupBy("g_source").agg(F.max(F.struct("size", -F.col("key"), "row")).alias("best")).select(F.col("best.row").alias("last_row"))
-    out = chosen.join(last, F.col("row") == F.col("last_row"), "left")
-    copies = F.col("epochs") + F.when((F.col("state") == 1) | F.col("last_row").isNotNull(), 1).otherwise(0)
+    rows = written(rows.withColumnRenamed("source", "r_source").join(targets, F.col("r_source").eqNullSafe(F.col("source"))).drop("r_source"), "mix")
+    taken = sampled(rows.where("size > 0 AND size <= rest"))
+    out = rows.join(taken.withColumnRenamed("row", "t_row"), F.col("row") == F.col("t_row"), "left")
+    copies = F.col("epochs") + F.when(F.col("t_row").isNotNull(), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, copies).otherwise(F.col("epochs")).cast("long")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -68,3 +68,30 @@ def test_quality_changes_the_odds(spark, docs_of):
     got = [g for g in mix_sources(docs_of(rows), labels).collect() if g.source == "b"]
     share = [sum(g.copies == 2 for g in got if g.doc_id % 2 == q) for q in (0, 1)]
     assert share[1] > 1.5 * share[0]
+
+
+def test_documents_behind_one_that_does_not_fit(spark, docs_of):
+    """Each source has many short documents and long ones that overshoot somewhere in the order."""
+    r = random.Random(3)
+    rows = [(i, "w " * r.choice([1, 2, 7, 100]), "en", s) for i in range(2000) for s in [r.choice("abcd")]]
+    rows += [(3000 + i, "w " * 12_000, "en", "abcd"[i % 4]) for i in range(8)]
+    got = mix_sources(docs_of(rows), share=1.4).collect()
+    by = {s: [g for g in got if g.source == s] for s in "abcd"}
+    for mine in by.values():
+        gap, copies = mine[0].target - sum(g.taken for g in mine), min(g.copies for g in mine)
+        assert gap >= 0
+        # nothing left out would fit: in key order each document is taken that still fits
+        assert all(g.size > gap for g in mine if g.copies == copies) or gap == 0
+        whole = mine[0].target // mine[0].source_size
+        from_keys = keys_of(spark, [g.doc_id for g in mine])
+        rest, want = mine[0].target - whole * mine[0].source_size, set()
+        for g in sorted(mine, key=lambda g: from_keys[g.doc_id]):
+            if g.size <= rest:
+                rest -= g.size
+                want.add(g.doc_id)
+        assert {g.doc_id for g in mine if g.copies > whole} == want
+
+
+def keys_of(spark, ids):
+    rows = spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("id", "-ln((shiftrightunsigned(xxhash64(id, 20240229), 11) + 0.5D) / 9007199254740992D) AS key")
+    return {r.id: r.key for r in rows.collect()}
