@@ -33,8 +33,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a benchmark item; one of fewer than five words, such as a bare answer, has to be all the text."""
+    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), least_words=decontaminate.SHINGLE)
     hits = written(hits.select(F.col("doc_id").alias("hit_id")).distinct(), "hits")
     return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
 

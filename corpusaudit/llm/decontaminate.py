@@ -1,6 +1,7 @@
 """Benchmark decontamination: a BM25 index of the test items, asked with every passage of the training texts.
 
-Items are cut into entries of at most 128 words. A posting has the BM25 impact of a word in an entry as a part of the
+Items are cut into entries of nearly equal length, at most 128 words, so an entry of a longer item has 64 at least and
+counts for itself. A posting has the BM25 impact of a word in an entry as a part of the
 entry's own score, so a score is the part of an entry that a passage accounts for, and one threshold serves all.
 Entries stand in blocks; an index keeps the largest impact of a word overall and in each block. Passages are all
 windows of 256 words, every 128 words, so each run of up to 129 words lies whole in one of them. A passage is left
@@ -27,6 +28,8 @@ from corpusaudit.llm.common import mix, strings
 
 ENTRY_WORDS = 128
 SHINGLE = 5
+#: Shorter items are hit only by a text that consists of the item.
+LEAST_WORDS = 2
 BLOCK = 4
 K1, B = 1.2, 0.75
 #: Bytes of item text in one index; a larger benchmark is indexed and asked in several such parts.
@@ -52,8 +55,10 @@ def entries_of(text: str) -> list[tuple[list[str], int]]:
     head = len(words_of(text[:marked])) if marked else sum(map(len, sentences[:-1]))
     words = words_of(text)
     out = []
-    for a in range(0, len(words), ENTRY_WORDS):
-        part = words[a : a + ENTRY_WORDS]
+    pieces = -(-len(words) // ENTRY_WORDS)
+    for k in range(pieces):
+        a = k * len(words) // pieces
+        part = words[a : (k + 1) * len(words) // pieces]
         cut = head - a
         out.append((part, cut if 0 < cut < len(part) else 0))
     return out
@@ -139,9 +144,9 @@ class Index:
         key, score = key[starts][score >= threshold], score[score >= threshold]
         return key // max(1, len(self.items)), key % max(1, len(self.items)), score
 
-    def hits(self, texts: list[str], threshold: float, similarity: float) -> Iterator[tuple]:
+    def hits(self, texts: list[str], threshold: float, similarity: float, least: int = LEAST_WORDS) -> Iterator[tuple]:
         """(text, item, first word of the passage, score, overlap, question overlap, answer overlap): the best passage
-        of each item in each text."""
+        of each item in each text. Entries of fewer than ``least`` words are hit only by texts that have no other words."""
         ids, owner, first = [], [], []
         for i, text in enumerate(texts):
             words = words_of(text)
@@ -159,10 +164,12 @@ class Index:
             pair = np.sort((window * len(self.words) + term)[term >= 0])
             pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
             found = self.retrieve(pair // len(self.words), pair % len(self.words), len(windows), threshold)
-            yield from self._verified(windows, owner[a : a + step], first[a : a + step], found, similarity)
+            yield from self._verified(windows, owner[a : a + step], first[a : a + step], found, similarity, ids, least)
 
-    def _verified(self, windows, owner, first, found, similarity) -> Iterator[tuple]:
+    def _verified(self, windows, owner, first, found, similarity, ids, least) -> Iterator[tuple]:
         for w, e, score in zip(*found):
+            if len(self.entries[e]) < least and not np.array_equal(self.entries[e], ids[owner[w]]):
+                continue
             entry, head, window = self.entries[e], self.heads[e], windows[w]
             whole = overlap(entry, window)
             if whole >= similarity:
@@ -196,12 +203,15 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """One row per document and item that a passage of the document contains: id, ``item_id``, ``passage`` (its first
     word), ``score``, ``overlap``, ``question_overlap``, ``answer_overlap``.
 
     Words are runs of letters and digits in lower case. A hit has at least ``threshold`` of the entry's BM25 score and
-    ``similarity`` of its shingles of five words (an item of fewer words: the whole item). Null and empty texts have no words and no hits,
+    ``similarity`` of its shingles of five words (an item of fewer words: the whole item, word
+    by word). An item of fewer than ``least_words`` words, found in nearly any text, is hit only by a document that has
+    just these words. Null and empty texts have no words and no hits,
     null ids pass through, repeated rows give repeated hits, repeated items hits of their ids, a null item id is an id;
     without items, or without documents, the result is empty. Documents are read once for each part of the
     benchmark of ``INDEX_BYTES``, the bound of what is broadcast.
@@ -237,7 +247,7 @@ def contaminated(
         def ask(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column("id").to_pylist()
-                rows = [(ids[h[0]], *h[1:]) for h in best_passages(shared.value.hits(strings(batch, "text"), threshold, similarity))]
+                rows = [(ids[h[0]], *h[1:]) for h in best_passages(shared.value.hits(strings(batch, "text"), threshold, similarity, least_words))]
                 types = [batch.schema.field("id").type, item_type, pa.int32(), *[pa.float64()] * 4]
                 cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "item_id", "passage", "score", "overlap", "question_overlap", "answer_overlap"])

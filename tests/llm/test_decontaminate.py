@@ -99,3 +99,18 @@ def test_bounds_hold():
             every[index.post_entry[at]] += index.post_impact[at]
         assert sorted(entry) == np.flatnonzero(every >= 0.3).tolist()
         assert np.allclose(score, every[entry])
+
+
+def test_short_tails_and_short_items(spark, docs_of):
+    r = random.Random(5)
+    long = [[f"x{r.randrange(500)}" for _ in range(n - 1)] + ["the"] for n in (128, 129, 130, 257, 300)]
+    for words in long:
+        parts = [p for p, _ in entries_of(" ".join(words))]
+        assert sum(parts, []) == words and max(map(len, parts)) <= 128
+        assert len(words) <= 128 or min(map(len, parts)) >= 64
+    items = [(i, " ".join(w)) for i, w in enumerate(long)] + [(10, "the"), (11, "of the")]
+    docs = [(0, "all the clean texts"), (1, "some of the clean texts"), (2, "The!"), (3, "of the"), *((20 + i, "clean " + " ".join(w)) for i, w in enumerate(long))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole = {(2, 10), (3, 11), *((20 + i, i) for i in range(5))}
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs_of(docs), benchmark).collect()} == {(1, 11), *whole}
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs_of(docs), benchmark, least_words=5).collect()} == whole
