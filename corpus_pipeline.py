@@ -1,5 +1,7 @@
 """From documents to token files: language, near-duplicates, benchmark, mixture, tokens.
 
+Stages decide by row: a document is known by its id, a hash of its whole text and one of its other columns, so rows
+with null or repeated ids but other texts are documents of their own, and only rows equal in all columns are one.
 Each stage works on all that the one before kept, and passes on the columns of ``documents``; the last returns what
 it reads back from the files it wrote. A null text counts as empty and is rejected by the first stage, as is a text
 without letters; an empty table gives an empty result at every stage.
@@ -17,6 +19,14 @@ from corpusaudit.session import configure
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
+KEY = "document_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``KEY``, ordered by id, null ids last, then by text."""
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2("text", 256).alias("text"), F.xxhash64(F.lit(0), *others).alias("others"))
+    return docs.withColumn(KEY, key)
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,25 +36,28 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with near fingerprints the one with the smallest id; of rows that repeat that id, one."""
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """Of documents with near fingerprints the one with the smallest key; of rows equal in all columns, one."""
+    docs = keyed(docs)
+    kept = simhash.near_duplicates(docs, id_col=KEY).where(F.col(KEY) == F.col("component_id"))
+    kept = kept.select(F.col(KEY).alias("kept_key")).distinct()
+    return docs.join(kept, F.col(KEY) == F.col("kept_key"), "left_semi").dropDuplicates([KEY]).drop(KEY)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item; one of fewer than five words, such as a bare answer, has to be all the text."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), least_words=decontaminate.SHINGLE)
-    hits = written(hits.select(F.col("doc_id").alias("hit_id")).distinct(), "hits")
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    docs = keyed(docs)
+    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), id_col=KEY, least_words=decontaminate.SHINGLE)
+    hits = written(hits.select(F.col(KEY).alias("hit_key")).distinct(), "hits")
+    return docs.join(hits, F.col(KEY) == F.col("hit_key"), "left_anti").drop(KEY)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; documents that it leaves out go."""
-    mix = mixing.mix_sources(docs, table(spark, sf_dir, "labels"))
-    taken = mix.groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    rows = keyed(docs)
+    mix = mixing.mix_sources(rows, table(spark, sf_dir, "labels"), id_col=KEY, label_col="doc_id")
+    taken = mix.groupBy(F.col(KEY).alias("taken_key")).agg(F.sum("copies").alias("copies")).where("copies > 0")
+    rows = rows.join(taken, F.col(KEY) == F.col("taken_key")).dropDuplicates([KEY])
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,24 +85,26 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    label_col: str | None = None,
 ) -> DataFrame:
     """One row per document: id, ``source, size, source_size, target, copies, taken``.
 
-    ``size`` is the number of words (null text: 0), ``taken`` = ``copies`` x ``size``. ``quality`` has an id and a
-    number ``quality`` (several for an id: the largest counts); documents of quality above 0 are twice as likely,
+    ``size`` is the number of words (null text: 0), ``taken`` = ``copies`` x ``size``. ``quality`` has an id (the
+    column ``label_col`` of both, or else ``id_col``) and a number ``quality`` (several for an id: the largest counts); documents of quality above 0 are twice as likely,
     those of 0 half as likely as documents without. A document that does not fit what is left of
     its source is passed over and the ones behind it go on, so at the end no document left out would fit.
     Keys depend on id and seed only, so reruns agree; ties are broken by id, then size, and rows that
     repeat both are told apart by their place in the table written here. A null source is a source and
     comes last; a null id is an id; a source without words gets 0; an empty table an empty result.
     """
+    label_col = label_col or id_col
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size")
+        F.col(id_col).alias("id"), F.col(label_col).alias("label_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size")
     )
     rate = F.lit(1.0)
     if quality is not None:
-        best = quality.groupBy(F.col(id_col).alias("q_id")).agg(F.max("quality").alias("quality"))
-        rows = rows.join(best, F.col("id") == F.col("q_id"), "left").drop("q_id")
+        best = quality.groupBy(F.col(label_col).alias("q_id")).agg(F.max("quality").alias("quality"))
+        rows = rows.join(best, F.col("label_id") == F.col("q_id"), "left").drop("q_id")
         rate = F.when(F.col("quality").isNull(), 1.0).when(F.col("quality") > 0, 2.0).otherwise(0.5)
     uniform = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) + 0.5) / float(1 << 53)
     rows = rows.select("id", "source", "size", (-F.log(uniform) / rate).alias("key"), (1 - F.pow(uniform, 1 / rate)).alias("place"))

@@ -76,3 +76,26 @@ def test_run(spark):
     out = pipeline.run(spark, SF)
     assert out.count() > 100 and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert pipeline.ORACLE_SQL is None
+
+
+def test_rows_with_null_or_repeated_ids_are_judged_for_themselves(spark, tmp_path):
+    import random
+
+    r = random.Random(11)
+    texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(200)) for _ in range(6)]
+    item = " ".join(f"b{i}" for i in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(5, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (1, texts[4])]
+    rows = [*clean, (5, texts[4]), (None, texts[4]), (None, texts[0] + " " + item + " " + texts[5]), (5, texts[5] + " " + item + " " + texts[1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    order = lambda found: sorted(found, key=str)
+    one = written(pipeline.one_of_each_group(spark, docs.unionAll(docs.limit(3)).repartition(4), str(tmp_path)), "test-rows")
+    assert order((x.doc_id, x.text) for x in one.collect()) == order([*clean, *rows[7:]])
+    two = written(pipeline.without_benchmark(spark, one, str(tmp_path)), "test-rows")
+    assert order((x.doc_id, x.text) for x in two.collect()) == order(clean)
+    copies = {}
+    for x in pipeline.mixed(spark, two, str(tmp_path)).collect():
+        copies[x.doc_id, x.text] = copies.get((x.doc_id, x.text), 0) + 1
+    # 1.5 times five texts of 200 words: seven texts and no half one
+    assert set(copies) == set(clean) and sorted(copies.values()) == [1, 1, 1, 2, 2]
