@@ -31,7 +31,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labels teach; the rest goes."""
-    model = language.fit_language_model(docs)
+    model = language.fit_language_model(docs, calibrate=True)
     return language.keep_known_languages(docs, model)
 
 

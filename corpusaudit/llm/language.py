@@ -6,6 +6,10 @@ kernel. Landmark texts give Nystroem features, on which ridge regression is fitt
 As a kernel with a landmark is an inner product of presence vectors, a batch of texts is scored by two matrix
 products: presence by landmarks, and that by the fitted weights.
 
+Whether a text is in a learned language at all is told by the margin between its two best languages, which is near 1 for
+a text of a learned language and near 0 for others however many languages there are. The level that parts the two is
+calibrated on rows held out, with each language left out of a fit in turn.
+
 The fit is on the driver over a sample of bounded size (parameters ``per_language``, ``landmarks``, ``sample_chars``);
 scoring covers every whole text, where the data lies.
 """
@@ -26,6 +30,12 @@ from corpusaudit.llm.common import strings
 CLASSES = 128
 UNDETERMINED = "und"
 _BATCH = 64
+#: Texts with fewer distinct n-grams have too little evidence for a margin and go by their letters alone.
+SHORT = 64
+#: Margin asked where fewer than three languages leave nothing to calibrate on.
+LEVEL = 0.5
+#: Languages are left out one by one, or in so many groups if there are more.
+LEFT_OUT = 8
 
 
 def letters_of(text: str) -> np.ndarray:
@@ -39,16 +49,21 @@ class Model:
     column: np.ndarray  # column of each n-gram of classes; the last column is of n-grams no landmark has
     landmarks: np.ndarray  # presence of n-grams x landmarks, each landmark divided by the root of its number
     weights: np.ndarray  # (landmarks + 1) x languages
+    level: float = LEVEL  # margin of a text in a learned language
 
     def columns(self, text: str) -> np.ndarray:
-        """Columns of the n-grams of a text, repeats included; runs of other characters count as one gap."""
+        """Columns of the n-grams of a text, repeats included."""
+        return self.column[self.grams(text)]
+
+    def grams(self, text: str) -> np.ndarray:
+        """Numbers of the n-grams of a text, repeats included; runs of other characters count as one gap."""
         c = self.classes[letters_of(text)]
         c = np.concatenate([[0], c, [0]]).astype(np.int32)
         c = c[(c > 0) | np.concatenate([[True], c[:-1] > 0])]
         two = c[:-1] * CLASSES + c[1:]
         three = two[:-1] * CLASSES + c[2:]
         # one letter: 0..C-1, two: from C, three: from C + C^2
-        return np.concatenate([self.column[c], self.column[two + CLASSES], self.column[three + CLASSES + CLASSES**2]])
+        return np.concatenate([c, two + CLASSES, three + CLASSES + CLASSES**2])
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Normalised kernels with the landmarks, and a constant."""
@@ -77,6 +92,63 @@ class Model:
         return langs, scores
 
 
+    def margins(self, texts: list[str]) -> np.ndarray:
+        """Half the distance between the two best languages of each text; of a single language 1."""
+        if len(self.languages) < 2:
+            return np.full(len(texts), float(len(self.languages)))
+        parts = [self.features(texts[a : a + _BATCH]) @ self.weights for a in range(0, len(texts), _BATCH)]
+        best = np.sort(np.concatenate(parts or [np.empty((0, 2))]), axis=1)
+        return (best[:, -1] - best[:, -2]) / 2
+
+    def known(self, texts: list[str]) -> list[bool]:
+        """Whether each text is in a learned language: at least half of its letters are of the sample, and the margin
+        reaches the level or the text is too short for one."""
+        out = []
+        for text, margin in zip(texts, self.margins(texts)):
+            c = self.classes[letters_of(text)]
+            letters, own = int((c > 0).sum()), int((c > 1).sum())
+            out.append(bool(self.languages) and 0 < letters <= 2 * own and (margin >= self.level or self.is_short(text)))
+        return out
+
+    def is_short(self, text: str) -> bool:
+        return 3 * len(text) < SHORT or len(text) < SHORT and len(np.unique(self.grams(text))) < SHORT
+
+
+def calibrated_level(rows: list[tuple[str, str]], landmarks: int) -> float:
+    """The margin with the fewest errors, as parts of each kind, between held-out rows of learned languages and of languages
+    left out; in the middle of the margins that do equally well.
+
+    Models are fitted on every other row of each language, without one language (or group of ``LEFT_OUT``) in turn, and
+    asked about the rest.
+    """
+    languages = sorted({lang for lang, _ in rows})
+    if len(languages) < 3:
+        return LEVEL
+    by = {lang: [t for x, t in rows if x == lang] for lang in languages}
+    taught = [(lang, t) for lang in languages for t in by[lang][::2]]
+    asked = [(lang, t) for lang in languages for t in by[lang][1::2]]
+    inside, outside = [], []
+    groups = min(LEFT_OUT, len(languages))
+    for g in range(groups):
+        out = set(languages[g::groups])
+        if len(languages) - len(out) < 2:
+            continue
+        model = fit([r for r in taught if r[0] not in out], landmarks)
+        long = [(lang, t) for lang, t in asked if not model.is_short(t)]
+        for (lang, _), margin in zip(long, model.margins([t for _, t in long])):
+            (outside if lang in out else inside).append(margin)
+    if not inside or not outside:
+        return LEVEL
+    inside, outside = np.sort(inside), np.sort(outside)
+    at = np.unique(np.concatenate([inside, outside]))
+    middle = (at[1:] + at[:-1]) / 2
+    if not len(middle):
+        return LEVEL
+    wrong = np.searchsorted(inside, middle) / len(inside) + 1 - np.searchsorted(outside, middle) / len(outside)
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+    return float((at[best[0]] + at[best[-1] + 1]) / 2) if len(best) == best[-1] - best[0] + 1 else float(middle[best[0]])
+
+
 def fit(rows: list[tuple[str, str]], landmarks: int = 240, ridge: float = 1e-3) -> Model:
     """A model from (language, text) rows; landmarks are taken in turn from the languages."""
     languages = sorted({lang for lang, _ in rows})
@@ -143,10 +215,18 @@ def fit_language_model(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
+    calibrate: bool = False,
 ) -> Model:
-    """Fit on a sample of ``labelled`` bounded by the parameters; without labelled text the model knows no language."""
+    """Fit on a sample of ``labelled`` bounded by the parameters; without labelled text the model knows no language.
+
+    ``calibrate`` also finds the level that ``keep_known_languages`` asks for, by further fits on half the sample.
+    """
     rows = sample_labelled(labelled, per_language, sample_chars, id_col, text_col, lang_col).collect()
-    return fit([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["k"], r["lang"]))], landmarks)
+    rows = [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["k"], r["lang"]))]
+    model = fit(rows, landmarks)
+    if calibrate:
+        model.level = calibrated_level(rows, landmarks)
+    return model
 
 
 def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,16 +247,17 @@ def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def keep_known_languages(docs: DataFrame, model: Model, least: float = 0.25, text_col: str = "text") -> DataFrame:
-    """The documents, all columns, whose language is one the model knows with a score of at least ``least``.
+def keep_known_languages(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents, all columns, that are in a language the model knows (``Model.known``).
 
-    Row-local: nothing is shuffled. Texts that are null or have no letter go; an empty table stays empty.
+    Row-local: nothing is shuffled. Texts that are null or have no letter go, and so do texts whose letters are mostly
+    not those of the sample or whose margin is below the model's level; a text too short for a margin stays if its
+    letters are known. Of a model of one language only the letters count. An empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = shared.value.predict(strings(batch, text_col))
-            yield batch.filter(pa.array([lang != UNDETERMINED and s >= least for lang, s in zip(langs, scores)], pa.bool_()))
+            yield batch.filter(pa.array(shared.value.known(strings(batch, text_col)), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

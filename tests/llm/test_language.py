@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from corpusaudit.llm import language
 from corpusaudit.llm.common import fold
 from corpusaudit.llm.language import fit, fit_language_model, keep_known_languages, predict_languages
 
@@ -49,3 +51,24 @@ def test_edges(spark, docs_of, docs):
     nothing = fit_language_model(docs_of([(1, "a", None), (2, None, "en"), (3, "..", "en")]))
     assert {r.lang_pred for r in predict_languages(rows, nothing).collect()} == {"und"}
     assert predict_languages(rows.where("doc_id < 0"), model).collect() == []
+
+
+def test_languages_that_were_not_learned_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) >= 100")
+    languages = sorted(r.lang for r in docs.select("lang").distinct().collect())
+    foreign = [
+        "Быстрая коричневая лиса прыгает через ленивую собаку и бежит дальше в тёмный лес",
+        "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee metsään, jossa on paljon puita",
+        "素早い茶色の狐はのろまな犬を飛び越える",
+        "Γρήγορη",
+    ]
+    for out in [None, *languages]:
+        learned = docs.where(F.col("lang") != F.lit(out)) if out else docs
+        taught = learned.where("doc_id % 2 = 0")
+        model = language.fit_language_model(taught, calibrate=True)
+        asked = learned.where("doc_id % 2 = 1")
+        assert language.keep_known_languages(asked, model).count() >= 0.95 * asked.count()
+        assert language.keep_known_languages(spark.createDataFrame([(t,) for t in foreign], "text string"), model).count() == 0
+        if out:
+            strange = docs.where(F.col("lang") == F.lit(out))
+            assert language.keep_known_languages(strange, model).count() <= 0.05 * strange.count()
