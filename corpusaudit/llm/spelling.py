@@ -33,6 +33,7 @@ PART_WORDS = 1 << 20
 BITS_PER_WORD = 16
 #: Bytes of filters that are in memory at once, on the driver and in each task.
 BUDGET = 64 << 20
+_SLICE = 256  # blocks of a filter that are put together in one group
 _BITS = 5  # bits of its block that a word sets
 _BASE = 0x9E3779B97F4A7C15 | 1  # odd, so that it has an inverse
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -105,7 +106,7 @@ def shards(vocabulary: DataFrame) -> dict[int, tuple[int, int]]:
 
 
 def bloom_filters(vocabulary: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFrame:
-    """``length, part, bits``: one blocked Bloom filter a row, as 64-bit blocks."""
+    """``length, part, slice, bits``: blocked Bloom filters, so many 64-bit blocks a row."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,14 +116,24 @@ def bloom_filters(vocabulary: DataFrame, sizes: dict[int, tuple[int, int]]) -> D
                 yield pa.RecordBatch.from_arrays(cols, names=["length", "part", "block", "bits"])
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        length, part = int(rows["length"].iloc[0]), int(rows["part"].iloc[0])
-        bits = np.zeros(sizes[length][1], np.uint64)
-        bits[rows["block"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-        return pd.DataFrame({"length": [length], "part": [part], "bits": [bits.tobytes()]})
+        bits = np.zeros(_SLICE, np.uint64)
+        bits[rows["block"].to_numpy() % _SLICE] = rows["bits"].to_numpy().view(np.uint64)
+        return rows[["length", "part", "slice"]].head(1).assign(bits=[bits.tobytes()])
 
     placed = vocabulary.select("word").mapInArrow(place, "length long, part long, block long, bits long")
     blocks = placed.groupBy("length", "part", "block").agg(F.bit_or("bits").alias("bits"))
-    return blocks.groupBy("length", "part").applyInPandas(build, "length long, part long, bits binary")
+    sliced = blocks.withColumn("slice", F.floor(F.col("block") / _SLICE))
+    return sliced.groupBy("length", "part", "slice").applyInPandas(build, "length long, part long, slice long, bits binary")
+
+
+def _held(filters: DataFrame, wanted: list[tuple[int, int]], sizes: dict[int, tuple[int, int]]) -> dict[tuple[int, int], np.ndarray]:
+    """The filters of some shards, put together from their slices."""
+    out = {key: np.zeros(-(-sizes[key[0]][1] // _SLICE) * _SLICE, np.uint64) for key in wanted}
+    mine = F.struct("length", "part").isin([F.struct(F.lit(a).cast("long"), F.lit(b).cast("long")) for a, b in wanted])
+    for r in filters.where(mine).toLocalIterator():
+        at = r["slice"] * _SLICE
+        out[r["length"], r["part"]][at : at + _SLICE] = np.frombuffer(r["bits"], np.uint64)
+    return out
 
 
 def passes(sizes: dict[int, tuple[int, int]], budget: int = BUDGET) -> list[list[tuple[int, int]]]:
@@ -185,9 +196,7 @@ def near_words(vocabulary: DataFrame, budget: int = BUDGET) -> DataFrame:
     filters = written(bloom_filters(vocabulary, sizes), "spelling-filters") if sizes else None
     out = None
     for wanted in passes(sizes, budget):
-        at = F.struct("length", "part").isin([F.struct(F.lit(a).cast("long"), F.lit(b).cast("long")) for a, b in wanted])
-        held = {(r["length"], r["part"]): np.frombuffer(r["bits"], np.uint64) for r in filters.where(at).toLocalIterator()}
-        shared = spark.sparkContext.broadcast(held)
+        shared = spark.sparkContext.broadcast(_held(filters, wanted, sizes))
 
         def ask(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
