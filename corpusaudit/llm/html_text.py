@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,13 +28,9 @@ MAIN, CHROME, OPEN = "main", "chrome", "open"
 REPEATED_BYTES = 32
 COVERED = 0.6
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|object|svg|math|canvas|textarea|select|title)\b[^>]*>(?:.*?</(?P=raw)\s*>|(?=.)[^<]*)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_END = re.compile(r"[>\"']")
+_RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title".split())
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -58,28 +55,93 @@ def _words(value: str) -> list[str]:
     return [w.lower() for w in _PART.findall(value)]
 
 
+def _names_boilerplate(found: dict[str, str], in_main: bool) -> bool:
+    """Whether a word of class or id names boilerplate."""
+    for value in (*found.get("class", "").split(), *found.get("id", "").split()):
+        words = set(_words(value))
+        # with-sidebar, no-comments and the like tell about the page; an article's own header has its title
+        if not {"with", "has", "no", "without"} & words and (words & _CHROME_WORDS) - ({"header"} if in_main or words & _MAIN_WORDS else set()):
+            return True
+    return False
+
+
 def _zone(name: str, attrs: str, outer: str, by_form: bool) -> str:
     """Zone of what stands in an element, from its own markup and the zone around it."""
     if outer == CHROME and not (by_form and name in ("article", "main")):
         return CHROME
+    found = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)} if attrs.strip() else {}
     if name in ("article", "main"):
-        return MAIN
+        # reader comments and teasers are articles too, by their markup; what is named a post or a story is the text
+        named = {w for k in ("class", "id") for w in _words(found.get(k, ""))}
+        return CHROME if not named & _MAIN_WORDS and _names_boilerplate(found, False) else MAIN
     if name in _CHROME_TAGS or name == "header" and outer != MAIN:
         return CHROME
-    if name in ("html", "body") or not attrs.strip():
+    if name in ("html", "body") or not found:
         return outer
-    found = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)}
     role = found.get("role", "").lower()
     if role in _CHROME_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
         return CHROME
     if role in ("main", "article") or found.get("itemprop") == "articleBody":
         return MAIN
-    for value in (*found.get("class", "").split(), *found.get("id", "").split()):
-        words = _words(value)
-        # with-sidebar, no-comments and the like tell about the page; an article's own header has its title
-        if not {"with", "has", "no", "without"} & set(words) and (set(words) & _CHROME_WORDS) - ({"header"} if outer == MAIN or set(words) & _MAIN_WORDS else set()):
-            return CHROME
-    return outer
+    return CHROME if _names_boilerplate(found, outer == MAIN) else outer
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name (empty for comments and what is skipped whole), whether it ends an element, attributes.
+
+    One pass forward: what is looked for and not there is looked for once, so the time is linear in the page, however
+    broken it is. A tag ends at the first ``>`` outside quotes; a quote that no later one closes inside the page's last
+    tag is a letter. A script or style that nothing closes reaches to the end, other raw elements to the next tag.
+    """
+    last, missing, at = page.rfind(">"), set(), page.find("<")
+    while 0 <= at:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+            at = page.find("<", end)
+            continue
+        if at > last:
+            return
+        is_end = page.startswith("/", at + 1)
+        found = _NAME.match(page, at + 1 + is_end)
+        if found is None:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = page.find(">", at) + 1
+                yield at, end, "", False, ""
+                at = page.find("<", end)
+            else:
+                at = page.find("<", at + 1)
+            continue
+        end = _end_of_tag(page, found.end(), last)
+        name, attrs = found[0].lower(), page[found.end() : end - 1]
+        if name in _RAW and not is_end:
+            close = None if name in missing else re.compile(rf"</{name}\s*>", re.I).search(page, end)
+            if close:
+                end = close.end()
+            elif name in ("script", "style"):
+                end = len(page)
+            else:
+                missing.add(name)
+                end = page.find("<", end)
+                end = len(page) if end < 0 else end
+            name = ""
+        yield at, end, name, is_end, attrs
+        at = page.find("<", end)
+
+
+def _end_of_tag(page: str, at: int, last: int) -> int:
+    """Behind the ``>`` that ends a tag; there is one at ``last``."""
+    first = page.find(">", at)
+    while True:
+        mark = _TAG_END.search(page, at)
+        if mark is None or mark.start() > last:
+            return first + 1
+        if mark[0] == ">":
+            return mark.end()
+        at = page.find(mark[0], mark.end()) + 1
+        if not at:
+            return first + 1
 
 
 @dataclass
@@ -93,6 +155,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     held: list[str] = []
     stack: list[tuple[str, str, bool]] = []  # name, zone inside, whether a form made it chrome
+    names: Counter[str] = Counter()  # of the stack
     zone, by_form = OPEN, False
 
     def flush() -> None:
@@ -104,23 +167,27 @@ def blocks_of(page: str) -> list[Block]:
     def leave(depth: int) -> None:
         nonlocal zone, by_form
         flush()
+        names.subtract(x[0] for x in stack[depth:])
         del stack[depth:]
         zone, by_form = (stack[-1][1], stack[-1][2]) if stack else (OPEN, False)
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            held.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        name = m["name"]
-        if name is None:
+    for start, end, name, is_end, attrs in tags(page):
+        if start > at:
+            held.append(html.unescape(page[at:start]))
+        at = end
+        if not name:
             continue
-        name = name.lower()
         block = name in _BLOCK
-        if m["end"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None and (block or not any(x[0] in _BLOCK for x in stack[depth + 1 :])):
-                leave(depth)
+        if is_end:
+            if names[name]:
+                depth = len(stack) - 1
+                while stack[depth][0] != name and (block or stack[depth][0] not in _BLOCK):
+                    depth -= 1
+                if stack[depth][0] == name:
+                    leave(depth)
+                elif block:
+                    flush()
             elif block:
                 flush()
             continue
@@ -130,16 +197,17 @@ def blocks_of(page: str) -> list[Block]:
             if stack and stack[-1][0] in _IMPLIED_END and (stack[-1][0] == name or stack[-1][0] == "p"):
                 leave(len(stack) - 1)
             flush()
-        if name in _VOID or m["attrs"].endswith("/") and not block:
+        if name in _VOID or attrs.endswith("/") and not block:
             continue
-        inside = _zone(name, m["attrs"], zone, by_form)
+        inside = _zone(name, attrs, zone, by_form)
         # inline elements and those whose end is implied matter only where they change the zone or nest in one that did
-        if inside == zone and (name in _INLINE or name in _IMPLIED_END) and not any(x[0] == name for x in stack):
+        if inside == zone and (name in _INLINE or name in _IMPLIED_END) and not names[name]:
             continue
         if inside != zone:
             flush()
             by_form = name == "form"
         stack.append((name, inside, by_form))
+        names[name] += 1
         zone = inside
     held.append(html.unescape(page[at:]))
     flush()
@@ -185,7 +253,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Text is the blocks of the marked article in page order, one a line, or on pages without one the open blocks that
     are not covered by strings repeated on other pages of the host. Nothing is cut off or capped. A null page is empty and has
     empty text; pages with a null or odd url share one host without name; rows that repeat an id and text are copies of
-    one page and no evidence for each other; an empty table gives an empty result.
+    one page and no evidence for each other; an empty table gives an empty result. Very long and broken pages take time
+    in proportion to their length.
 
     Pages are parsed where they lie, twice; only the strings around repeated places are shuffled, and the pages
     themselves only if they have no marked article.

@@ -20,6 +20,12 @@ CASES = [
     ("", ""),
     ("no markup at all < 3", "no markup at all < 3"),
     ("<article><span class=ad>x<span>y</span>z</span> after</article>", "after"),
+    ("<article><p>a</p></article><article class='comment'>reader</article><article id=related-teaser>more</article>", "a"),
+    ("<article class='post share-enabled'><p>a</p></article><main class='no-sidebar'>b</main>", "a\nb"),
+    ("<p title=\"open>a</p><b>x</b>", "a\nx"),
+    ("<p>a</p><script>x<p>never closed", "a"),
+    ("<p>a<svg>x<p>b", "a\nb"),
+    ("a <1 b </ c> d <!x> e <?php f", "a <1 b d e <?php f"),
 ]
 
 
@@ -28,6 +34,31 @@ def test_blocks(page, want):
     assert main_text(blocks_of(page), []) == want
 
 
+@pytest.mark.parametrize("page", [
+    "<b" * 5_000_000, "<script>" * 1_250_000, "<b \"" * 2_500_000, "<b '" * 2_500_000 + ">", "<" + "a" * 10_000_000, "<!--" * 2_500_000, "<![" * 3_000_000,
+    "<p>" + "<svg " * 2_000_000, "<" * 10_000_000,
+])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    start = time.time()
+    blocks_of(page)
+    assert time.time() - start < 4
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<span class=ad>", "</div>", "<p>x", "<svg>x", "<div></span>", "<span class=ad></b>", "<b><div></b>", "<li>x</i>", "<a href='>"])
+def test_time_follows_length(unit):
+    import time
+
+    def spent(n):
+        start = time.time()
+        blocks_of(unit * n)
+        return time.time() - start
+
+    spent(1000)
+    assert spent(80_000) < 8 * spent(20_000) + 0.2
+
+
 def test_repeated_boilerplate(spark):
     notice = "<div>All our pages tell you at great length about the terms under which we write them.</div>"
     own = lambda i: " ".join(f"{(i + 3) * 7919 * k % 99991:x}" for k in range(1, 12))
