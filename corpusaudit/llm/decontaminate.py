@@ -7,8 +7,8 @@ Entries stand in blocks; an index keeps the largest impact of a word overall and
 windows of 256 words, every 128 words, so each run of up to 129 words lies whole in one of them. A passage is left
 when the largest impacts of its words add up to less than the threshold; else blocks are left by their own bounds,
 and only the postings of the remaining blocks are added up (block-max WAND, with whole blocks in place of pivots, so
-that all entries above the threshold are found). What is retrieved is verified by shingles of five words: of the
-whole entry, of its question and of its answer.
+that all entries above the threshold are found). What is retrieved is verified by shingles of five words: enough of the
+whole entry, and of its question and of its answer each, has to be in the passage.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ ENTRY_WORDS = 128
 SHINGLE = 5
 #: Shorter items are hit only by a text that consists of the item.
 LEAST_WORDS = 2
+#: Of the question and of the answer, each.
+PARTS = 0.5
 BLOCK = 4
 K1, B = 1.2, 0.75
 #: Bytes of item text in one index; a larger benchmark is indexed and asked in several such parts.
@@ -144,7 +146,7 @@ class Index:
         key, score = key[starts][score >= threshold], score[score >= threshold]
         return key // max(1, len(self.items)), key % max(1, len(self.items)), score
 
-    def hits(self, texts: list[str], threshold: float, similarity: float, least: int = LEAST_WORDS) -> Iterator[tuple]:
+    def hits(self, texts: list[str], threshold: float, similarity: float, least: int = LEAST_WORDS, parts: float = PARTS) -> Iterator[tuple]:
         """(text, item, first word of the passage, score, overlap, question overlap, answer overlap): the best passage
         of each item in each text. Entries of fewer than ``least`` words are hit only by texts that have no other words."""
         ids, owner, first = [], [], []
@@ -164,9 +166,9 @@ class Index:
             pair = np.sort((window * len(self.words) + term)[term >= 0])
             pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
             found = self.retrieve(pair // len(self.words), pair % len(self.words), len(windows), threshold)
-            yield from self._verified(windows, owner[a : a + step], first[a : a + step], found, similarity, ids, least)
+            yield from self._verified(windows, owner[a : a + step], first[a : a + step], found, similarity, ids, least, parts)
 
-    def _verified(self, windows, owner, first, found, similarity, ids, least) -> Iterator[tuple]:
+    def _verified(self, windows, owner, first, found, similarity, ids, least, parts) -> Iterator[tuple]:
         for w, e, score in zip(*found):
             if len(self.entries[e]) < least and not np.array_equal(self.entries[e], ids[owner[w]]):
                 continue
@@ -174,7 +176,8 @@ class Index:
             whole = overlap(entry, window)
             if whole >= similarity:
                 question, answer = (overlap(entry[:head], window), overlap(entry[head:], window)) if head else (whole, whole)
-                yield int(owner[w]), self.items[e], int(first[w]), float(score), whole, question, answer
+                if min(question, answer) >= parts:
+                    yield int(owner[w]), self.items[e], int(first[w]), float(score), whole, question, answer
 
 
 def best_passages(hits: Iterator[tuple]) -> list[tuple]:
@@ -204,13 +207,14 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     least_words: int = LEAST_WORDS,
+    parts_similarity: float = PARTS,
 ) -> DataFrame:
     """One row per document and item that a passage of the document contains: id, ``item_id``, ``passage`` (its first
     word), ``score``, ``overlap``, ``question_overlap``, ``answer_overlap``.
 
-    Words are runs of letters and digits in lower case. A hit has at least ``threshold`` of the entry's BM25 score and
+    Words are runs of letters and digits in lower case. A hit has at least ``threshold`` of the entry's BM25 score,
     ``similarity`` of its shingles of five words (an item of fewer words: the whole item, word
-    by word). An item of fewer than ``least_words`` words, found in nearly any text, is hit only by a document that has
+    by word) and ``parts_similarity`` of those of its question and of its answer, so a question with another answer is none. An item of fewer than ``least_words`` words, found in nearly any text, is hit only by a document that has
     just these words. Null and empty texts have no words and no hits,
     null ids pass through, repeated rows give repeated hits, repeated items hits of their ids, a null item id is an id;
     without items, or without documents, the result is empty. Documents are read once for each part of the
@@ -218,7 +222,7 @@ def contaminated(
     """
     spark = docs.sparkSession
     kind, item_kind = (f.schema[c].dataType.simpleString() for f, c in ((docs, id_col), (benchmark, item_col)))
-    items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).distinct()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +251,7 @@ def contaminated(
         def ask(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column("id").to_pylist()
-                rows = [(ids[h[0]], *h[1:]) for h in best_passages(shared.value.hits(strings(batch, "text"), threshold, similarity, least_words))]
+                rows = [(ids[h[0]], *h[1:]) for h in best_passages(shared.value.hits(strings(batch, "text"), threshold, similarity, least_words, parts_similarity))]
                 types = [batch.schema.field("id").type, item_type, pa.int32(), *[pa.float64()] * 4]
                 cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "item_id", "passage", "score", "overlap", "question_overlap", "answer_overlap"])

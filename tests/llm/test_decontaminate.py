@@ -37,36 +37,39 @@ def shingles(w):
 
 
 def plain(items, docs, threshold, similarity):
-    entries = [(i, words) for i, t in items for words, _ in entries_of(t or "")]
-    df = Counter(w for _, e in entries for w in set(e))
-    mean = sum(len(e) for _, e in entries) / len(entries)
+    entries = [(i, words, head) for i, t in items for words, head in entries_of(t or "")]
+    df = Counter(w for _, e, _ in entries for w in set(e))
+    mean = sum(len(e) for _, e, _ in entries) / len(entries)
     out = set()
 
     def impact(w, e):
         tf = e.count(w)
         return math.log(1 + (len(entries) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(e) / mean))
 
-    own = [sum(impact(w, e) for w in set(e)) for _, e in entries]
+    own = [sum(impact(w, e) for w in set(e)) for _, e, _ in entries]
+
+    def part(e, window):
+        return len(shingles(e) & {tuple(window[k : k + min(5, len(e))]) for k in range(len(window))}) / len(shingles(e))
+
     for d, t in docs:
         words = words_of(t or "")
         for a in range(0, max(1, len(words) - 128), 128):
             window = words[a : a + 256]
-            for (i, e), total in zip(entries, own):
-                if sum(impact(w, e) for w in set(window) & set(e)) / total >= threshold - 1e-12:
-                    have = {tuple(window[k : k + min(5, len(e))]) for k in range(len(window))}
-                    if len(shingles(e) & have) / len(shingles(e)) >= similarity:
+            for (i, e, head), total in zip(entries, own):
+                if sum(impact(w, e) for w in set(window) & set(e)) / total >= threshold - 1e-12 and part(e, window) >= similarity:
+                    if not head or min(part(e[:head], window), part(e[head:], window)) >= 0.5:
                         out.add((d, i))
     return out
 
 
 def test_hits(spark, docs_of, monkeypatch):
     items, docs = items_and_docs()
-    want = plain(items, docs, 0.7, 0.8)
+    want = plain(items, docs, 0.5, 0.8)
     assert len(want) > 20
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = contaminated(docs_of(docs), benchmark).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
-    assert all(r.score >= 0.7 and r.overlap >= 0.8 for r in got)
+    assert all(r.score >= 0.5 and r.overlap >= 0.8 and min(r.question_overlap, r.answer_overlap) >= 0.5 for r in got)
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1500)  # the benchmark in parts
     assert {(r.doc_id, r.item_id) for r in contaminated(docs_of(docs), benchmark).collect()} == want
 
@@ -78,6 +81,27 @@ def test_question_and_answer():
     assert entries_of("") == []
 
 
+def test_another_answer_is_no_hit(spark, docs_of):
+    question = " ".join(f"q{i}" for i in range(40)) + "?"
+    benchmark = spark.createDataFrame([(1, f"{question} The answer is a1 a2 a3 a4.")], "item_id long, text string")
+    docs = docs_of([(1, f"before {question} The answer is a1 a2 a3 a4. after"), (2, f"before {question} It was b1 b2 b3 b4 b5 b6."), (3, "The answer is a1 a2 a3 a4.")])
+    assert [r.doc_id for r in contaminated(docs, benchmark).collect()] == [1]
+    loose = {r.doc_id: r.answer_overlap for r in contaminated(docs, benchmark, parts_similarity=0.0).collect()}
+    assert loose == {1: 1.0, 2: 0.0}
+
+
+def test_repeated_items_are_one(spark, docs_of, monkeypatch):
+    """Equal rows of an item are in one part of the index, once."""
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 200)
+    built = []
+    build = Index.build.__func__
+    monkeypatch.setattr(Index, "build", classmethod(lambda cls, items, *rest: built.append(len(items)) or build(cls, items, *rest)))
+    items = [(1, "one two three four five six")] * 500 + [(2, "one two three four five six"), (3, "seven eight nine ten eleven twelve")]
+    docs = docs_of([(7, "x one two three four five six y")])
+    got = contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(7, 1), (7, 2)] and sum(built) == 3
+
+
 def test_empty_tables(spark, docs_of):
     benchmark = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert contaminated(docs_of([(1, "a b c d e f")]), benchmark.where("item_id > 1")).collect() == []
