@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusaudit.llm import decontaminate, language, mixing, simhash, token_files
+from corpusaudit.llm import decontaminate, language, mixing, simhash_wide, token_files
 from corpusaudit.llm.common import shared_path, table, written
 from corpusaudit.session import configure
 
@@ -23,10 +23,17 @@ KEY = "document_key"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``KEY``, ordered by id, null ids last, then by text."""
-    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    """``document_key``, ordered by id, null ids last, then by text; what the operators read; and ``document``, all
+    columns of a document in one, so that none meets a column of the work on them, whatever its name."""
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2("text", 256).alias("text"), F.xxhash64(F.lit(0), *others).alias("others"))
-    return docs.withColumn(KEY, key)
+    return docs.select(key.alias(KEY), "doc_id", "text", "source", F.struct(*whole).alias("document"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` out of keyed rows."""
+    return rows.select(*[F.col("document").getField(c).alias(c) for c in docs.columns])
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,19 +43,19 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with near fingerprints the one with the smallest key; of rows equal in all columns, one."""
-    docs = keyed(docs)
-    kept = simhash.near_duplicates(docs, id_col=KEY).where(F.col(KEY) == F.col("component_id"))
+    """Of documents that are near by their shingles of five words the one with the smallest key; of equal rows, one."""
+    rows = keyed(docs)
+    kept = simhash_wide.similar_documents(rows, id_col=KEY).where(F.col(KEY) == F.col("component_id"))
     kept = kept.select(F.col(KEY).alias("kept_key")).distinct()
-    return docs.join(kept, F.col(KEY) == F.col("kept_key"), "left_semi").dropDuplicates([KEY]).drop(KEY)
+    return unpacked(rows.join(kept, F.col(KEY) == F.col("kept_key"), "left_semi").dropDuplicates([KEY]), docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item; one of fewer than five words, such as a bare answer, has to be all the text."""
-    docs = keyed(docs)
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), id_col=KEY, least_words=decontaminate.SHINGLE)
+    rows = keyed(docs)
+    hits = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=KEY, least_words=decontaminate.SHINGLE)
     hits = written(hits.select(F.col(KEY).alias("hit_key")).distinct(), "hits")
-    return docs.join(hits, F.col(KEY) == F.col("hit_key"), "left_anti").drop(KEY)
+    return unpacked(rows.join(hits, F.col(KEY) == F.col("hit_key"), "left_anti"), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +64,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(rows, table(spark, sf_dir, "labels"), id_col=KEY, label_col="doc_id")
     taken = mix.groupBy(F.col(KEY).alias("taken_key")).agg(F.sum("copies").alias("copies")).where("copies > 0")
     rows = rows.join(taken, F.col(KEY) == F.col("taken_key")).dropDuplicates([KEY])
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return unpacked(rows, docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
