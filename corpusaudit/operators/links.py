@@ -82,10 +82,16 @@ def resolve_links(links: DataFrame) -> DataFrame:
     return df.withColumn("target_path", paths.resolve(F.col("path"), F.col("_file"))).drop("_file")
 
 
-def targets(files: DataFrame) -> DataFrame:
-    """What a link may point to: one row per file with the slugs of its headings, one per folder.
+def folders_of(path: Column) -> Column:
+    """All folders that a file lies in; the root is one of a file at the top."""
+    folder = paths.dirname(path)
+    return F.concat(paths.parents(folder), F.array(folder))
+
+
+def page_targets(files: DataFrame) -> DataFrame:
+    """One row per file: corpus, target_path, is_file, and the slugs of its headings.
 
-    Only pages are read for headings; of other files and of folders the path is enough.
+    Only pages are read for headings; of other files the path is enough.
     """
     is_page = F.col("path").endswith(PAGE[0])
     # one pass: the text of what is no page is not looked at
@@ -97,35 +103,46 @@ def targets(files: DataFrame) -> DataFrame:
         )
     )
     none = F.array().cast("array<string>")
-    row = lambda df, path, is_file, found: df.select(
-        "corpus", F.col(path).alias("target_path"), F.lit(is_file).alias("is_file"), found.alias("slugs")
-    )
+    return lined.select("corpus", F.col("path").alias("target_path"), F.lit(True).alias("is_file"), F.coalesce(slugs, none).alias("slugs"))
+
+
+def targets(files: DataFrame) -> DataFrame:
+    """What a link may point to: one row per file with the slugs of its headings, one per folder."""
     folders = (
         files.select("corpus", paths.dirname(F.col("path")).alias("folder"))
         .distinct()
-        .select("corpus", F.explode_outer(F.concat(paths.parents(F.col("folder")), F.array("folder"))).alias("folder"))
+        .select("corpus", F.explode_outer(F.concat(paths.parents(F.col("folder")), F.array("folder"))).alias("target_path"))
         .distinct()
     )
-    return row(lined, "path", True, F.coalesce(slugs, none)).unionByName(row(folders, "folder", False, none))
-
+    none = F.array().cast("array<string>")
+    return page_targets(files).unionByName(folders.select("corpus", "target_path", F.lit(False).alias("is_file"), none.alias("slugs")))
 
-def check_links(files: DataFrame, ignore: Iterable[str] = (), skip_fences: bool = False, among: DataFrame | None = None) -> DataFrame:
-    """Broken links of the pages among ``files``: corpus, path, line_no, url, reason, target_path, anchor.
 
-    Targets are looked for in ``among``, where it is given, else in ``files`` themselves. One join: the headings of a target travel with the target as an array, so an anchor needs no second
-    look-up. The target side is unique per key; a target that a third of all links point to is split by
-    the skew join of AQE.
-    """
+def local_links(files: DataFrame, ignore: Iterable[str] = (), skip_fences: bool = False) -> DataFrame:
+    """Links of pages into their own corpus, with target_path and anchor."""
     links = markdown_links(with_suffix(files, PAGE), skip_fences)
-    local = links.where(~is_external(F.col("url")) & ~matches_any(F.col("url"), ignore))
-    found = resolve_links(local).join(targets(files if among is None else among), ["corpus", "target_path"], "left")
-    reason = (
+    return resolve_links(links.where(~is_external(F.col("url")) & ~matches_any(F.col("url"), ignore)))
+
+
+def link_fault() -> Column:
+    """What is wrong with a link, by its ``anchor`` and the ``is_file`` and ``slugs`` of its target; null if nothing."""
+    return (
         F.when(F.col("is_file").isNull(), "file not found")
         .when(F.col("anchor").isNotNull() & ~F.col("is_file"), "cannot read target")
         .when(F.col("anchor").isNotNull() & ~F.array_contains("slugs", F.col("anchor")), "anchor not found")
     )
+
+
+def check_links(files: DataFrame, ignore: Iterable[str] = (), skip_fences: bool = False) -> DataFrame:
+    """Broken links of pages: corpus, path, line_no, url, reason, target_path, anchor.
+
+    One join: the headings of a target travel with the target as an array, so an anchor needs no second
+    look-up. The target side is unique per key; a target that a third of all links point to is split by
+    the skew join of AQE.
+    """
+    found = local_links(files, ignore, skip_fences).join(targets(files), ["corpus", "target_path"], "left")
     return (
-        found.withColumn("reason", reason)
+        found.withColumn("reason", link_fault())
         .where(F.col("reason").isNotNull())
         .select(*KEY, "line_no", "url", "reason", "target_path", "anchor")
     )

@@ -43,12 +43,10 @@ def start_recheck(
     out: str,
     ledger: str,
     checkpoint: str,
-    corpus: Callable[[SparkSession], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Run ``check`` on files whose hash is new; results and hashes are written per batch.
 
-    A check that looks things up in other files gets all of them as its second argument: ``corpus`` reads them, for
-    each batch anew (the newest row of a file counts). What has not changed is not checked again, but can be found.
+    This is for checks that need nothing but the file itself. Links depend on other files: ``link_index`` keeps them.
 
     Folders are named after the batch, so a batch that is replayed after a failure overwrites its own
     output. The ledger is written last: a file counts as done only when its findings are there.
@@ -62,8 +60,7 @@ def start_recheck(
             before = known_hashes(spark, ledger, batch_id)
             fresh = hashes.join(before, ["corpus", "path", "sha256"], "left_anti") if before is not None else hashes
             todo = batch.join(fresh.select("corpus", "path"), ["corpus", "path"], "left_semi")
-            checked = check(todo) if corpus is None else check(todo, newest(corpus(spark)))
-            checked.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            check(todo).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
             fresh.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
         finally:
             batch.unpersist()
@@ -76,13 +73,6 @@ def start_recheck(
     )
 
 
-def newest(files: DataFrame) -> DataFrame:
-    """Of the rows of a file the one modified last."""
-    rest = [c for c in files.columns if c not in ("corpus", "path")]
-    best = F.max_by(F.struct(*rest), F.coalesce("modified_at", F.lit(0).cast("timestamp")))
-    return files.groupBy("corpus", "path").agg(best.alias("f")).select("corpus", "path", "f.*")
-
-
 def known_hashes(spark: SparkSession, ledger: str, before: int | None = None) -> DataFrame | None:
     """Latest hash per file in the ledger, of batches before ``before``; None while it is empty."""
     jvm = spark.sparkContext._jvm

@@ -132,16 +132,6 @@ def test_repeated_header_names(spark):
     assert got == [(1, {"b": "2", "a": "3"}), (2, {"b": "", "a": ""})]
 
 
-def test_recheck_sees_the_whole_corpus(spark, tmp_path):
-    args = (str(tmp_path / "o"), str(tmp_path / "led"), str(tmp_path / "cp"))
-    stored = lambda s: s.read.schema(schemas.FILES).parquet(str(tmp_path / "in"))
-    check = lambda todo, everything: links.check_links(todo, among=everything)
-    for batch in ([("c", "a.md", "# A")], [("c", "b.md", "[x](a.md) [y](gone.md)")]):
-        write_files(spark, tmp_path / "in", *batch)
-        incremental.start_recheck(incremental.stream_files(spark, str(tmp_path / "in")), check, *args, stored).awaitTermination()
-    assert rows(spark.read.parquet(args[0]), "path", "url") == [("b.md", "gone.md")]
-
-
 def test_texts_stay_where_they_lie(spark, files):
     df = files(("c", "routes/a.js", "app.get('/x', f)"), ("c", "b.md", "no link"), ("c", "package.json", '{"dependencies": {"express": "1"}}'))
     routes = endpoints.source_routes(df)
