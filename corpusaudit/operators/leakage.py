@@ -81,6 +81,22 @@ def scan(files: DataFrame, rules: Sequence[LeakRule]) -> DataFrame:
     return found.select(F.lit("leak").alias("check"), *KEY, "line_no", "h.rule", "h.severity", "h.matched", "h.message")
 
 
+def scan_many(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Findings like those of ``scan`` for any number of rules, given as a table.
+
+    ``rules`` has ``name, literal, regex, severity, description``. A rule is looked for by its ``literal``, which all its
+    matches contain, in one pass for all rules; its regex, if it has one, then decides on the lines that contain it.
+    """
+    lines = explode_lines(files.where(~skipped(F.col("path")))).select(*KEY, "line_no", "line")
+    needles = rules.withColumnRenamed("literal", "needle")
+    hits = find_literals(lines, needles, [*KEY, "line_no", "line"], "line", carry=["name", "regex", "severity", "description"])
+    matched = F.when(F.col("regex").isNull(), F.col("needle")).otherwise(F.regexp_substr("line", F.col("regex")))
+    found = hits.withColumn("matched", matched).where(F.col("matched").isNotNull())
+    return found.select(
+        F.lit("leak").alias("check"), *KEY, "line_no", F.col("name").alias("rule"), "severity", "matched", F.col("description").alias("message")
+    )
+
+
 def name_findings(files: DataFrame, names: DataFrame, allow_in: Sequence[str] = NAMES_ALLOWED_IN) -> DataFrame:
     """Project names (``name``) in the lines of files, without regard to case, as findings like those of ``scan``.
 
@@ -138,6 +154,16 @@ def wrong_terms(files: DataFrame, rules: Sequence[TermRule] = tuple(TERM_RULES))
     return found.where(F.col("h").isNotNull()).select(F.lit("term").alias("check"), *KEY, "line_no", "h.severity", "h.matched", "h.expected", "h.message")
 
 
+def wrong_terms_of(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """``wrong_terms`` for any number of rules, given as a table ``wrong, correct, context, in_code``."""
+    needles = rules.withColumnRenamed("wrong", "needle")
+    hits = find_literals(prose_lines(files).select(*KEY, "line_no", "line"), needles, [*KEY, "line_no"], "line", carry=["correct", "context", "in_code"])
+    severity = F.when(F.col("in_code"), "info").otherwise("error")
+    return hits.select(
+        F.lit("term").alias("check"), *KEY, "line_no", severity.alias("severity"), F.col("needle").alias("matched"), F.col("correct").alias("expected"), F.col("context").alias("message")
+    )
+
+
 def term_gate(findings: DataFrame) -> DataFrame:
     return findings.groupBy("corpus").agg(
         F.count_if(F.col("severity") == "error").alias("errors"),

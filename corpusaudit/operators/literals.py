@@ -1,51 +1,52 @@
-"""Which texts contain which literals, exactly, without comparing every text with every literal.
+"""Which texts contain which literals, exactly, in one pass over each text whatever the number of literals.
 
-Each literal gives one seed, a short piece of itself; each text gives its pieces of the same kind. Both
-meet in an equi-join and ``contains`` decides. Three kinds of seed cover every literal: the piece that
-starts at a word after a separator (prose), three characters at any place (single words), one character.
+The literals are an automaton (Aho and Corasick) that each task runs over the texts it reads, so no text and no piece
+of one is shuffled, and a literal that is in every text costs no more than its findings. Literals are dealt by a hash
+into parts of ``PART_BYTES`` on average, whose automata fit in the memory of a worker; a part is what is collected and
+broadcast. More literals than that take more passes over the texts, not larger broadcasts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusaudit.operators.joins import BROADCAST_ROWS, fits_broadcast
 from corpusaudit.session import cut_lineage
 
-WORD = r"\p{L}\p{N}"
-ANCHORED = 12
-# regex that lists the pieces of a text, and the pieces of a literal it may be found by
-KINDS = [
-    ("word", rf"(?s)(?<![{WORD}])(?=([{WORD}].{{{ANCHORED - 1}}}))", rf"(?s)(?<=[^{WORD}])(?=([{WORD}].{{{ANCHORED - 1}}}))"),
-    ("gram", r"(?s)(?=(.{3}))", r"(?s)(?=(.{3}))"),
-    ("char", r"(?s)(?=(.))", r"(?s)(?=(.))"),
-]
+#: Text of literals, and of the columns they carry, in one automaton; it takes some fifty times that in memory.
+PART_BYTES = 2 << 20
+_HITS = 1 << 16  # rows of findings in one batch
+_built: dict[str, ahocorasick.Automaton] = {}
 
 
-def _pieces(text: Column, regex: str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(regex), F.lit(1)))
+def _automaton(mark: str, shared: Broadcast) -> ahocorasick.Automaton:
+    """The automaton of a part, built once in a worker; its values are (length, rows of the part)."""
+    if mark not in _built:
+        rows: dict[str, list[int]] = {}
+        for i, needle in enumerate(shared.value.column("needle").to_pylist()):
+            rows.setdefault(needle, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for needle, at in rows.items():
+            automaton.add_word(needle, (len(needle), at))
+        automaton.make_automaton()
+        _built.clear()
+        _built[mark] = automaton
+    return _built[mark]
 
 
-def _kind(needle: Column) -> Column:
-    return (
-        F.when(needle.rlike(KINDS[0][2]), "word").when(F.length(needle) >= 3, "gram").otherwise("char")
-    )
+def _is_word(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and (text[at].isalnum() or text[at] == "_")
 
 
-def seeds(needles: DataFrame, within: Sequence[str]) -> DataFrame:
-    """Distinct literals with their kind and the piece that fewest other literals share."""
-    one = needles.select(*within, "needle").where(F.length("needle") > 0).distinct().withColumn("kind", _kind(F.col("needle")))
-    regex_pieces = F.when(F.col("kind") == "word", _pieces(F.col("needle"), KINDS[0][2]))
-    regex_pieces = regex_pieces.when(F.col("kind") == "gram", _pieces(F.col("needle"), KINDS[1][2]))
-    each = one.withColumn("seed", F.explode_outer(regex_pieces.otherwise(_pieces(F.col("needle"), KINDS[2][2])))).where(F.col("seed").isNotNull())
-    shared = each.groupBy(*within, "kind", "seed").agg(F.count("*").alias("n"))
-    ranked = each.join(shared, [*within, "kind", "seed"])
-    return ranked.groupBy(*within, "needle", "kind").agg(
-        F.min_by("seed", F.struct("n", "seed")).alias("seed")
-    )
+def _whole(text: str, start: int, end: int) -> bool:
+    """A boundary between a word character and none on both sides."""
+    return _is_word(text, start - 1) != _is_word(text, start) and _is_word(text, end - 1) != _is_word(text, end)
 
 
 def find_literals(
@@ -54,53 +55,61 @@ def find_literals(
     keys: Sequence[str],
     content: str = "content",
     within: Sequence[str] = (),
-    verify: Callable[[Column, Column], Column] = F.contains,
-    broadcast_rows: int = BROADCAST_ROWS,
+    words: bool = False,
+    carry: Sequence[str] = (),
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """Pairs ``keys + needle`` where the text contains the literal; ``within`` columns must be equal too.
+    """``keys, needle`` and the ``carry`` columns of the literal, where the text contains it, once for each literal.
 
-    ``keys`` identify a text (they include ``within``). Seeds are worked out once and kept in the shared folder;
-    their size decides, as nothing may be broadcast that has not been measured. Few literals are broadcast and checked in the pass
-    that reads the text. More than ``broadcast_rows`` literals, or too many bytes of them, are joined by
-    shuffling pieces and keys only; the text is joined back for the candidates.
+    ``keys`` identify a text; ``within`` are those of them that must be equal in the row of ``needles`` too. With
+    ``words`` a literal counts only between word boundaries. Null and empty literals are in no text, null texts
+    contain none.
     """
-    chosen = cut_lineage(seeds(needles, within))
-    small = fits_broadcast(chosen, broadcast_rows)
-    kinds = {r["kind"] for r in chosen.select("kind").distinct().collect()}
-    texts = texts.select(*keys, content)
+    one = cut_lineage(needles.select(*within, "needle", *carry).where("needle <> ''").distinct())
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in one.columns), F.lit(0).cast("bigint"))
+    parts = -(-(one.agg(F.sum(size).alias("n")).first()["n"] or 0) // part_bytes)
+    texts = texts.select(*dict.fromkeys([*keys, content]))
+    fields = {f.name: f.dataType.simpleString() for f in [*one.schema, *texts.schema]}
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in [*keys, "needle", *carry])
     out = None
-    for kind, regex, _ in KINDS:
-        if kind not in kinds:
-            continue
-        mine = chosen.where(F.col("kind") == kind).drop("kind")
-        on = [*within, "seed"]
-        if small:
-            part = (
-                texts.withColumn("seed", F.explode_outer(_pieces(F.col(content), regex))).where(F.col("seed").isNotNull())
-                .join(F.broadcast(mine), on)
-                .where(verify(F.col(content), F.col("needle")))
-                .select(*keys, "needle")
-            )
-        else:
-            pairs = (
-                texts.select(*keys, F.explode_outer(_pieces(F.col(content), regex)).alias("seed")).where(F.col("seed").isNotNull())
-                .join(mine, on)
-                .select(*keys, "needle")
-            )
-            part = (
-                pairs.join(texts, list(keys)).where(verify(F.col(content), F.col("needle"))).select(*keys, "needle")
-            )
-        out = part if out is None else out.unionByName(part)
+    for part in range(parts):
+        held = one.where(F.pmod(F.xxhash64(*one.columns), F.lit(parts)) == part).toArrow()
+        shared = texts.sparkSession.sparkContext.broadcast(held)
+
+        def scan(batches: Iterator[pa.RecordBatch], mark: str = uuid4().hex, shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            automaton, table = _automaton(mark, shared), shared.value
+            only = list(zip(*(table.column(c).to_pylist() for c in within))) if within else None
+
+            def rows(batch: pa.RecordBatch, at: list[int], hits: list[int]) -> pa.RecordBatch:
+                cols = [batch.column(c).take(pa.array(at, pa.int64())) for c in keys]
+                found = table.select(["needle", *carry]).take(pa.array(hits, pa.int64())).combine_chunks()
+                return pa.RecordBatch.from_arrays([*cols, *(_flat(c) for c in found.columns)], names=[*keys, "needle", *carry])
+
+            for batch in batches:
+                of = list(zip(*(batch.column(c).to_pylist() for c in within))) if within else None
+                at, hits = [], []
+                for i, text in enumerate(batch.column(content).to_pylist()):
+                    found: set[int] = set()
+                    for end, (length, literals) in automaton.iter(text or ""):
+                        if not words or _whole(text, end + 1 - length, end + 1):
+                            found.update(literals)
+                    mine = sorted(found) if of is None else [j for j in sorted(found) if only[j] == of[i]]
+                    hits += mine
+                    at += [i] * len(mine)
+                    if len(hits) >= _HITS:
+                        yield rows(batch, at, hits)
+                        at, hits = [], []
+                yield rows(batch, at, hits)
+
+        found = texts.mapInArrow(scan, schema)
+        out = found if out is None else out.unionByName(found)
     if out is None:
-        return texts.select(*keys, F.lit(None).cast("string").alias("needle")).limit(0)
+        return texts.select(*keys, *(F.lit(None).cast(fields[c]).alias(c) for c in ["needle", *carry])).limit(0)
     return out
 
 
-def word_match(text: Column, needle: Column) -> Column:
-    """The literal as a whole word, for ``verify``."""
-    return F.contains(text, needle) & F.regexp_like(
-        text, F.concat(F.lit(r"\b\Q"), F.replace(needle, F.lit("\\E"), F.lit("")), F.lit(r"\E\b"))
-    )
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
 
 
 def name_leaks(texts: DataFrame, names: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusaudit.functions import text as tx
 from corpusaudit.operators.joins import join_per_corpus
 from corpusaudit.operators.lines import with_sections
-from corpusaudit.operators.literals import find_literals, word_match
+from corpusaudit.operators.literals import find_literals
 
 # Labels of the first column that are headers, not features.
 HEADER_LABELS = ["機能名", "モジュール名", "feature", "module", "名前", "name"]
@@ -55,7 +55,7 @@ def modules_in_pages(pages: DataFrame, disabled: DataFrame) -> DataFrame:
     """Disabled modules named as whole words in a feature page: corpus, path, name."""
     texts = pages.select("corpus", "path", F.lower("content").alias("content"))
     mods = disabled.where(F.col("name") != "").select("corpus", F.lower("name").alias("needle")).distinct()
-    return find_literals(texts, mods, ["corpus", "path"], within=["corpus"], verify=word_match).select(
+    return find_literals(texts, mods, ["corpus", "path"], within=["corpus"], words=True).select(
         "corpus", "path", F.col("needle").alias("name")
     )
 

@@ -73,15 +73,15 @@ def test_project_names(files):
     assert rows(leakage.project_names(df)) == [("billing",), ("crm",), ("shop",)]
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_literals_match_brute_force(spark, limit):
+@pytest.mark.parametrize("size", [2 << 20, 20])
+def test_literals_match_brute_force(spark, size):
     texts = ["alpha beta gamma delta epsilon zeta", "xxbetagammaxx", "a\nb, the quick brown fox jumps", "", "ab", "ééé ooo uuu iii aaa"]
     needles = ["beta gamma delta epsilon", "tagam", "the quick brown fox", "b", "a", "zz", "ha bet", "uick brown fox jum", "éé ooo uuu iii", "ab"]
     df = spark.createDataFrame(list(enumerate(texts)), "id INT, content STRING")
     nd = spark.createDataFrame([(n,) for n in needles + needles], "needle STRING")
-    got = {tuple(r) for r in literals.find_literals(df, nd, ["id"], broadcast_rows=limit).collect()}
+    got = {tuple(r) for r in literals.find_literals(df, nd, ["id"], part_bytes=size).collect()}
     assert got == {(i, n) for i, t in enumerate(texts) for n in needles if n in t}
-    assert literals.find_literals(df, nd, ["id"], broadcast_rows=limit).count() == len(got)
+    assert literals.find_literals(df, nd, ["id"], part_bytes=size).count() == len(got)
 
 
 def test_name_leaks(spark):
@@ -95,7 +95,7 @@ def test_within_and_words(spark):
     nd = spark.createDataFrame([("a", "pay"), ("b", "pay"), ("b", "module")], "corpus STRING, needle STRING")
     keys = ["corpus", "path"]
     assert rows(literals.find_literals(texts, nd, keys, within=["corpus"])) == [("a", "p", "pay"), ("b", "p", "pay")]
-    assert rows(literals.find_literals(texts, nd, keys, within=["corpus"], verify=literals.word_match)) == [("a", "p", "pay")]
+    assert rows(literals.find_literals(texts, nd, keys, within=["corpus"], words=True)) == [("a", "p", "pay")]
 
 
 
@@ -103,3 +103,47 @@ def test_many_terms(files):
     df = files(("c", "a.md", "w3 x\nw17.y\nnone"), ("c", "b.md", "nothing"))
     rules = [TermRule(f"w{i}." if i == 17 else f"w{i} ", "z") for i in range(40)]
     assert rows(leakage.wrong_terms(df, rules), "line_no", "matched") == [(1, "w3 "), (2, "w17.")]
+
+
+def test_whole_words(spark):
+    texts = ["pay", "payer pay", "a.pay_", "Üpay pay.", "x pay,", "", "pay2 2pay", "(.net) x.net"]
+    needles = ["pay", ".net", "pay,"]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "id INT, content STRING")
+    nd = spark.createDataFrame([(n,) for n in [*needles, None, ""]], "needle STRING")
+    import re
+
+    got = {tuple(r) for r in literals.find_literals(df, nd, ["id"], words=True).collect()}
+    assert got == {(i, n) for i, t in enumerate(texts) for n in needles if re.search(rf"\b{re.escape(n)}\b", t)}
+
+
+def test_one_literal_in_every_text(spark):
+    """A literal that all texts contain moves nothing: the plan has no exchange of texts or keys."""
+    df = spark.range(3000).selectExpr("id", "concat('the w', id % 50, ' the') AS content")
+    nd = spark.createDataFrame([("the",), ("w7",), ("w",), ("none",)], "needle STRING")
+    found = literals.find_literals(df, nd, ["id"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found.groupBy("needle").count()) == [("the", 3000), ("w", 3000), ("w7", 60)]
+
+
+def test_time_does_not_follow_the_number_of_terms(files):
+    import time
+
+    df = files(*[("c", f"{i}.md", "\n".join(f"word{i} and more x{j}" for j in range(100))) for i in range(300)]).cache()
+    spent = {}
+    for n in (100, 100, 50_000):
+        rules = df.sparkSession.range(n).selectExpr("concat('word', id * 7, ' ') AS wrong", "'w' AS correct", "'c' AS context", "false AS in_code")
+        start = time.time()
+        assert leakage.wrong_terms_of(df, rules).count() == 100 * len(range(0, min(300, 7 * n), 7))
+        spent[n] = time.time() - start
+    assert spent[50_000] < 5 * spent[100] + 5
+
+
+def test_rules_of_a_table(spark, files):
+    df = files(("c", "a.md", "key-1 key-x\nnone\nKEY-2 key-33"), ("c", "docs/a.md", "key-4"), ("c", "b.md", "```\nkey-5 recieve\n```\nrecieve"))
+    schema = "name STRING, literal STRING, regex STRING, severity STRING, description STRING"
+    rules = spark.createDataFrame([("num", "key-", r"key-\d+", "HIGH", "n"), ("plain", "key-x", None, "LOW", None), ("two", "key-", "-x", "LOW", "x"), ("no", None, "k", "LOW", "x")], schema)
+    assert rows(leakage.scan_many(df, rules), "path", "line_no", "rule", "matched") == [
+        ("a.md", 1, "num", "key-1"), ("a.md", 1, "plain", "key-x"), ("a.md", 1, "two", "-x"), ("a.md", 3, "num", "key-33"), ("b.md", 2, "num", "key-5"),
+    ]
+    terms = spark.createDataFrame([("recieve", "receive", "typo", False), ("key-5", "k", "c", True)], "wrong STRING, correct STRING, context STRING, in_code BOOLEAN")
+    assert rows(leakage.wrong_terms_of(df, terms), "path", "line_no", "matched", "expected", "severity") == [("b.md", 4, "recieve", "receive", "error")]
