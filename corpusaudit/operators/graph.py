@@ -1,8 +1,8 @@
 """Graphs: depth, degree and bounded clusters.
 
 A diagram is a few edges inside one row: its depth and clusters are computed there, by a small helper on
-the array of edges, without a shuffle. A graph of any size is a table of edges (graph_id, src, dst): its
-depth is computed by joins, round by round.
+the array of edges, without a shuffle. A graph of any size is a table of edges (graph_id, src, dst), see
+``graph_tables``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusaudit.operators.graph_tables import longest_chains
 from corpusaudit.session import cut_lineage
 
 
@@ -138,60 +139,33 @@ def hubs_first(degree: DataFrame) -> DataFrame:
 def depth(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
     """graph, depth, has_cycle for graphs of any size; depth as in ``longest_chain``.
 
-    Each round drops the edges whose source has nothing above it any more. An acyclic graph loses one level per
-    round, so the rounds it survives plus one are the nodes on its longest chain. A graph that loses nothing has
-    a cycle: its parts are folded first and chains counted between them. A round is one cut of the shrinking edges and
-    one of the table with a row per graph, which also says whether another round is needed.
+    Chains are contracted (``graph_tables.longest_chains``), in a number of rounds that follows the logarithm of their
+    length. Graphs that turn out to have a cycle are folded first, and chains are counted between their parts.
     """
     pairs = edges.select(graph, "src", "dst").distinct()
-    graphs = pairs.groupBy(graph).agg(F.bool_or(F.col("src") == F.col("dst")).alias("loops"))
-    whole = cut_lineage(pairs.where("src <> dst"))
-    sizes = whole.groupBy(graph).agg(F.count("*").alias("edges"))
-    none = F.lit(None).cast("int")
-    state = cut_lineage(graphs.join(sizes, graph, "left").select(graph, "loops", "edges", F.when(F.col("edges").isNull(), 1).otherwise(none).alias("depth"), F.lit(False).alias("stuck")))
-    left, level = whole, 1
-    while not state.where("depth IS NULL AND NOT stuck").isEmpty():
-        above = left.select(graph, F.col("dst").alias("src")).distinct()
-        kept = left.join(above, [graph, "src"], "left_semi").join(state.where("depth IS NULL AND NOT stuck").select(graph), graph, "left_semi")
-        left = cut_lineage(kept)
-        now = left.groupBy(graph).agg(F.count("*").alias("now"))
-        open_ = F.col("depth").isNull() & ~F.col("stuck")
-        state = cut_lineage(
-            state.join(now, graph, "left").select(
-                graph,
-                "loops",
-                F.coalesce("now", "edges").alias("edges"),
-                F.when(open_ & F.col("now").isNull(), level + 1).otherwise(F.col("depth")).alias("depth"),
-                (F.col("stuck") | (open_ & F.coalesce(F.col("now") == F.col("edges"), F.lit(False)))).alias("stuck"),
-            )
-        )
-        level += 1
-    plain = state.where(~F.col("stuck")).select(graph, F.col("depth").cast("int").alias("depth"), F.col("loops").alias("has_cycle"))
-    stuck = state.where("stuck").select(graph)
-    if stuck.isEmpty():
+    whole = cut_lineage(pairs)
+    loops = whole.groupBy(graph).agg(F.bool_or(F.col("src") == F.col("dst")).alias("loops"))
+    ends = F.explode(F.array("src", "dst")).alias("node")
+    nodes = whole.select(graph, ends).distinct().withColumn("weight", F.lit(1))
+    chains, cyclic, _ = longest_chains(whole.where("src <> dst"), nodes, graph)
+    plain = chains.join(loops, graph).select(graph, F.col("chain").cast("int").alias("depth"), F.col("loops").alias("has_cycle"))
+    if cyclic.isEmpty():
         return plain
-    return plain.unionByName(_folded_depth(whole.join(stuck, graph, "left_semi"), graph))
+    return plain.unionByName(_folded_depth(whole.where("src <> dst").join(cyclic, graph, "left_semi"), graph))
 
 
 def _folded_depth(edges: DataFrame, graph: str) -> DataFrame:
-    """Depth of graphs with cycles: longest weighted chain between the parts, by rounds of relaxation."""
+    """Depth of graphs with cycles: longest weighted chain between the parts."""
     parts = strongly_connected(edges, graph)
-    nodes = edges.select(graph, F.col("src").alias("node")).union(edges.select(graph, F.col("dst").alias("node"))).distinct()
+    nodes = edges.select(graph, F.explode(F.array("src", "dst")).alias("node")).distinct()
     of = nodes.join(parts, [graph, "node"], "left").select(graph, "node", F.coalesce("part", "node").alias("part"))
     of = cut_lineage(of)
-    weight = of.groupBy(graph, "part").agg(F.count("*").cast("int").alias("w"))
+    weight = of.groupBy(graph, F.col("part").alias("node")).agg(F.count("*").alias("weight"))
     side = lambda c: of.select(graph, F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
     between = edges.join(side("src"), [graph, "src"]).join(side("dst"), [graph, "dst"]).where("src_part <> dst_part")
-    between = cut_lineage(between.select(graph, F.col("src_part").alias("part"), F.col("dst_part").alias("below")).distinct())
-    best = cut_lineage(weight.withColumn("chain", F.col("w")).withColumn("grew", F.lit(True)))
-    while not best.where("grew").isEmpty():
-        offered = between.join(best.where("grew").select(graph, "part", "chain"), [graph, "part"])
-        offered = offered.groupBy(graph, F.col("below").alias("part")).agg(F.max("chain").alias("up"))
-        longer = F.coalesce(F.col("up") + F.col("w") > F.col("chain"), F.lit(False))
-        best = cut_lineage(
-            best.join(offered, [graph, "part"], "left").select(graph, "part", "w", F.when(longer, F.col("up") + F.col("w")).otherwise(F.col("chain")).alias("chain"), longer.alias("grew"))
-        )
-    return best.groupBy(graph).agg(F.max("chain").alias("depth")).withColumn("has_cycle", F.lit(True))
+    between = between.select(graph, F.col("src_part").alias("src"), F.col("dst_part").alias("dst")).distinct()
+    chains, _, _ = longest_chains(between, weight, graph)
+    return chains.select(graph, F.col("chain").cast("int").alias("depth"), F.lit(True).alias("has_cycle"))
 
 
 def _trimmed(edges: DataFrame, graph: str) -> DataFrame:
