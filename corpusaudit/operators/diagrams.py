@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -287,11 +286,17 @@ def oversized_diagrams(files: DataFrame) -> DataFrame:
     from corpusaudit.operators.graph import chain_depth
 
     whole = files.where(F.col("path").endswith(".mmd") & ~is_split_part(F.col("path")))
-    df = tx.with_lines(whole.select(*KEY, "content")).withColumn("kind", kind_of(F.col("content")))
+    kind = F.col("kind")
+    df = tx.with_lines(whole.select(*KEY, "content")).withColumn("kind", kind_of(F.col("content"))).where(kind.isNotNull())
     limit = {"erDiagram": "er_entities", "sequenceDiagram": "sequence_messages", "flowchart": "flowchart_vertical_nodes", "stateDiagram": "flowchart_vertical_nodes"}
-    count = {"erDiagram": F.size(er_entities()), "sequenceDiagram": F.size(messages()), "flowchart": chain_depth(flow_edges()), "stateDiagram": F.size(states())}
-    parts = [df.where(F.col("kind") == k).select(*KEY, "kind", count[k].cast("long").alias("count"), F.lit(LIMITS[limit[k]]).cast("long").alias("max_allowed")) for k in limit]
-    return reduce(DataFrame.unionByName, parts).where(F.col("count") > F.col("max_allowed"))
+    most = F.coalesce(*[F.when(kind == k, F.lit(LIMITS[limit[k]])) for k in limit]).cast("long")
+    counts = {"erDiagram": F.size(er_entities()), "sequenceDiagram": F.size(messages()), "stateDiagram": F.size(states())}
+    count = F.coalesce(*[F.when(kind == k, c) for k, c in counts.items()])
+    df = df.select(*KEY, "kind", most.alias("max_allowed"), count.alias("counted"), F.when(kind == "flowchart", flow_edges()).alias("edges"))
+    # as many edges as the limit make a chain beyond it; only diagrams with that many are walked
+    walked = chain_depth(F.when(F.size("edges") >= F.col("max_allowed"), F.col("edges")))
+    counted = df.select(*KEY, "kind", F.inline_outer(F.array(F.struct(F.coalesce("counted", walked).cast("long").alias("count"), "max_allowed"))))
+    return counted.where(F.col("count") > F.col("max_allowed"))
 
 
 def _div_balance(line: Column) -> Column:

@@ -138,8 +138,10 @@ def suggestions(missing: DataFrame) -> DataFrame:
 
 def low_citation_files(docs: DataFrame) -> DataFrame:
     """Files of which less than half of the sections cite a source: corpus, project, path, sections, cited."""
-    m = file_metrics(docs.where(F.col("project").isNotNull()))
-    return m.where((F.col("sections") > 0) & (F.col("cited") * 2 < F.col("sections"))).select("corpus", "project", "path", "sections", "cited")
+    # a filter on the columns themselves would be pushed below the projection, with a copy of all that they are made of
+    counts = F.inline_outer(F.array(F.struct("sections", "cited")))
+    m = file_metrics(docs.where(F.col("project").isNotNull())).select("corpus", "project", "path", counts)
+    return m.where((F.col("sections") > 0) & (F.col("cited") * 2 < F.col("sections")))
 
 
 def project_metrics(docs: DataFrame) -> DataFrame:
