@@ -31,6 +31,26 @@ CUSTOMER_PAGES = files_of(
     cat("'# Customer '", s("c_custkey"), NL, "c_name", NL, "'## Balance'", NL, s("c_mktsegment"), NL),
 )
 
+# documents in chunks: one document per customer, a chunk per order; fences and tables go on from chunk to chunk
+ORDER_CHUNKS = Derived(
+    "orders",
+    {
+        "corpus": "'shop'", "path": cat("'c'", CUST), "block": "CAST(floor(o_orderkey / 1000) AS BIGINT)", "seq": "CAST(o_orderkey % 1000 AS INTEGER)",
+        "content": cat(
+            "CASE WHEN o_orderkey % 4 = 0 THEN concat('```sql', chr(10), 'select', chr(10)) WHEN o_orderkey % 4 = 1 THEN concat('| No | テーブル名 |', chr(10), '|--|--|', chr(10))"
+            " WHEN o_orderkey % 4 = 2 THEN concat('| a | t', CAST(o_orderkey AS STRING), ' |', chr(10)) ELSE concat('| b | u |', chr(10), 'end ', CAST(o_orderkey AS STRING), chr(10)) END"
+        ),
+    },
+)
+# bundles in chunks: one per conversation, a chunk per turn
+BUNDLE_CHUNKS = Derived(
+    "conversations",
+    {
+        "corpus": cat("'c'", s("conv_id")), "path": "'all'", "block": "CAST(floor(turn / 2) AS BIGINT)", "seq": "CAST(turn % 2 AS INTEGER)",
+        "content": cat("'more of '", "role", NL, "CASE WHEN turn % 3 = 1 THEN concat('--- FILE: ', role, '/t', CAST(turn AS STRING), '.md ---', chr(10)) ELSE '' END", "text", NL),
+    },
+)
+
 # images, one per supplier, and the pages expected to show them
 IMAGES = files_of(
     "supplier",

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusaudit.functions import text as tx
-from corpusaudit.operators import assemble, diagrams, graph, labels, modules, quality, reconcile
+from corpusaudit.operators import assemble, diagrams, graph, graph_tables, labels, modules, quality, reconcile
 from corpusaudit.plans import inputs as i
 from corpusaudit.plans.registry import lines_sql, query, table
-from corpusaudit.session import spread
-from corpusaudit.sources import bundles
+from corpusaudit.session import cut_lineage, spread
+from corpusaudit.sources import bundles, chunks
 
 # ------------------------------------------------------------------------------------------- diagrams
 
@@ -259,11 +259,11 @@ def _word_graph(spark, sf):
     """A graph per document: each word of its text leads to the next word."""
     df = spread(table(spark, sf, "documents")).select("doc_id", F.split("text", "[ \n]+", -1).alias("w"))
     pairs = F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
-    return df.select("doc_id", F.array_distinct(F.filter(pairs, lambda e: e["src"] != e["dst"])).alias("edges"))
+    return df.select("doc_id", F.filter(pairs, lambda e: e["src"] != e["dst"]).alias("edges"))
 
 
 def _word_edges(g):
-    return g.select("doc_id", F.explode_outer("edges").alias("e")).where(F.col("e").isNotNull()).select("doc_id", "e.src", "e.dst")
+    return g.select("doc_id", F.explode_outer("edges").alias("e")).where(F.col("e").isNotNull()).select("doc_id", "e.src", "e.dst").distinct()
 
 
 @query("q_graph_clusters")
@@ -295,11 +295,60 @@ def q_cut_edges(spark, sf):
     return graph.cut_edges(_word_edges(g), graph.clusters(g, "edges", 8, ["doc_id"]), ["doc_id"])
 
 
-@query("q_cut_totals", f"WITH {WORD_EDGES} SELECT doc_id, count(*) AS edges, true AS agrees FROM e GROUP BY doc_id")
+@query("q_cut_totals", f"WITH {WORD_EDGES} SELECT doc_id, count(*) AS edges, true AS kept_inside FROM e GROUP BY doc_id")
 def q_cut_totals(spark, sf):
-    """Edges of each document, all of them either cut or kept, and cut just when their ends are in two clusters."""
-    agrees = F.col("is_cut") == (F.col("src_cluster") != F.col("dst_cluster"))
-    return q_cut_edges(spark, sf).groupBy("doc_id").agg(F.count("*").alias("edges"), F.bool_and(agrees).alias("agrees"))
+    """Edges of each document, and whether as many are kept as there are edges among the pairs of nodes of a cluster."""
+    g = _word_graph(spark, sf)
+    edges, assigned = cut_lineage(_word_edges(g)), cut_lineage(graph.clusters(g, "edges", 8, ["doc_id"]))
+    cut = graph.cut_edges(edges, assigned, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("edges"), F.count_if(~F.col("is_cut")).alias("kept"))
+    members = assigned.groupBy("doc_id", "cluster_no").agg(F.collect_list("node").alias("src"))
+    pairs = members.select("doc_id", F.explode("src").alias("src"), F.col("src").alias("all")).select("doc_id", "src", F.explode("all").alias("dst"))
+    inside = pairs.join(edges, ["doc_id", "src", "dst"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("inside"))
+    kept_inside = F.col("kept") == F.coalesce("inside", F.lit(0))
+    return cut.join(inside, "doc_id", "left").select("doc_id", "edges", kept_inside.alias("kept_inside"))
+
+
+NETWORK = """
+  e AS (SELECT concat('c', o_custkey) AS src, concat('o', o_orderkey) AS dst FROM orders
+        UNION SELECT concat('n', c_nationkey), concat('c', c_custkey) FROM customer
+        UNION SELECT concat('s', s_suppkey), concat('n', s_nationkey) FROM supplier)"""
+
+
+def _network(spark, sf):
+    """Orders, customers, suppliers and nations as one graph."""
+    edges = table(spark, sf, "orders").selectExpr("concat('c', o_custkey) AS src", "concat('o', o_orderkey) AS dst")
+    edges = edges.union(table(spark, sf, "customer").selectExpr("concat('n', c_nationkey)", "concat('c', c_custkey)"))
+    return edges.union(table(spark, sf, "supplier").selectExpr("concat('s', s_suppkey)", "concat('n', s_nationkey)")).distinct()
+
+
+@query(
+    "q_network_clusters",
+    f"""WITH {NETWORK}, m AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+        SELECT left(node, 1) AS kind, count(*) AS nodes, true AS each_once, true AS within_cap, true AS connected FROM m GROUP BY 1""",
+)
+def q_network_clusters(spark, sf):
+    """Clusters of at most 40 nodes of one large graph: all nodes are in one, and the edges inside connect each."""
+    edges = cut_lineage(_network(spark, sf))
+    clusters = cut_lineage(graph_tables.grow_clusters(edges, 40))
+    parts = graph_tables.cluster_parts(edges, clusters)
+    each = clusters.groupBy("node").agg(F.count("*").alias("times"), F.max("cluster").alias("cluster")).join(parts, "cluster")
+    return each.groupBy(F.left("node", F.lit(1)).alias("kind")).agg(
+        F.count("*").alias("nodes"), (F.max("times") == 1).alias("each_once"), (F.max("nodes") <= 40).alias("within_cap"), (F.max("parts") == 1).alias("connected")
+    )
+
+
+@query(
+    "q_chain_depth",
+    """SELECT concat('g', g) AS graph_id, CAST(max(n) AS INTEGER) AS depth, false AS has_cycle FROM (
+         SELECT g, count(*) AS n FROM (SELECT o_orderkey // 10000 AS g, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS island FROM orders) GROUP BY g, island)
+       GROUP BY g HAVING max(n) > 1""",
+)
+def q_chain_depth(spark, sf):
+    """Each order leads to the one with the next number, in graphs of ten thousand numbers: chains as long as that."""
+    orders = table(spark, sf, "orders").selectExpr("concat('g', o_orderkey div 10000) AS graph_id", "o_orderkey")
+    before = orders.selectExpr("graph_id", "o_orderkey - 1 AS o_orderkey", "o_orderkey AS next")
+    edges = orders.join(before, ["graph_id", "o_orderkey"])
+    return graph.depth(edges.selectExpr("graph_id", "CAST(o_orderkey AS STRING) AS src", "CAST(next AS STRING) AS dst"))
 
 
 @query(
@@ -416,6 +465,19 @@ def q_bundle_split(spark, sf):
     return bundles.accepted(_bundle_files(spark, sf))
 
 
+@query(
+    "q_chunk_bundles",
+    f"""WITH b AS (SELECT corpus, string_agg(content, '' ORDER BY block, seq) AS content FROM ({i.BUNDLE_CHUNKS.sql()}) GROUP BY corpus),
+          f AS (SELECT corpus, regexp_extract_all(content, '--- FILE: (.+?) ---', 1) AS names, string_split_regex(content, '--- FILE: .+? ---') AS bodies FROM b),
+          u AS (SELECT *, unnest(generate_series(1, len(names))) AS k FROM f)
+        SELECT corpus, 'all' AS bundle, CAST(k AS BIGINT) AS file_no, names[k] AS path,
+          concat(regexp_replace(regexp_replace(bodies[k + 1], '^\\s+', ''), '\\s+$', ''), chr(10)) AS content FROM u""",
+)
+def q_chunk_bundles(spark, sf):
+    """Files of bundles that come in chunks: a file starts in one turn of a conversation and goes on in the next ones."""
+    return chunks.join_pieces(chunks.split_bundle_chunks(i.BUNDLE_CHUNKS.df(spark, sf)))
+
+
 @query("q_bundle_rejects", f"WITH {BUNDLE_SQL} SELECT corpus, count(*) AS rejected, CAST(count(*) AS BIGINT) AS unconfirmed FROM f WHERE output_path IS NULL GROUP BY corpus")
 def q_bundle_rejects(spark, sf):
     bad = bundles.rejects(_bundle_files(spark, sf))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusaudit import schemas
 from corpusaudit.operators import catalog, classify, dbconfig, frameworks, freshness, impact, leakage, migrations, quality, versions
 from corpusaudit.plans import inputs as i
-from corpusaudit.plans.registry import Derived, lines_sql, prose_sql, query, table
-from corpusaudit.session import checkpoint_dir
-from corpusaudit.sources import sinks
-from corpusaudit.sources.files import decode
+from corpusaudit.plans.registry import ORACLES, Derived, lines_sql, prose_sql, query, table
+from corpusaudit.session import checkpoint_dir, spread
+from corpusaudit.sources import catalogs, sinks
+from corpusaudit.sources.files import decode, scan_tree
 
 TREE = i.TREE.sql()
 
@@ -160,6 +163,18 @@ def q_frontends(spark, sf):
     return frameworks.frontends(i.PACKAGES.df(spark, sf).unionByName(i.FRONTEND_FILES.df(spark, sf)))
 
 
+@query(
+    "q_router_types",
+    f"""WITH {FRONT_SQL} SELECT corpus, framework, CASE WHEN framework IN ('nuxt2', 'nextjs') THEN 'file-based'
+          WHEN CAST(substring(corpus, 2) AS BIGINT) % 2 = 0 THEN 'config-based' END AS router_type FROM fw WHERE framework IS NOT NULL""",
+)
+def q_router_types(spark, sf):
+    """Front ends of which every other one has a router file."""
+    path = "CASE WHEN s_suppkey % 2 = 0 THEN element_at(array('src/router/index.ts', 'src/router.js', 'app/router.js'), CAST(s_suppkey % 3 + 1 AS INT)) ELSE 'src/routers/index.ts' END"
+    routers = table(spark, sf, "supplier").selectExpr("concat('s', s_suppkey) AS corpus", f"{path} AS path", "'' AS content")
+    return frameworks.frontends(i.PACKAGES.df(spark, sf).unionByName(routers)).select("corpus", "framework", "router_type")
+
+
 @query(
     "q_first_method",
     """SELECT corpus, path, method FROM (SELECT *, row_number() OVER (PARTITION BY corpus, path ORDER BY rank) AS rn FROM (
@@ -516,6 +531,80 @@ def q_stored_files(spark, sf):
     return spark.read.parquet(path).select("corpus", "path", "content", "kind")
 
 
+@query("q_stored_manifest", ORACLES["q_read_order"])
+def q_stored_manifest(spark, sf):
+    """The manifest written to a folder per category in the shared folder, as read back."""
+    from uuid import uuid4
+
+    listed = classify.manifest(classify.with_project_types(tree(spark, sf)))
+    path = f"{checkpoint_dir(spark)}/manifest-{uuid4().hex}"
+    sinks.write_manifest(listed, path)
+    return spark.read.parquet(path).select(listed.columns)
+
+
+@query(
+    "q_run_log",
+    """SELECT CASE WHEN n = 1 THEN 'full' ELSE 'update' END AS mode, coalesce(source, 'none') AS corpus, CAST(count(*) FILTER (n = 1 OR lang = 'en') AS BIGINT) AS file_count
+       FROM documents, (SELECT unnest([1, 2]) AS n) GROUP BY n, source""",
+)
+def q_run_log(spark, sf):
+    """A full run and an update appended to the run log in the shared folder, as read back."""
+    from uuid import uuid4
+
+    path = f"{checkpoint_dir(spark)}/log-{uuid4().hex}"
+    docs = table(spark, sf, "documents").select(F.coalesce("source", F.lit("none")).alias("corpus"), "lang")
+    for mode, counted in (("full", F.count("*")), ("update", F.count_if(F.col("lang") == "en"))):
+        entry = docs.groupBy("corpus").agg(counted.alias("file_count"))
+        sinks.append_run_log(entry.select(F.lit("audit").alias("name"), F.lit(mode).alias("mode"), F.current_timestamp().alias("generated_at"), "corpus", "file_count"), path)
+    return spark.read.schema(schemas.RUN_LOG).json(path).where("name = 'audit' AND generated_at IS NOT NULL").select("mode", "corpus", "file_count")
+
+
+@query(
+    "q_scan_tree",
+    """SELECT CASE WHEN lang = 'en' THEN 'english' ELSE 'other' END AS corpus, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes,
+         CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS chars FROM documents WHERE starts_with(source, 'src1') GROUP BY 1""",
+)
+def q_scan_tree(spark, sf):
+    """Documents written as files below two corpora and scanned; what lies in an excluded folder is left out."""
+    from uuid import uuid4
+
+    base = f"{checkpoint_dir(spark)}/tree-{uuid4().hex}"
+    docs = spread(table(spark, sf, "documents")).select(F.coalesce("text", F.lit("")).alias("value"), F.coalesce(F.startswith("source", F.lit("src1")), F.lit(False)).alias("kept"), F.col("lang").eqNullSafe("en").alias("en"))
+    for corpus, mine in (("english", F.col("en")), ("other", ~F.col("en"))):
+        docs.where(mine & F.col("kept")).select("value").write.text(f"{base}/{corpus}/src")
+        docs.where(mine & ~F.col("kept")).select("value").write.text(f"{base}/{corpus}/node_modules/x")
+    found = scan_tree(spark, base, glob="*.txt")
+    return found.groupBy("corpus").agg(F.sum("size").alias("bytes"), F.sum(F.length("content")).cast("long").alias("chars"))
+
+
+GIVEN = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+@query(
+    "q_session_catalog",
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, (SELECT count(*) FROM (DESCRIBE {t})) AS columns, (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE {t})) AS names, count(*) AS rows FROM {t}"""
+        for t in GIVEN
+    ),
+)
+def q_session_catalog(spark, sf):
+    """The given tables as views of the session: what its catalog knows of them, and their rows."""
+    from uuid import uuid4
+
+    mark = f"v{uuid4().hex}_"
+    for t in GIVEN:
+        table(spark, sf, t).createTempView(mark + t)
+    try:
+        known = catalogs.read_spark_catalog(spark, "default")
+        counts = reduce(DataFrame.unionByName, [spark.table(mark + t).agg(F.count("*").alias("rows")).select(F.lit(mark + t).alias("table_name"), "rows") for t in GIVEN])
+    finally:
+        for t in GIVEN:
+            spark.catalog.dropTempView(mark + t)
+    of = known["columns"].where(F.startswith("table_name", F.lit(mark))).groupBy("table_name")
+    found = of.agg(F.count("*").alias("columns"), F.array_join(F.array_sort(F.collect_list("column_name")), ",").alias("names"))
+    return found.join(counts, "table_name").select(F.replace("table_name", F.lit(mark), F.lit("")).alias("table_name"), "columns", "names", "rows")
+
+
 @query(
     "q_project_names",
     """SELECT DISTINCT name FROM (
@@ -614,6 +703,22 @@ def q_affected(spark, sf):
     return impact.affected_documents(i.TREE.df(spark, sf).select("corpus", "path"))
 
 
+@query(
+    "q_affected_many",
+    f"""WITH t AS ({i.TREE.sql()}), p AS (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM t)
+        SELECT corpus, path, concat('part-', p_partkey, '.md') AS doc, CAST(p_partkey AS BIGINT) AS rule_no FROM p JOIN part ON
+          CASE p_partkey % 3 WHEN 0 THEN regexp_matches(name, concat('API', p_partkey, '[.]')) WHEN 1 THEN regexp_matches(path, concat('^(.*/)?app/.*API', p_partkey, '.*[.]php$'))
+            ELSE regexp_matches(name, concat('^.ash.*API', p_partkey, '[A-Z].*$')) END
+        UNION ALL SELECT corpus, path, 'all.md', CAST(0 AS BIGINT) FROM p""",
+)
+def q_affected_many(spark, sf):
+    """A rule for each part, and one that fits every path: thousands of globs in one pass over the paths."""
+    pattern = "CASE p_partkey % 3 WHEN 0 THEN concat('*API', p_partkey, '.*') WHEN 1 THEN concat('app/*API', p_partkey, '*.php') ELSE concat('?ash*API', p_partkey, '[A-Z]*') END AS pattern"
+    rules = table(spark, sf, "part").selectExpr("CAST(p_partkey AS BIGINT) AS rule_no", pattern, "array(concat('part-', p_partkey, '.md')) AS docs")
+    every = spark.range(1).selectExpr("CAST(0 AS BIGINT) AS rule_no", "'*' AS pattern", "array('all.md') AS docs")
+    return impact.affected_by(i.TREE.df(spark, sf).select("corpus", "path"), rules.unionByName(every))
+
+
 @query("q_impact_plan", f"WITH {IMPACT_SQL} SELECT DISTINCT corpus, doc, path AS source_file, concat(name, ' changed') AS reason FROM a")
 def q_impact_plan(spark, sf):
     return impact.update_plan(impact.affected_documents(i.TREE.df(spark, sf).select("corpus", "path")))

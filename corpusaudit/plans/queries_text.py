@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusaudit import schemas
 from corpusaudit.functions import paths
 from corpusaudit.functions import text as tx
-from corpusaudit.operators import citations, endpoints, leakage, lines, links, literals, tables
+from corpusaudit.operators import chunks, citations, endpoints, leakage, lines, links, literals, tables
 from corpusaudit.operators.leakage import LeakRule, TermRule
 from corpusaudit.plans import inputs as i
 from corpusaudit.plans.registry import ORACLES, fences_sql, lines_sql, prose_sql, query, table
@@ -32,6 +32,32 @@ def q_fences(spark, sf):
     return lines.explode_fenced_lines(i.ORDER_PAGES.df(spark, sf)).drop("line")
 
 
+CHUNKED = f"SELECT corpus, path, string_agg(content, '' ORDER BY block, seq) AS content FROM ({i.ORDER_CHUNKS.sql()}) GROUP BY corpus, path"
+
+
+@query(
+    "q_chunk_fences",
+    f"""SELECT corpus, path, CAST(line_no AS BIGINT) AS line_no, line, is_marker, seen % 2 = 1 AND NOT is_marker AS in_fence,
+          CASE WHEN is_marker OR seen % 2 = 1 THEN CAST((seen + 1) // 2 AS BIGINT) END AS fence_no
+        FROM ({fences_sql(CHUNKED)})""",
+)
+def q_chunk_fences(spark, sf):
+    """Fences of documents that come in chunks; most of them are open at the end of a chunk."""
+    return chunks.fenced_lines(i.ORDER_CHUNKS.df(spark, sf))
+
+
+@query(
+    "q_chunk_tables",
+    f"""WITH l AS (SELECT *, contains(line, 'テーブル名') AS h, contains(line, 'テーブル名') OR NOT starts_with(trim(line), '|') AS b FROM ({lines_sql(CHUNKED)})),
+          g AS (SELECT *, sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY corpus, path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM l)
+        SELECT corpus, path, line AS "row" FROM g JOIN (SELECT corpus, path, run FROM g WHERE h) USING (corpus, path, run) WHERE NOT b AND line <> '|--|--|'""",
+)
+def q_chunk_tables(spark, sf):
+    """Table rows below a header that stands in another chunk."""
+    found = chunks.table_rows_of(i.ORDER_CHUNKS.df(spark, sf), lambda l: F.contains(l, F.lit("テーブル名")))
+    return found.select("corpus", "path", F.concat(F.lit("| "), F.get("cells", F.lit(1)), F.lit(" | "), F.get("cells", F.lit(2)), F.lit(" |")).alias("row"))
+
+
 HEADING_SQL = "regexp_matches(line, '^#{1,3}\\s+')"
 
 
@@ -102,22 +128,50 @@ def q_broken_links(spark, sf):
     return links.check_links(files, skip_fences=True).drop("anchor")
 
 
-@query("q_recheck", ORACLES["q_broken_links"])
+@query(
+    "q_recheck",
+    """WITH c AS (SELECT * FROM customer WHERE c_custkey % 5 <> 0),
+            o AS (SELECT *, concat('orders/', o_orderkey, '.md') AS path, c_custkey FROM orders LEFT JOIN c ON c_custkey = o_custkey)
+       SELECT 'shop' AS corpus, path, CAST(5 AS INTEGER) AS line_no, concat(o_orderkey + 1, '.md') AS url, 'file not found' AS reason,
+         concat('orders/', o_orderkey + 1, '.md') AS target_path
+       FROM o WHERE o_orderkey % 11 <> 0 AND NOT EXISTS (SELECT 1 FROM orders n WHERE n.o_orderkey = o.o_orderkey + 1)
+       UNION ALL
+       SELECT 'shop', path, 4, concat('../img/', lower(o_orderpriority), '.svg'), 'file not found', concat('img/', lower(o_orderpriority), '.svg')
+       FROM o WHERE o_orderstatus = 'P' AND o_orderkey % 11 <> 0
+       UNION ALL
+       SELECT 'shop', path, 4, concat('../customers/', o_custkey, '.md#open-balance'),
+         CASE WHEN c_custkey IS NULL THEN 'file not found' ELSE 'anchor not found' END, concat('customers/', o_custkey, '.md')
+       FROM o WHERE o_orderstatus = 'P' AND o_orderkey % 11 <> 0
+       UNION ALL
+       SELECT 'shop', path, 3, concat('../customers/', o_custkey, '.md#customer-', o_custkey),
+         CASE WHEN c_custkey IS NULL THEN 'file not found' ELSE 'anchor not found' END, concat('customers/', o_custkey, '.md')
+       FROM o WHERE o_orderkey % 11 <> 0 AND (c_custkey IS NULL OR c_custkey % 7 = 1)
+       UNION ALL
+       SELECT 'shop', path, 1, concat('../customers/', o_custkey, '.md'), 'file not found', concat('customers/', o_custkey, '.md')
+       FROM o WHERE o_orderkey % 11 = 0 AND c_custkey IS NULL""",
+)
 def q_recheck(spark, sf):
-    """The same pages as a stream: the order pages arrive later, and their links lead to pages checked before."""
+    """Pages as a stream: orders arrive after the customers they link to; then some customers go, some lose the
+    heading that is linked to, and some orders are written anew. Only what that touches is checked again."""
     from uuid import uuid4
 
     from corpusaudit.session import checkpoint_dir
-    from corpusaudit.streaming import incremental
+    from corpusaudit.streaming import incremental, link_index
 
     base = f"{checkpoint_dir(spark)}/recheck-{uuid4().hex}"
-    stored = lambda s: s.read.schema(schemas.FILES).parquet(f"{base}/files")
-    check = lambda todo, everything: links.check_links(todo, skip_fences=True, among=everything).drop("anchor")
-    for pages in (i.CUSTOMER_PAGES.df(spark, sf), i.ORDER_PAGES.df(spark, sf)):
-        rows = pages.select("corpus", "path", "content", F.octet_length("content").cast("long").alias("size"), F.lit(None).cast("timestamp").alias("modified_at"))
+    pages = lambda df: df.select("corpus", "path", "content", F.octet_length("content").cast("long").alias("size"), F.lit(None).cast("timestamp").alias("modified_at"))
+    later = lambda df, path, content: df.select(
+        F.lit("shop").alias("corpus"), F.expr(path).alias("path"), F.expr(content).alias("content"),
+        F.expr(f"CAST(octet_length({content}) AS BIGINT)").alias("size"), F.expr("TIMESTAMP '2020-01-01 00:00:00'").alias("modified_at"),
+    )
+    customers = table(spark, sf, "customer").where("c_custkey % 5 = 0 OR c_custkey % 7 = 1")
+    changed = later(customers, "concat('customers/', c_custkey, '.md')", "CASE WHEN c_custkey % 5 <> 0 THEN '# Client' END")
+    rewritten = later(table(spark, sf, "orders").where("o_orderkey % 11 = 0"), "concat('orders/', o_orderkey, '.md')", "concat('[x](../customers/', o_custkey, '.md)')")
+    for rows in (pages(i.CUSTOMER_PAGES.df(spark, sf)), pages(i.ORDER_PAGES.df(spark, sf)), changed.unionByName(rewritten)):
         rows.write.mode("append").parquet(f"{base}/files")
-        incremental.start_recheck(incremental.stream_files(spark, f"{base}/files"), check, f"{base}/out", f"{base}/ledger", f"{base}/checkpoint", stored).awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("batch")
+        stream = incremental.stream_files(spark, f"{base}/files", 1_000_000)
+        link_index.start_link_check(stream, f"{base}/index", f"{base}/checkpoint", skip_fences=True).awaitTermination()
+    return link_index.LinkIndex(spark, f"{base}/index").broken().drop("anchor")
 
 
 @query(
@@ -277,29 +331,60 @@ def q_name_findings(spark, sf):
     return leakage.name_findings(i.DOCUMENTS.df(spark, sf), names, ["de/"])
 
 
-def _json_file(df, folder):
-    """A configuration file: the rows as one JSON array."""
-    df.select(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).write.text(folder)
+def _json_lines(spark, df, name):
+    """A configuration file in the shared folder: one object a line, written by as many tasks as the rows have."""
+    from uuid import uuid4
+
+    from corpusaudit.session import checkpoint_dir
+
+    folder = f"{checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+    df.write.json(folder)
     return folder
 
 
+RULE_LANGS = "SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL"
+
+
 @query(
     "q_rule_files",
-    """SELECT 'term' AS "check", 'world' AS corpus, concat(f.n_name, '.md') AS path, 1 AS line_no, 'error' AS severity, r.n_name AS matched, lower(r.n_name) AS expected, 'case' AS message
-       FROM nation f JOIN nation r ON contains(concat('about ', f.n_name), r.n_name)""",
+    f"""SELECT 'term' AS "check", corpus, path, line_no, 'error' AS severity, concat(lang, 't') AS matched, lang AS expected, 'ending' AS message
+        FROM ({prose_sql(DOCS)}) JOIN ({RULE_LANGS}) ON contains(line, concat(lang, 't'))""",
 )
 def q_rule_files(spark, sf):
-    """Terms of a rule file, written from the nations, in a page for each."""
-    from uuid import uuid4
-
-    from corpusaudit.session import checkpoint_dir
+    """Terms of a rule file, written from the languages of the documents, in whole documents."""
     from corpusaudit.sources.files import read_term_rules
 
-    nations = table(spark, sf, "nation")
-    rules = nations.selectExpr("n_name AS wrong", "lower(n_name) AS correct", "'case' AS context", "false AS in_code")
-    path = _json_file(rules, f"{checkpoint_dir(spark)}/rules-{uuid4().hex}")
-    pages = nations.selectExpr("'world' AS corpus", "concat(n_name, '.md') AS path", "concat('about ', n_name) AS content")
-    return leakage.wrong_terms(pages, read_term_rules(spark, path))
+    langs = table(spark, sf, "documents").where("lang IS NOT NULL").select("lang").distinct()
+    path = _json_lines(spark, langs.selectExpr("concat(lang, 't') AS wrong", "lang AS correct", "'ending' AS context", "false AS in_code"), "terms")
+    return leakage.wrong_terms(i.DOCUMENTS.df(spark, sf), read_term_rules(spark, path, lines=True))
+
+
+@query(
+    "q_leak_rule_files",
+    f"""SELECT 'leak' AS "check", corpus, path, line_no, concat('r-', lang) AS rule, 'HIGH' AS severity, regexp_extract(line, concat(lang, '[a-z]+[.]')) AS matched, 'end' AS message
+        FROM ({lines_sql(DOCS)}) JOIN ({RULE_LANGS}) ON regexp_matches(line, concat(lang, '[a-z]+[.]')) WHERE NOT starts_with(path, 'fr/')""",
+)
+def q_leak_rule_files(spark, sf):
+    """Leak rules of a rule file in whole documents; the French folder is allowed to break them."""
+    from corpusaudit.sources.files import read_leak_rules
+
+    langs = table(spark, sf, "documents").where("lang IS NOT NULL").select("lang").distinct()
+    rules = langs.selectExpr("concat('r-', lang) AS name", "concat(lang, '[a-z]+[.]') AS regex", "'HIGH' AS severity", "'end' AS description", "array('fr/') AS allow_in")
+    return leakage.scan(i.DOCUMENTS.df(spark, sf), read_leak_rules(spark, _json_lines(spark, rules, "leaks"), lines=True))
+
+
+@query(
+    "q_impact_rule_files",
+    """SELECT 'shop' AS corpus, concat('src/n', s_nationkey, '/s', s_suppkey, '.py') AS path, concat('nation-', lower(n_name), '.md') AS doc FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
+)
+def q_impact_rule_files(spark, sf):
+    """Documents that depend on the files of suppliers, by the rules of a file: one for each nation."""
+    from corpusaudit.operators import impact
+    from corpusaudit.sources.files import read_impact_rules
+
+    rules = table(spark, sf, "nation").selectExpr("concat('src/n', n_nationkey, '/*.py') AS source_pattern", "array(concat('nation-', lower(n_name), '.md')) AS docs")
+    changed = table(spark, sf, "supplier").selectExpr("'shop' AS corpus", "concat('src/n', s_nationkey, '/s', s_suppkey, '.py') AS path")
+    return impact.affected_documents(changed, read_impact_rules(spark, _json_lines(spark, rules, "impact"), lines=True)).drop("rule_no")
 
 
 @query(
@@ -307,14 +392,43 @@ def q_rule_files(spark, sf):
     "SELECT concat('/s/', s_suppkey) AS path, s_name AS name, s_acctbal < 0 AS auth_required FROM supplier WHERE s_acctbal >= 0",
 )
 def q_routes_file(spark, sf):
-    """Routes of a route list, written from the suppliers, that need no login."""
-    from uuid import uuid4
-
-    from corpusaudit.session import checkpoint_dir
+    """Routes of route lists, written from the suppliers, that need no login."""
     from corpusaudit.sources.files import read_routes
 
     routes = table(spark, sf, "supplier").selectExpr("concat('/s/', s_suppkey) AS path", "s_name AS name", "s_acctbal < 0 AS auth_required")
-    return endpoints.filter_routes(read_routes(spark, _json_file(routes, f"{checkpoint_dir(spark)}/routes-{uuid4().hex}")), False)
+    return endpoints.filter_routes(read_routes(spark, _json_lines(spark, routes, "routes"), lines=True), False)
+
+
+@query(
+    "q_allowed_urls",
+    """SELECT page_id, url, page_id % 8 IN (0, 1, 2) AND regexp_matches(url, '^https?://') AS allowed FROM (
+         SELECT page_id, CASE page_id % 8 WHEN 3 THEN replace(replace(url, 'https:', 'ftp:'), 'http:', 'ftp:') WHEN 4 THEN 'http://169.254.169.254/latest'
+           WHEN 5 THEN 'https://metadata.google.internal/x?y' WHEN 6 THEN concat('javascript:', url) WHEN 7 THEN NULL ELSE url END AS url FROM pages)""",
+)
+def q_allowed_urls(spark, sf):
+    """Addresses of pages, of which five in eight have a blocked host or scheme, or are none."""
+    url = """CASE page_id % 8 WHEN 3 THEN replace(replace(url, 'https:', 'ftp:'), 'http:', 'ftp:') WHEN 4 THEN 'http://169.254.169.254/latest'
+           WHEN 5 THEN 'https://metadata.google.internal/x?y' WHEN 6 THEN concat('javascript:', url) WHEN 7 THEN NULL ELSE url END AS url"""
+    return table(spark, sf, "pages").selectExpr("page_id", url).select("page_id", "url", endpoints.is_allowed_url(F.col("url")).alias("allowed"))
+
+
+MODEL_FILES = i.files_of(
+    "part",
+    "p_brand",
+    "CASE p_size % 3 WHEN 0 THEN concat('app/Models/M', CAST(p_partkey AS STRING), '.php') WHEN 1 THEN 'prisma/schema.prisma' ELSE concat('app/Other/M', CAST(p_partkey AS STRING), '.php') END",
+    """CASE p_size % 3 WHEN 1 THEN concat('model M', CAST(p_partkey AS STRING), ' {', chr(10), '  @@map("t', CAST(p_partkey AS STRING), '")', chr(10), '}')
+       ELSE concat('protected $table = ', chr(39), 'm_', CAST(p_partkey AS STRING), chr(39), ';', chr(10), '$table = "second";') END""",
+)
+
+
+@query(
+    "q_model_tables",
+    """SELECT DISTINCT p_brand AS corpus, unnest(CASE p_size % 3 WHEN 0 THEN [concat('m_', p_partkey)] ELSE [concat('M', p_partkey), concat('t', p_partkey)] END) AS table_name
+       FROM part WHERE p_size % 3 < 2""",
+)
+def q_model_tables(spark, sf):
+    """Tables that models name, the first name of each, and those of Prisma schemas."""
+    return tables.declared_tables(MODEL_FILES.df(spark, sf))
 
 
 @query("q_benchmark_leak", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
@@ -349,6 +463,47 @@ TERM_SQL = " UNION ALL ".join(
 TERM_ALL = f"WITH p AS ({prose_sql('SELECT corpus, path, content FROM (' + DOCS + ') UNION ALL ' + ORDERS)}) {TERM_SQL}"
 
 
+#: Every word of eight letters or more in a page is a term; lines meet them by their first eight characters.
+MANY_TERMS = f"""
+  WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(html, '[a-z]{{8,}}')) AS w FROM pages),
+       l AS ({prose_sql(DOCS)}),
+       g AS (SELECT corpus, path, line_no, line, unnest(generate_series(1, length(line) - 7)) AS k FROM l),
+       h AS (SELECT DISTINCT corpus, path, line_no, line, w FROM g JOIN t ON substring(line, k, 8) = left(w, 8) AND starts_with(substring(line, k), w))"""
+
+
+@query(
+    "q_many_terms",
+    f"""{MANY_TERMS} SELECT 'term' AS "check", corpus, path, line_no, CASE WHEN length(w) % 2 = 0 THEN 'info' ELSE 'error' END AS severity,
+          w AS matched, upper(w) AS expected, 'page' AS message FROM h""",
+)
+def q_many_terms(spark, sf):
+    """More than ten thousand terms in the lines of documents, in one pass."""
+    rules = _page_words(spark, sf).selectExpr("w AS wrong", "upper(w) AS correct", "'page' AS context", "length(w) % 2 = 0 AS in_code")
+    return leakage.wrong_terms_of(i.DOCUMENTS.df(spark, sf), rules)
+
+
+@query(
+    "q_many_leak_rules",
+    f"""{MANY_TERMS.replace(prose_sql(DOCS), lines_sql(DOCS))},
+          r AS (SELECT *, regexp_extract(line, concat(w, '[a-z]*[,.]')) AS m FROM h)
+        SELECT 'leak' AS "check", corpus, path, line_no, concat('r-', w) AS rule, CASE WHEN length(w) % 2 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+          CASE WHEN length(w) % 2 = 0 THEN m ELSE w END AS matched, 'word of a page' AS message
+        FROM r WHERE length(w) % 2 = 1 OR m <> ''""",
+)
+def q_many_leak_rules(spark, sf):
+    """As many leak rules, half of them with a regex that decides where their literal is found."""
+    rules = _page_words(spark, sf).selectExpr(
+        "concat('r-', w) AS name", "w AS literal", "CASE WHEN length(w) % 2 = 0 THEN concat(w, '[a-z]*[,.]') END AS regex",
+        "CASE WHEN length(w) % 2 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity", "'word of a page' AS description",
+    )
+    return leakage.scan_many(i.DOCUMENTS.df(spark, sf), rules)
+
+
+def _page_words(spark, sf):
+    words = F.regexp_extract_all("html", F.lit("[a-z]{8,}"), F.lit(0))
+    return table(spark, sf, "pages").select(F.explode_outer(words).alias("w")).where(F.col("w").isNotNull()).distinct()
+
+
 @query("q_terms", TERM_ALL)
 def q_terms(spark, sf):
     both = i.DOCUMENTS.df(spark, sf).select("corpus", "path", "content").unionByName(i.ORDER_PAGES.df(spark, sf))

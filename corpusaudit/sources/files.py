@@ -65,36 +65,48 @@ def from_table(df: DataFrame, corpus: Column, path: Column, text: Column, modifi
     )
 
 
-def read_leak_rules(spark: SparkSession, path: str) -> list[LeakRule]:
+def _json(spark: SparkSession, schema: object, path: str, lines: bool) -> DataFrame:
+    """Objects of a JSON array in one file, or one object a line in any number of files, read by many tasks."""
+    return spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+
+
+TERM_RULE = "wrong STRING, correct STRING, context STRING, in_code BOOLEAN"
+LITERAL_RULE = "name STRING, literal STRING, regex STRING, severity STRING, description STRING"
+
+
+def read_rule_table(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """Rules one a line, as many as there are, for ``leakage.wrong_terms_of`` and ``leakage.scan_many``."""
+    return _json(spark, schema, path, lines=True)
+
+
+def read_leak_rules(spark: SparkSession, path: str, lines: bool = False) -> list[LeakRule]:
     """Rules of a JSON file. They are configuration and are unrolled into the plan."""
     schema = "name STRING, regex STRING, severity STRING, description STRING, allow_in ARRAY<STRING>, only_in ARRAY<STRING>"
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).collect()
+    rows = _json(spark, schema, path, lines).collect()
     return [
         LeakRule(r.name, r.regex, r.severity, r.description or "", tuple(r.allow_in or ()), tuple(r.only_in or ()))
         for r in rows
     ]
 
 
-def read_term_rules(spark: SparkSession, path: str | None = None) -> list[TermRule]:
+def read_term_rules(spark: SparkSession, path: str | None = None, lines: bool = False) -> list[TermRule]:
     """Rules of a JSON file; the built-in ones without a file."""
     if path is None:
         return list(TERM_RULES)
-    schema = "wrong STRING, correct STRING, context STRING, in_code BOOLEAN"
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).collect()
+    rows = _json(spark, TERM_RULE, path, lines).collect()
     return [TermRule(r.wrong, r.correct, r.context or "", bool(r.in_code)) for r in rows]
 
 
-def read_impact_rules(spark: SparkSession, path: str | None = None) -> list[tuple[str, list[str]]]:
+def read_impact_rules(spark: SparkSession, path: str | None = None, lines: bool = False) -> list[tuple[str, list[str]]]:
     if path is None:
         return list(IMPACT_RULES)
-    schema = "source_pattern STRING, docs ARRAY<STRING>"
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).collect()
+    rows = _json(spark, "source_pattern STRING, docs ARRAY<STRING>", path, lines).collect()
     return [(r.source_pattern, list(r.docs)) for r in rows]
 
 
-def read_routes(spark: SparkSession, path: str) -> DataFrame:
-    """Route list: a JSON array of objects. Anything else fails when it is read."""
-    return spark.read.schema(schemas.ROUTES).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_routes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Route list: a JSON array of objects, or one object a line. Anything else fails when it is read."""
+    return _json(spark, schemas.ROUTES, path, lines)
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
