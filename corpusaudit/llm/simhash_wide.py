@@ -9,6 +9,9 @@ a top node agree on a block. A pair at 0.8 agrees on one of 48 blocks with proba
 top node, members stand in Gray order below nodes of shared bit patterns, and groups are pruned by accumulated
 differences. A top node with many members is dealt into chunks, and each pair of chunks is one search, so no task
 holds more than two chunks, no pair is lost, and no pairs are written: links leave a search as a tree.
+
+The orders are searched one after the other. What one has joined is one component to the next, which writes links
+between different components only, so a large group of near copies is written once and not for each of its masks.
 """
 
 from __future__ import annotations
@@ -78,22 +81,20 @@ def _array(fps: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), WORDS)
 
 
-def top_nodes(distinct: DataFrame) -> DataFrame:
-    """``node, fp``: the masks of each fingerprint."""
+def top_nodes(known: DataFrame, order: int) -> DataFrame:
+    """``node, fp, part``: the masks of each fingerprint in one order of the bits; ``part`` is its component, if any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per = BITS // BLOCK
         for batch in batches:
             fps = batch.column("fp")
             bits = np.unpackbits(_array(fps.to_pylist()).view(np.uint8), axis=1, bitorder="little")
-            for i, order in enumerate(_ORDERS):
-                packed = np.packbits(bits[:, order], axis=1, bitorder="little")
-                blocks = np.ascontiguousarray(packed).view(np.uint16).astype(np.int32)
-                nodes = blocks + ((i * per + np.arange(per, dtype=np.int32)) << BLOCK)
-                at = pa.array(np.repeat(np.arange(len(fps)), per))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel()), fps.take(at)], names=["node", "fp"])
+            packed = np.packbits(bits[:, _ORDERS[order]], axis=1, bitorder="little")
+            nodes = np.ascontiguousarray(packed).view(np.uint16).astype(np.int32) + (np.arange(per, dtype=np.int32) << BLOCK)
+            at = pa.array(np.repeat(np.arange(len(fps)), per))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel()), fps.take(at), batch.column("part").take(at)], names=["node", "fp", "part"])
 
-    return distinct.select("fp").mapInArrow(run, "node int, fp binary")
+    return known.select("fp", "part").mapInArrow(run, "node int, fp binary, part binary")
 
 
 class GrayIndex:
@@ -101,7 +102,8 @@ class GrayIndex:
     the node above has."""
 
     def __init__(self, members: np.ndarray, fanout: int = FANOUT):
-        self.members, self.fanout = members[np.lexsort([gray_rank(members[:, w]) for w in range(WORDS - 1, -1, -1)])], fanout
+        self.order, self.fanout = np.lexsort([gray_rank(members[:, w]) for w in range(WORDS - 1, -1, -1)]), fanout
+        self.members = members[self.order]
         value, shared = self.members, np.full(members.shape, ~np.uint64(0))
         levels = [(value, shared)]
         while len(value) > 1:
@@ -146,19 +148,24 @@ def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _tree(root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return moved, root[moved]
+
+
 def linked_tree(members: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between members of one search that join all within ``most`` bits, directly or not."""
+    """Edges (places in ``members``) that join all within ``most`` bits, directly or not."""
     index = GrayIndex(members)
-    members, root = index.members, np.arange(len(members))
+    root = np.arange(len(members))
     for a in range(0, len(members), 256):
-        q, m = index.search(members[a : a + 256], most)
+        q, m = index.search(index.members[a : a + 256], most)
         root = _merge(root, q + a, m)
-    moved = np.flatnonzero(root != np.arange(len(root)))
-    return members[moved], members[root[moved]]
+    a, b = _tree(root)
+    return index.order[a], index.order[b]
 
 
-def small_links(values: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside each of many small groups that lie one after the other."""
+def small_trees(values: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same inside each of many small groups that lie one after the other."""
     first = np.repeat(np.cumsum(sizes) - sizes, sizes)
     inside = np.arange(len(values)) - first
     right = np.repeat(np.arange(len(values)), inside)  # each member against those before it in its group
@@ -168,35 +175,55 @@ def small_links(values: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.nd
         acc = acc + np.bitwise_count(values[left, w] ^ values[right, w])
         near = acc <= most
         left, right, acc = left[near], right[near], acc[near]
-    return values[left], values[right]
+    return _tree(_merge(np.arange(len(values)), left, right))
 
 
-def links(distinct: DataFrame, most: int) -> DataFrame:
-    """``a, b``: edges between distinct fingerprints (column ``fp``) that join those within ``most`` bits."""
-    nodes = top_nodes(distinct)
+def links(known: DataFrame, order: int, most: int) -> DataFrame:
+    """``a, b``: edges between components (or fingerprints without one) that join those within ``most`` bits.
+
+    ``known`` has distinct ``fp`` and their ``part``, null for a fingerprint by itself.
+    """
+    nodes = top_nodes(known, order)
     hot = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
     hot = hot.select("node", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     dealt = nodes.join(hot, "node", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    dealt = dealt.select("node", "fp", mine.alias("c"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d"))
+    dealt = dealt.select("node", "fp", "part", mine.alias("c"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d"))
     searches = dealt.groupBy("node", F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d"))
-    searches = searches.agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1).select("members")
+    searches = searches.agg(F.collect_list(F.struct("fp", "part")).alias("members")).where(F.size("members") > 1).select("members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("members")
-            sizes = lists.value_lengths().to_numpy()
-            values = _array(lists.flatten().to_pylist())
+            sizes, members = lists.value_lengths().to_numpy(), lists.flatten()
+            fps = members.field("fp").to_pylist()
+            values, names = _array(fps), [p or f for f, p in zip(fps, members.field("part").to_pylist())]
+            starts = np.cumsum(sizes) - sizes
             is_small = sizes <= _SMALL
-            found = [small_links(values[np.repeat(is_small, sizes)], sizes[is_small], most)]
-            ends = np.cumsum(sizes)
-            found += [linked_tree(values[ends[i] - sizes[i] : ends[i]], most) for i in np.flatnonzero(~is_small)]
-            a, b = ([x.tobytes() for f in found for x in f[side]] for side in (0, 1))
+            places = np.flatnonzero(np.repeat(is_small, sizes))
+            found = [tuple(places[x] for x in small_trees(values[places], sizes[is_small], most))]
+            for i in np.flatnonzero(~is_small):
+                a, b = starts[i], starts[i] + sizes[i]
+                if len(set(names[a:b])) > 1:  # else all of them are joined already
+                    found.append(tuple(x + a for x in linked_tree(values[a:b], most)))
+            pairs = {(names[x], names[y]) for f in found for x, y in zip(*(x.tolist() for x in f)) if names[x] != names[y]}
+            a, b = ([p[side] for p in pairs] for side in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return searches.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def joined(distinct: DataFrame, most: int) -> DataFrame:
+    """``fp, part``: of distinct fingerprints (column ``fp``) the component, null for one by itself."""
+    known = distinct.select("fp", F.lit(None).cast("binary").alias("part"))
+    for order in range(ORDERS):
+        roots = written(components(links(known, order, most)), "simhash-roots")
+        # a fingerprint of a component goes where that goes; one by itself is a node of its own
+        known = known.join(roots, F.coalesce("part", "fp") == F.col("node"), "left")
+        known = written(known.select("fp", F.coalesce("root", "part").alias("part")), "simhash-parts")
+    return known
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """One row per document: id, ``component_id``, the smallest id that a document reaches over links.
 
@@ -207,8 +234,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     fps = written(fingerprints(docs, id_col, text_col, size), "simhash-wide")
     distinct = written(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
-    roots = components(links(distinct, most_bits(similarity)))
-    known = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    parts = joined(distinct, most_bits(similarity)).withColumnRenamed("fp", "node")
+    known = distinct.join(parts, F.col("fp") == F.col("node")).select("fp", "first", F.coalesce("part", "fp").alias("root"))
     names = known.groupBy("root").agg(F.min("first").alias("component_id"))
     named = known.join(names, "root").select(F.col("fp").alias("n_fp"), "component_id")
     return fps.join(named, F.col("fp") == F.col("n_fp")).select(F.col("id").alias(id_col), "component_id")

@@ -112,3 +112,19 @@ def test_removal(docs_of, monkeypatch, gathered):
 
 def test_empty(docs_of):
     assert remove_repeats(docs_of(rows()).where("doc_id < 0")).collect() == []
+
+
+def test_passages_by_length(docs_of):
+    """Of passages that two documents share those of 400 bytes or more go, whole, and shorter ones stay, whole."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9)))
+    passages = [" ".join(word() for _ in range(n)) for n in range(45, 95)]
+    docs = {}
+    for i, p in enumerate(passages):
+        for k in (0, 1):  # the bytes beside the passage differ, so that nothing but it repeats
+            docs[2 * i + k] = ("\x01\x02"[k] + p + "\x03\x04"[k], " ".join(word() for _ in range(40)))
+    got = {x.doc_id: bytes(x.kept).decode() for x in remove_repeats(docs_of([(i, own + around + own) for i, (around, own) in docs.items()])).collect()}
+    for i, (around, own) in docs.items():
+        gone = len(around) - 2 >= 400
+        assert got[i] == own + (around[0] + around[-1] if gone else around) + own
+    assert {len(p) >= 400 for p in passages if len(p.split()) > 50} == {True, False}

@@ -48,12 +48,12 @@ def test_search_finds_all_links(seed):
     assert {(i, at[members[j]]) for i, j in zip(q.tolist(), m.tolist()) if i < at[members[j]]} == near(fps, most)
     want = parts(len(fps), near(fps, most))
     a, b = wide.linked_tree(fps, most)
-    assert len(a) < len(fps) and parts(len(fps), [(at[x.tobytes()], at[y.tobytes()]) for x, y in zip(a, b)]) == want
+    assert len(a) < len(fps) and parts(len(fps), zip(a.tolist(), b.tolist())) == want
     sizes = np.array([1, 40, 0, 2, 30])
-    left, right = wide.small_links(fps[: sizes.sum()], sizes, most)
-    edges = {tuple(sorted((at[x.tobytes()], at[y.tobytes()]))) for x, y in zip(left, right)}
-    ends = np.cumsum(sizes)
-    assert edges == {(i, j) for i, j in near(fps[: sizes.sum()], most) if np.searchsorted(ends, i, "right") == np.searchsorted(ends, j, "right")}
+    n, ends = sizes.sum(), np.cumsum(sizes)
+    a, b = wide.small_trees(fps[:n], sizes, most)
+    inside = [(i, j) for i, j in near(fps[:n], most) if np.searchsorted(ends, i, "right") == np.searchsorted(ends, j, "right")]
+    assert len(a) < n and parts(n, zip(a.tolist(), b.tolist())) == parts(n, inside)
 
 
 def test_chunks_of_a_hot_node(spark, monkeypatch):
@@ -61,9 +61,11 @@ def test_chunks_of_a_hot_node(spark, monkeypatch):
     monkeypatch.setattr(wide, "CHUNK", 40)
     fps = flipped(np.random.default_rng(3), 500, 8, groups=2)
     df = spark.createDataFrame([(bytearray(x.tobytes()),) for x in fps], "fp binary").repartition(4)
-    found = [(bytes(r.a), bytes(r.b)) for r in wide.links(df, wide.most_bits(0.8)).collect()]
-    at = {x.tobytes(): i for i, x in enumerate(fps)}
-    assert len(set(parts(len(fps), [(at[a], at[b]) for a, b in found]))) == 2
+    found = {bytes(r.fp): bytes(r.part) for r in wide.joined(df, wide.most_bits(0.8)).collect()}
+    assert set(found) == {x.tobytes() for x in fps} and len(set(found.values())) == 2
+    # what one order has joined is not written again by the next
+    known = spark.createDataFrame([(bytearray(f), bytearray(p)) for f, p in found.items()], "fp binary, part binary")
+    assert wide.links(known, 1, wide.most_bits(0.8)).count() == 0
 
 
 def changed(rng, words, k):
