@@ -136,22 +136,53 @@ def hubs_first(degree: DataFrame) -> DataFrame:
     return degree.orderBy(F.desc("degree"), "node")
 
 
+#: Levels that are taken off one by one before what is left is contracted.
+PEELED = 6
+
+
 def depth(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
     """graph, depth, has_cycle for graphs of any size; depth as in ``longest_chain``.
 
-    Chains are contracted (``graph_tables.longest_chains``), in a number of rounds that follows the logarithm of their
-    length. Graphs that turn out to have a cycle are folded first, and chains are counted between their parts.
+    The first rounds drop the edges whose source has nothing above it any more: an acyclic graph loses one level per
+    round, and one that loses nothing has a cycle. What is deeper than ``PEELED`` levels is contracted
+    (``graph_tables.longest_chains``), in rounds that follow the logarithm of its longest chain. Graphs with a cycle are
+    folded first, and chains are counted between their parts.
     """
     pairs = edges.select(graph, "src", "dst").distinct()
-    whole = cut_lineage(pairs)
-    loops = whole.groupBy(graph).agg(F.bool_or(F.col("src") == F.col("dst")).alias("loops"))
-    ends = F.explode(F.array("src", "dst")).alias("node")
-    nodes = whole.select(graph, ends).distinct().withColumn("weight", F.lit(1))
-    chains, cyclic, _ = longest_chains(whole.where("src <> dst"), nodes, graph)
-    plain = chains.join(loops, graph).select(graph, F.col("chain").cast("int").alias("depth"), F.col("loops").alias("has_cycle"))
-    if cyclic.isEmpty():
+    graphs = pairs.groupBy(graph).agg(F.bool_or(F.col("src") == F.col("dst")).alias("loops"))
+    whole = cut_lineage(pairs.where("src <> dst"))
+    sizes = whole.groupBy(graph).agg(F.count("*").alias("edges"))
+    none = F.lit(None).cast("int")
+    state = cut_lineage(graphs.join(sizes, graph, "left").select(graph, "loops", "edges", F.when(F.col("edges").isNull(), 1).otherwise(none).alias("depth"), F.lit(False).alias("stuck")))
+    open_ = F.col("depth").isNull() & ~F.col("stuck")
+    left = whole
+    for level in range(1, PEELED + 1):
+        if state.where(open_).isEmpty():
+            break
+        above = left.select(graph, F.col("dst").alias("src")).distinct()
+        kept = left.join(above, [graph, "src"], "left_semi").join(state.where(open_).select(graph), graph, "left_semi")
+        left = cut_lineage(kept)
+        now = left.groupBy(graph).agg(F.count("*").alias("now"))
+        state = cut_lineage(
+            state.join(now, graph, "left").select(
+                graph,
+                "loops",
+                F.coalesce("now", "edges").alias("edges"),
+                F.when(open_ & F.col("now").isNull(), level + 1).otherwise(F.col("depth")).alias("depth"),
+                (F.col("stuck") | (open_ & F.coalesce(F.col("now") == F.col("edges"), F.lit(False)))).alias("stuck"),
+            )
+        )
+    plain = state.where(F.col("depth").isNotNull()).select(graph, F.col("depth").cast("int").alias("depth"), F.col("loops").alias("has_cycle"))
+    stuck = state.where("stuck").select(graph)
+    if not state.where(open_).isEmpty():
+        rest = left.join(state.where(open_).select(graph), graph, "left_semi")
+        nodes = rest.select(graph, F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("weight", F.lit(1))
+        chains, cyclic, _ = longest_chains(rest, nodes, graph)
+        deep = chains.join(state, graph).select(graph, (F.col("chain") + PEELED).cast("int").alias("depth"), F.col("loops").alias("has_cycle"))
+        plain, stuck = plain.unionByName(deep), stuck.union(cyclic)
+    if stuck.isEmpty():
         return plain
-    return plain.unionByName(_folded_depth(whole.where("src <> dst").join(cyclic, graph, "left_semi"), graph))
+    return plain.unionByName(_folded_depth(whole.join(stuck, graph, "left_semi"), graph))
 
 
 def _folded_depth(edges: DataFrame, graph: str) -> DataFrame:
@@ -164,7 +195,7 @@ def _folded_depth(edges: DataFrame, graph: str) -> DataFrame:
     side = lambda c: of.select(graph, F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
     between = edges.join(side("src"), [graph, "src"]).join(side("dst"), [graph, "dst"]).where("src_part <> dst_part")
     between = between.select(graph, F.col("src_part").alias("src"), F.col("dst_part").alias("dst")).distinct()
-    chains, _, _ = longest_chains(between, weight, graph)
+    chains, _, _ = longest_chains(between, weight, graph, acyclic=True)
     return chains.select(graph, F.col("chain").cast("int").alias("depth"), F.lit(True).alias("has_cycle"))
 
 

@@ -89,7 +89,7 @@ def cluster_parts(edges: DataFrame, clusters: DataFrame, keys: Sequence[str] = (
     return label.groupBy(*keys, "cluster").agg(F.count("*").alias("nodes"), F.count_distinct("label").alias("parts"))
 
 
-def longest_chains(edges: DataFrame, nodes: DataFrame, graph: str, most_rounds: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+def longest_chains(edges: DataFrame, nodes: DataFrame, graph: str, acyclic: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """``graph, chain`` of acyclic graphs, ``graph`` of those with a cycle, and the number of rounds.
 
     ``edges`` has ``graph, src, dst`` without loops, ``nodes`` ``graph, node, weight``. A chain counts the weights of its
@@ -98,7 +98,7 @@ def longest_chains(edges: DataFrame, nodes: DataFrame, graph: str, most_rounds:
     are taken out while that adds no edges. Of neighbours one goes at a time: ends first, then by a hash of
     name and round. So a chain shrinks by a constant share in each of the two steps of a round, and the number of rounds is
     logarithmic in its length; a graph with many edges at every node loses a level a step. An edge from a node to
-    itself, or no end in a graph with edges, tells of a cycle.
+    itself, or no end in a graph with edges, tells of a cycle; this is not looked for in graphs known to be ``acyclic``.
     """
     key = [graph, "node"]
     zero = F.lit(0).cast("long")
@@ -108,19 +108,20 @@ def longest_chains(edges: DataFrame, nodes: DataFrame, graph: str, most_rounds:
     best = nodes.groupBy(graph).agg(F.max("up").alias("chain"))
     cyclic = edges.select(graph).limit(0)
     rounds = 0
-    while not edges.isEmpty() and (most_rounds is None or rounds < most_rounds):
+    while not edges.isEmpty():
         for step in range(2):
-            edges, nodes, found, stuck = _take_out(edges, nodes, graph, 2 * rounds + step)
+            edges, nodes, found, stuck = _take_out(edges, nodes, graph, 2 * rounds + step, acyclic)
             best, cyclic = best.unionByName(found), cyclic.union(stuck)
         rounds += 1
-        best, cyclic = cut_lineage(best.groupBy(graph).agg(F.max("chain").alias("chain"))), cut_lineage(cyclic.distinct())
-        edges = cut_lineage(edges.join(cyclic, graph, "left_anti"))
+        if not acyclic:
+            cyclic = cut_lineage(cyclic.distinct())
+            edges = cut_lineage(edges.join(cyclic, graph, "left_anti"))
     best = best.unionByName(nodes.select(graph, (F.col("up") + F.col("down")).alias("chain")))
     chains = best.groupBy(graph).agg(F.max("chain").alias("chain")).join(cyclic, graph, "left_anti")
     return chains, cyclic, rounds
 
 
-def _take_out(edges: DataFrame, nodes: DataFrame, graph: str, step: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _take_out(edges: DataFrame, nodes: DataFrame, graph: str, step: int, acyclic: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Edges and nodes without those of an independent set, the chains through these, and graphs found to have a cycle."""
     key = [graph, "node"]
     ends = F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
@@ -144,7 +145,9 @@ def _take_out(edges: DataFrame, nodes: DataFrame, graph: str, step: int) -> tupl
     bridged = above.select(graph, "src", F.col("dst").alias("node"), (F.col("gap") + F.col("weight")).alias("g")).join(
         below.select(graph, F.col("src").alias("node"), "dst", "gap"), key
     )
-    bridged = cut_lineage(bridged.select(graph, "src", "dst", (F.col("g") + F.col("gap")).alias("gap")))
+    bridged = bridged.select(graph, "src", "dst", (F.col("g") + F.col("gap")).alias("gap"))
+    if not acyclic:
+        bridged = cut_lineage(bridged)
     rest = edges.join(out.withColumnRenamed("node", "src"), [graph, "src"], "left_anti").join(out.withColumnRenamed("node", "dst"), [graph, "dst"], "left_anti")
     left = cut_lineage(rest.unionByName(bridged.where("src <> dst")).groupBy(graph, "src", "dst").agg(F.max("gap").alias("gap")))
     stuck = stuck.union(bridged.where("src = dst").select(graph))

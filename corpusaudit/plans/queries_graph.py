@@ -340,12 +340,12 @@ def q_network_clusters(spark, sf):
 @query(
     "q_chain_depth",
     """SELECT concat('g', g) AS graph_id, CAST(max(n) AS INTEGER) AS depth, false AS has_cycle FROM (
-         SELECT g, count(*) AS n FROM (SELECT o_orderkey // 10000 AS g, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS island FROM orders) GROUP BY g, island)
+         SELECT g, count(*) AS n FROM (SELECT o_orderkey // 100 AS g, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS island FROM orders) GROUP BY g, island)
        GROUP BY g HAVING max(n) > 1""",
 )
 def q_chain_depth(spark, sf):
-    """Each order leads to the one with the next number, in graphs of ten thousand numbers: chains as long as that."""
-    orders = table(spark, sf, "orders").selectExpr("concat('g', o_orderkey div 10000) AS graph_id", "o_orderkey")
+    """Each order leads to the one with the next number, in graphs of a hundred numbers: chains as long as that."""
+    orders = table(spark, sf, "orders").selectExpr("concat('g', o_orderkey div 100) AS graph_id", "o_orderkey")
     before = orders.selectExpr("graph_id", "o_orderkey - 1 AS o_orderkey", "o_orderkey AS next")
     edges = orders.join(before, ["graph_id", "o_orderkey"])
     return graph.depth(edges.selectExpr("graph_id", "CAST(o_orderkey AS STRING) AS src", "CAST(next AS STRING) AS dst"))
