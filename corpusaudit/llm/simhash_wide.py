@@ -22,6 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,8 +78,13 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGL
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp binary")
 
 
-def _array(fps: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), WORDS)
+def _array(fps: pa.BinaryArray) -> np.ndarray:
+    """Fingerprints of an Arrow column, without an object for each."""
+    _, offsets, data = fps.buffers()
+    if not len(fps):
+        return np.empty((0, WORDS), np.uint64)
+    first = np.frombuffer(offsets, np.int32)[fps.offset]
+    return np.frombuffer(data, np.uint8)[first : first + len(fps) * BITS // 8].view(np.uint64).reshape(len(fps), WORDS)
 
 
 def top_nodes(known: DataFrame, order: int) -> DataFrame:
@@ -88,7 +94,7 @@ def top_nodes(known: DataFrame, order: int) -> DataFrame:
         per = BITS // BLOCK
         for batch in batches:
             fps = batch.column("fp")
-            bits = np.unpackbits(_array(fps.to_pylist()).view(np.uint8), axis=1, bitorder="little")
+            bits = np.unpackbits(_array(fps).view(np.uint8), axis=1, bitorder="little")
             packed = np.packbits(bits[:, _ORDERS[order]], axis=1, bitorder="little")
             nodes = np.ascontiguousarray(packed).view(np.uint16).astype(np.int32) + (np.arange(per, dtype=np.int32) << BLOCK)
             at = pa.array(np.repeat(np.arange(len(fps)), per))
@@ -196,19 +202,19 @@ def links(known: DataFrame, order: int, most: int) -> DataFrame:
         for batch in batches:
             lists = batch.column("members")
             sizes, members = lists.value_lengths().to_numpy(), lists.flatten()
-            fps = members.field("fp").to_pylist()
-            values, names = _array(fps), [p or f for f, p in zip(fps, members.field("part").to_pylist())]
+            fps = members.field("fp")
+            values, names = _array(fps), pc.coalesce(members.field("part"), fps)
             starts = np.cumsum(sizes) - sizes
             is_small = sizes <= _SMALL
             places = np.flatnonzero(np.repeat(is_small, sizes))
             found = [tuple(places[x] for x in small_trees(values[places], sizes[is_small], most))]
             for i in np.flatnonzero(~is_small):
-                a, b = starts[i], starts[i] + sizes[i]
-                if len(set(names[a:b])) > 1:  # else all of them are joined already
-                    found.append(tuple(x + a for x in linked_tree(values[a:b], most)))
-            pairs = {(names[x], names[y]) for f in found for x, y in zip(*(x.tolist() for x in f)) if names[x] != names[y]}
-            a, b = ([p[side] for p in pairs] for side in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                mine = slice(starts[i], starts[i] + sizes[i])
+                if len(pc.unique(names[mine])) > 1:  # else all of them are joined already
+                    found.append(tuple(x + starts[i] for x in linked_tree(values[mine], most)))
+            a, b = (names.take(pa.array(np.concatenate([f[side] for f in found]))) for side in (0, 1))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pc.not_equal(a, b))
+        pa.default_memory_pool().release_unused()
 
     return searches.mapInArrow(run, "a binary, b binary").distinct()
 
