@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 # what may be broadcast, counted before it is: far below the memory of an executor
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+# buckets of a corpus; each of them has a copy of its fact row
+BUCKETS = 4
 
 
 def join_per_corpus(rows: DataFrame, facts: DataFrame, spread: list[str], how: str = "left") -> DataFrame:
     """Join rows to a table with one row per corpus.
 
-    The rows of a corpus are spread over as many buckets as the session has shuffle partitions, by the columns in
-    ``spread``, and the one fact row is repeated for each bucket, so a corpus with a third of all rows is never one
-    task, and on a larger cluster it is more tasks.
+    The rows of a corpus are dealt to ``BUCKETS`` buckets by the columns in ``spread``, and its fact row is repeated for
+    each. Their number is fixed: what is repeated, and broadcast where it is small, grows with the corpora only, not with
+    the partitions of the session too. As both sides are dealt by corpus and bucket, the skew join of AQE splits a
+    bucket that is still too large.
     """
-    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(BUCKETS)).cast("int"))
+    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
     return salted.join(repeated, ["corpus", "_salt"], how).drop("_salt")
 
 

@@ -70,6 +70,16 @@ def test_hot_corpus_is_spread(spark):
     assert salts.count() == n and salts.agg(F.max("count")).first()[0] < 1.5 * rows.count() / n
 
 
+def test_facts_do_not_grow_with_the_partitions(spark, conf):
+    """Many corpora: a fact row is not repeated for every partition of the session."""
+    conf(spark__sql__shuffle__partitions="200", spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__coalescePartitions__enabled="false")
+    facts = spark.range(100).selectExpr("concat('c', id) AS corpus", "id AS x")
+    joined = join_per_corpus(facts.selectExpr("corpus", "concat('p', x) AS path"), facts, ["path"])
+    assert joined.where("path = concat('p', x)").count() == joined.count() == 100
+    last = re.search(r"explode\(sequence\(0, (\d+)", joined._jdf.queryExecution().analyzed().toString()).group(1)
+    assert int(last) < 8
+
+
 def test_broadcast_is_counted(spark):
     df = spark.range(100).selectExpr("repeat('x', 100) AS needle")
     assert fits_broadcast(df, rows=100, size=10_000)
