@@ -10,16 +10,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusaudit.operators.graph_tables import longest_chains
+from corpusaudit.operators.graph_tables import ROW_EDGES, edges_in_rows, longest_chains, row_edges_of
 from corpusaudit.session import cut_lineage
 
 
 def longest_chain(below: dict[str, set[str]]) -> int:
-    """Nodes on the longest chain, where nodes that reach each other count together, each once.
+    """Nodes on the longest chain, where nodes that reach each other count together, each once."""
+    return _walk(below)[0]
+
+
+def _walk(below: dict[str, set[str]]) -> tuple[int, bool]:
+    """``longest_chain``, and whether some nodes reach each other.
 
     Parts of nodes that reach each other are closed bottom up (Tarjan's walk without recursion), so the chains below
     a part are known when it is closed.
@@ -28,6 +34,7 @@ def longest_chain(below: dict[str, set[str]]) -> int:
     low: dict[str, int] = {}
     chain: dict[str, int] = {}  # of closed nodes: the chain from their part down
     waiting: list[str] = []
+    folded = False
     for head in below:
         if head in number:
             continue
@@ -45,6 +52,7 @@ def longest_chain(below: dict[str, set[str]]) -> int:
                     part = [waiting.pop()]
                     while part[-1] != node:
                         part.append(waiting.pop())
+                    folded = folded or len(part) > 1
                     deepest = max((chain[c] for n in part for c in below.get(n, ()) if c in chain), default=0)
                     chain.update(dict.fromkeys(part, deepest + len(part)))
             elif child not in number:
@@ -53,7 +61,7 @@ def longest_chain(below: dict[str, set[str]]) -> int:
                 stack.append((child, iter(below.get(child, ()))))
             elif child not in chain:
                 low[node] = min(low[node], number[child])
-    return max(chain.values(), default=0)
+    return max(chain.values(), default=0), folded
 
 
 @F.pandas_udf(T.IntegerType())
@@ -140,10 +148,24 @@ def hubs_first(degree: DataFrame) -> DataFrame:
 PEELED = 6
 
 
-def depth(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
+def _row_depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """graph, depth and whether it has a cycle, of graphs that are an array of edges."""
+    for batch in batches:
+        found = []
+        for edges in row_edges_of(batch.column("edges")):
+            below: dict[str, set[str]] = {}
+            for a, b in zip(edges["src"], edges["dst"]):
+                below.setdefault(a, set()).add(b)
+            found.append(_walk(below))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([d for d, _ in found], pa.int32()), pa.array([c for _, c in found], pa.bool_())], names=[batch.schema.names[0], "deep", "cyclic"]
+        )
+
+
+def depth(edges: DataFrame, graph: str = "graph_id", row_edges: int = ROW_EDGES) -> DataFrame:
     """graph, depth, has_cycle for graphs of any size; depth as in ``longest_chain``.
 
-    The first rounds drop the edges whose source has nothing above it any more: an acyclic graph loses one level per
+    A graph of at most ``row_edges`` edges is one row and walked there. For larger ones, the first rounds drop the edges whose source has nothing above it any more: an acyclic graph loses one level per
     round, and one that loses nothing has a cycle. What is deeper than ``PEELED`` levels is contracted
     (``graph_tables.longest_chains``), in rounds that follow the logarithm of its longest chain. Graphs with a cycle are
     folded first, and chains are counted between their parts.
@@ -154,6 +176,12 @@ def depth(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
     sizes = whole.groupBy(graph).agg(F.count("*").alias("edges"))
     none = F.lit(None).cast("int")
     state = cut_lineage(graphs.join(sizes, graph, "left").select(graph, "loops", "edges", F.when(F.col("edges").isNull(), 1).otherwise(none).alias("depth"), F.lit(False).alias("stuck")))
+    small = state.where(F.col("depth").isNull() & (F.col("edges") <= row_edges)).select(graph, "loops")
+    rows = edges_in_rows(whole.select(graph, "src", "dst"), small, graph)
+    kind = dict(state.dtypes)[graph]
+    walked = rows.mapInArrow(_row_depths, f"`{graph}` {kind}, deep INT, cyclic BOOLEAN").join(small, graph)
+    walked = walked.select(graph, F.col("deep").alias("depth"), (F.col("loops") | F.col("cyclic")).alias("has_cycle"))
+    state = state.where(F.col("depth").isNotNull() | (F.col("edges") > row_edges))
     open_ = F.col("depth").isNull() & ~F.col("stuck")
     left = whole
     for level in range(1, PEELED + 1):
@@ -173,19 +201,20 @@ def depth(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
             )
         )
     plain = state.where(F.col("depth").isNotNull()).select(graph, F.col("depth").cast("int").alias("depth"), F.col("loops").alias("has_cycle"))
+    plain = walked.unionByName(plain)
     stuck = state.where("stuck").select(graph)
     if not state.where(open_).isEmpty():
         rest = left.join(state.where(open_).select(graph), graph, "left_semi")
         nodes = rest.select(graph, F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("weight", F.lit(1))
-        chains, cyclic, _ = longest_chains(rest, nodes, graph)
+        chains, cyclic, _ = longest_chains(rest, nodes, graph, row_edges=row_edges)
         deep = chains.join(state, graph).select(graph, (F.col("chain") + PEELED).cast("int").alias("depth"), F.col("loops").alias("has_cycle"))
         plain, stuck = plain.unionByName(deep), stuck.union(cyclic)
     if stuck.isEmpty():
         return plain
-    return plain.unionByName(_folded_depth(whole.join(stuck, graph, "left_semi"), graph))
+    return plain.unionByName(_folded_depth(whole.join(stuck, graph, "left_semi"), graph, row_edges))
 
 
-def _folded_depth(edges: DataFrame, graph: str) -> DataFrame:
+def _folded_depth(edges: DataFrame, graph: str, row_edges: int) -> DataFrame:
     """Depth of graphs with cycles: longest weighted chain between the parts."""
     parts = strongly_connected(edges, graph)
     nodes = edges.select(graph, F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -195,7 +224,7 @@ def _folded_depth(edges: DataFrame, graph: str) -> DataFrame:
     side = lambda c: of.select(graph, F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
     between = edges.join(side("src"), [graph, "src"]).join(side("dst"), [graph, "dst"]).where("src_part <> dst_part")
     between = between.select(graph, F.col("src_part").alias("src"), F.col("dst_part").alias("dst")).distinct()
-    chains, _, _ = longest_chains(between, weight, graph, acyclic=True)
+    chains, _, _ = longest_chains(between, weight, graph, acyclic=True, row_edges=row_edges)
     return chains.select(graph, F.col("chain").cast("int").alias("depth"), F.lit(True).alias("has_cycle"))
 
 

@@ -1,19 +1,63 @@
 """Clusters and depths of graphs that are tables of edges, of any size and many at once.
 
-No row holds a graph and nothing is walked node by node. Clusters grow from all local hubs at the same time; depths
+No row holds a large graph and nothing large is walked node by node. Clusters grow from all local hubs at the same time; depths
 come from taking nodes out, many at a time, and joining what they connected by longer edges. Each round is a few joins on
 (graph, node) over what is left, written to the checkpoint folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusaudit.session import cut_lineage
 
+#: Edges of a graph that is walked in one row; larger ones go by rounds.
+ROW_EDGES = 10_000
+
+
+def edges_in_rows(edges: DataFrame, graphs: DataFrame, graph: str) -> DataFrame:
+    """graph, edges: a row for each graph in ``graphs``, with its edges as an array of all other columns."""
+    kept = edges.join(graphs.select(graph), graph, "left_semi")
+    return kept.groupBy(graph).agg(F.collect_list(F.struct(*[c for c in edges.columns if c != graph])).alias("edges"))
+
+
+def row_edges_of(column: pa.ListArray) -> Iterator[dict[str, list]]:
+    """The edges of each row, by column."""
+    all_, at = column.values, column.offsets.to_pylist()
+    for start, end in zip(at, at[1:]):
+        part = all_.slice(start, end - start)
+        yield {f.name: values.to_pylist() for f, values in zip(part.type, part.flatten())}
+
+
+def _row_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """graph and its longest chain by weight; null if the graph has a cycle."""
+    for batch in batches:
+        chains = []
+        for e in row_edges_of(batch.column("edges")):
+            weight = dict(zip(e["src"], e["src_weight"])) | dict(zip(e["dst"], e["dst_weight"]))
+            below: dict[str, list[str]] = {n: [] for n in weight}
+            above = dict.fromkeys(weight, 0)
+            for a, b in zip(e["src"], e["dst"]):
+                below[a].append(b)
+                above[b] += 1
+            chain = dict(weight)
+            todo, done = deque(n for n, k in above.items() if not k), 0
+            while todo:
+                node = todo.popleft()
+                done += 1
+                for n in below[node]:
+                    chain[n] = max(chain[n], chain[node] + weight[n])
+                    above[n] -= 1
+                    if not above[n]:
+                        todo.append(n)
+            chains.append(max(chain.values()) if done == len(weight) else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chains, pa.int64())], names=[batch.schema.names[0], "chain"])
+
 
 def _both_ways(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     ways = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("near")), F.struct(F.col("dst").alias("node"), F.col("src").alias("near")))
@@ -89,11 +133,13 @@ def cluster_parts(edges: DataFrame, clusters: DataFrame, keys: Sequence[str] = (
     return label.groupBy(*keys, "cluster").agg(F.count("*").alias("nodes"), F.count_distinct("label").alias("parts"))
 
 
-def longest_chains(edges: DataFrame, nodes: DataFrame, graph: str, acyclic: bool = False) -> tuple[DataFrame, DataFrame, int]:
+def longest_chains(edges: DataFrame, nodes: DataFrame, graph: str, acyclic: bool = False, row_edges: int = ROW_EDGES) -> tuple[DataFrame, DataFrame, int]:
     """``graph, chain`` of acyclic graphs, ``graph`` of those with a cycle, and the number of rounds.
 
     ``edges`` has ``graph, src, dst`` without loops, ``nodes`` ``graph, node, weight``. A chain counts the weights of its
-    nodes. A node that is taken out leaves an edge from each node above it to each below it, which carries its weight;
+    nodes. A graph of at most ``row_edges`` edges is one row and walked there; of a larger one nodes are taken out in rounds.
+
+    A node that is taken out leaves an edge from each node above it to each below it, which carries its weight;
     chains that end or start at it are kept with its neighbours. Nodes without edges on one side cost nothing, others
     are taken out while that adds no edges. Of neighbours one goes at a time: ends first, then by a hash of
     name and round. So a chain shrinks by a constant share in each of the two steps of a round, and the number of rounds is
@@ -106,7 +152,14 @@ def longest_chains(edges: DataFrame, nodes: DataFrame, graph: str, acyclic: bool
     # up: the longest chain that ends here; down: what can follow it through nodes taken out
     nodes = cut_lineage(nodes.select(*key, F.col("weight").cast("long").alias("weight"), F.col("weight").cast("long").alias("up"), zero.alias("down")))
     best = nodes.groupBy(graph).agg(F.max("up").alias("chain"))
-    cyclic = edges.select(graph).limit(0)
+    small = edges.groupBy(graph).agg(F.count("*").alias("n")).where(F.col("n") <= row_edges).select(graph)
+    side = lambda c: nodes.select(graph, F.col("node").alias(c), F.col("weight").alias(f"{c}_weight"))
+    weighted = edges.select(graph, "src", "dst").join(small, graph, "left_semi").join(side("src"), [graph, "src"]).join(side("dst"), [graph, "dst"])
+    walked = edges_in_rows(weighted, small, graph).mapInArrow(_row_chains, f"`{graph}` {dict(edges.dtypes)[graph]}, chain LONG")
+    walked = cut_lineage(walked)
+    best = best.unionByName(walked.where("chain IS NOT NULL"))
+    cyclic = walked.where("chain IS NULL").select(graph)
+    edges, nodes = (cut_lineage(df.join(walked.select(graph), graph, "left_anti")) for df in (edges, nodes))
     rounds = 0
     while not edges.isEmpty():
         for step in range(2):

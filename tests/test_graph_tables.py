@@ -97,3 +97,23 @@ def test_random_graphs(spark):
     got = {r.graph_id: r.depth for r in graph.depth(df).collect()}
     assert {g: d for g, d in got.items() if g[0] == "d"} == {g: simple_depth(es) for g, es in graphs.items() if g[0] == "d"}
     assert got == {g: folded_depth(es) for g, es in graphs.items()}
+
+
+def test_small_graphs_are_walked_in_their_row(spark):
+    """Rows and rounds say the same, loops, cycles and chains between parts included."""
+    rng = random.Random(7)
+    graphs = {f"g{g}": {(f"n{a}", f"n{b}") for a, b in (rng.choices(range(9), k=2) for _ in range(rng.randint(1, 12)))} for g in range(12)}
+    graphs["loop"] = {("a", "a")}
+    df = spark.createDataFrame([(g, s, d) for g, es in graphs.items() for s, d in es], EDGES)
+    whole, mixed = (sorted(map(tuple, graph.depth(df, row_edges=n).collect())) for n in (100, 6))
+    assert whole == mixed and {g: d for g, d, _ in whole} == {g: folded_depth(es) for g, es in graphs.items()}
+    nodes = df.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("weight", F.length("graph_id"))
+    edges = df.where("src < dst").distinct()
+    in_rows = graph_tables.longest_chains(edges, nodes, "graph_id")
+    in_rounds = graph_tables.longest_chains(edges, nodes, "graph_id", row_edges=0)
+    assert in_rows[2] == 0 and in_rounds[2] > 0
+    assert sorted(map(tuple, in_rows[0].collect())) == sorted(map(tuple, in_rounds[0].collect()))
+    ring = spark.createDataFrame([("r", str(i), str((i + 1) % 5)) for i in range(5)] + [("s", "a", "b")], EDGES)
+    one = ring.select("graph_id", F.col("src").alias("node"), F.lit(1).alias("weight")).unionByName(spark.createDataFrame([("s", "b", 1)], "graph_id STRING, node STRING, weight INT"))
+    chains, cyclic, rounds = graph_tables.longest_chains(ring, one, "graph_id")
+    assert [tuple(r) for r in chains.collect()] == [("s", 2)] and [r.graph_id for r in cyclic.collect()] == ["r"] and rounds == 0
