@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusaudit.functions import globs
 from corpusaudit.operators.lines import KEY, explode_lines, prose_lines
-from corpusaudit.operators.literals import find_literals
+from corpusaudit.operators.literals import find_literals, in_one_pass
+from corpusaudit.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -88,8 +89,17 @@ def scan_many(files: DataFrame, rules: DataFrame) -> DataFrame:
     matches contain, in one pass for all rules; its regex, if it has one, then decides on the lines that contain it.
     """
     lines = explode_lines(files.where(~skipped(F.col("path")))).select(*KEY, "line_no", "line")
-    needles = rules.withColumnRenamed("literal", "needle")
-    hits = find_literals(lines, needles, [*KEY, "line_no", "line"], "line", carry=["name", "regex", "severity", "description"])
+    needles = cut_lineage(rules.withColumnRenamed("literal", "needle"))
+    carry = ["name", "regex", "severity", "description"]
+    if in_one_pass(needles):
+        hits = find_literals(lines, needles, [*KEY, "line_no", "line"], "line", carry=carry)
+    else:
+        # what is found goes to its rule without the line, which meets the rules that need it by its hash
+        marked = lines.withColumn("mark", F.md5("line"))
+        hits = find_literals(marked, needles, [*KEY, "line_no", "mark"], "line", carry=carry)
+        texts = marked.select("mark", "line").distinct()
+        plain = hits.where("regex IS NULL").withColumn("line", F.lit(None).cast("string"))
+        hits = plain.unionByName(hits.where("regex IS NOT NULL").join(texts, "mark")).drop("mark")
     matched = F.when(F.col("regex").isNull(), F.col("needle")).otherwise(F.regexp_substr("line", F.col("regex")))
     found = hits.withColumn("matched", matched).where(F.col("matched").isNotNull())
     return found.select(

@@ -1,9 +1,12 @@
 """Which texts contain which literals, exactly, in one pass over each text whatever the number of literals.
 
-The literals are an automaton (Aho and Corasick) that each task runs over the texts it reads, so no text and no piece
-of one is shuffled, and a literal that is in every text costs no more than its findings. Literals are dealt by a hash
-into parts of ``PART_BYTES`` on average, whose automata fit in the memory of a worker; a part is what is collected and
-broadcast. More literals than that take more passes over the texts, not larger broadcasts.
+Few literals are an automaton (Aho and Corasick) that each task runs over the texts it reads, so no text and no piece
+of one is shuffled, and a literal that is in every text costs no more than its findings. What is collected and broadcast
+is a part of ``PART_BYTES`` on average, whose automaton fits in the memory of a worker.
+
+Literals of more than one part would take a pass over the texts for each. So of these, all that have at most ``LONGEST``
+characters are looked for at once by the hashes of pieces of the texts: a table of bits, two bytes a literal, says which
+pieces may be one, and these few meet the literals in a join on the text itself.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from collections.abc import Iterator, Sequence
 from uuid import uuid4
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -24,6 +28,14 @@ PART_BYTES = 2 << 20
 _HITS = 1 << 16  # rows of findings in one batch
 _built: dict[str, ahocorasick.Automaton] = {}
 
+#: Characters of a literal that is looked for by its hash.
+LONGEST = 32
+#: Literals in one table of bits; more take more passes.
+HASHED = 1 << 23
+_HEAD = 8  # a piece is looked at in all lengths from here on only if its first characters begin a literal
+_SLAB = 1 << 18  # characters hashed at once
+_BASE = 0x9E3779B97F4A7C15
+
 
 def _automaton(mark: str, shared: Broadcast) -> ahocorasick.Automaton:
     """The automaton of a part, built once in a worker; its values are (length, rows of the part)."""
@@ -66,14 +78,21 @@ def find_literals(
     contain none.
     """
     one = cut_lineage(needles.select(*within, "needle", *carry).where("needle <> ''").distinct())
-    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in one.columns), F.lit(0).cast("bigint"))
-    parts = -(-(one.agg(F.sum(size).alias("n")).first()["n"] or 0) // part_bytes)
+    parts = _parts(one, part_bytes)
+    hashed = None
+    if parts > 1:
+        is_short = F.length("needle") <= LONGEST
+        hashed = _by_hash(texts, one.where(is_short), keys, content, within, words, carry)
+        one = one.where(~is_short)
+        parts = _parts(one, part_bytes)
     texts = texts.select(*dict.fromkeys([*keys, content]))
     fields = {f.name: f.dataType.simpleString() for f in [*one.schema, *texts.schema]}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in [*keys, "needle", *carry])
-    out = None
+    out = hashed
     for part in range(parts):
         held = one.where(F.pmod(F.xxhash64(*one.columns), F.lit(parts)) == part).toArrow()
+        if not held.num_rows:
+            continue
         shared = texts.sparkSession.sparkContext.broadcast(held)
 
         def scan(batches: Iterator[pa.RecordBatch], mark: str = uuid4().hex, shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
@@ -108,6 +127,141 @@ def find_literals(
     return out
 
 
+def in_one_pass(needles: DataFrame) -> bool:
+    """Whether ``find_literals`` moves nothing for these literals and what they carry."""
+    return _parts(needles, PART_BYTES) <= 1
+
+
+def _parts(needles: DataFrame, part_bytes: int) -> int:
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in needles.columns), F.lit(0).cast("bigint"))
+    return -(-(needles.agg(F.sum(size).alias("n")).first()["n"] or 0) // part_bytes)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def _mixed(h: np.ndarray, length: int) -> np.ndarray:
+    """Hashes whose high bits depend on all of them, and on the length."""
+    h = (h ^ np.uint64(length * 0x2545F4914F6CDD1D & (2**64 - 1))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(29))
+
+
+def _needle_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Length and hash of literals, and the hash of their first characters."""
+    power = _powers(_BASE, LONGEST)
+    for batch in batches:
+        rows = []
+        for needle in batch.column("needle").to_pylist():
+            codes = _codes(needle)
+            terms = codes * power[: len(codes)]
+            whole = _mixed(terms.sum(keepdims=True, dtype=np.uint64), len(codes))[0]
+            head = _mixed(terms[:_HEAD].sum(keepdims=True, dtype=np.uint64), 0)[0] if len(codes) >= _HEAD else 0
+            rows.append((len(codes), int(whole.view(np.int64)), int(np.uint64(head).view(np.int64))))
+        n, whole, head = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(whole, pa.int64()), pa.array(head, pa.int64())], names=["n", "whole", "head"])
+
+
+def _bits(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """A table of sixteen bits or more for each hash, and how far a hash is shifted to be a place in it."""
+    log = max(16, int(16 * max(len(hashes), 1) - 1).bit_length())
+    at = hashes >> np.uint64(64 - log)
+    bits = np.zeros(1 << (log - 3), np.uint8)
+    np.bitwise_or.at(bits, at >> np.uint64(3), np.left_shift(1, at & np.uint64(7), dtype=np.uint64).astype(np.uint8))
+    return bits, 64 - log
+
+
+def _marked(hashes: np.ndarray, table: tuple[np.ndarray, int]) -> np.ndarray:
+    at = hashes >> np.uint64(table[1])
+    return (table[0][at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _pieces_in(pieces: list[str], lengths: list[int], whole: tuple, head: tuple, power: np.ndarray, inverse: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Piece, start and length of what may be a literal; starts are below ``_SLAB``."""
+    sizes = np.array([len(p) for p in pieces])
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    codes = _codes("".join(pieces))
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * power[: len(codes)], out=total[1:])
+    at = np.arange(len(codes))
+    room = np.repeat(ends, sizes) - at
+    own = at - np.repeat(begins, sizes) < _SLAB
+    window = lambda p, n: (total[p + n] - total[p]) * inverse[p]
+    long_ = at[own & (room >= _HEAD)]
+    long_ = long_[_marked(_mixed(window(long_, _HEAD), 0), head)]
+    for n in lengths:
+        starts = long_ if n >= _HEAD else at[own]
+        starts = starts[room[starts] >= n]
+        starts = starts[_marked(_mixed(window(starts, n), n), whole)]
+        of = np.searchsorted(ends, starts, "right")
+        for i, p in zip(of.tolist(), (starts - begins[of]).tolist()):
+            yield i, p, n
+
+
+def _by_hash(texts: DataFrame, needles: DataFrame, keys: Sequence[str], content: str, within: Sequence[str], words: bool, carry: Sequence[str]) -> DataFrame:
+    """``find_literals`` for any number of short literals: one pass over the texts for each ``HASHED`` of them."""
+    distinct = needles.select("needle").distinct()
+    kinds = dict(texts.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+    passes = max(1, -(-distinct.count() // HASHED))
+    found = None
+    for turn in range(passes):
+        mine = distinct.where(F.pmod(F.xxhash64("needle"), F.lit(passes)) == turn)
+        hashes = mine.mapInArrow(_needle_hashes, "n INT, whole LONG, head LONG").toArrow()
+        n, whole, head = (hashes.column(c).to_numpy() for c in ("n", "whole", "head"))
+        tables = np.unique(n).tolist(), _bits(whole.view(np.uint64)), _bits(head[n >= _HEAD].view(np.uint64))
+        shared = texts.sparkSession.sparkContext.broadcast(tables)
+
+        def scan(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            lengths, whole, head = shared.value
+            power, inverse = (_powers(b, 2 * _SLAB + LONGEST) for b in (_BASE, pow(_BASE, -1, 2**64)))
+            for batch in batches:
+                whole_texts = [t or "" for t in batch.column(content).to_pylist()]
+                hits: dict[tuple[int, str], None] = {}
+                pieces: list[str] = []
+                places: list[tuple[int, int]] = []
+                held = 0
+
+                def look() -> None:
+                    for piece, start, n in _pieces_in(pieces, lengths, whole, head, power, inverse):
+                        i, text = places[piece][0], whole_texts[places[piece][0]]
+                        start += places[piece][1]
+                        if not words or _whole(text, start, start + n):
+                            hits[i, text[start : start + n]] = None
+
+                for i, text in enumerate(whole_texts):
+                    for at in range(0, len(text), _SLAB):
+                        pieces.append(text[at : at + _SLAB + LONGEST - 1])
+                        places.append((i, at))
+                        held += len(pieces[-1])
+                        if held >= _SLAB:
+                            look()
+                            pieces, places, held = [], [], 0
+                if pieces:
+                    look()
+                rows = list(hits)
+                for k in range(0, len(rows), _HITS):
+                    some = rows[k : k + _HITS]
+                    of = pa.array([i for i, _ in some], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in keys), pa.array([t for _, t in some], pa.string())], names=[*keys, "needle"])
+
+        got = texts.select(*dict.fromkeys([*keys, content])).mapInArrow(scan, f"{schema}, needle STRING")
+        found = got if found is None else found.unionByName(got)
+    table = needles.select(F.col("needle").alias("_needle"), *(F.col(c).alias(f"_{c}") for c in within), *(F.col(c).alias(f"_carry_{c}") for c in carry))
+    same = F.col("needle") == F.col("_needle")
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return found.join(table, same).select(*keys, "needle", *(F.col(f"_carry_{c}").alias(c) for c in carry))
+
+
 def _flat(column: pa.ChunkedArray) -> pa.Array:
     return column.chunk(0) if column.num_chunks else pa.array([], column.type)
 

@@ -84,6 +84,23 @@ def test_literals_match_brute_force(spark, size):
     assert literals.find_literals(df, nd, ["id"], part_bytes=size).count() == len(got)
 
 
+def test_many_literals_take_one_pass(spark):
+    """Literals of many parts: hashes find what the automaton finds, and the texts are read once."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abé😀 _") for _ in range(n))
+    texts = [word(rng.randint(0, 300)) for _ in range(60)] + ["", None, "x" * 300_000 + "abé" + "y" * 300_000, "z" * 262_140 + "needle across" + "z" * 9]
+    needles = {word(rng.randint(1, 6)) for _ in range(300)} | {t[5 : 5 + n] for t in texts[:9] if t for n in (8, 9, 20, 32, 33, 60)} | {"xabéy", "needle across"} - {""}
+    df = spark.createDataFrame([("c" if i % 2 else None, i, t) for i, t in enumerate(texts)], "corpus STRING, id INT, content STRING")
+    nd = spark.createDataFrame([(c, n, k) for n in needles if n for c, k in (("c", 1), (None, 2), ("c", 3))], "corpus STRING, needle STRING, k INT")
+    for more in ({}, {"words": True}, {"within": ["corpus"]}):
+        few, many = (literals.find_literals(df, nd, ["corpus", "id"], carry=["k"], part_bytes=size, **more) for size in (2 << 20, 3000))
+        assert rows(many) == rows(few) and few.count() > 100
+    short = nd.where("length(needle) <= 32")
+    assert literals.find_literals(df, short, ["id"], part_bytes=3000)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_name_leaks(spark):
     df = spark.createDataFrame([(1, "The Billing-App and crmx"), (2, "none")], "id INT, content STRING")
     names = spark.createDataFrame([("billing-app",), ("CRM",)], "name STRING")
@@ -138,6 +155,19 @@ def test_time_does_not_follow_the_number_of_terms(files):
     assert spent[50_000] < 5 * spent[100] + 5
 
 
+@pytest.mark.parametrize("size", [2 << 20, 20])
+def test_rules_of_a_table_in_parts(files, monkeypatch, size):
+    """Lines that come twice, and rules with and without a regex, however the literals are looked for."""
+    monkeypatch.setattr(literals, "PART_BYTES", size)
+    monkeypatch.setattr(literals.find_literals, "__defaults__", (*literals.find_literals.__defaults__[:-1], size))
+    df = files(("c", "a.md", "key-1 key-x\nkey-1 key-x"), ("c", "a.md", "key-1 key-x"), (None, "b.md", "key-x"))
+    schema = "name STRING, literal STRING, regex STRING, severity STRING, description STRING"
+    rules = df.sparkSession.createDataFrame([("num", "key-", r"key-\d+", "HIGH", "n"), ("plain", "key-x", None, "LOW", None)], schema)
+    got = rows(leakage.scan_many(df, rules), "corpus", "path", "line_no", "rule", "matched")
+    each = [("c", "a.md", n, *r) for n in (1, 1, 2) for r in (("num", "key-1"), ("plain", "key-x"))]
+    assert got == sorted([*each, (None, "b.md", 1, "plain", "key-x")], key=str)
+
+
 def test_rules_of_a_table(spark, files):
     df = files(("c", "a.md", "key-1 key-x\nnone\nKEY-2 key-33"), ("c", "docs/a.md", "key-4"), ("c", "b.md", "```\nkey-5 recieve\n```\nrecieve"))
     schema = "name STRING, literal STRING, regex STRING, severity STRING, description STRING"
