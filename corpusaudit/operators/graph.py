@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,33 +80,63 @@ def chain_depth(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield edges.map(depth)
 
 
-def cluster_nodes(pairs, cap: int) -> list[tuple[str, int]]:
-    """Clusters of at most ``cap`` nodes, hubs first, neighbours breadth first; ties by name."""
-    near: dict[str, set[str]] = {}
-    for e in pairs:
-        near.setdefault(e["src"], set()).add(e["dst"])
-        near.setdefault(e["dst"], set()).add(e["src"])
-    out: dict[str, int] = {}
+#: Edges of all graphs that are numbered at once; a larger graph is numbered alone.
+NUMBERED = 1 << 20
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """In order, each once."""
+    numbers = np.sort(numbers)
+    return numbers[np.concatenate([[True], numbers[1:] != numbers[:-1]])] if len(numbers) else numbers
+
+
+def cluster_nodes(edges: pa.ListArray, cap: int) -> pa.ListArray:
+    """Clusters of at most ``cap`` nodes, hubs first, neighbours breadth first; ties by name. A graph is an element.
+
+    Nodes are numbered by graph and name, so the neighbours of each lie together in order of their names.
+    """
+    rows = np.repeat(np.arange(len(edges)), edges.value_lengths().fill_null(0).to_numpy())
+    ends = edges.flatten()
+    names = pa.chunked_array([ends.field("src"), ends.field("dst")]).combine_chunks().dictionary_encode()
+    order = pc.array_sort_indices(names.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    named = rank[names.indices.to_numpy()] + np.concatenate([rows, rows]) * max(len(order), 1)
+    nodes = _distinct(named)
+    at = np.searchsorted(nodes, named)
+    n = max(len(nodes), 1)
+    a, b = at[: len(rows)], at[len(rows) :]
+    pairs = _distinct(np.concatenate([a * n + b, b * n + a]))
+    source, near = pairs // n, (pairs % n).tolist()
+    degree = np.bincount(source, minlength=len(nodes))
+    first = np.concatenate([[0], np.cumsum(degree)]).tolist()
+    graph, name = np.divmod(nodes, max(len(order), 1))
+    out = [0] * len(nodes)
     number = 0
-    for seed in sorted(near, key=lambda n: (-len(near[n]), n)):
-        if seed in out:
+    for seed in np.lexsort([nodes, -degree, graph]).tolist():
+        if out[seed]:
             continue
         number += 1
         out[seed] = number
-        size, queue, queued = 1, sorted(near[seed]), set(near[seed])
-        at = 0
-        while at < len(queue) and size < cap:
-            node = queue[at]
-            at += 1
-            if node in out:
-                continue
-            out[node] = number
-            size += 1
-            for n in sorted(near[node]):
-                if n not in out and n not in queued:
-                    queued.add(n)
-                    queue.append(n)
-    return sorted(out.items())
+        members, room = [seed], cap - 1
+        for m in members:
+            if not room:
+                break
+            for other in near[first[m] : first[m + 1]]:
+                if not out[other]:
+                    out[other] = number
+                    members.append(other)
+                    room -= 1
+                    if not room:
+                        break
+    sizes = np.bincount(graph, minlength=len(edges))
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    numbers = np.array(out, np.int64)
+    if len(nodes):
+        lowest = np.minimum.reduceat(numbers, cuts[:-1][sizes > 0])
+        numbers -= np.repeat(lowest, sizes[sizes > 0]) - 1
+    found = pa.StructArray.from_arrays([names.dictionary.take(pa.array(order[name])), pa.array(numbers.astype(np.int32))], names=["node", "cluster_no"])
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), found)
 
 
 def clusters(graphs: DataFrame, edges_col: str, cap: int, keys: list[str]) -> DataFrame:
@@ -112,10 +144,13 @@ def clusters(graphs: DataFrame, edges_col: str, cap: int, keys: list[str]) -> Da
 
     kind = T.ArrayType(T.StructType().add("node", T.StringType()).add("cluster_no", T.IntegerType()))
 
-    @F.pandas_udf(kind)
-    def assign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(kind)
+    def assign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for edges in batches:
-            yield edges.map(lambda p: [{"node": n, "cluster_no": c} for n, c in cluster_nodes(p if p is not None else (), cap)])
+            sizes = edges.value_lengths().fill_null(0).to_numpy()
+            part = np.maximum(np.cumsum(sizes) - 1, 0) // NUMBERED
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(edges)]
+            yield pa.concat_arrays([cluster_nodes(edges.slice(i, j - i), cap) for i, j in zip(cuts, cuts[1:])])
 
     one = graphs.select(*keys, F.explode_outer(assign(F.col(edges_col))).alias("a"))
     return one.where(F.col("a").isNotNull()).select(*keys, "a.node", "a.cluster_no")

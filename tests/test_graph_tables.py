@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,33 @@ def test_small_graphs_are_walked_in_their_row(spark):
     one = ring.select("graph_id", F.col("src").alias("node"), F.lit(1).alias("weight")).unionByName(spark.createDataFrame([("s", "b", 1)], "graph_id STRING, node STRING, weight INT"))
     chains, cyclic, rounds = graph_tables.longest_chains(ring, one, "graph_id")
     assert [tuple(r) for r in chains.collect()] == [("s", 2)] and [r.graph_id for r in cyclic.collect()] == ["r"] and rounds == 0
+
+
+def test_clusters_of_many_graphs_at_once(spark):
+    """Graphs of a batch are numbered together; the result is that of the plain walk of each."""
+
+    def walk(pairs, cap):
+        near = {}
+        for a, b in pairs:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        out, number = {}, 0
+        for seed in sorted(near, key=lambda n: (-len(near[n]), n)):
+            if seed in out:
+                continue
+            number += 1
+            queue, size = [seed], 0
+            while queue and size < cap:
+                node = queue.pop(0)
+                if node not in out:
+                    out[node], size = number, size + 1
+                    queue += sorted(near[node])
+        return out
+
+    rng = random.Random(11)
+    names = ["", "a", "ä", "Z", "\U0001f600", "\uffee"] + [f"w{k}" for k in range(30)]
+    graphs = [[(rng.choice(names), rng.choice(names)) for _ in range(rng.choice([0, 1, 6, 50, 300]))] for _ in range(60)]
+    edges = pa.array([[{"src": a, "dst": b} for a, b in g] for g in graphs] + [None], pa.list_(pa.struct([("src", pa.string()), ("dst", pa.string())])))
+    for cap in (1, 3, 8):
+        got = graph.cluster_nodes(edges.slice(2), cap).to_pylist()
+        assert [{x["node"]: x["cluster_no"] for x in g} for g in got] == [walk(g, cap) for g in graphs[2:]] + [{}]
