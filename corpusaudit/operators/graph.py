@@ -168,11 +168,12 @@ def cut_edges(edges: DataFrame, assigned: DataFrame, keys: list[str]) -> DataFra
 
 
 def degrees(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct neighbours per node. Pairs are made distinct first, so a hub is counted from partial sums."""
-    both = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("near")).unionByName(
-        edges.select(*keys, F.col("dst").alias("node"), F.col("src").alias("near"))
-    )
-    return both.distinct().groupBy(*keys, "node").agg(F.count("*").alias("degree"))
+    """Distinct neighbours per node. Pairs are made distinct first, whichever way they go, so a hub is counted from partial sums."""
+    # the smaller end first, null before all; a pair counts once for each of its ends
+    swap = F.coalesce(F.col("src") > F.col("dst"), F.col("src").isNotNull())
+    pairs = edges.select(*keys, F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("a"), F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("b")).distinct()
+    ends = F.when(F.col("a").eqNullSafe(F.col("b")), F.array("a")).otherwise(F.array("a", "b"))
+    return pairs.select(*keys, F.explode(ends).alias("node")).groupBy(*keys, "node").agg(F.count("*").alias("degree"))
 
 
 def hubs_first(degree: DataFrame) -> DataFrame:

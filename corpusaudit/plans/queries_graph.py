@@ -8,7 +8,7 @@ from corpusaudit.functions import text as tx
 from corpusaudit.operators import assemble, diagrams, graph, graph_tables, labels, modules, quality, reconcile
 from corpusaudit.plans import inputs as i
 from corpusaudit.plans.registry import lines_sql, query, table
-from corpusaudit.session import cut_lineage, spread, stored
+from corpusaudit.session import by_key, cut_lineage, spread, stored
 from corpusaudit.sources import bundles, chunks
 
 # ------------------------------------------------------------------------------------------- diagrams
@@ -255,9 +255,9 @@ WORD_EDGES = """
   e AS (SELECT DISTINCT doc_id, w[k] AS src, w[k + 1] AS dst FROM n WHERE w[k] <> w[k + 1])"""
 
 
-def _word_graph(spark, sf):
-    """A graph per document: each word of its text leads to the next word."""
-    df = spread(table(spark, sf, "documents")).select("doc_id", F.split("text", "[ \n]+", -1).alias("w"))
+def _word_graph(spark, sf, place=lambda texts: by_key(texts, "doc_id")):
+    """A graph per document: each word of its text leads to the next word. Texts of a document are in one partition."""
+    df = place(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.split("text", "[ \n]+", -1).alias("w"))
     pairs = F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
     return df.select("doc_id", F.filter(pairs, lambda e: e["src"] != e["dst"]).alias("edges"))
 
@@ -269,7 +269,7 @@ def _word_edges(g):
 @query("q_graph_clusters")
 def q_graph_clusters(spark, sf):
     """Clusters of at most eight nodes; the order of the walk has no SQL form, see q_cluster_totals and the tests."""
-    return graph.clusters(_word_graph(spark, sf), "edges", 8, ["doc_id"])
+    return graph.clusters(_word_graph(spark, sf, spread), "edges", 8, ["doc_id"])
 
 
 @query(

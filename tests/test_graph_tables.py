@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusaudit.operators import graph, graph_tables
+from corpusaudit.plans import QUERIES
 from tests.test_diagrams import EDGES, folded_depth, simple_depth
 
 
@@ -148,3 +149,24 @@ def test_clusters_of_many_graphs_at_once(spark):
     for cap in (1, 3, 8):
         got = graph.cluster_nodes(edges.slice(2), cap).to_pylist()
         assert [{x["node"]: x["cluster_no"] for x in g} for g in got] == [walk(g, cap) for g in graphs[2:]] + [{}]
+
+
+def test_degrees_of_pairs_both_ways(spark):
+    """A pair counts once whichever way it goes; loops and null ends count as before."""
+    pairs = [("g", "a", "b"), ("g", "b", "a"), ("g", "a", "a"), ("g", None, "b"), ("g", "b", None), ("g", None, None), (None, "x", "y")]
+    got = graph.degrees(spark.createDataFrame(pairs, EDGES), ["graph_id"]).collect()
+    assert {(r.graph_id, r.node): r.degree for r in got} == {("g", "a"): 2, ("g", "b"): 2, ("g", None): 2, (None, "x"): 1, (None, "y"): 1}
+
+
+@pytest.mark.parametrize("name", ["q_line_degrees"])
+def test_parts_of_a_document_are_not_shuffled_again(spark, tmp_path, name):
+    """One shuffle a query, of documents or clusters; the pairs of words stay where their document is."""
+    spark.createDataFrame([(1, "a b a c"), (2, "x y"), (None, "p q"), (1, "a z")], "doc_id LONG, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1
+    got = {tuple(r) for r in df.collect()}
+    if name == "q_line_degrees":
+        assert got == {(1, "a", 3), (1, "b", 1), (1, "c", 1), (1, "z", 1), (2, "x", 1), (2, "y", 1), (None, "p", 1), (None, "q", 1)}
+    else:
+        assert got == {(1, 4, False, True, True), (2, 2, True, True, True)}
