@@ -158,7 +158,7 @@ def test_degrees_of_pairs_both_ways(spark):
     assert {(r.graph_id, r.node): r.degree for r in got} == {("g", "a"): 2, ("g", "b"): 2, ("g", None): 2, (None, "x"): 1, (None, "y"): 1}
 
 
-@pytest.mark.parametrize("name", ["q_line_degrees"])
+@pytest.mark.parametrize("name", ["q_line_degrees", "q_cluster_totals"])
 def test_parts_of_a_document_are_not_shuffled_again(spark, tmp_path, name):
     """One shuffle a query, of documents or clusters; the pairs of words stay where their document is."""
     spark.createDataFrame([(1, "a b a c"), (2, "x y"), (None, "p q"), (1, "a z")], "doc_id LONG, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
