@@ -623,16 +623,17 @@ def q_endpoint_verdicts(spark, sf):
 def q_source_routes(spark, sf):
     laravel = """concat('Route::group([''prefix'' => ''v', p_size, '''], function () {', chr(10), ' Route::get(''/items'', 1);', chr(10),
       ' Route::group([''prefix'' => ''/', p_type, '/''], function () { Route::any('''', 2); });', chr(10), '});', chr(10), 'Route::post(''/'', 3);')"""
+    # the routes of a scan are distinct in its task first, so tables with few splits are spread
     parts = [
-        table(spark, sf, "supplier").selectExpr(
+        spread(table(spark, sf, "supplier")).selectExpr(
             "'next' AS corpus", "concat('app/api/s', s_suppkey, '/[id]/route.ts') AS path",
             "'export async function GET() {} export function DELETE() {}' AS content", "array('nextjs') AS project_types",
         ),
-        table(spark, sf, "customer").selectExpr(
+        spread(table(spark, sf, "customer")).selectExpr(
             "'nuxt' AS corpus", "concat('server/api/c', c_custkey, CASE WHEN c_acctbal < 0 THEN '.post.ts' ELSE '/[k].js' END) AS path",
             "'x' AS content", "array('nuxt') AS project_types",
         ),
-        table(spark, sf, "part").selectExpr("concat('app', p_partkey) AS corpus", "'routes/api.php' AS path", f"{laravel} AS content", "array('laravel') AS project_types"),
+        spread(table(spark, sf, "part")).selectExpr("concat('app', p_partkey) AS corpus", "'routes/api.php' AS path", f"{laravel} AS content", "array('laravel') AS project_types"),
     ]
     return endpoints.source_routes(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusaudit.operators import leakage, lines, links, migrations, quality
 from corpusaudit.operators.joins import fits_broadcast, join_per_corpus
 from corpusaudit.operators.leakage import LeakRule
+from corpusaudit.plans import QUERIES
 from corpusaudit.session import checkpoint_dir, spread, stored
 
 
@@ -115,3 +116,19 @@ def test_pairs_of_a_cluster_are_not_rows(spark, tmp_path):
     assert plan(out).split("== Initial Plan ==")[-1].count("Generate explode") == 1
     df = spark.createDataFrame([(1, None), (2, "ä")], "n INT, t STRING")
     assert sorted(map(str, stored(df).collect())) == sorted(map(str, df.collect())) and stored(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name, tables", [("q_source_routes", ["supplier", "customer", "part"]), ("q_translate_diagrams", ["part"])])
+def test_tables_of_one_split_are_spread(spark, tmp_path, name, tables):
+    """What is distinct in a task before the shuffle is a share of a small table, not all that is made of it."""
+    made = {
+        "supplier": ["id AS s_suppkey"],
+        "customer": ["id AS c_custkey", "CAST(id AS DOUBLE) - 2 AS c_acctbal"],
+        "part": ["id AS p_partkey", "'PROMO' AS p_type", "'Brand#1' AS p_brand", "concat('red ', id) AS p_name", "CAST(id * 9 AS INT) AS p_size"],
+    }
+    for t in tables:
+        spark.range(5).selectExpr(*made[t]).coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+    df = QUERIES[name](spark, str(tmp_path))
+    optimised = df._jdf.queryExecution().optimizedPlan().toString()
+    assert optimised.count("Repartition") >= optimised.count("Relation [") > 0
+    assert df.count() == (5 * 2 + 2 + 3 * 5 + 5 * 7 if name == "q_source_routes" else 5)
