@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from corpusaudit.functions import paths
 from corpusaudit.functions import text as tx
 from corpusaudit.operators.classify import is_language_file
+from corpusaudit.session import by_key
 
 # Fixed values.
 SUFFIXES = {
@@ -236,7 +237,8 @@ def translate_diagrams(diagrams: DataFrame, labels: DataFrame) -> DataFrame:
     bare = nodes.join(resolve_labels(nodes, labels), ["corpus", "node"]).select("corpus", "path", F.col("node").alias("key"), F.col("label").alias("value"))
     # one small table with a row per file that has a hit, so the text moves once
     both = shown.select("corpus", "path", "key", "value", F.lit(True).alias("is_shown")).unionByName(bare.withColumn("is_shown", F.lit(False)))
-    hits = both.groupBy("corpus", "path").agg(_longest_first("key", "value", F.col("is_shown")).alias("shown"), _longest_first("key", "value", ~F.col("is_shown")).alias("bare"))
+    # gathered where a file's rows end up: before that shuffle one task may hold most of them
+    hits = by_key(both, "corpus", "path").groupBy("corpus", "path").agg(_longest_first("key", "value", F.col("is_shown")).alias("shown"), _longest_first("key", "value", ~F.col("is_shown")).alias("bare"))
     df = diagrams.join(hits, ["corpus", "path"], "left")
     none = F.array().cast("array<struct<n:int,key:string,value:string>>")
     # what is in brackets first

@@ -449,7 +449,7 @@ def q_bare_nodes(spark, sf):
 )
 def q_translate_diagrams(spark, sf):
     text = """concat('flowchart LR', chr(10), '  ', p_type, ' --> Other', chr(10), '  x["', p_type, '"] --> y', chr(10), '  %% ', p_type, chr(10), '  ', p_type, '_List --> z')"""
-    df = table(spark, sf, "part").selectExpr("p_brand AS corpus", "concat('d', p_partkey, '.mmd') AS path", f"{text} AS content")
+    df = spread(table(spark, sf, "part")).selectExpr("p_brand AS corpus", "concat('d', p_partkey, '.mmd') AS path", f"{text} AS content")
     return labels.translate_diagrams(df, q_label_map(spark, sf))
 
 
