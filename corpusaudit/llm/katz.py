@@ -70,6 +70,17 @@ def get_small(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     return out, at + 8 + n + 8 * len(large)
 
 
+def put_all(values: tuple | dict) -> bytes:
+    """Pickled and compressed: what is written and shuffled whole is most of what the operator puts on disk."""
+    data = pickle.dumps(values, protocol=5)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def get_all(data: bytes | pa.Buffer) -> tuple | dict:
+    data = memoryview(data)
+    return pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd"))
+
+
 # -- the model
 
 
@@ -142,7 +153,7 @@ class Chunk:
         self.tokens = tokens.astype(np.int32)
 
     def document(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+        return np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
 
     def learned(self) -> np.ndarray:
         """Which tokens are of training documents."""
@@ -162,23 +173,24 @@ class Chunk:
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct pair hashes, where each first stands, and the place of each token's pair among them."""
         h = mix(mix(self.keys, 11)[self.contexts()], self.keys[self.tokens])
-        order = np.argsort(h)
-        ordered = h[order]
-        new = np.append(True, ordered[1:] != ordered[:-1]) if len(h) else np.empty(0, bool)
-        place = np.empty(len(h), np.int64)
-        place[order] = np.cumsum(new) - 1
-        return ordered[new], order[new], place
+        order = np.argsort(h).astype(np.int32)
+        h = h[order]
+        new = np.append(True, h[1:] != h[:-1]) if len(h) else np.empty(0, bool)
+        place = np.empty(len(h), np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        return h[new], order[new], place
 
     def to_bytes(self) -> bytes:
-        low, high = (self.tokens & 0xFFFF).astype("<u2"), (self.tokens >> 16).astype("<u2")
-        return pickle.dumps((self.ids, self.held, self.sizes, put_sorted(self.keys), low.tobytes(), high.tobytes()), protocol=5)
+        # the bytes of a token apart, as the higher ones say little
+        planes = np.ascontiguousarray(self.tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+        return put_all((self.ids, self.held, self.sizes, put_sorted(self.keys), planes.tobytes()))
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Chunk:
+    def from_bytes(cls, data: bytes | pa.Buffer) -> Chunk:
         c = cls.__new__(cls)
-        c.ids, c.held, c.sizes, keys, low, high = pickle.loads(data)
+        c.ids, c.held, c.sizes, keys, planes = get_all(data)
         c.keys = get_sorted(keys)
-        c.tokens = np.frombuffer(low, "<u2").astype(np.int32) | np.frombuffer(high, "<u2").astype(np.int32) << 16
+        c.tokens = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int32, copy=False)
         return c
 
 
@@ -241,24 +253,30 @@ def _merge_counts(datas: list[bytes], special: bool) -> tuple[list[np.ndarray],
     for data in datas:
         n = int.from_bytes(data[:8], "little")
         keys.append(get_sorted(data[8 : 8 + n]))
-        counts.append(get_small(data, 8 + n)[0])
+        counts.append(get_small(data, 8 + n)[0].astype(np.int32))  # of one chunk
     sizes = np.cumsum([len(k) for k in keys])[:-1]
-    every, count = np.concatenate(keys), np.concatenate(counts)
+    # all arrays here are as long as the bucket, so each goes as soon as it has been used
+    every = np.concatenate(keys)
+    del keys
     order = np.argsort(every, kind="stable")
-    new = np.append(True, every[order][1:] != every[order][:-1])
+    every = every[order]
+    new = np.append(True, every[1:] != every[:-1])
     first = np.flatnonzero(new)
-    totals = np.add.reduceat(count[order], first)
-    place = np.cumsum(new) - 1
-    total = np.empty(len(every), np.int64)
-    total[order] = totals[place]
+    counted = every[first] != BEGIN if special else slice(None)
+    del every
+    count = np.concatenate(counts)[order]
+    del counts
+    totals = np.add.reduceat(count, first, dtype=np.int64)
     # the first question in order that counts a key at all accounts for it
-    having = np.where(count[order] > 0, np.arange(len(every)), len(every))
-    owner = np.zeros(len(every) + 1, bool)
+    having = np.where(count > 0, np.arange(len(count)), len(count))
+    owner = np.zeros(len(count) + 1, bool)
     owner[np.minimum.reduceat(having, first)] = True
-    owns = np.empty(len(every), bool)
+    del count, having
+    owns = np.empty(len(order), bool)
     owns[order] = owner[:-1]
-    if special:
-        totals = totals[every[order][first] != BEGIN]
+    total = np.empty(len(order), np.int64)
+    total[order] = np.repeat(totals, np.diff(first, append=len(order)))
+    totals = totals[counted]
     kinds = np.bincount(np.minimum(totals, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
     return np.split(total, sizes), np.split(owns, sizes), (int(totals.sum()), int((totals > 0).sum()), kinds)
 
@@ -321,8 +339,8 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     def questions(make: Callable[[Chunk], tuple[np.ndarray, np.ndarray]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for number, data in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist()):
-                    keys, counts = make(Chunk.from_bytes(data))
+                for number, data in zip(batch.column("chunk").to_pylist(), batch.column("data")):
+                    keys, counts = make(Chunk.from_bytes(data.as_buffer()))  # not a copy of all rows of the batch
                     yield _rows([(number, 0, b, _question(keys[i:j], put_small(counts[i:j]))) for b, i, j in slices(keys, buckets)])
 
         return chunks.mapInArrow(run, ROWS)
@@ -340,44 +358,47 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     def evaluate(rows: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk.from_bytes(_answers(rows, 0)[0])
         count = np.concatenate([get_small(a)[0] for a in _answers(rows, 1)])
-        keys, first, place = chunk.pairs()
+        _, first, place = chunk.pairs()
+        ctx, word = chunk.contexts()[first], chunk.tokens[first]
+        del first
         answer = np.concatenate([get_small(a)[0] for a in _answers(rows, 2)])
         seen, owns = answer >> 1, (answer & 1).astype(bool)
-        before = chunk.contexts()
+        del answer
         p = unigrams(count)
         # what this chunk has to say about its contexts
-        ctx, word = before[first], chunk.tokens[first]
-        least = np.zeros(len(chunk.keys), bool)  # contexts known to lose something
+        n = len(chunk.keys)
+        least = np.zeros(n, bool)  # contexts known to lose something
         discounted_kind = (seen > 0) & (seen <= DISCOUNTED) & (d[np.minimum(seen, DISCOUNTED)] < 1)
         least[ctx[discounted_kind]] = True
         own = np.flatnonzero(owns)
-        n = len(chunk.keys)
         mass = np.bincount(ctx[own], discounted(seen[own], d), n)
         unigram_mass = np.bincount(ctx[own], p[word[own]], n)
         low = np.bincount(ctx[own], discounted_kind[own], n)
         tells = np.unique(ctx[own])
-        # tokens: pairs seen in training are complete but for a denominator that may have grown by one
-        doc = chunk.document()
-        c = seen[place]
-        known_context = count[before] > 0
-        part = np.where(c > 0, np.log10(np.maximum(discounted(c, d), 1e-300) / np.maximum(count[before], 1)), np.log10(p[chunk.tokens]))
-        open_weight = (c == 0) & known_context
-        open_size = (c > 0) & ~least[before]
-        base = np.log10((count[chunk.tokens] + 1) / (total + distinct + 1))
-        docs_n = len(chunk.sizes)
+        del own, owns, discounted_kind
+        # pairs: those seen in training are complete but for a denominator that may have grown by one. Tokens of a pair
+        # score alike, so what is as long as the chunk is looked up in what is as long as its pairs
+        part = np.where(seen > 0, np.log10(np.maximum(discounted(seen, d), 1e-300) / np.maximum(count[ctx], 1)), np.log10(p)[word])
+        open_weight = (seen == 0) & (count[ctx] > 0)
+        some = open_weight | ((seen > 0) & ~least[ctx])
+        wants = np.unique(ctx[some])
+        where = np.searchsorted(wants, ctx).astype(np.int32)
+        del ctx, word, seen
+        doc, docs_n = chunk.document(), len(chunk.sizes)
         done = {
             "ids": chunk.ids,
             "held": chunk.held,
             "sizes": chunk.sizes,
-            "known": np.bincount(doc, count[chunk.tokens] > 0, docs_n).astype(np.int64),
-            "base": np.bincount(doc, base, docs_n),
-            "part": np.bincount(doc, part, docs_n),
+            "known": np.bincount(doc, (count > 0)[chunk.tokens], docs_n).astype(np.int64),
+            "base": np.bincount(doc, np.log10((count + 1) / (total + distinct + 1))[chunk.tokens], docs_n),
+            "part": np.bincount(doc, part[place], docs_n),
         }
-        wants = np.unique(before[open_weight | open_size])
-        where = np.searchsorted(wants, before)
-        some = open_weight | open_size
-        done["need"] = (doc[some].astype(np.int32), where[some].astype(np.int32), open_weight[some], np.log10(np.maximum(count[wants], 1)))
-        out = [(rows["chunk"].iloc[0], 0, -1, pickle.dumps(done, protocol=5))]
+        del part
+        asked = some[place]
+        doc, place = doc[asked], place[asked]
+        done["need"] = (doc, where[place], open_weight[place], np.log10(np.maximum(count[wants], 1)))
+        out = [(rows["chunk"].iloc[0], 0, -1, put_all(done))]
+        del done, doc, place, asked, where, open_weight, some
         told, wanted = chunk.keys[tells], chunk.keys[wants]
         both = np.unique(np.concatenate([told, wanted]))
         for b, i, j in slices(both, buckets):
@@ -394,7 +415,7 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     weights = ask(evaluated.where("kind = 3"), _merge_contexts, 3, "katz-weights")
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
-        done = pickle.loads(_answers(rows, 0)[0])
+        done = get_all(_answers(rows, 0)[0])
         answers = [np.frombuffer(a, "<f8").reshape(2, -1) for a in _answers(rows, 3)]
         weight, size = np.concatenate(answers, axis=1) if answers else np.zeros((2, 0))
         doc, where, is_weight, old = done["need"]

@@ -117,3 +117,21 @@ def test_packing():
         assert (katz.get_sorted(katz.put_sorted(keys)) == keys).all()
         values = r.integers(0, 600, n)
         assert (katz.get_small(b"xx" + katz.put_small(values), 2)[0] == values).all()
+
+
+def test_counts_are_merged_in_little_memory():
+    """Merging holds a few arrays as long as the bucket at a time, not one for each step."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    questions, n = [], 0
+    for _ in range(6):
+        keys = np.unique(rng.integers(1, 400_000, 100_000).astype(np.uint64))
+        questions.append(katz._question(keys, katz.put_small(rng.integers(0, 3, len(keys)))))
+        n += len(keys)
+    tracemalloc.start()
+    try:
+        katz._merge_counts(questions, False)
+        assert tracemalloc.get_traced_memory()[1] < 60 * n
+    finally:
+        tracemalloc.stop()
