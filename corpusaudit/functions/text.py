@@ -18,12 +18,35 @@ from pyspark.sql import functions as F
 
 FENCE = "```"
 HEADING = r"^#{1,6}\s+(.+)$"
+#: What ``\\s`` and ``.`` are inside a line; and what may follow the place where ``$`` matches in one.
+BLANK, INNER, LAST = r"[ \t\x0B\f]", r"[^\n\x{85}\x{2028}\x{2029}]", r"[\x{85}\x{2028}\x{2029}]?"
+
+
+def unix(content: Column) -> Column:
+    """``\\r\\n`` and ``\\r`` as ``\\n``."""
+    return F.replace(F.replace(content, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def split_lines(content: Column) -> Column:
     """Pieces between newlines; ``\\r\\n`` and ``\\r`` count as ``\\n``; an empty text has none."""
-    unix = F.replace(F.replace(content, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return F.when(F.length(content) == 0, F.array().cast("array<string>")).otherwise(F.split(unix, "\n", -1))
+    return F.when(F.length(content) == 0, F.array().cast("array<string>")).otherwise(F.split(unix(content), "\n", -1))
+
+
+def in_text(regex: str) -> str:
+    """A pattern for single lines (``^`` first, ``$`` last if at all) as one that finds these lines inside a ``unix`` text.
+
+    A text is then searched once, without being cut into an array of lines whose elements are looked at one by one.
+    """
+    if regex.endswith("$"):
+        regex = regex[:-1] + LAST + "$"
+    return "(?md)" + regex.replace(r"\s", BLANK).replace(".", INNER)
+
+
+def prose_text(content: Column) -> Column:
+    """The ``unix`` text in which fenced lines and fence markers are empty lines; lines keep their numbers."""
+    pieces = F.split(unix(content), in_text(r"^\s*" + FENCE) + "[^\n]*", -1)
+    prose = F.transform(pieces, lambda p, k: F.when(k % 2 == 1, F.regexp_replace(p, "[^\n]+", "")).otherwise(p))
+    return F.when(F.contains(content, F.lit(FENCE)), F.array_join(prose, "")).otherwise(unix(content))
 
 
 def with_lines(df: DataFrame, content: str = "content", into: str = "lines") -> DataFrame:
@@ -95,8 +118,7 @@ def with_prose(df: DataFrame, lines: str = "lines", into: str = "prose") -> Data
 def slug(text: Column) -> Column:
     """Anchor of a heading: lower case, word characters of any script kept, blanks become one ``-``."""
     kept = F.regexp_replace(F.trim(F.lower(text)), r"[^\p{L}\p{M}\p{N}_\s-]", "")
-    dashed = F.regexp_replace(F.regexp_replace(kept, r"\s+", "-"), "-+", "-")
-    return F.regexp_replace(dashed, "^-|-$", "")
+    return F.btrim(F.regexp_replace(kept, r"[\s-]+", "-"), F.lit("-"))
 
 
 def normalise_route(path: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from corpusaudit.functions import paths
 from corpusaudit.functions import text as tx
+from corpusaudit.operators.joins import group_by_hash, hash_first
 from corpusaudit.operators.lines import KEY, slides
 
 # Fixed values.
@@ -84,6 +85,12 @@ def _pairs(lines: str, regex: str) -> Column:
     )
 
 
+def _text_pairs(text: str, regex: str) -> Column:
+    """The same edges out of a whole text."""
+    end = lambda group: F.regexp_extract_all(text, F.lit(tx.in_text(regex)), F.lit(group))
+    return F.zip_with(end(1), end(2), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
+
+
 def flow_edges(lines: str = "lines") -> Column:
     return _pairs(lines, FLOW_EDGE)
 
@@ -120,11 +127,11 @@ def states(lines: str = "lines") -> Column:
 
 def edges(files: DataFrame) -> DataFrame:
     """All edges of diagram files as rows: corpus, path, kind, edge_no, src, dst."""
-    df = tx.with_lines(files.withColumn("kind", kind_of(F.col("content"))))
+    df = files.select(*KEY, kind_of(F.col("content")).alias("kind"), tx.unix(F.col("content")).alias("text"))
     pairs = (
-        F.when(F.col("kind") == "erDiagram", er_relations())
-        .when(F.col("kind") == "stateDiagram", transitions())
-        .when(F.col("kind") == "flowchart", flow_edges())
+        F.when(F.col("kind") == "erDiagram", _text_pairs("text", ER_RELATION))
+        .when(F.col("kind") == "stateDiagram", _text_pairs("text", TRANSITION))
+        .when(F.col("kind") == "flowchart", _text_pairs("text", FLOW_EDGE))
     )
     return df.select(*KEY, "kind", F.posexplode_outer(pairs).alias("n", "e")).where(F.col("n").isNotNull()).select(
         *KEY, "kind", (F.col("n") + 1).alias("edge_no"), "e.src", "e.dst"
@@ -164,14 +171,15 @@ def members(files: DataFrame) -> DataFrame:
     In a flowchart a line belongs to the subgraph opened last and not yet closed; in a state diagram to the
     outermost group, whatever groups that holds.
     """
-    lines = tx.with_lines(files.select(*KEY, "content"))
-    is_state = F.coalesce(kind_of(F.col("content")) == "stateDiagram", F.lit(False))
-    opens = r"^\s*subgraph\s+(\w+)"
-    df = tx.cut_runs(lines.where(~is_state), "lines", lambda l: l.rlike(opens) | l.rlike(r"^\s*end\s*$"), "runs")
-    head = F.try_element_at(F.col("r.lines"), F.lit(1))
-    run = df.select(*KEY, F.explode_outer("runs").alias("r")).where(F.col("r").isNotNull()).where((F.col("r.run_no") > 0) & head.rlike(opens))
-    flow = run.select(*KEY, F.regexp_extract(head, opens, 1).alias("grp"), F.explode_outer(F.slice("r.lines", F.lit(2), F.greatest(F.size("r.lines") - 1, F.lit(0)))).alias("line"))
-    state = lines.where(is_state).select(*KEY, F.explode_outer(_state_group_lines("lines")).alias("g")).select(*KEY, "g.grp", "g.line")
+    files = files.select(*KEY, "content")
+    is_state = F.coalesce(F.contains("content", F.lit("stateDiagram")) & (kind_of(F.col("content")) == "stateDiagram"), F.lit(False))
+    # a piece for each subgraph, from its name to the next one, without what follows the line that ends it
+    pieces = F.split(tx.unix(F.col("content")), tx.in_text(r"^\s*subgraph\s+(?=\w)"), -1)
+    piece = files.where(~is_state).select(*KEY, F.posexplode_outer(pieces).alias("n", "piece")).where("n > 0")
+    run = piece.select(*KEY, F.split("piece", rf"\n{tx.BLANK}*end{tx.BLANK}*{tx.LAST}(?=\n|\z)", 2)[0].alias("run"))
+    line = run.select(*KEY, F.regexp_extract("run", r"^(\w+)", 1).alias("grp"), F.posexplode_outer(F.split("run", "\n", -1)).alias("n", "line"))
+    flow = line.where("n > 0").select(*KEY, "grp", "line")
+    state = tx.with_lines(files.where(is_state)).select(*KEY, F.explode_outer(_state_group_lines("lines")).alias("g")).select(*KEY, "g.grp", "g.line")
     line = flow.unionByName(state).where(F.col("line").isNotNull())
     ends = F.array(F.regexp_extract("line", r"^\s*(\w+)", 1), F.regexp_extract("line", rf"^\s*\w+{NODE}\s*-->\s*(\w+)", 1))
     return (
@@ -184,10 +192,13 @@ def members(files: DataFrame) -> DataFrame:
 
 def group_edges(edge_rows: DataFrame, member_rows: DataFrame) -> DataFrame:
     """Edges with the group of either end; ``touches`` lists the groups an edge belongs to."""
-    m = member_rows.groupBy(*KEY, "node").agg(F.min("grp").alias("grp"))
-    src = m.select(*KEY, F.col("node").alias("src"), F.col("grp").alias("src_group"))
-    dst = m.select(*KEY, F.col("node").alias("dst"), F.col("grp").alias("dst_group"))
-    return edge_rows.join(src, [*KEY, "src"], "left").join(dst, [*KEY, "dst"], "left").select(
+    m = group_by_hash(member_rows, [*KEY, "node"]).agg(F.min("grp").alias("grp"))
+    # both ends look it up by the same number
+    side = lambda c: m.select("_h", *KEY, F.col("node").alias(c), F.col("grp").alias(f"{c}_group"))
+    found = edge_rows
+    for c in ("src", "dst"):
+        found = hash_first(found, [*KEY, c]).join(side(c), ["_h", *KEY, c], "left").drop("_h")
+    return found.select(
         *KEY, "edge_no", "src", "dst", "src_group", "dst_group",
         F.array_distinct(F.array_compact(F.array("src_group", "dst_group"))).alias("touches"),
     )

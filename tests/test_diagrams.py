@@ -1,7 +1,9 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from corpusaudit.functions import text as tx
 from corpusaudit.operators import assemble, diagrams, graph, labels, reconcile
 from tests.conftest import rows
 
@@ -244,3 +246,51 @@ def test_front_matter_of_any_length(spark):
     texts = [f"---\n{head}\nmarp: true\n---\n# s", f"---\n{head}\n---\nmarp: true", "marp: true"]
     df = spark.createDataFrame([(t,) for t in texts], "content STRING").select(diagrams.is_slide_deck(F.col("content")).alias("d"))
     assert [r.d for r in df.collect()] == [True, False, False]
+
+
+ODD = [
+    "graph TB\r\n  A[x] --> B(y)\r  subgraph S1[t]\r\n    C --> D\n    E  --> F\n  end \n  G --> H\n",
+    "flowchart LR\nsubgraph end\n  A --> B\n end \n X --> Y\nsubgraph S2\n  %% no\n  B{z} --> C\nsubgraph S3\n  D\n\n  direction LR\n  \x85E --> G",
+    "graph TD\nsubgraph \n  A --> B\nsubgraph S1 --> x\n K\n --> L\n\nend x\n  M-->N --> O\n end",
+    "graph TB\n" + "subgraph a\n b --> c\nend\n" * 300,
+    "erDiagram\n  A ||--o{ B : x\n C ||--|| D: y\n  E\n ||--|| F : z",
+    "stateDiagram\n [*] --> A\n A\n --> B\r\n state g {\n  C --> D\n }\n D --> [*]",
+    "subgraph s\n a --> b", "", "\n", None,
+]
+
+
+def test_whole_texts_are_read_as_their_lines(spark, files):
+    """Edges and members found in the whole text are those of its lines, whatever ends a line."""
+    df = files(*[("c", str(k), t) for k, t in enumerate(ODD)])
+    found = diagrams.edges(df)
+    by_line = tx.with_lines(df.withColumn("kind", diagrams.kind_of(F.col("content"))))
+    pairs = {"erDiagram": diagrams.er_relations(), "stateDiagram": diagrams.transitions(), "flowchart": diagrams.flow_edges()}
+    want = []
+    for kind, column in pairs.items():
+        for r in by_line.where(F.col("kind") == kind).select("path", column.alias("e")).collect():
+            want += [("c", r.path, kind, n, e.src, e.dst) for n, e in enumerate(r.e, 1)]
+    assert rows(found) == sorted(want, key=str)
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+    members = set()
+    for path, text in enumerate(ODD[:4] + ODD[6:7]):
+        group = None
+        for line in re.sub("\r\n?", "\n", text).split("\n"):
+            head = re.match(r"[ \t]*subgraph[ \t]+(\w+)", line, re.ASCII)
+            if head or re.match("[ \t]*end[ \t]*[\x85  ]?$", line):
+                group = head and head[1]
+            elif group and not re.match(r"[ \t]*(%%|direction\b|\[\*\]|state\s)", line):
+                node = re.match(r"[ \t]*(\w+)(?:\[.*?\]|\(.*?\)|\{.*?\})?([ \t]*-->[ \t]*(\w+))?", line, re.ASCII)
+                members |= {("c", str(path if path < 4 else 6), group, n) for n in ((node[1], node[3]) if node else ()) if n}
+    assert {m for m in rows(diagrams.members(df)) if m[1] != "5"} == members
+
+
+def test_groups_are_looked_up_by_number_first(spark, files):
+    """Keys that begin alike are sorted by a number; rows with null or repeated keys get the groups they had."""
+    text = "graph TB\nsubgraph S\n a --> b\nend\n b --> c"
+    df = files(("c", "p", text), ("c", "p", text), ("c", None, text), (None, "p", text), ("c", "q", "graph TB\na --> b"))
+    got = diagrams.group_edges(diagrams.edges(df), diagrams.members(df))
+    assert got._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(_h") >= 3
+    whole = [("c", "p", 1, "a", "b", "S", "S"), ("c", "p", 2, "b", "c", "S", None)] * 2
+    none = [(c, p, n, a, b, None, None) for c, p in (("c", None), (None, "p")) for n, a, b in ((1, "a", "b"), (2, "b", "c"))]
+    assert rows(got.drop("touches")) == sorted([*whole, *none, ("c", "q", 1, "a", "b", None, None)], key=str)
