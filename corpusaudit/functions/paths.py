@@ -12,7 +12,7 @@ def basename(path: Column) -> Column:
 
 def dirname(path: Column) -> Column:
     """Everything before the last ``/``; empty for a top-level file."""
-    return F.regexp_extract(path, "(?s)^(.*)/[^/]*$", 1)
+    return F.left(path, F.length(path) - F.length(basename(path)) - 1)
 
 
 def extension(path: Column) -> Column:
@@ -40,22 +40,28 @@ def _push(done: Column, part: Column) -> Column:
 
 def normalise(path: Column) -> Column:
     """Fold ``.``, ``..`` and ``//``; a leading ``..`` stays, so a path that leaves the root stays visible."""
-    plain = ~path.rlike(r"(^|/)(\.{1,2})?(/|$)")
+    # what may have such a part; a path without one is its own result either way
+    ends = F.startswith(path, F.lit("/")) | F.endswith(path, F.lit("/")) | F.endswith(path, F.lit("."))
+    plain = ~(ends | F.contains(path, F.lit("//")) | F.contains(path, F.lit("./")))
     folded = F.array_join(
         F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), _push), "/"
     )
     return F.when(plain, path).otherwise(folded)
 
 
-def resolve(source_path: Column, target: Column) -> Column:
-    """Target of a relative link written in ``source_path``; ``/x`` is taken from the corpus root."""
+def joined(source_path: Column, target: Column) -> Column:
+    """Target of a relative link written in ``source_path``, not folded yet; ``/x`` is taken from the corpus root."""
     folder = dirname(source_path)
-    joined = (
+    return (
         F.when(target == "", source_path)
         .when(F.startswith(target, F.lit("/")) | (folder == ""), target)
         .otherwise(F.concat(folder, F.lit("/"), target))
     )
-    return normalise(joined)
+
+
+def resolve(source_path: Column, target: Column) -> Column:
+    """The same, folded."""
+    return normalise(joined(source_path, target))
 
 
 def parents(path: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusaudit.functions import globs, paths
 from corpusaudit.functions import text as tx
 from corpusaudit.operators.classify import with_suffix
+from corpusaudit.operators.joins import join_by_hash
 from corpusaudit.operators.lines import KEY
 
 # Suffix of pages, form of a link, prefixes of external addresses.
@@ -44,10 +45,10 @@ def matches_any(url: Column, patterns: Iterable[str]) -> Column:
 
 def markdown_links(files: DataFrame, skip_fences: bool = False) -> DataFrame:
     """corpus, path, line_no, link_no, text, url, is_image; several links on a line are several rows."""
-    df = tx.with_lines(files.select(*KEY, "content").where(F.contains("content", F.lit("]("))))
+    df = files.select(*KEY, "content").where(F.contains("content", F.lit("](")))
     if skip_fences:
-        df = tx.with_prose(df).withColumn("lines", F.col("prose"))
-    line = df.select(*KEY, F.posexplode_outer("lines").alias("pos", "line")).where(F.col("pos").isNotNull()).where(F.contains("line", F.lit("](")))
+        df = df.withColumn("content", tx.prose_text(F.col("content")))
+    line = df.select(*KEY, F.posexplode_outer(tx.split_lines(F.col("content"))).alias("pos", "line")).where(F.col("pos").isNotNull()).where(F.contains("line", F.lit("](")))
     raw = line.select(
         *KEY,
         (F.col("pos") + 1).alias("line_no"),
@@ -74,12 +75,15 @@ def html_links(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def resolve_links(links: DataFrame) -> DataFrame:
     """Add target_path and anchor. A title after the address is not part of it."""
-    bare = F.regexp_replace("url", r"\s+[\"'].*$", "")
-    anchor = F.when(F.contains(bare, F.lit("#")), F.regexp_extract(bare, "(?s)^[^#]*#(.*)$", 1))
+    quoted = F.contains("url", F.lit('"')) | F.contains("url", F.lit("'"))
+    bare = F.when(quoted, F.regexp_replace("url", r"\s+[\"'].*$", "")).otherwise(F.col("url"))
+    anchor = F.when(F.contains(bare, F.lit("#")), F.substr(bare, F.instr(bare, "#") + 1))
     df = links.withColumn("_file", F.substring_index(bare, "#", 1)).withColumn(
         "anchor", F.when(anchor != "", F.lower(anchor))
     )
-    return df.withColumn("target_path", paths.resolve(F.col("path"), F.col("_file"))).drop("_file")
+    # a column of its own, so that it is put together once
+    df = df.withColumn("_joined", paths.joined(F.col("path"), F.col("_file")))
+    return df.withColumn("target_path", paths.normalise(F.col("_joined"))).drop("_file", "_joined")
 
 
 def folders_of(path: Column) -> Column:
@@ -95,15 +99,10 @@ def page_targets(files: DataFrame) -> DataFrame:
     """
     is_page = F.col("path").endswith(PAGE[0])
     # one pass: the text of what is no page is not looked at
-    lined = tx.with_prose(tx.with_lines(files.select(*KEY, F.when(is_page, F.col("content")).alias("content"))))
-    slugs = F.array_distinct(
-        F.transform(
-            F.filter("prose", lambda l: F.coalesce(l.rlike(tx.HEADING), F.lit(False))),
-            lambda l: tx.slug(F.regexp_extract(l, tx.HEADING, 1)),
-        )
-    )
+    text = files.select(*KEY, F.when(is_page & F.contains("content", F.lit("#")), tx.prose_text(F.col("content"))).alias("text"))
+    slugs = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(tx.in_text(tx.HEADING)), F.lit(1)), tx.slug))
     none = F.array().cast("array<string>")
-    return lined.select("corpus", F.col("path").alias("target_path"), F.lit(True).alias("is_file"), F.coalesce(slugs, none).alias("slugs"))
+    return text.select("corpus", F.col("path").alias("target_path"), F.lit(True).alias("is_file"), F.coalesce(slugs, none).alias("slugs"))
 
 
 def targets(files: DataFrame) -> DataFrame:
@@ -140,7 +139,7 @@ def check_links(files: DataFrame, ignore: Iterable[str] = (), skip_fences: bool
     look-up. The target side is unique per key; a target that a third of all links point to is split by
     the skew join of AQE.
     """
-    found = local_links(files, ignore, skip_fences).join(targets(files), ["corpus", "target_path"], "left")
+    found = join_by_hash(local_links(files, ignore, skip_fences), targets(files), ["corpus", "target_path"], "left")
     return (
         found.withColumn("reason", link_fault())
         .where(F.col("reason").isNotNull())

@@ -1,3 +1,9 @@
+import random
+
+from pyspark.sql import functions as F
+
+from corpusaudit.functions import paths
+from corpusaudit.functions import text as tx
 from corpusaudit.operators import links
 from tests.conftest import rows
 
@@ -64,3 +70,36 @@ def test_page_links_from_the_folder_of_the_page(spark):
         "page_id INT, url STRING, html STRING",
     )
     assert rows(links.broken_page_links(pages), "page_id", "link_no", "target_path") == [(1, 2, "c.html")]
+
+
+def test_prose_of_whole_texts_is_that_of_their_lines(spark, files):
+    """Links outside code and headings, found in the whole text, are those of its lines, whatever ends a line."""
+    rng = random.Random(3)
+    parts = ["```", " ```sql", "x ```", "# A b", "## C -- d_e!", "#no", "#\n", "### É 日本 - ", "# t\u2028", "# t\u2028u", "#\x0b q", "[a](b.md) [c](d.md#e)", "![i](p.png) ```", "", "  "]
+    texts = ["".join(rng.choice(parts) + rng.choice(["\n", "\r\n", "\r"]) for _ in range(rng.randint(0, 12))) for _ in range(120)] + ["```", "", "# end", None]
+    df = files(*[("c", f"{k}.md", t) for k, t in enumerate(texts)])
+    prose = tx.with_prose(tx.with_lines(df))
+    by_line = prose.select("path", F.posexplode("prose").alias("n", "line")).where(F.contains("line", F.lit("](")))
+    by_line = by_line.select("path", "n", F.posexplode(F.regexp_extract_all("line", F.lit(links.LINK), F.lit(2))).alias("k", "url"))
+    found = links.markdown_links(df, skip_fences=True)
+    assert rows(found, "path", "line_no", "link_no", "url") == rows(by_line.selectExpr("path", "n + 1", "k + 1", "url"))
+    heads = F.filter("prose", lambda l: F.coalesce(l.rlike(tx.HEADING), F.lit(False)))
+    slugs = F.array_distinct(F.transform(heads, lambda l: tx.slug(F.regexp_extract(l, tx.HEADING, 1))))
+    want = prose.select("path", F.coalesce(slugs, F.array().cast("array<string>")).alias("slugs"))
+    assert rows(links.page_targets(df), "target_path", "slugs") == rows(want)
+    assert "rlike" not in links.page_targets(df)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_paths_as_by_patterns(spark):
+    names = ["", "a", "/", "a/", "/a", "a//b", "./a", "a/.", "..", "a/..", "../..", "a./b", "a.", ".a/b", "a/b/c.md", "é/日.md", "a\n/b\n", "x/..y/z", None]
+    df = spark.createDataFrame([(n,) for n in names], "p STRING")
+    old_plain = ~F.col("p").rlike(r"(^|/)(\.{1,2})?(/|$)")
+    folded = F.array_join(F.aggregate(F.split("p", "/"), F.array().cast("array<string>"), paths._push), "/")
+    for new, old in ((paths.dirname(F.col("p")), F.regexp_extract("p", "(?s)^(.*)/[^/]*$", 1)), (paths.normalise(F.col("p")), F.when(old_plain, F.col("p")).otherwise(folded))):
+        assert df.select(new.eqNullSafe(old).alias("same"), "p").where("NOT same").collect() == []
+    urls = ["a.md \"t\"", "a.md#b 'x", "a#", "#", "a#b#c", "x\n'y'", "it's", "q  \"a\nb", ""]
+    got = links.resolve_links(spark.createDataFrame([("c", "d/p.md", u) for u in urls], "corpus STRING, path STRING, url STRING"))
+    bare = F.regexp_replace("url", r"\s+[\"'].*$", "")
+    anchor = F.when(F.contains(bare, F.lit("#")), F.regexp_extract(bare, "(?s)^[^#]*#(.*)$", 1))
+    want = F.when(anchor != "", F.lower(anchor))
+    assert got.where(~F.col("anchor").eqNullSafe(want) | ~F.col("target_path").eqNullSafe(paths.resolve(F.col("path"), F.substring_index(bare, "#", 1)))).collect() == []
