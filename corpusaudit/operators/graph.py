@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,10 +90,11 @@ def _distinct(numbers: np.ndarray) -> np.ndarray:
     return numbers[np.concatenate([[True], numbers[1:] != numbers[:-1]])] if len(numbers) else numbers
 
 
-def cluster_nodes(edges: pa.ListArray, cap: int) -> pa.ListArray:
+def cluster_nodes(edges: pa.ListArray, cap: int, named: bool = True) -> pa.ListArray:
     """Clusters of at most ``cap`` nodes, hubs first, neighbours breadth first; ties by name. A graph is an element.
 
-    Nodes are numbered by graph and name, so the neighbours of each lie together in order of their names.
+    Nodes are numbered by graph and name, so the neighbours of each lie together in order of their names. If not ``named``,
+    an element has the numbers alone, in order of the names.
     """
     rows = np.repeat(np.arange(len(edges)), edges.value_lengths().fill_null(0).to_numpy())
     ends = edges.flatten()
@@ -101,9 +102,9 @@ def cluster_nodes(edges: pa.ListArray, cap: int) -> pa.ListArray:
     order = pc.array_sort_indices(names.dictionary).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    named = rank[names.indices.to_numpy()] + np.concatenate([rows, rows]) * max(len(order), 1)
-    nodes = _distinct(named)
-    at = np.searchsorted(nodes, named)
+    placed = rank[names.indices.to_numpy()] + np.concatenate([rows, rows]) * max(len(order), 1)
+    nodes = _distinct(placed)
+    at = np.searchsorted(nodes, placed)
     n = max(len(nodes), 1)
     a, b = at[: len(rows)], at[len(rows) :]
     pairs = _distinct(np.concatenate([a * n + b, b * n + a]))
@@ -135,14 +136,16 @@ def cluster_nodes(edges: pa.ListArray, cap: int) -> pa.ListArray:
     if len(nodes):
         lowest = np.minimum.reduceat(numbers, cuts[:-1][sizes > 0])
         numbers -= np.repeat(lowest, sizes[sizes > 0]) - 1
-    found = pa.StructArray.from_arrays([names.dictionary.take(pa.array(order[name])), pa.array(numbers.astype(np.int32))], names=["node", "cluster_no"])
+    found = pa.array(numbers.astype(np.int32))
+    if named:
+        found = pa.StructArray.from_arrays([names.dictionary.take(pa.array(order[name])), found], names=["node", "cluster_no"])
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), found)
 
 
-def clusters(graphs: DataFrame, edges_col: str, cap: int, keys: list[str]) -> DataFrame:
-    """keys, node, cluster_no: each node in exactly one cluster. One row of ``graphs`` is one graph."""
-
-    kind = T.ArrayType(T.StructType().add("node", T.StringType()).add("cluster_no", T.IntegerType()))
+def _assigned(edges: Column, cap: int, named: bool) -> Column:
+    """``cluster_nodes`` of a column of graphs."""
+    number = T.IntegerType()
+    kind = T.ArrayType(T.StructType().add("node", T.StringType()).add("cluster_no", number) if named else number)
 
     @F.arrow_udf(kind)
     def assign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -150,21 +153,54 @@ def clusters(graphs: DataFrame, edges_col: str, cap: int, keys: list[str]) -> Da
             sizes = edges.value_lengths().fill_null(0).to_numpy()
             part = np.maximum(np.cumsum(sizes) - 1, 0) // NUMBERED
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(edges)]
-            yield pa.concat_arrays([cluster_nodes(edges.slice(i, j - i), cap) for i, j in zip(cuts, cuts[1:])])
+            yield pa.concat_arrays([cluster_nodes(edges.slice(i, j - i), cap, named) for i, j in zip(cuts, cuts[1:])])
+
+    return assign(edges)
+
+
+def cluster_numbers(edges: Column, cap: int) -> Column:
+    """Of a graph that is an array of edges, the cluster of each node in order of the names: what ``clusters`` can be taken
+    from, without the names, where rows are moved between."""
+    return _assigned(edges, cap, False)
+
+
+def clusters(graphs: DataFrame, edges_col: str, cap: int, keys: list[str], numbers: str | None = None) -> DataFrame:
+    """keys, node, cluster_no: each node in exactly one cluster. One row of ``graphs`` is one graph.
 
-    one = graphs.select(*keys, F.explode_outer(assign(F.col(edges_col))).alias("a"))
-    return one.where(F.col("a").isNotNull()).select(*keys, "a.node", "a.cluster_no")
+    ``numbers`` names the column with ``cluster_numbers`` of the same edges and cap, if they are worked out already.
+    """
+    if numbers is None:
+        found = _assigned(F.col(edges_col), cap, True)
+    else:
+        names = F.sort_array(F.array_distinct(F.concat(F.col(f"{edges_col}.src"), F.col(f"{edges_col}.dst"))))
+        found = F.arrays_zip(names.alias("node"), F.col(numbers).alias("cluster_no"))
+    one = graphs.select(*keys, F.inline_outer(found).alias("node", "cluster_no"))
+    return one.where(F.col("node").isNotNull())
+
+
+def with_clusters(rows: DataFrame, assigned: DataFrame, keys: list[str], end: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the cluster of their node ``end``: an inner join with ``assigned``.
+
+    It is a window and not a join, as that leaves rows that are dealt by ``keys`` where they are, and a join deals them again.
+    """
+    at = [*keys, end]
+    known = F.lit(True)
+    for c in at:
+        known = known & F.col(c).isNotNull()
+    kind = dict(assigned.dtypes)["cluster_no"]
+    row = F.struct(F.lit(1).alias("_is_row"), *[c for c in rows.columns if c not in at])
+    held = rows.select(*at, row.alias("_row"), F.lit(None).cast(kind).alias(name))
+    nodes = assigned.select(*keys, F.col("node").alias(end), F.col("cluster_no").alias(name))
+    nodes = nodes.select(*at, F.lit(None).cast(held.schema["_row"].dataType).alias("_row"), name)
+    found = F.collect_list(F.when(F.col("_row").isNull(), F.struct(name))).over(Window.partitionBy(*at))
+    both = held.where(known).unionByName(nodes.where(known)).withColumn("_found", found)
+    return both.where("_row IS NOT NULL").select(*at, "_row.*", F.inline("_found")).drop("_is_row")
 
 
 def cut_edges(edges: DataFrame, assigned: DataFrame, keys: list[str]) -> DataFrame:
     """Edges with the clusters of their ends and whether they are cut."""
-    src = assigned.select(*keys, F.col("node").alias("src"), F.col("cluster_no").alias("src_cluster"))
-    dst = assigned.select(*keys, F.col("node").alias("dst"), F.col("cluster_no").alias("dst_cluster"))
-    return (
-        edges.join(src, [*keys, "src"])
-        .join(dst, [*keys, "dst"])
-        .withColumn("is_cut", F.col("src_cluster") != F.col("dst_cluster"))
-    )
+    with_src = with_clusters(edges, assigned, keys, "src", "src_cluster")
+    return with_clusters(with_src, assigned, keys, "dst", "dst_cluster").withColumn("is_cut", F.col("src_cluster") != F.col("dst_cluster"))
 
 
 def degrees(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from corpusaudit.functions import text as tx
 from corpusaudit.operators import assemble, diagrams, graph, graph_tables, labels, modules, quality, reconcile
 from corpusaudit.plans import inputs as i
 from corpusaudit.plans.registry import lines_sql, query, table
-from corpusaudit.session import by_key, cut_lineage, spread, stored
+from corpusaudit.session import by_key, cut_lineage, spread
 from corpusaudit.sources import bundles, chunks
 
 # ------------------------------------------------------------------------------------------- diagrams
@@ -255,21 +255,38 @@ WORD_EDGES = """
   e AS (SELECT DISTINCT doc_id, w[k] AS src, w[k + 1] AS dst FROM n WHERE w[k] <> w[k + 1])"""
 
 
-def _word_graph(spark, sf, place=lambda texts: by_key(texts, "doc_id")):
-    """A graph per document: each word of its text leads to the next word. Texts of a document are in one partition."""
-    df = place(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.split("text", "[ \n]+", -1).alias("w"))
+def _word_graph(texts):
+    """A graph per document: each word of its text leads to the next word."""
+    df = texts.withColumn("w", F.split("text", "[ \n]+", -1))
     pairs = F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
-    return df.select("doc_id", F.filter(pairs, lambda e: e["src"] != e["dst"]).alias("edges"))
+    return df.withColumn("edges", F.filter(pairs, lambda e: e["src"] != e["dst"])).drop("w", "text")
+
+
+def _texts(spark, sf):
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def _clustered_words(spark, sf):
+    """Graphs of words with ``numbers``, their clusters of at most eight nodes; all of a document in one partition.
+
+    Texts are dealt by document with the numbers alone, once: edges and names of nodes are taken from the text again after that.
+    """
+    texts = _texts(spark, sf).where("doc_id IS NOT NULL")
+    numbers = graph.cluster_numbers(F.col("edges"), 8)
+    found = _word_graph(texts.withColumn("held", F.col("text"))).select("doc_id", F.col("held").alias("text"), numbers.alias("numbers"))
+    dealt = by_key(found, "doc_id", least=16 * texts.rdd.getNumPartitions())
+    # a text without numbers has no edges; with that, edges and clusters are read from the same shuffle
+    return _word_graph(dealt).withColumn("edges", F.when(F.size("numbers") > 0, F.col("edges")))
 
 
 def _word_edges(g):
-    return g.select("doc_id", F.explode_outer("edges").alias("e")).where(F.col("e").isNotNull()).select("doc_id", "e.src", "e.dst").distinct()
+    return g.select("doc_id", F.inline_outer("edges")).where("src IS NOT NULL").distinct()
 
 
 @query("q_graph_clusters")
 def q_graph_clusters(spark, sf):
     """Clusters of at most eight nodes; the order of the walk has no SQL form, see q_cluster_totals and the tests."""
-    return graph.clusters(_word_graph(spark, sf, spread), "edges", 8, ["doc_id"])
+    return graph.clusters(_word_graph(_texts(spark, sf)), "edges", 8, ["doc_id"])
 
 
 @query(
@@ -279,7 +296,7 @@ def q_graph_clusters(spark, sf):
 )
 def q_cluster_totals(spark, sf):
     """What must hold of the clusters of a document: every node in one, none too large, numbers without gaps."""
-    c = by_key(graph.clusters(_word_graph(spark, sf, spread), "edges", 8, ["doc_id"]).where("doc_id IS NOT NULL"), "doc_id")
+    c = by_key(graph.clusters(_word_graph(_texts(spark, sf)), "edges", 8, ["doc_id"]).where("doc_id IS NOT NULL"), "doc_id")
     # clusters are worked out once and shuffled once, by document
     sizes = c.groupBy("doc_id", "cluster_no").agg(F.count("*").alias("n"), F.collect_list("node").alias("members"))
     of = sizes.groupBy("doc_id").agg(
@@ -294,22 +311,24 @@ def q_cluster_totals(spark, sf):
 
 @query("q_cut_edges")
 def q_cut_edges(spark, sf):
-    g = _word_graph(spark, sf)
-    # clusters are written to a shuffle of their own, so that both ends read them and they are not worked out twice
-    return graph.cut_edges(_word_edges(g), by_key(graph.clusters(g, "edges", 8, ["doc_id"]), "doc_id"), ["doc_id"])
+    g = _clustered_words(spark, sf)
+    return graph.cut_edges(_word_edges(g), graph.clusters(g, "edges", 8, ["doc_id"], "numbers"), ["doc_id"])
 
 
 @query("q_cut_totals", f"WITH {WORD_EDGES} SELECT doc_id, count(*) AS edges, true AS kept_inside FROM e GROUP BY doc_id")
 def q_cut_totals(spark, sf):
     """Edges of each document, and whether as many are kept as there are edges among the pairs of nodes of a cluster."""
-    g = _word_graph(spark, sf)
-    edges, assigned = stored(_word_edges(g)), stored(graph.clusters(g, "edges", 8, ["doc_id"]))
+    g = _clustered_words(spark, sf)
+    edges, assigned = _word_edges(g), graph.clusters(g, "edges", 8, ["doc_id"], "numbers")
     cut = graph.cut_edges(edges, assigned, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("edges"), F.count_if(~F.col("is_cut")).alias("kept"))
-    members = assigned.groupBy("doc_id", "cluster_no").agg(F.collect_list("node").alias("all"))
-    pairs = members.select("doc_id", F.explode("all").alias("src"), "all")
+    # the nodes of each cluster, and the ends of the edges that start in it
+    starts = graph.with_clusters(edges, assigned, ["doc_id"], "src", "cluster_no").select("doc_id", "cluster_no", F.lit(None).cast("string").alias("node"), "dst")
+    both = assigned.withColumn("dst", F.lit(None).cast("string")).unionByName(starts)
+    members = both.groupBy("doc_id", "cluster_no").agg(F.collect_list("node").alias("all"), F.collect_list("dst").alias("ends"))
     # an edge counts for each pair of its nodes; the pairs are not written out
     times = F.size(F.filter("all", lambda n: n == F.col("dst")))
-    inside = edges.join(pairs, ["doc_id", "src"]).groupBy("doc_id").agg(F.sum(times).alias("inside"))
+    ends = members.select("doc_id", "all", F.explode("ends").alias("dst"))
+    inside = ends.groupBy("doc_id").agg(F.sum(times).alias("inside"))
     kept_inside = F.col("kept") == F.coalesce("inside", F.lit(0))
     return cut.join(inside, "doc_id", "left").select("doc_id", "edges", kept_inside.alias("kept_inside"))
 
@@ -363,7 +382,7 @@ def q_chain_depth(spark, sf):
         SELECT doc_id, node, count(*) AS degree FROM b GROUP BY ALL""",
 )
 def q_line_degrees(spark, sf):
-    return graph.degrees(_word_edges(_word_graph(spark, sf)), ["doc_id"])
+    return graph.degrees(_word_edges(_word_graph(by_key(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"))), ["doc_id"])
 
 
 # --------------------------------------------------------------------------------------------- labels

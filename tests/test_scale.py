@@ -118,6 +118,16 @@ def test_pairs_of_a_cluster_are_not_rows(spark, tmp_path):
     assert sorted(map(str, stored(df).collect())) == sorted(map(str, df.collect())) and stored(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["q_cut_edges", "q_cut_totals"])
+def test_words_are_not_shuffled(spark, tmp_path, conf, name):
+    """Texts are dealt by document once, with numbers of clusters; edges and nodes are found in the partitions of that."""
+    conf(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+    spark.createDataFrame([(1, "a b c a b d"), (3, "p q"), (3, "p r"), (None, "x y")], "doc_id LONG, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES[name](spark, str(tmp_path))
+    assert {r.doc_id for r in out.collect()} == {1, 3}
+    assert "ENSURE_REQUIREMENTS" not in plan(out)
+
+
 @pytest.mark.parametrize("name, tables", [("q_source_routes", ["supplier", "customer", "part"]), ("q_translate_diagrams", ["part"])])
 def test_tables_of_one_split_are_spread(spark, tmp_path, name, tables):
     """What is distinct in a task before the shuffle is a share of a small table, not all that is made of it."""
