@@ -5,21 +5,22 @@ of one is shuffled, and a literal that is in every text costs no more than its f
 is a part of ``PART_BYTES`` on average, whose automaton fits in the memory of a worker.
 
 Literals of more than one part would take a pass over the texts for each. So of these, all that have at most ``LONGEST``
-characters are looked for at once by the hashes of pieces of the texts: a table of bits, two bytes a literal, says which
-pieces may be one, and these few meet the literals in a join on the text itself.
+characters are looked for by the hashes of pieces of the texts, in parts of ``HASHED_BYTES``: a table of bits, two bytes a
+literal, says which pieces may be one, and these few are compared with the literals of that hash, which are broadcast sorted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from uuid import uuid4
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from corpusaudit.session import cut_lineage
 
@@ -30,18 +31,18 @@ _built: dict[str, ahocorasick.Automaton] = {}
 
 #: Characters of a literal that is looked for by its hash.
 LONGEST = 32
-#: Literals in one table of bits; more take more passes.
-HASHED = 1 << 23
+#: Text of literals, and of the columns they carry, that are looked for by hashes in one pass; a worker holds that and 20 bytes a literal.
+HASHED_BYTES = 64 << 20
 _HEAD = 8  # a piece is looked at in all lengths from here on only if its first characters begin a literal
 _SLAB = 1 << 18  # characters hashed at once
 _BASE = 0x9E3779B97F4A7C15
 
 
-def _automaton(mark: str, shared: Broadcast) -> ahocorasick.Automaton:
+def _automaton(mark: str, table: pa.Table) -> ahocorasick.Automaton:
     """The automaton of a part, built once in a worker; its values are (length, rows of the part)."""
     if mark not in _built:
         rows: dict[str, list[int]] = {}
-        for i, needle in enumerate(shared.value.column("needle").to_pylist()):
+        for i, needle in enumerate(table.column("needle").to_pylist()):
             rows.setdefault(needle, []).append(i)
         automaton = ahocorasick.Automaton()
         for needle, at in rows.items():
@@ -79,57 +80,92 @@ def find_literals(
     """
     one = cut_lineage(needles.select(*within, "needle", *carry).where("needle <> ''").distinct())
     parts = _parts(one, part_bytes)
-    hashed = None
+    texts = texts.select(*dict.fromkeys([*keys, content]))
+    out = None
     if parts > 1:
         is_short = F.length("needle") <= LONGEST
-        hashed = _by_hash(texts, one.where(is_short), keys, content, within, words, carry)
+        short = one.where(is_short)
+        for held in _held(short, _parts(short, HASHED_BYTES)):
+            found = _found(texts, held, keys, content, within, carry, _by_hash(held, words, texts.sparkSession.sparkContext))
+            out = found if out is None else out.unionByName(found)
         one = one.where(~is_short)
         parts = _parts(one, part_bytes)
-    texts = texts.select(*dict.fromkeys([*keys, content]))
-    fields = {f.name: f.dataType.simpleString() for f in [*one.schema, *texts.schema]}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in [*keys, "needle", *carry])
-    out = hashed
-    for part in range(parts):
-        held = one.where(F.pmod(F.xxhash64(*one.columns), F.lit(parts)) == part).toArrow()
-        if not held.num_rows:
-            continue
-        shared = texts.sparkSession.sparkContext.broadcast(held)
-
-        def scan(batches: Iterator[pa.RecordBatch], mark: str = uuid4().hex, shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
-            automaton, table = _automaton(mark, shared), shared.value
-            only = list(zip(*(table.column(c).to_pylist() for c in within))) if within else None
-
-            def rows(batch: pa.RecordBatch, at: list[int], hits: list[int]) -> pa.RecordBatch:
-                cols = [batch.column(c).take(pa.array(at, pa.int64())) for c in keys]
-                found = table.select(["needle", *carry]).take(pa.array(hits, pa.int64())).combine_chunks()
-                return pa.RecordBatch.from_arrays([*cols, *(_flat(c) for c in found.columns)], names=[*keys, "needle", *carry])
-
-            for batch in batches:
-                of = list(zip(*(batch.column(c).to_pylist() for c in within))) if within else None
-                at, hits = [], []
-                for i, text in enumerate(batch.column(content).to_pylist()):
-                    found: set[int] = set()
-                    for end, (length, literals) in automaton.iter(text or ""):
-                        if not words or _whole(text, end + 1 - length, end + 1):
-                            found.update(literals)
-                    mine = sorted(found) if of is None else [j for j in sorted(found) if only[j] == of[i]]
-                    hits += mine
-                    at += [i] * len(mine)
-                    if len(hits) >= _HITS:
-                        yield rows(batch, at, hits)
-                        at, hits = [], []
-                yield rows(batch, at, hits)
-
-        found = texts.mapInArrow(scan, schema)
+    for held in _held(one, parts):
+        found = _found(texts, held, keys, content, within, carry, _by_automaton(words))
         out = found if out is None else out.unionByName(found)
     if out is None:
+        fields = {f.name: f.dataType.simpleString() for f in [*one.schema, *texts.schema]}
         return texts.select(*keys, *(F.lit(None).cast(fields[c]).alias(c) for c in ["needle", *carry])).limit(0)
     return out
 
 
-def in_one_pass(needles: DataFrame) -> bool:
-    """Whether ``find_literals`` moves nothing for these literals and what they carry."""
-    return _parts(needles, PART_BYTES) <= 1
+def _held(needles: DataFrame, parts: int) -> Iterator[pa.Table]:
+    """The literals of each part that has some."""
+    for part in range(parts):
+        held = needles.where(F.pmod(F.xxhash64(*needles.columns), F.lit(parts)) == part).toArrow()
+        if held.num_rows:
+            yield held
+
+
+#: Of a table of literals and a name for it: a function that gives the rows of the table that are in each of some texts.
+Finder = Callable[[str, pa.Table], Callable[[list[str]], Iterator[set[int]]]]
+
+
+def _by_automaton(words: bool) -> Finder:
+    def finder(mark: str, table: pa.Table) -> Callable[[list[str]], Iterator[set[int]]]:
+        automaton = _automaton(mark, table)
+
+        def find(texts: list[str]) -> Iterator[set[int]]:
+            for text in texts:
+                found: set[int] = set()
+                for end, (length, literals) in automaton.iter(text):
+                    if not words or _whole(text, end + 1 - length, end + 1):
+                        found.update(literals)
+                yield found
+
+        return find
+
+    return finder
+
+
+def _found(texts: DataFrame, held: pa.Table, keys: Sequence[str], content: str, within: Sequence[str], carry: Sequence[str], finder: Finder) -> DataFrame:
+    """``find_literals`` for one table of literals, by one pass over the texts. A text is one row until its literals are known."""
+    kinds = dict(texts.dtypes)
+    fields = {f.name: f.dataType.simpleString() for f in from_arrow_schema(held.schema)}
+    hits = "ARRAY<STRUCT<" + ", ".join(f"`{c}`: {fields[c]}" for c in ["needle", *carry]) + ">>"
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), f"`_hits` {hits}"])
+    shared = texts.sparkSession.sparkContext.broadcast(held)
+
+    def scan(batches: Iterator[pa.RecordBatch], mark: str = uuid4().hex) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        find = finder(mark, table)
+        only = list(zip(*(table.column(c).to_pylist() for c in within))) if within else None
+        carried = table.select(["needle", *carry]).combine_chunks().to_batches()[0]
+
+        def rows(batch: pa.RecordBatch, at: list[int], hits: list[list[int]]) -> pa.RecordBatch:
+            cols = [batch.column(c).take(pa.array(at, pa.int64())) for c in keys]
+            taken = carried.take(pa.array([j for some in hits for j in some], pa.int64()))
+            ends = pa.array(np.cumsum([0, *map(len, hits)]).astype(np.int32))
+            structs = pa.StructArray.from_arrays(taken.columns, names=taken.schema.names)
+            return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(ends, structs)], names=[*keys, "_hits"])
+
+        for batch in batches:
+            of = list(zip(*(batch.column(c).to_pylist() for c in within))) if within else None
+            at, hits, n = [], [], 0
+            for i, found in enumerate(find([t or "" for t in batch.column(content).to_pylist()])):
+                mine = sorted(found) if of is None else [j for j in sorted(found) if only[j] == of[i]]
+                if mine:
+                    at.append(i)
+                    hits.append(mine)
+                    n += len(mine)
+                if n >= _HITS:
+                    yield rows(batch, at, hits)
+                    at, hits, n = [], [], 0
+            if n:
+                yield rows(batch, at, hits)
+
+    found = texts.mapInArrow(scan, schema).select(*keys, F.explode_outer("_hits").alias("_hit"))
+    return found.select(*keys, *(F.col("_hit").getField(c).alias(c) for c in ["needle", *carry]))
 
 
 def _parts(needles: DataFrame, part_bytes: int) -> int:
@@ -154,19 +190,21 @@ def _mixed(h: np.ndarray, length: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _needle_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Length and hash of literals, and the hash of their first characters."""
+def _needle_hashes(needles: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths and hashes of literals, and hashes of their first characters."""
     power = _powers(_BASE, LONGEST)
-    for batch in batches:
-        rows = []
-        for needle in batch.column("needle").to_pylist():
-            codes = _codes(needle)
-            terms = codes * power[: len(codes)]
-            whole = _mixed(terms.sum(keepdims=True, dtype=np.uint64), len(codes))[0]
-            head = _mixed(terms[:_HEAD].sum(keepdims=True, dtype=np.uint64), 0)[0] if len(codes) >= _HEAD else 0
-            rows.append((len(codes), int(whole.view(np.int64)), int(np.uint64(head).view(np.int64))))
-        n, whole, head = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(whole, pa.int64()), pa.array(head, pa.int64())], names=["n", "whole", "head"])
+    n, whole, head = np.array([len(x) for x in needles]), np.zeros(len(needles), np.uint64), np.zeros(len(needles), np.uint64)
+    for at in range(0, len(needles), _HITS):
+        some = slice(at, at + _HITS)
+        starts = np.cumsum(n[some]) - n[some]
+        codes = _codes("".join(needles[some]))
+        place = np.arange(len(codes)) - np.repeat(starts, n[some])
+        terms = codes * power[place]
+        whole[some] = np.add.reduceat(terms, starts)
+        head[some] = np.add.reduceat(np.where(place < _HEAD, terms, np.uint64(0)), starts)
+    for length in np.unique(n).tolist():
+        whole[n == length] = _mixed(whole[n == length], length)
+    return n, whole, np.where(n >= _HEAD, _mixed(head, 0), np.uint64(0))
 
 
 def _bits(hashes: np.ndarray) -> tuple[np.ndarray, int]:
@@ -183,8 +221,8 @@ def _marked(hashes: np.ndarray, table: tuple[np.ndarray, int]) -> np.ndarray:
     return (table[0][at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _pieces_in(pieces: list[str], lengths: list[int], whole: tuple, head: tuple, power: np.ndarray, inverse: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Piece, start and length of what may be a literal; starts are below ``_SLAB``."""
+def _pieces_in(pieces: list[str], lengths: list[int], whole: tuple, head: tuple, power: np.ndarray, inverse: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+    """Pieces, starts, length and hashes of what may be literals; starts are below ``_SLAB``."""
     sizes = np.array([len(p) for p in pieces])
     ends = np.cumsum(sizes)
     begins = ends - sizes
@@ -200,70 +238,61 @@ def _pieces_in(pieces: list[str], lengths: list[int], whole: tuple, head: tuple,
     for n in lengths:
         starts = long_ if n >= _HEAD else at[own]
         starts = starts[room[starts] >= n]
-        starts = starts[_marked(_mixed(window(starts, n), n), whole)]
+        hashes = _mixed(window(starts, n), n)
+        is_marked = _marked(hashes, whole)
+        starts = starts[is_marked]
         of = np.searchsorted(ends, starts, "right")
-        for i, p in zip(of.tolist(), (starts - begins[of]).tolist()):
-            yield i, p, n
-
-
-def _by_hash(texts: DataFrame, needles: DataFrame, keys: Sequence[str], content: str, within: Sequence[str], words: bool, carry: Sequence[str]) -> DataFrame:
-    """``find_literals`` for any number of short literals: one pass over the texts for each ``HASHED`` of them."""
-    distinct = needles.select("needle").distinct()
-    kinds = dict(texts.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
-    passes = max(1, -(-distinct.count() // HASHED))
-    found = None
-    for turn in range(passes):
-        mine = distinct.where(F.pmod(F.xxhash64("needle"), F.lit(passes)) == turn)
-        hashes = mine.mapInArrow(_needle_hashes, "n INT, whole LONG, head LONG").toArrow()
-        n, whole, head = (hashes.column(c).to_numpy() for c in ("n", "whole", "head"))
-        tables = np.unique(n).tolist(), _bits(whole.view(np.uint64)), _bits(head[n >= _HEAD].view(np.uint64))
-        shared = texts.sparkSession.sparkContext.broadcast(tables)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
-            lengths, whole, head = shared.value
-            power, inverse = (_powers(b, 2 * _SLAB + LONGEST) for b in (_BASE, pow(_BASE, -1, 2**64)))
-            for batch in batches:
-                whole_texts = [t or "" for t in batch.column(content).to_pylist()]
-                hits: dict[tuple[int, str], None] = {}
-                pieces: list[str] = []
-                places: list[tuple[int, int]] = []
-                held = 0
-
-                def look() -> None:
-                    for piece, start, n in _pieces_in(pieces, lengths, whole, head, power, inverse):
-                        i, text = places[piece][0], whole_texts[places[piece][0]]
-                        start += places[piece][1]
-                        if not words or _whole(text, start, start + n):
-                            hits[i, text[start : start + n]] = None
-
-                for i, text in enumerate(whole_texts):
-                    for at in range(0, len(text), _SLAB):
-                        pieces.append(text[at : at + _SLAB + LONGEST - 1])
-                        places.append((i, at))
-                        held += len(pieces[-1])
-                        if held >= _SLAB:
-                            look()
-                            pieces, places, held = [], [], 0
-                if pieces:
-                    look()
-                rows = list(hits)
-                for k in range(0, len(rows), _HITS):
-                    some = rows[k : k + _HITS]
-                    of = pa.array([i for i, _ in some], pa.int64())
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in keys), pa.array([t for _, t in some], pa.string())], names=[*keys, "needle"])
-
-        got = texts.select(*dict.fromkeys([*keys, content])).mapInArrow(scan, f"{schema}, needle STRING")
-        found = got if found is None else found.unionByName(got)
-    table = needles.select(F.col("needle").alias("_needle"), *(F.col(c).alias(f"_{c}") for c in within), *(F.col(c).alias(f"_carry_{c}") for c in carry))
-    same = F.col("needle") == F.col("_needle")
-    for c in within:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return found.join(table, same).select(*keys, "needle", *(F.col(f"_carry_{c}").alias(c) for c in carry))
-
-
-def _flat(column: pa.ChunkedArray) -> pa.Array:
-    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
+        yield of, starts - begins[of], n, hashes[is_marked]
+
+
+def _by_hash(held: pa.Table, words: bool, sc: SparkContext) -> Finder:
+    """Literals of at most ``LONGEST`` characters, by the hashes of pieces of the texts."""
+    n, whole, head = _needle_hashes(held.column("needle").to_pylist())
+    order = np.argsort(whole, kind="stable")
+    tables = np.unique(n).tolist(), _bits(whole), _bits(head[n >= _HEAD]), whole[order], order.astype(np.int32)
+    shared = sc.broadcast(tables)
+
+    def finder(mark: str, table: pa.Table) -> Callable[[list[str]], Iterator[set[int]]]:
+        lengths, whole, head, hashes, rows = shared.value
+        power, inverse = (_powers(b, 2 * _SLAB + LONGEST) for b in (_BASE, pow(_BASE, -1, 2**64)))
+        needles = table.column("needle").combine_chunks()
+
+        def find(texts: list[str]) -> Iterator[set[int]]:
+            found: list[set[int]] = [set() for _ in texts]
+            pieces: list[str] = []
+            places: list[tuple[int, int]] = []
+            size = done = 0
+
+            def look() -> None:
+                for of, starts, length, these in _pieces_in(pieces, lengths, whole, head, power, inverse):
+                    low, high = np.searchsorted(hashes, these, "left"), np.searchsorted(hashes, these, "right")
+                    some = np.flatnonzero(high > low)
+                    for p, start, j, end in zip(of[some].tolist(), starts[some].tolist(), low[some].tolist(), high[some].tolist()):
+                        i, text = places[p][0], texts[places[p][0]]
+                        start += places[p][1]
+                        if not words or _whole(text, start, start + length):
+                            piece = text[start : start + length]
+                            found[i].update(r for r in rows[j:end].tolist() if r in found[i] or needles[r].as_py() == piece)
+
+            for i, text in enumerate(texts):
+                for at in range(0, len(text), _SLAB):
+                    pieces.append(text[at : at + _SLAB + LONGEST - 1])
+                    places.append((i, at))
+                    size += len(pieces[-1])
+                    if size >= _SLAB:
+                        look()
+                        pieces, places, size = [], [], 0
+                        # all texts before this one are done
+                        yield from found[done:i]
+                        found[done:i] = [set()] * (i - done)
+                        done = i
+            if pieces:
+                look()
+            yield from found[done:]
+
+        return find
+
+    return finder
 
 
 def name_leaks(texts: DataFrame, names: DataFrame, keys: Sequence[str]) -> DataFrame:

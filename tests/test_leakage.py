@@ -168,6 +168,24 @@ def test_rules_of_a_table_in_parts(files, monkeypatch, size):
     assert got == sorted([*each, (None, "b.md", 1, "plain", "key-x")], key=str)
 
 
+def test_many_rules_move_no_line(spark, files, monkeypatch):
+    """Lines and what is found in them stay where they are, with more literals than one automaton has; the order of rules does not matter."""
+    monkeypatch.setattr(literals.find_literals, "__defaults__", (*literals.find_literals.__defaults__[:-1], 20))
+    df = files(("c", "a.md", "alpha beta\nbeta gamma-1 gamma-2"), ("c", "b.md", "Ünï beta😀" + "x" * 600_000 + "alpha"))
+    schema = "name STRING, literal STRING, regex STRING, severity STRING, description STRING"
+    words = ["alpha", "beta", "gamma-", "delta", "a", "😀", "x" * 32, "x" * 33]
+    rules = spark.createDataFrame([(f"{w[:6]}{len(w)}-{k}", w, r, "LOW", None) for w in words for k, r in enumerate((None, r"gamma-\d|beta.?"))], schema)
+    found = leakage.scan_many(df, rules)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    for size in (20, 1 << 26):
+        monkeypatch.setattr(literals, "HASHED_BYTES", size)
+        got = leakage.scan_many(df, rules)
+        first = {("a.md", 1): "beta", ("a.md", 2): "beta ", ("b.md", 1): "beta😀"}
+        lines = {("a.md", 1): "alpha beta", ("a.md", 2): "beta gamma-1 gamma-2", ("b.md", 1): "beta😀" + "x" * 40 + "alpha"}
+        want = [(*at, f"{w[:6]}{len(w)}-{k}", first[at] if k else w) for at, line in lines.items() for w in words if w in line for k in (0, 1)]
+        assert rows(got, "path", "line_no", "rule", "matched") == sorted(want, key=str)
+
+
 def test_rules_of_a_table(spark, files):
     df = files(("c", "a.md", "key-1 key-x\nnone\nKEY-2 key-33"), ("c", "docs/a.md", "key-4"), ("c", "b.md", "```\nkey-5 recieve\n```\nrecieve"))
     schema = "name STRING, literal STRING, regex STRING, severity STRING, description STRING"
