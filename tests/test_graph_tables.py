@@ -1,6 +1,7 @@
 """Clusters and depths of graph tables against plain walks."""
 
 import random
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusaudit.operators import graph, graph_tables
 from corpusaudit.plans import QUERIES
+from corpusaudit.session import checkpoint_dir
 from tests.test_diagrams import EDGES, folded_depth, simple_depth
 
 
@@ -70,6 +72,19 @@ def test_no_edges(spark):
     assert [tuple(r) for r in graph_tables.cluster_parts(broken, one, ["graph_id"]).collect()] == [("g", "a", 4, 2)]
 
 
+def test_rounds_leave_little_behind(spark):
+    """What a round wrote goes when the next has read it; what stays are the names and the clusters."""
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    path = spark.range(5000).selectExpr("'g' AS graph_id", "concat('n', id) AS src", "concat('n', id + 1) AS dst")
+    clusters = graph_tables.grow_clusters(path, 8, ["graph_id"])
+    assert clusters.count() == 5001 and clusters.groupBy("cluster").count().agg(F.max("count")).first()[0] <= 8
+    parts = graph_tables.cluster_parts(path, clusters, ["graph_id"])
+    assert parts.where("parts <> 1").isEmpty()
+    assert size() - before < 1_500_000
+
+
 def chain_rounds(spark, df):
     nodes = df.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("weight", F.lit(1))
     chains, cyclic, rounds = graph_tables.longest_chains(df, nodes, "graph_id")
