@@ -168,7 +168,7 @@ def q_recheck(spark, sf):
     changed = later(customers, "concat('customers/', c_custkey, '.md')", "CASE WHEN c_custkey % 5 <> 0 THEN '# Client' END")
     rewritten = later(table(spark, sf, "orders").where("o_orderkey % 11 = 0"), "concat('orders/', o_orderkey, '.md')", "concat('[x](../customers/', o_custkey, '.md)')")
     for rows in (pages(i.CUSTOMER_PAGES.df(spark, sf)), pages(i.ORDER_PAGES.df(spark, sf)), changed.unionByName(rewritten)):
-        rows.write.mode("append").parquet(f"{base}/files")
+        rows.write.mode("append").option("compression", "zstd").parquet(f"{base}/files")
         stream = incremental.stream_files(spark, f"{base}/files", 1_000_000)
         link_index.start_link_check(stream, f"{base}/index", f"{base}/checkpoint", skip_fences=True).awaitTermination()
     return link_index.LinkIndex(spark, f"{base}/index").broken().drop("anchor")

@@ -20,7 +20,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusaudit.operators import links
 from corpusaudit.operators.classify import with_suffix
+from corpusaudit.operators.joins import fits_broadcast
 from corpusaudit.operators.lines import KEY
+from corpusaudit.session import discard, stored_at
 
 LINK = "corpus STRING, path STRING, line_no INT, link_no INT, url STRING, target_path STRING, anchor STRING"
 TABLES = {
@@ -46,7 +48,7 @@ class LinkIndex:
     def write(self, name: str, df: DataFrame, batch: int) -> DataFrame:
         """What a batch adds to a table, as read back."""
         columns = [c.split()[0] for c in TABLES[name].replace("ARRAY<STRING>", "A").split(", ")]
-        df.select(columns).write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+        df.select(columns).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{name}/batch={batch}")
         return self.read(name).where(F.col("batch") == batch)
 
     def files(self, upto: int | None = None, among: DataFrame | None = None) -> DataFrame:
@@ -61,8 +63,10 @@ class LinkIndex:
         """Broken links as they are now: what ``links.check_links`` finds in the newest files."""
         checks = self.read("checks", upto)
         key = [*KEY, "page_batch", "line_no", "link_no"]
-        last = checks.groupBy(*key).agg(F.max_by(F.struct("reason", "url", "target_path", "anchor"), "batch").alias("c"))
-        bad = last.where("c.reason IS NOT NULL").select(*key, "c.*")
+        # a link that is right goes without its address
+        fault = F.when(F.col("reason").isNotNull(), F.struct("reason", "url", "target_path", "anchor"))
+        last = checks.groupBy(*key).agg(F.max_by(fault, "batch").alias("c"))
+        bad = last.where("c IS NOT NULL").select(*key, "c.*")
         pages = self.read("files", upto).groupBy(*KEY).agg(F.max("batch").alias("page_batch"))
         return bad.join(pages, [*KEY, "page_batch"], "left_semi").select(*KEY, "line_no", "url", "reason", "target_path", "anchor")
 
@@ -75,6 +79,23 @@ def hashed(batch: DataFrame) -> DataFrame:
     return batch.select(*KEY, "content", time.alias("modified_at"), sha.alias("sha256"), there.alias("is_there"))
 
 
+def new_texts(batch: DataFrame, fresh: DataFrame) -> tuple[DataFrame, bool]:
+    """Texts of the rows of a batch that are ``fresh``, and whether each file has one row at most.
+
+    Texts are shuffled only if many rows are fresh and many are not. Where all rows are fresh there is nothing to join.
+    """
+    key = [*KEY, "sha256", "modified_at"]
+    whole, fresh = batch.dropna(subset=KEY), fresh.dropna(subset=KEY)
+    if fresh.count() == whole.count():  # fresh has a row a file
+        return whole.select(*KEY, "content"), True
+    if fits_broadcast(fresh):
+        return whole.join(F.broadcast(fresh), key, "left_semi").select(*KEY, "content"), False
+    stale = whole.select(key).join(fresh, key, "left_anti").distinct()
+    if fits_broadcast(stale):
+        return whole.join(F.broadcast(stale), key, "left_anti").select(*KEY, "content"), False
+    return whole.join(fresh, key, "left_semi").select(*KEY, "content"), False
+
+
 def add_batch(index: LinkIndex, batch: DataFrame, number: int, ignore: Iterable[str] = (), skip_fences: bool = False) -> None:
     """Add the files of one batch and check what that may have changed."""
     before = number - 1
@@ -87,15 +108,16 @@ def add_batch(index: LinkIndex, batch: DataFrame, number: int, ignore: Iterable[
     rows = rows.join(known, KEY, "left")
     was_there = F.coalesce("was_there", F.lit(False))
     news = (F.col("is_there") != was_there) | (F.col("is_there") & (F.col("sha256") != F.col("old_sha")))
-    rows = rows.where(news & (F.col("old_time").isNull() | (F.col("modified_at") >= F.col("old_time")))).persist()
+    # written and not persisted, whose shuffle files would stay with the session
+    rows, rows_at = stored_at(rows.where(news & (F.col("old_time").isNull() | (F.col("modified_at") >= F.col("old_time")))))
     try:
         # texts of this batch only, and of them those that are new
         fresh = rows.where("is_there").select(*KEY, "sha256", "modified_at")
-        texts = batch.join(fresh, [*KEY, "sha256", "modified_at"], "left_semi").select(*KEY, "content")
+        texts, once = new_texts(batch, fresh)
         heads = links.page_targets(texts).select("corpus", F.col("target_path").alias("path"), "slugs").distinct()
         files = index.write("files", rows.join(heads, KEY, "left"), number)
-        found = links.local_links(texts, ignore, skip_fences).distinct()
-        new_links = index.write("links", found, number)
+        found = links.local_links(texts, ignore, skip_fences)
+        new_links = index.write("links", found if once else found.distinct(), number)
 
         state = files.join(rows.select(*KEY, was_there.alias("was_there"), "old_slugs"), KEY)
         moved = state.where(F.col("is_there") != F.col("was_there"))
@@ -120,7 +142,7 @@ def add_batch(index: LinkIndex, batch: DataFrame, number: int, ignore: Iterable[
         checked = todo.join(there.withColumnRenamed("path", "target_path"), TARGET, "left").withColumn("reason", links.link_fault())
         index.write("checks", checked.withColumn("page_batch", F.col("batch")), number)
     finally:
-        rows.unpersist()
+        discard(index.spark, [rows_at])
 
 
 def start_link_check(files: DataFrame, folder: str, checkpoint: str, ignore: Iterable[str] = (), skip_fences: bool = False) -> StreamingQuery:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corpusaudit import schemas
 from corpusaudit.operators import links
 from corpusaudit.streaming import incremental
-from corpusaudit.streaming.link_index import TABLES, LinkIndex, add_batch, start_link_check
+from corpusaudit.streaming import link_index
+from corpusaudit.streaming.link_index import TABLES, LinkIndex, add_batch, hashed, start_link_check
 from tests.conftest import rows
 
 FOUND = ["corpus", "path", "line_no", "url", "reason", "target_path", "anchor"]
@@ -69,6 +70,32 @@ def test_only_what_points_to_a_change(spark, tmp_path):
     assert all("content" not in t for t in TABLES.values())
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_new_texts_stay(spark, monkeypatch, broadcast):
+    """Texts are not shuffled where all rows of a batch are new, or few are, or few are not."""
+    conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(link_index, "fits_broadcast", lambda df: broadcast)
+    key = ["corpus", "path", "sha256", "modified_at"]
+    try:
+        for items, new in (
+            ([("c", "a", "x", 1), ("c", "b", "y", 1)], "ab"),
+            ([("c", "a", "x", 1), ("c", "a", "x", 1), ("c", "a", "z", 2), (None, "d", "n", 1), ("c", "b", None, 1), ("c", "b", "y", 2), ("c", "e", "x", 1)], "be"),
+            ([("c", "a", "x", 1), (None, "d", "n", 1), ("c", "a", "x", 1)], "a"),
+        ):
+            batch = hashed(at(spark, items))
+            fresh = batch.where(F.col("is_there") & (F.col("path").isin(*new) | F.col("corpus").isNull())).select(key).distinct().persist()
+            texts, once = link_index.new_texts(batch, fresh)
+            want = batch.join(fresh, key, "left_semi").select("corpus", "path", "content")
+            assert rows(texts) == rows(want) and once == (len(items) == 2)
+            assert not once or "Exchange" not in texts._jdf.queryExecution().executedPlan().toString()
+            if broadcast:
+                assert "SortMergeJoin" not in texts._jdf.queryExecution().executedPlan().toString()
+            fresh.unpersist()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
+
+
 def test_replayed_batch(spark, tmp_path):
     index = LinkIndex(spark, str(tmp_path))
     add_batch(index, at(spark, [("c", "a.md", "[x](b.md) [y](d)", 1), ("c", "d/b.md", "", 1)]), 0)
